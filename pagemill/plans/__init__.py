@@ -1,6 +1,6 @@
 """All named queries; importing this package fills the registry."""
 
 from pagemill.plans.registry import ORACLES, QUERIES
-from pagemill.plans import quality  # noqa: F401
+from pagemill.plans import quality, urls  # noqa: F401
 
 __all__ = ["ORACLES", "QUERIES"]

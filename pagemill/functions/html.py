@@ -19,6 +19,11 @@ def element(tag: str) -> str:
     return rf"(?is)<{tag}\b[^>]*>(.*?)</{tag}\s*>"
 
 
+def region(tag: str) -> str:
+    """Pattern of a large element that may run to the end of a cut-off page."""
+    return rf"(?is)<{tag}\b[^>]*>(.*?)(?:</{tag}\s*>|\z)"
+
+
 NOISE_PATTERN = "(?is)<!--.*?-->|" + "|".join(rf"<{t}\b[^>]*>.*?</{t}\s*>" for t in NOISE_TAGS)
 ANY_TAG = "<[^>]*>"
 LINK_PATTERN = r"""(?is)<a\b[^>]*?href=["']([^"'>]*)["'][^>]*>(.*?)</a\s*>"""
@@ -67,7 +72,7 @@ def description(html: Column) -> Column:
 
 def main_content(html: Column) -> Column:
     """First of main, article, body with more than 20 words; else the body."""
-    choices = [squash(inner_text(F.regexp_extract(html, element(t), 1))) for t in ("main", "article", "body")]
+    choices = [squash(inner_text(F.regexp_extract(html, region(t), 1))) for t in ("main", "article", "body")]
     picked = [F.when(word_count(c) > 20, c) for c in choices[:2]]
     return F.coalesce(*picked, choices[2])
 
@@ -87,11 +92,10 @@ def heading_texts(html: Column, level: int) -> Column:
 
 def headings(html: Column) -> Column:
     """All h1, then all h2, ...: grouped by level, not in document order."""
-    per_level = [
-        F.transform(heading_texts(html, n), lambda t, n=n: F.struct(F.lit(n).cast("long").alias("level"), t.alias("text")))
-        for n in range(1, 7)
-    ]
-    return F.concat(*per_level)
+    def of_level(n: int) -> Column:
+        return F.transform(heading_texts(html, n), lambda t: F.struct(F.lit(n).cast("long").alias("level"), t.alias("text")))
+
+    return F.concat(*[of_level(n) for n in range(1, 7)])
 
 
 def raw_links(html: Column) -> Column:

@@ -92,9 +92,9 @@ def joined(x: str, sep: str = "|") -> str:
 PAGES_CTE = f"""
 clean AS (SELECT page_id, url, html, {replace_all('html', hx.NOISE_PATTERN, "''")} AS c FROM pages),
 parts AS (SELECT page_id, url, html, c, {first_text('c', 'h1')} AS h1, {first_text('c', 'title')} AS t, {first_text('c', 'p')} AS p,
-  {squash(inner_text(f"regexp_extract(c, {q(hx.element('main'))}, 1)"))} AS m1,
-  {squash(inner_text(f"regexp_extract(c, {q(hx.element('article'))}, 1)"))} AS m2,
-  {squash(inner_text(f"regexp_extract(c, {q(hx.element('body'))}, 1)"))} AS m3,
+  {squash(inner_text(f"regexp_extract(c, {q(hx.region('main'))}, 1)"))} AS m1,
+  {squash(inner_text(f"regexp_extract(c, {q(hx.region('article'))}, 1)"))} AS m2,
+  {squash(inner_text(f"regexp_extract(c, {q(hx.region('body'))}, 1)"))} AS m3,
   regexp_extract(c, {q('''(?is)<html[^>]*lang=["']([^"']+)["']''')}, 1) AS lang0 FROM clean),
 rec AS (SELECT page_id, url, html, c,
   CASE WHEN h1 <> '' THEN h1 ELSE t END AS title,

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from pagemill import scale
 from pagemill.functions import quality as qx
 from pagemill.functions import text as tx
 from pagemill.functions import urls as ux
@@ -119,7 +120,8 @@ def processing_stats(spark, sf):
 
 @query("Q16_min_quality_filter", sp.PAGE_SCORES + " SELECT page_id, overall_score FROM scored WHERE overall_score >= 60 AND language <> 'xx'")
 def min_quality_filter(spark, sf):
-    return _assessed(spark, sf).filter(F.col("overall_score") >= 60).select("page_id", "overall_score")
+    scored = _assessed(spark, sf).select("page_id", "overall_score")
+    return scale.keep_computed(scored, lambda r: r["overall_score"] >= 60)
 
 
 @query("Q1_basic_metrics_pages", sp.PAGE_SCORES + " SELECT page_id, word_count, sentence_count, paragraph_count, title <> '' AS has_title, len(h1s) > 0 AS has_headings, description <> '' AS has_description FROM scored")

@@ -41,6 +41,16 @@ def last_per_key(df: DataFrame, keys: list[str], order: Column) -> DataFrame:
     return picked.select(*keys, *[F.col("_r")[c].alias(c) for c in rest])
 
 
+def keep_computed(df: DataFrame, test: Callable[[Column], Column]) -> DataFrame:
+    """Filter on costly computed columns without computing them twice.
+
+    A plain filter would be pushed below the projection and repeat its
+    expressions; the row test here sits in a generator that stays above it.
+    """
+    rows = F.array(F.struct(*df.columns))
+    return df.select(F.inline(F.filter(rows, test)))
+
+
 def segment_of(order_value: Column, width: int) -> Column:
     return F.floor(order_value / width).cast("long")
 

@@ -1,6 +1,6 @@
 """All named queries; importing this package fills the registry."""
 
 from pagemill.plans.registry import ORACLES, QUERIES
-from pagemill.plans import html, knowledge, labels, merge, quality, text, trends, urls  # noqa: F401
+from pagemill.plans import html, knowledge, labels, merge, quality, reports, text, trends, urls  # noqa: F401
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from pagemill.functions.text import decode_entities, squash, strip, word_count
+from pagemill.functions.text import decode_entities, squash, strip
 
 # Element types dropped as noise.
 NOISE_TAGS = ("nav", "header", "footer", "aside", "script", "style", "noscript")
@@ -46,35 +46,29 @@ def first_text(html: Column, tag: str) -> Column:
 def meta_content(html: Column, attribute: str, value: str) -> Column:
     """Content of the first meta element whose attribute has the given value."""
     whole = F.regexp_extract(html, rf"""(?is)<meta\b[^>]*\b{attribute}=["']{value}["'][^>]*>""", 0)
-    return strip(decode_entities(F.regexp_extract(whole, r"""(?is)\bcontent=["']([^"']*)["']""", 1)))
+    found = strip(decode_entities(F.regexp_extract(whole, r"""(?is)\bcontent=["']([^"']*)["']""", 1)))
+    return F.when(html.contains(value), found).otherwise("")
 
 
 def _first_filled(*candidates: Column) -> Column:
     return F.coalesce(*[F.nullif(c, F.lit("")) for c in candidates], F.lit(""))
 
 
-def title(html: Column) -> Column:
+def title_without_h1(html: Column) -> Column:
     return _first_filled(
-        first_text(html, "h1"), first_text(html, "title"),
-        meta_content(html, "property", "og:title"), meta_content(html, "name", "twitter:title"),
-    )
+        first_text(html, "title"), meta_content(html, "property", "og:title"), meta_content(html, "name", "twitter:title"))
 
 
-def description(html: Column) -> Column:
-    lead = first_text(html, "p")
-    return _first_filled(
-        meta_content(html, "name", "description"), meta_content(html, "property", "og:description"),
-        meta_content(html, "name", "twitter:description"),
-        F.when(F.length(lead) > 300, F.concat(F.substring(lead, 1, 300), F.lit("...")))
-        .when(F.length(lead) > 50, lead).otherwise(""),
-    )
+def description_or(html: Column, lead: Column) -> Column:
+    """Meta description, or the first paragraph when it says enough."""
+    cut = F.when(F.length(lead) > 300, F.concat(F.substring(lead, 1, 300), F.lit("..."))).when(F.length(lead) > 50, lead).otherwise("")
+    named = _first_filled(
+        meta_content(html, "name", "description"), meta_content(html, "property", "og:description"), meta_content(html, "name", "twitter:description"), cut)
+    return F.when(html.contains("description"), named).otherwise(cut)
 
 
-def main_content(html: Column) -> Column:
-    """First of main, article, body with more than 20 words; else the body."""
-    choices = [squash(inner_text(F.regexp_extract(html, region(t), 1))) for t in ("main", "article", "body")]
-    picked = [F.when(word_count(c) > 20, c) for c in choices[:2]]
-    return F.coalesce(*picked, choices[2])
+def region_text(html: Column, tag: str) -> Column:
+    return squash(inner_text(F.regexp_extract(html, region(tag), 1)))
 
 
 def language(html: Column) -> Column:
@@ -86,7 +80,8 @@ def language(html: Column) -> Column:
 
 
 def heading_texts(html: Column, level: int) -> Column:
-    found = F.regexp_extract_all(html, F.lit(element(f"h{level}")), F.lit(1))
+    none = F.array().cast("array<string>")
+    found = F.when(html.rlike(f"(?i)<h{level}"), F.regexp_extract_all(html, F.lit(element(f"h{level}")), F.lit(1))).otherwise(none)
     return F.filter(F.transform(found, lambda h: strip(inner_text(h))), lambda t: t != "")
 
 

@@ -16,22 +16,26 @@ def extract_basic(pages: DataFrame) -> DataFrame:
     Noise goes first, so text, headings and description never see it. Links and
     lists are read from the untouched page.
     """
-    return (
-        pages.withColumn("_clean", hx.remove_noise(F.col("html")))
-        .select(
-            "page_id", "url",
-            hx.title(F.col("_clean")).alias("title"),
-            hx.description(F.col("_clean")).alias("description"),
-            hx.main_content(F.col("_clean")).alias("main_content"),
-            hx.language(F.col("_clean")).alias("language"),
-            hx.headings(F.col("_clean")).alias("headings"),
-            hx.raw_links(F.col("html")).alias("raw_links"),
-            hx.has_element(F.col("_clean"), "pre").alias("has_code"),
-            hx.has_element(F.col("_clean"), "table").alias("has_tables"),
-            (hx.has_element(F.col("_clean"), "ul") | hx.has_element(F.col("_clean"), "ol")).alias("has_lists"),
-            hx.has_element(F.col("_clean"), "img").alias("has_images"),
-        )
-        .withColumn("heading_levels", F.transform("headings", lambda h: h["level"]))
+    clean = F.col("_clean")
+    # Each costly part is a column of its own, read by name afterwards, so that no
+    # regular expression runs twice; the literal tests skip pages without the tag.
+    staged = pages.withColumn("_clean", hx.remove_noise(F.col("html"))).withColumns({
+        "_h1": hx.first_text(clean, "h1"), "_lead": hx.first_text(clean, "p"),
+        "_main": F.when(clean.rlike("(?i)<main"), hx.region_text(clean, "main")).otherwise(""),
+        "_article": F.when(clean.rlike("(?i)<article"), hx.region_text(clean, "article")).otherwise(""),
+        "headings": hx.headings(clean), "raw_links": hx.raw_links(F.col("html")),
+    })
+    lead = F.col("_lead")
+    return staged.select(
+        "page_id", "url",
+        F.when(F.col("_h1") != "", F.col("_h1")).otherwise(hx.title_without_h1(clean)).alias("title"),
+        hx.description_or(clean, lead).alias("description"),
+        F.when(tx.word_count(F.col("_main")) > 20, F.col("_main")).when(tx.word_count(F.col("_article")) > 20, F.col("_article"))
+        .otherwise(hx.region_text(clean, "body")).alias("main_content"),
+        hx.language(clean).alias("language"), "headings", "raw_links",
+        hx.has_element(clean, "pre").alias("has_code"), hx.has_element(clean, "table").alias("has_tables"),
+        (hx.has_element(clean, "ul") | hx.has_element(clean, "ol")).alias("has_lists"), hx.has_element(clean, "img").alias("has_images"),
+        F.transform("headings", lambda h: h["level"]).alias("heading_levels"),
     )
 
 

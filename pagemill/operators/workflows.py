@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pagemill.scale import keep_computed
+
 SCHEMA = (
     "id string, name string, active boolean, description string, "
     "nodes array<struct<name:string,type:string,typeVersion:int,parameters:map<string,string>,notes:string>>, "
@@ -275,13 +277,15 @@ def duplicate_files(files: DataFrame, key: str, content_hash: str) -> DataFrame:
 
 
 def error_breakdown(validated: DataFrame, category: str) -> DataFrame:
-    by = lambda df, c, label: df.groupBy(F.col(c).alias("name")).agg(F.count("*").alias("n")).select(F.lit(label).alias("kind"), "name", "n")
-    errors = validated.select(category, F.explode("errors").alias("error"))
-    return by(errors, "error", "error").unionByName(by(validated.filter(~F.col("valid")), category, "category"))
+    # one pass: every row yields its errors and, if it has any, its category
+    pair = lambda kind, name: F.struct(F.lit(kind).alias("kind"), name.alias("name"))
+    found = F.concat(F.transform("errors", lambda e: pair("error", e)), F.array_compact(F.array(F.when(F.size("errors") > 0, pair("category", F.col(category))))))
+    return validated.select(F.explode(found).alias("p")).groupBy("p.kind", "p.name").agg(F.count("*").alias("n"))
 
 
 def of_category(df: DataFrame, category: str, services: str) -> DataFrame:
-    return df.filter(F.arrays_overlap(services, F.array(*[F.lit(s) for s in SERVICE_CATEGORIES[category]])))
+    wanted = F.array(*[F.lit(s) for s in SERVICE_CATEGORIES[category]])
+    return keep_computed(df, lambda r: F.arrays_overlap(r[services], wanted))
 
 
 def similar(df: DataFrame, key: str, services: str, target: str | int, n: int = 5) -> DataFrame:

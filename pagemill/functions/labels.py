@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagemill.functions import text as tx
@@ -50,24 +50,40 @@ def first_label(pairs, test, default: str) -> Column:
     return chain.otherwise(default)
 
 
-def complexity_score(c: Column) -> Column:
-    w = tx.words(c)
-    n = F.greatest(F.size(w), F.lit(1))
-    n_sentences = F.size(F.split(c, r"\."))
-    tech = F.size(F.filter(w, lambda x: F.lower(x).isin(*TECH_TERMS)))
-    return F.least(F.lit(1.0), F.size(w) / n_sentences / 20 * 0.4 + tx.chars_in_words(c) / n / 10 * 0.3 + tech / n * 0.3)
-
-
-def syllables(word: Column) -> Column:
-    low = F.lower(word)
-    return F.greatest(F.lit(1), F.regexp_count(low, F.lit("[aeiouy]+")) - low.endswith("e").cast("int"))
-
-
-def flesch_readability(c: Column) -> Column:
-    w = tx.words(c)
-    total = F.aggregate(w, F.lit(0), lambda acc, x: acc + syllables(x))
-    raw = 206.835 - 1.015 * (F.size(w) / F.size(F.split(c, r"\."))) - 84.6 * (total / F.size(w))
-    return F.when(F.size(w) == 0, 0.5).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), raw / 100)))
+# Whole-text forms of the per-word syllable rule: vowel runs, words ending in e,
+# words without a vowel, and words whose only vowel run ends in e at the word's end.
+_OUTSIDE = r"(?<![^\s\x0b\x1c-\x1f\x{85}\p{Z}])"
+_END = r"(?![^\s\x0b\x1c-\x1f\x{85}\p{Z}])"
+_CONSONANT = r"[^aeiouy\s\x0b\x1c-\x1f\x{85}\p{Z}]"
+VOWELS = "[aeiouy]+"
+FINAL_E = "e" + _END
+NO_VOWEL = _OUTSIDE + _CONSONANT + "+" + _END
+ONE_FINAL_RUN = _OUTSIDE + _CONSONANT + "*[aeiouy]*e" + _END
+
+
+def syllables(low: Column) -> Column:
+    """Sum over the words of max(1, vowel runs - 1 if the word ends in e), in four
+    scans of the text and without a step per word."""
+    n = lambda p: F.regexp_count(low, F.lit(p))
+    return n(VOWELS) - n(FINAL_E) + n(NO_VOWEL) + n(ONE_FINAL_RUN)
+
+
+def with_complexity(df: DataFrame, text: str, readability: bool = False) -> DataFrame:
+    """Adds n_words, complexity and, if asked, readability; helpers are computed once."""
+    c, low = F.col(text), F.col("_low")
+    n_dots = F.length(c) - F.length(F.replace(c, F.lit("."), F.lit("")))
+    terms = F.lit(0)
+    for t in TECH_TERMS:
+        count = F.regexp_count(low, F.lit(_OUTSIDE + t + _END))
+        terms = terms + F.when(low.contains(t), count).otherwise(0)
+    helpers = {"_low": F.lower(c), "n_words": tx.word_count(c), "_ns": n_dots + 1, "_chars": tx.chars_in_words(c)}
+    n = F.greatest("n_words", F.lit(1))
+    score = F.least(F.lit(1.0), F.col("n_words") / F.col("_ns") / 20 * 0.4 + F.col("_chars") / n / 10 * 0.3 + terms / n * 0.3)
+    out = df.withColumns(helpers).withColumn("complexity", score)
+    if readability:
+        raw = 206.835 - 1.015 * (F.col("n_words") / F.col("_ns")) - 84.6 * (syllables(low) / F.col("n_words"))
+        out = out.withColumn("readability", F.when(F.col("n_words") == 0, 0.5).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), raw / 100))))
+    return out.drop("_low", "_ns", "_chars")
 
 
 def categorize(content: Column, title: Column, url: Column) -> Column:

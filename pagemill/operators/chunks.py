@@ -11,17 +11,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagemill.functions import text as tx
+from pagemill.scale import rows_of
 
 SENTENCE_BREAK = re.compile(r"[.!?]+\s+")
 PARAGRAPH_BREAK = re.compile(r"\n\s*\n")
 
 
-def word_chunks(c: Column, size: int = 1000, overlap: int = 200, cap: int | None = 100, min_chars: int = 50) -> Column:
-    """Windows of `size` words every size - overlap; `cap` is the caller's limit."""
-    w = tx.words(c)
+def word_chunks(df: DataFrame, text: str, out: str = "chunks", size: int = 1000, overlap: int = 200, cap: int | None = 100, min_chars: int = 50) -> DataFrame:
+    """Windows of `size` words every size - overlap; `cap` is the caller's limit.
+
+    The words are a column, so that the windows slice them instead of splitting
+    the text again for every window.
+    """
+    w = F.col("_w")
     starts = F.when(F.size(w) > 0, F.sequence(F.lit(0), F.size(w) - 1, F.lit(size - overlap))).otherwise(F.array().cast("array<int>"))
     pieces = F.filter(F.transform(starts, lambda i: F.array_join(F.slice(w, i + 1, F.lit(size)), " ")), lambda t: F.length(t) > min_chars)
-    return pieces if cap is None else F.slice(pieces, 1, cap)
+    return df.withColumn("_w", tx.words(F.col(text))).withColumn(out, pieces if cap is None else F.slice(pieces, 1, cap)).drop("_w")
 
 
 def stride_chunks(c: Column, size: int = 500, overlap: int = 50) -> Column:
@@ -46,7 +51,7 @@ def merge_chunk_array(chunks: Column, max_size: int = 2000) -> Column:
 
 
 def explode_chunks(df: DataFrame, key: str, chunks: Column) -> DataFrame:
-    return df.select(key, F.posexplode(chunks).alias("chunk_index", "content")).withColumn("chunk_index", F.col("chunk_index").cast("long"))
+    return rows_of(df, [key], chunks, "content", "chunk_index")
 
 
 def by_characters(text: str, size: int, overlap: int) -> list[str]:

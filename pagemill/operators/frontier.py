@@ -33,7 +33,7 @@ def matching_rules(df: DataFrame, rules: list[dict], url: str = "url") -> DataFr
     found = F.array_compact(F.array(*[
         F.when(F.col(url).rlike(r["pattern"]), F.struct(F.lit(i + 1).alias("rule_order"), F.lit(r["type"]).alias("type")))
         for i, r in enumerate(rules)]))
-    return df.select(*[c for c in df.columns], F.explode(found).alias("_m")).select(*df.columns, "_m.rule_order", "_m.type")
+    return scale.rows_of(df, df.columns, found, "_m").select(*df.columns, "_m.rule_order", "_m.type")
 
 
 def allowed_by_lists(df: DataFrame, scraped: DataFrame, failed: DataFrame, include: list[str], exclude: list[str], url: str = "url") -> DataFrame:

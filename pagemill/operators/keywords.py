@@ -31,7 +31,7 @@ def top_terms(df: DataFrame, key: str, terms: Column, stop_words: list[str], n:
     Counts combine before the shuffle (the terms of a document sit in one task)
     and the rank filter runs below the second exchange.
     """
-    kept = df.select(key, F.posexplode(terms).alias("pos", "term")).filter((F.length("term") >= min_len) & ~F.col("term").isin(*stop_words))
+    kept = scale.rows_of(df, [key], terms, "term", "pos").filter((F.length("term") >= min_len) & ~F.col("term").isin(*stop_words))
     counted = kept.groupBy(key, "term").agg(F.count("*").alias("n"), F.min("pos").alias("first_pos"))
     ranked = scale.top_n_per_key(counted, [key], [F.col("n").desc(), F.col("first_pos")], n)
     return ranked.select(key, F.col("rank").cast("long").alias("rank"), "term", "n")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pagemill.scale import rows_of
+
 
 def stack_row(row: DataFrame, columns: list[str], name: str = "metric", value: str = "value") -> DataFrame:
     """One aggregate row as (metric, value) rows of doubles."""
@@ -80,7 +82,7 @@ def entity_mentions(pages: DataFrame, key: str, url: str, title: str, content: s
     """Rows from pages of the entity kind, and distinct mentions in the text of every page."""
     own = pages.filter(page_test).select(key, F.col(title).alias("name"), F.col(url).alias("url"), F.lit("integration_page").alias("type"))
     found = F.array_distinct(F.regexp_extract_all(F.col(content), F.lit(pattern), F.lit(0)))
-    mentioned = pages.select(key, F.explode(found).alias("name"), F.col(url).alias("url"), F.lit("content_mention").alias("type"))
+    mentioned = rows_of(pages, [key, F.col(url).alias("url")], found, "name").select(key, "name", "url", F.lit("content_mention").alias("type"))
     return own.unionByName(mentioned)
 
 

@@ -92,7 +92,7 @@ def _equals(term: str):
 
 def build_index(docs: DataFrame, key: str, text: str) -> DataFrame:
     """Inverted index rows (term, key, tf, dl); counts combine before the shuffle."""
-    t = docs.select(key, tokens(F.col(text)).alias("t")).select(key, F.size("t").alias("dl"), F.explode("t").alias("term"))
+    t = scale.rows_of(docs.select(key, tokens(F.col(text)).alias("t")), [key, F.size("t").alias("dl")], "t", "term")
     return t.groupBy("term", key, "dl").agg(F.count("*").alias("tf"))
 
 
@@ -151,7 +151,7 @@ def highlight(content: Column, query: str) -> Column:
 
 def facets(df: DataFrame, category: str, tags: str) -> DataFrame:
     by_category = df.groupBy(F.col(category).alias("name")).agg(F.count("*").alias("n")).select(F.lit("category").alias("facet"), "name", "n")
-    by_tag = df.select(F.explode(tags).alias("name")).groupBy("name").agg(F.count("*").alias("n")).select(F.lit("tag").alias("facet"), "name", "n")
+    by_tag = scale.rows_of(df, [], tags, "name").groupBy("name").agg(F.count("*").alias("n")).select(F.lit("tag").alias("facet"), "name", "n")
     return by_category.unionByName(by_tag)
 
 

@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pagemill import scale
 
@@ -78,8 +79,21 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(norm == 0, 0.0).otherwise(dot(a, b) / norm)
 
 
-def constant(vector: list[float]) -> Column:
-    return F.array(*[F.lit(float(x)) for x in vector])
+def similarity_to(vector: Column, query: list[float], normalize: bool = True) -> Column:
+    """Cosine (or plain inner product) against one constant vector: a matrix
+    product per Arrow batch, the vector travelling with the task."""
+    q = np.array(query, dtype=np.float64)
+    size = float(np.linalg.norm(q)) if normalize else 1.0
+
+    @F.pandas_udf(T.DoubleType())
+    def score(batch: pd.Series) -> pd.Series:
+        if len(batch) == 0:
+            return pd.Series([], dtype=float)
+        m = np.vstack(batch.to_numpy()).astype(np.float64)
+        norm = np.linalg.norm(m, axis=1) * size if normalize else np.ones(len(m))
+        return pd.Series(np.divide(m @ q, norm, out=np.zeros(len(m)), where=norm > 0))
+
+    return score(vector)
 
 
 def vector_of(df: DataFrame, key: str, value, vector: str = "embedding") -> list[float]:
@@ -95,7 +109,7 @@ def top_k(df: DataFrame, key: str, query: list[float], k: int = 5, vector: str =
     """Metadata filter, best k by similarity, then the threshold; ranks keep the
     places held before the threshold. The scan keeps k rows per task."""
     rows = df if where is None else df.filter(where)
-    score = dot(F.col(vector), constant(query)) if inner_product else cosine(F.col(vector), constant(query))
+    score = similarity_to(F.col(vector), query, normalize=not inner_product)
     best = rows.select(key, score.alias("score")).orderBy(F.col("score").desc(), key).limit(k)
     # at most k rows are left, so gathering them for their ranks is bounded
     listed = best.agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), F.col(key).alias("id")))).alias("l"))
@@ -123,7 +137,7 @@ def bulk_top_k(corpus: DataFrame, key: str, queries: DataFrame, query_key: str,
             for frame in frames:
                 if len(frame) == 0:
                     continue
-                m = np.array(frame[vector].tolist(), dtype=np.float64)
+                m = np.vstack(frame[vector].to_numpy()).astype(np.float64)
                 m = m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
                 scores, own = q @ m.T, frame[key].to_numpy()
                 kk = min(k, len(own))
@@ -151,7 +165,7 @@ def signatures(df: DataFrame, key: str, tables: int = 8, bits: int = 6, vector:
         for frame in frames:
             if len(frame) == 0:
                 continue
-            m = np.array(frame[vector].tolist(), dtype=np.float64)
+            m = np.vstack(frame[vector].to_numpy()).astype(np.float64)
             if planes is None:
                 planes = np.random.default_rng(seed).standard_normal((m.shape[1], tables * bits))
             sign = (m @ planes > 0).reshape(len(m), tables, bits)
@@ -169,11 +183,21 @@ def approx_top_k(index: DataFrame, key: str, queries: DataFrame, query_key: str,
     probes = signatures(queries.select(F.col(query_key).alias("q"), vector), "q", vector=vector, **settings).withColumnRenamed(vector, "qv")
     flips = F.array(F.col("sig"), *[F.col("sig").bitwiseXOR(F.lit(1 << b)) for b in range(bits)])
     probes = probes.select("q", "table", "qv", F.explode(flips).alias("sig"))
-    pairs = index.join(scale.maybe_broadcast(probes), ["table", "sig"]).select(F.col("q").alias(query_key), key, cosine(F.col(vector), F.col("qv")).alias("score"))
+    pairs = index.join(scale.maybe_broadcast(probes), ["table", "sig"]).select(F.col("q").alias(query_key), key, _arrow_cosine(F.col(vector), F.col("qv")).alias("score"))
     once = pairs.groupBy(query_key, key).agg(F.max("score").alias("score"))
     return scale.top_n_per_key(once, [query_key], [F.col("score").desc(), F.col(key)], k)
 
 
+@F.pandas_udf(T.DoubleType())
+def _arrow_cosine(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Row-wise cosine of two vector columns, a matrix operation per Arrow batch."""
+    if len(a) == 0:
+        return pd.Series([], dtype=float)
+    x, y = (np.vstack(v.to_numpy()).astype(np.float64) for v in (a, b))
+    norm = np.linalg.norm(x, axis=1) * np.linalg.norm(y, axis=1)
+    return pd.Series(np.divide((x * y).sum(axis=1), norm, out=np.zeros(len(x)), where=norm > 0))
+
+
 def add_documents(store: DataFrame, batch: DataFrame, key: str, source: str, stamp: str) -> DataFrame:
     """Batch rows with default metadata and ids appended to the store."""
     ready = batch.withColumns({key: F.coalesce(F.col(key).cast("string"), F.sha2(F.to_json("embedding"), 256)), "source": F.coalesce("source", F.lit(source)),

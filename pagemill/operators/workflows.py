@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.scale import keep_computed
+from pagemill.scale import keep_computed, rows_of
 
 SCHEMA = (
     "id string, name string, active boolean, description string, "
@@ -89,7 +89,7 @@ def format_name(stem: Column) -> Column:
 
 def clean_tags(json: Column) -> Column:
     """Tags may be texts or objects: text, else name, else id, else 'tag'."""
-    tags = F.variant_get(F.try_parse_json(json), "$.tags", "array<variant>")
+    tags = F.try_parse_json(F.get_json_object(json, "$.tags")).cast("array<variant>")
     get = lambda t, path, kind: F.try_variant_get(t, path, kind)
     return F.transform(tags, lambda t: F.when(F.schema_of_variant(t).startswith("OBJECT"), F.coalesce(
         get(t, "$.name", "string"), get(t, "$.id", "string"), F.lit("tag"))).otherwise(get(t, "$", "string")))
@@ -119,19 +119,23 @@ def integrations(nodes: Column) -> Column:
     """Sorted services of the nodes; a hint in the node name wins over the type."""
     table = F.create_map(*[F.lit(x) for kv in SERVICES.items() for x in kv])
 
+    def prepare(n: Column) -> Column:
+        kind = F.lower(n["type"])
+        raw = F.when(kind.startswith(BASE_PREFIX), F.substring_index(kind, BASE_PREFIX, -1)).otherwise(F.substring_index(kind, ".", -1))
+        return F.struct(kind.alias("kind"), F.lower(n["name"]).alias("name"), F.replace(raw, F.lit("trigger"), F.lit("")).alias("raw"))
+
     def service(n: Column) -> Column:
-        kind, name = F.lower(n["type"]), F.lower(n["name"])
-        base, scoped = kind.startswith(BASE_PREFIX), kind.startswith(SCOPED_PREFIX)
-        raw = F.replace(F.when(base, F.substring_index(kind, BASE_PREFIX, -1)).otherwise(F.substring_index(kind, ".", -1)), F.lit("trigger"), F.lit(""))
+        kind, name, raw = n["kind"], n["name"], n["raw"]
         known = F.when((raw == "") | raw.isin(*UTILITY_NODES), None).otherwise(F.coalesce(F.try_element_at(table, raw), F.initcap(raw)))
         custom = F.when(kind.contains("youtube"), "YouTube").when(kind.contains("telegram"), "Telegram").when(kind.contains("discord"), "Discord")
-        by_type = F.when(base | scoped, known).when(kind.contains("-"), custom)
+        by_type = F.when(kind.startswith(BASE_PREFIX) | kind.startswith(SCOPED_PREFIX), known).when(kind.contains("-"), custom)
         hint = None
         for key, value in SERVICES.items():
             hint = F.when(name.contains(key), value) if hint is None else hint.when(name.contains(key), value)
-        return F.coalesce(hint, by_type)
+        # one scan tells most names apart from those with a hint
+        return F.coalesce(F.when(name.rlike("|".join(SERVICES)), hint), by_type)
 
-    return F.array_sort(F.array_distinct(F.array_compact(F.transform(nodes, service))))
+    return F.array_sort(F.array_distinct(F.array_compact(F.transform(F.transform(nodes, prepare), service))))
 
 
 def describe(name: Column, trigger: Column, services: Column, n_nodes: Column) -> Column:
@@ -218,14 +222,15 @@ def chunks(df: DataFrame, key: str) -> DataFrame:
         F.array(F.when(F.size("connections") > 0, piece("connections", F.concat_ws(" | ", F.lit("Workflow Connections:"), edges))),
                 F.when(F.size("settings") > 0, piece("settings", F.concat_ws(" | ", F.lit("Workflow Settings:"), settings)))))
     kept = F.filter(parts, lambda p: p.isNotNull() & (p["content"] != ""))
-    return df.select(key, F.posexplode(kept).alias("chunk_index", "c")).select(
-        key, F.col("chunk_index").cast("long").alias("chunk_index"), "c.chunk_type", "c.content", F.sha2("c.content", 256).alias("content_hash"))
+    return rows_of(df, [key], kept, "c", "chunk_index").select(
+        key, "chunk_index", "c.chunk_type", "c.content", F.sha2("c.content", 256).alias("content_hash"))
 
 
 def edges(df: DataFrame, key: str) -> DataFrame:
-    outputs = df.select(key, F.explode("connections").alias("source", "outputs"))
-    targets = outputs.select(key, "source", F.explode("outputs").alias("output", "targets"))
-    return targets.select(key, "source", "output", F.explode("targets").alias("t")).select(key, "source", "output", F.col("t.node").alias("target"))
+    outputs = rows_of(df, [key], F.map_entries("connections"), "s")
+    targets = rows_of(outputs, [key, F.col("s.key").alias("source")], F.map_entries("s.value"), "o")
+    found = rows_of(targets, [key, "source", F.col("o.key").alias("output")], "o.value", "t")
+    return found.select(key, "source", "output", F.col("t.node").alias("target"))
 
 
 def flow_text(df: DataFrame) -> Column:
@@ -280,7 +285,7 @@ def error_breakdown(validated: DataFrame, category: str) -> DataFrame:
     # one pass: every row yields its errors and, if it has any, its category
     pair = lambda kind, name: F.struct(F.lit(kind).alias("kind"), name.alias("name"))
     found = F.concat(F.transform("errors", lambda e: pair("error", e)), F.array_compact(F.array(F.when(F.size("errors") > 0, pair("category", F.col(category))))))
-    return validated.select(F.explode(found).alias("p")).groupBy("p.kind", "p.name").agg(F.count("*").alias("n"))
+    return rows_of(validated, [], found, "p").groupBy("p.kind", "p.name").agg(F.count("*").alias("n"))
 
 
 def of_category(df: DataFrame, category: str, services: str) -> DataFrame:
@@ -304,11 +309,11 @@ def stats(df: DataFrame, services: str) -> DataFrame:
 
     row = df.agg(F.count("*").alias("total"), F.count_if(F.col("active")).alias("active"), F.count_if(~F.col("active")).alias("inactive"),
                  F.sum("node_count").alias("total_nodes"), F.round(F.avg("node_count"), 4).alias("avg_nodes"))
-    distinct = df.select(F.explode(services).alias("s")).agg(F.count_distinct("s").cast("double").alias("value")).select(F.lit("unique_integrations").alias("metric"), "value")
+    distinct = rows_of(df, [], services, "s").agg(F.count_distinct("s").cast("double").alias("value")).select(F.lit("unique_integrations").alias("metric"), "value")
     by = lambda c: df.groupBy(F.concat(F.lit(f"{c}:"), F.col(c)).alias("metric")).agg(F.count("*").cast("double").alias("value"))
     return stack_row(row, ["total", "active", "inactive", "total_nodes", "avg_nodes"]).unionByName(distinct).unionByName(by("trigger")).unionByName(by("complexity"))
 
 
 def top_node_types(df: DataFrame, n: int = 10) -> DataFrame:
-    types = df.select(F.explode("nodes").alias("n")).select("n.type")
+    types = rows_of(df, [], "nodes", "n").select("n.type")
     return types.groupBy("type").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "type").limit(n)

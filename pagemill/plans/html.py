@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from pagemill import scale
 from pagemill.functions import html as hx
 from pagemill.functions import text as tx
 from pagemill.functions import urls as ux
@@ -101,8 +102,8 @@ _tree("H17_extract_tables", lambda: F.array_join("tables", "\n\n").alias("tables
 
 @query("H11_extract_headings", REC + ", x AS (SELECT page_id, unnest(h1s) AS text, generate_subscripts(h1s, 1) AS pos FROM rec) SELECT page_id, pos, 1::BIGINT AS level, text FROM x")
 def headings(spark, sf):
-    r = records(spark, sf).select("page_id", F.posexplode("headings").alias("pos", "h"))
-    return r.select("page_id", (F.col("pos") + 1).cast("long").alias("pos"), "h.level", "h.text")
+    r = scale.rows_of(records(spark, sf), ["page_id"], "headings", "h", "pos")
+    return r.select("page_id", (F.col("pos") + 1).alias("pos"), "h.level", "h.text")
 
 
 _LINKS = f""", l AS (SELECT page_id, url, unnest(hrefs) AS href, generate_subscripts(hrefs, 1) - 1 AS pos FROM rec),
@@ -111,27 +112,27 @@ t AS (SELECT page_id, unnest(regexp_extract_all(html, {q(hx.LINK_PATTERN)}, 2))
 
 @query("H12_extract_links", REC + _LINKS + f" SELECT l.page_id, l.pos, {SCHEME} || '://' || {HOST} || href AS link, {sp.strip(sp.inner_text('txt'))} AS text FROM l JOIN t ON l.page_id = t.page_id AND l.pos = t.pos")
 def links(spark, sf):
-    r = records(spark, sf).select("page_id", "url", F.posexplode("raw_links").alias("pos", "l"))
-    return r.select("page_id", F.col("pos").cast("long").alias("pos"), ux.resolve_url(F.col("url"), F.col("l.href")).alias("link"), F.col("l.text").alias("text"))
+    r = scale.rows_of(records(spark, sf), ["page_id", "url"], "raw_links", "l", "pos")
+    return r.select("page_id", "pos", ux.resolve_url(F.col("url"), F.col("l.href")).alias("link"), F.col("l.text").alias("text"))
 
 
 @query("H13_extract_links_distinct", REC + _LINKS + f" SELECT DISTINCT page_id, regexp_replace({SCHEME} || '://' || {HOST} || href, '#.*$', '') AS link FROM l")
 def links_distinct(spark, sf):
     resolved = F.transform("raw_links", lambda l: ux.drop_fragment(ux.resolve_url(F.col("url"), l["href"])))
-    return records(spark, sf).select("page_id", F.explode(F.array_distinct(resolved)).alias("link"))
+    return scale.rows_of(records(spark, sf), ["page_id"], F.array_distinct(resolved), "link")
 
 
 @query("H14_extract_urls", f"""WITH m AS (SELECT page_id, url AS base, list_concat(regexp_extract_all(html, {q(ux.HREF_PATTERNS[0])}, 1), list_concat(regexp_extract_all(html, {q(ux.HREF_PATTERNS[1])}, 1), regexp_extract_all(html, {q(ux.HREF_PATTERNS[2])}, 1))) AS h FROM pages),
 x AS (SELECT page_id, {SCHEME.replace('url', 'base')} || '://' || {HOST.replace('url', 'base')} || unnest(list_filter(h, lambda y: NOT regexp_matches(y, '^(#|javascript:|mailto:)'))) AS url FROM m)
 SELECT DISTINCT page_id, {NORMAL} AS link FROM x""")
 def urls_in_markup(spark, sf):
-    return pages(spark, sf).select("page_id", F.explode(ux.urls_in_markup(F.col("html"), F.col("url"))).alias("link"))
+    return scale.rows_of(pages(spark, sf), ["page_id"], ux.urls_in_markup(F.col("html"), F.col("url")), "link")
 
 
 @query("H18_extract_lists", f"""WITH u AS (SELECT page_id, unnest(regexp_extract_all(html, {q(hx.element('ul'))}, 1)) AS body FROM pages)
 SELECT page_id, array_to_string(list_transform(list_filter(list_transform(regexp_extract_all(body, {q(hx.element('li'))}, 1), lambda i: {sp.strip(sp.inner_text('i'))}), lambda i: i <> ''), lambda i: '- ' || i), e'\\n') AS list_text FROM u""")
 def lists(spark, sf):
-    return pages(spark, sf).select("page_id", F.explode(hx.list_texts(F.col("html"))).alias("list_text"))
+    return scale.rows_of(pages(spark, sf), ["page_id"], hx.list_texts(F.col("html")), "list_text")
 
 
 @query("H19_extract_meta_map")

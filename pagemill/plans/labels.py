@@ -25,12 +25,12 @@ _FLESCH = f"CASE WHEN {_W} = 0 THEN 0.5 ELSE greatest(0.0, least(1.0, (206.835::
 
 @query("Q17_complexity_score", f"SELECT doc_id, round({_COMPLEX}, 6) AS complexity FROM documents")
 def complexity(spark, sf):
-    return docs(spark, sf).select("doc_id", F.round(lb.complexity_score(F.col("text")), 6).alias("complexity"))
+    return lb.with_complexity(docs(spark, sf), "text").select("doc_id", F.round("complexity", 6).alias("complexity"))
 
 
 @query("Q18_flesch_readability", f"SELECT doc_id, round({_FLESCH}, 6) AS readability FROM documents")
 def flesch(spark, sf):
-    return docs(spark, sf).select("doc_id", F.round(lb.flesch_readability(F.col("text")), 6).alias("readability"))
+    return lb.with_complexity(docs(spark, sf), "text", True).select("doc_id", F.round("readability", 6).alias("readability"))
 
 
 def _cat_sql(content: str, title: str, url: str | None) -> str:
@@ -94,7 +94,7 @@ def content_tags(spark, sf):
 
 @query("Q23_difficulty_level", f"SELECT doc_id, {_DIFF} AS difficulty FROM documents")
 def difficulty(spark, sf):
-    return docs(spark, sf).select("doc_id", lb.difficulty(lb.complexity_score(F.col("text"))).alias("difficulty"))
+    return lb.with_complexity(docs(spark, sf), "text").select("doc_id", lb.difficulty(F.col("complexity")).alias("difficulty"))
 
 
 @query("Q24_content_type", "WITH " + sp.PAGES_CTE + f" SELECT page_id, {_TYPE('main_content', 'title')} AS content_type FROM rec")
@@ -106,8 +106,7 @@ _Q01 = f"""least(1.0, greatest(0.0, (CASE WHEN {_W} < 500 THEN least(1.0, {_W} /
 
 
 def _analysis(spark, sf):
-    c = F.col("text")
-    d = docs(spark, sf).withColumns({"complexity": lb.complexity_score(c), "readability": lb.flesch_readability(c), "n_words": tx.word_count(c)})
+    d = lb.with_complexity(docs(spark, sf), "text", True)
     return d.withColumn("quality", lb.quality_0_1(F.col("n_words"), F.col("readability"), F.col("complexity"), F.lit(0), F.lit(0.0)))
 
 

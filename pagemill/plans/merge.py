@@ -146,7 +146,7 @@ def recent(spark, sf):
 @query("L2_most_common", f"""WITH w AS (SELECT doc_id, unnest({sp.words('text')}) AS term, generate_subscripts({sp.words('text')}, 1) - 1 AS pos FROM documents)
 SELECT term, count(*) AS n FROM w GROUP BY term ORDER BY n DESC, min(doc_id * 1000000 + pos) LIMIT 20""")
 def most_common(spark, sf):
-    w = table(spark, sf, "documents").select("doc_id", F.posexplode(tx.words(F.col("text"))).alias("pos", "term"))
+    w = scale.rows_of(table(spark, sf, "documents"), ["doc_id"], tx.words(F.col("text")), "term", "pos")
     counted = w.groupBy("term").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "pos")).alias("first"))
     return counted.orderBy(F.col("n").desc(), "first").limit(20).select("term", "n")
 

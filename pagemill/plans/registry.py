@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pagemill.scale import spread
+
 Build = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Build] = {}
@@ -24,5 +26,10 @@ def query(name: str, oracle: str | None = None) -> Callable[[Build], Build]:
     return register
 
 
+# Tables whose rows are long texts: worth spreading when they come in one file.
+WIDE = ("documents", "pages")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if name in WIDE else df

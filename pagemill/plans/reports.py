@@ -38,12 +38,12 @@ def content_statistics(spark, sf):
 SELECT unnest(['total_headings', 'unique_headings', 'level_1', 'level_2', 'level_3', 'level_4', 'level_5', 'level_6', {', '.join(map(q, rp.HEADING_PATTERNS))}]) AS metric,
 unnest([count(*)::DOUBLE, count(DISTINCT t)::DOUBLE, count(*)::DOUBLE, 0, 0, 0, 0, 0, {', '.join(f"count(*) FILTER ({sp.any_of('lower(t)', w)})::DOUBLE" for w in rp.HEADING_PATTERNS.values())}]) AS value FROM h""")
 def heading_analysis(spark, sf):
-    return rp.heading_analysis(records(spark, sf).select(F.explode("headings").alias("h")).select("h.level", "h.text"))
+    return rp.heading_analysis(scale.rows_of(records(spark, sf), [], "headings", "h").select("h.level", "h.text"))
 
 
 @query("A2_most_common_headings", REC + ", h AS (SELECT page_id, unnest(h1s) AS text FROM rec) SELECT text, count(*) AS n FROM h GROUP BY text ORDER BY n DESC, min(page_id) LIMIT 20")
 def most_common_headings(spark, sf):
-    h = records(spark, sf).select("page_id", F.explode("headings").alias("h")).select("page_id", "h.text")
+    h = scale.rows_of(records(spark, sf), ["page_id"], "headings", "h").select("page_id", "h.text")
     return rp.most_common(h, "text", 20, F.col("page_id"))
 
 
@@ -57,7 +57,7 @@ UNION ALL SELECT 'language:' || language, count(*)::DOUBLE FROM c GROUP BY 1 UNI
 def code_analysis(spark, sf):
     d = table(spark, sf, "documents")
     kind = F.when(F.col("source") < "src5", "pre").otherwise("code")
-    return rp.code_analysis(d.select(F.explode(F.split("text", "\n")).alias("content"), F.col("lang").alias("language"), kind.alias("type")))
+    return rp.code_analysis(scale.rows_of(d, [F.col("lang").alias("language"), kind.alias("type")], F.split("text", "\n"), "content"))
 
 
 @query("A4_link_analysis", REC + _LINKS + f""", u AS (SELECT {SCHEME} || '://' || {HOST} || href AS link FROM l), x AS (SELECT link, contains(link, 'example.org') AS i FROM u)
@@ -65,7 +65,7 @@ SELECT unnest(['total_internal_links', 'total_external_links', 'unique_internal_
 UNION ALL (SELECT 'linked:' || link, count(*)::DOUBLE AS c FROM x WHERE i GROUP BY link ORDER BY c DESC, link LIMIT 10)
 UNION ALL (SELECT 'domain:' || string_split(link, '/')[3] AS d, count(*)::DOUBLE AS c FROM x WHERE NOT i GROUP BY d ORDER BY c DESC, d LIMIT 10)""")
 def link_analysis(spark, sf):
-    r = records(spark, sf).select("url", F.explode("raw_links").alias("l"))
+    r = scale.rows_of(records(spark, sf), ["url"], "raw_links", "l")
     return rp.link_analysis(r.select(ux.resolve_url(F.col("url"), F.col("l.href")).alias("url")), "example.org")
 
 

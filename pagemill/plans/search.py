@@ -39,7 +39,7 @@ def unseen(spark, sf):
 @query("V3_cosine_similarity", f"SELECT vec_id, round({_COS}, 6) AS similarity FROM embeddings")
 def cosine(spark, sf):
     v = vectors(spark, sf)
-    return v.select("vec_id", F.round(ve.cosine(F.col("embedding"), ve.constant(ve.vector_of(v, "vec_id", 3))), 6).alias("similarity"))
+    return v.select("vec_id", F.round(ve.similarity_to(F.col("embedding"), ve.vector_of(v, "vec_id", 3)), 6).alias("similarity"))
 
 
 _TOP = "row_number() OVER (ORDER BY s DESC, vec_id) AS rank"
@@ -156,7 +156,7 @@ def fulltext_total(spark, sf):
 def fulltext_index(spark, sf):
     """The same scores out of an inverted index that is written once."""
     d = docs(spark, sf)
-    index = materialize(se.build_index(d, "doc_id", "text").repartition("term"))
+    index = materialize(se.build_index(d, "doc_id", "text"))
     size = d.agg(F.count("*").alias("n"), F.avg(F.size(se.tokens(F.col("text")))).alias("a")).first()
     return se.search_index(index, "doc_id", _QUERY, size["n"], size["a"])
 
@@ -239,7 +239,7 @@ _WORDS = f"(SELECT unnest({_TOK}) AS term FROM documents)"
 
 
 def words(spark, sf):
-    return docs(spark, sf).select(F.explode(se.tokens(F.col("text"))).alias("term"))
+    return scale.rows_of(docs(spark, sf), [], se.tokens(F.col("text")), "term")
 
 
 @query("R15_suggestions", f"SELECT term, count(*) AS n FROM {_WORDS} WHERE starts_with(term, 'th') GROUP BY 1 ORDER BY n DESC, term LIMIT 10")
@@ -264,7 +264,7 @@ def expand_query(spark, sf):
 @query("R18_cluster_results", f"WITH s AS (SELECT vec_id, label, round({_COS}, 6) AS s FROM embeddings), r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY s DESC, vec_id) AS k FROM s) SELECT label, count(*) AS n, string_agg(vec_id::VARCHAR, ',' ORDER BY k) FILTER (k <= 3) AS members FROM r GROUP BY label")
 def cluster_results(spark, sf):
     v = vectors(spark, sf)
-    score = F.round(ve.cosine(F.col("embedding"), ve.constant(ve.vector_of(v, "vec_id", 3))), 6)
+    score = F.round(ve.similarity_to(F.col("embedding"), ve.vector_of(v, "vec_id", 3)), 6)
     c = se.cluster_by(v.select("label", "vec_id", score.alias("score")), "label", "vec_id", "score")
     return c.select("label", "n", F.array_join("members", ",").alias("members"))
 

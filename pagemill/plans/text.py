@@ -67,7 +67,7 @@ n AS (SELECT doc_id, content, row_number() OVER (PARTITION BY doc_id ORDER BY i)
 SELECT doc_id, chunk_index, content FROM n WHERE chunk_index < 100""")
 def chunk_words(spark, sf):
     """Windows of 100 words every 80; the operator's own limit of 100 chunks applies."""
-    return ch.explode_chunks(docs(spark, sf), "doc_id", ch.word_chunks(F.col("text"), 100, 20, 100))
+    return ch.explode_chunks(ch.word_chunks(docs(spark, sf), "text", "c", 100, 20, 100), "doc_id", F.col("c"))
 
 
 @query("T8_chunk_char_sentence")

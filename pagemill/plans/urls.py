@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from pagemill import scale
 from pagemill.functions import html as hx
 from pagemill.functions import urls as ux
 from pagemill.operators import frontier as fr
@@ -59,8 +60,8 @@ def domain(spark, sf):
 SELECT page_id, pos, CASE WHEN starts_with(href, '/') THEN {SCHEME} || '://' || {HOST} || href ELSE href END AS link FROM l""")
 def resolve_relative(spark, sf):
     pages = table(spark, sf, "pages").select("page_id", "url", hx.raw_links(F.col("html")).alias("l"))
-    links = pages.select("page_id", "url", F.posexplode("l").alias("pos", "link"))
-    return links.select("page_id", F.col("pos").cast("long").alias("pos"), ux.resolve_url(F.col("url"), F.col("link.href")).alias("link"))
+    links = scale.rows_of(pages, ["page_id", "url"], "l", "link", "pos")
+    return links.select("page_id", "pos", ux.resolve_url(F.col("url"), F.col("link.href")).alias("link"))
 
 
 @query("U5_classify_url", f"SELECT page_id, {rule_sql('type')} AS type, {rule_sql('priority')}::BIGINT AS priority, {rule_sql('pattern')} AS pattern FROM pages")

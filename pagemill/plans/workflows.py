@@ -11,6 +11,7 @@ from pagemill.plans import sqlparts as sp
 from pagemill.plans.html import docs
 from pagemill.plans.registry import query, table
 from pagemill.plans.sqlparts import q
+from pagemill.session import materialize
 
 B = wf.BASE_PREFIX
 
@@ -29,7 +30,9 @@ def files(spark, sf):
         F.when(status == "F", 1).otherwise(2).alias("version"), F.when(F.col("l_discount") > 0.05, "discounted").otherwise("").alias("notes"))
     cut = scale.bounded_groups(lines, "l_orderkey", ["l_partkey", "l_suppkey", "l_linenumber"])
     grouped = cut.groupBy(F.col("l_orderkey").alias("o_orderkey"), "block").agg(F.array_sort(F.collect_list(node)).alias("n"))
-    o = table(spark, sf, "orders").join(grouped, "o_orderkey", "left")
+    # placed by the join key: the shuffle a large join needs anyway, and the JSON
+    # work below is spread even where the other side is small enough to broadcast
+    o = table(spark, sf, "orders").repartition("o_orderkey").join(grouped, "o_orderkey", "left")
     n, key = F.coalesce(F.col("n"), F.array().cast(grouped.schema["n"].dataType)), F.col("o_orderkey").cast("string")
     step = lambda i: F.concat(F.lit("Node "), (i + 1).cast("string"))
     nodes = F.transform(n, lambda x, i: F.struct(
@@ -44,7 +47,7 @@ def files(spark, sf):
         key.alias("id"), name.alias("name"), (F.col("o_orderstatus") == "O").alias("active"), text.alias("description"), nodes.alias("nodes"), links.alias("connections"),
         F.create_map(F.lit("timezone"), F.lit("UTC"), F.lit("retries"), F.lit("3")).alias("settings")))
     tags = F.concat(F.lit('{"tags":["'), p, F.lit('",{"name":"'), F.col("o_orderstatus"), F.lit('"},{"id":7},{}],'))
-    return o.select("o_orderkey", F.coalesce("block", F.lit(0)).alias("block"), F.concat(key, F.lit("_order_http_api")).alias("stem"), F.concat(tags, F.substring(body, F.lit(2), F.length(body))).alias("json"))
+    return o.select("o_orderkey", F.coalesce("block", F.lit(0)).alias("block"), F.concat(key, F.lit("_order_http_api")).alias("stem"), F.concat(tags, F.substr(body, F.lit(2))).alias("json"))
 
 
 def parsed(spark, sf):
@@ -215,7 +218,9 @@ def similar_workflows(spark, sf):
 UNION ALL SELECT 'unique_integrations', count(DISTINCT s)::DOUBLE FROM (SELECT unnest(services) AS s FROM w) UNION ALL SELECT 'trigger:' || trigger, count(*)::DOUBLE FROM w GROUP BY 1
 UNION ALL SELECT 'complexity:' || CASE WHEN node_count <= 5 THEN 'low' WHEN node_count <= 15 THEN 'medium' ELSE 'high' END, count(*)::DOUBLE FROM w GROUP BY 1""")
 def workflow_stats(spark, sf):
-    return wf.stats(enriched(spark, sf), "services")
+    # several aggregates read the same few columns: written once, scanned cheaply
+    narrow = materialize(enriched(spark, sf).select("active", "node_count", "trigger", "complexity", "services"))
+    return wf.stats(narrow, "services")
 
 
 @query("W22_top_node_types", _SRC + f" SELECT '{B}' || kind AS type, count(*) AS n FROM n JOIN orders ON o_orderkey = k GROUP BY 1 ORDER BY n DESC, type LIMIT 10")

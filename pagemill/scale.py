@@ -16,6 +16,13 @@ def is_small(df: DataFrame, limit: int = SMALL_ROWS) -> bool:
     return df.limit(limit + 1).count() <= limit
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """More partitions for text-heavy input that arrives in fewer than there are
+    cores; input of many files or row groups is left as it is, without a shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def maybe_broadcast(df: DataFrame, limit: int = SMALL_ROWS) -> DataFrame:
     """Broadcast hint behind a size check; beyond it the join shuffles."""
     return F.broadcast(df) if is_small(df, limit) else df
@@ -58,8 +65,20 @@ def keep_computed(df: DataFrame, test: Callable[[Column], Column]) -> DataFrame:
     A plain filter would be pushed below the projection and repeat its
     expressions; the row test here sits in a generator that stays above it.
     """
-    rows = F.array(F.struct(*df.columns))
-    return df.select(F.inline(F.filter(rows, test)))
+    rows = F.array(F.struct(F.lit(True).alias("_keep"), *df.columns))
+    return df.select(F.inline_outer(F.filter(rows, test))).filter("_keep IS NOT NULL").drop("_keep")
+
+
+def rows_of(df: DataFrame, keep: list, array: Column | str, value: str, pos: str | None = None) -> DataFrame:
+    """One row per array element, as explode gives it.
+
+    A plain explode makes the optimizer add a size test on the array below the
+    projection, which computes a costly array twice; the outer form does not.
+    """
+    out = df.select(*keep, F.posexplode_outer(array).alias("_pos", value)).filter("_pos IS NOT NULL")
+    if pos is None:
+        return out.drop("_pos")
+    return out.withColumn(pos, F.col("_pos").cast("long")).drop("_pos")
 
 
 def segment_of(order_value: Column, width: int) -> Column:

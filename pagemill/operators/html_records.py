@@ -362,7 +362,7 @@ def _apply(pages: DataFrame, record, fields: str) -> DataFrame:
         for batch in batches:
             rows = []
             for page_id, url, markup in zip(batch["page_id"], batch["url"], batch["html"]):
-                row = {"page_id": page_id, "url": url, "status": "completed", "errors": []}
+                row = {**dict.fromkeys(names), "page_id": page_id, "url": url, "status": "completed", "errors": []}
                 try:
                     row.update(record(markup, url))
                 except Exception as e:  # noqa: BLE001

@@ -137,23 +137,21 @@ def exact_quantiles(df: DataFrame, value: str, probs: dict[str, float], accuracy
     A mergeable sketch brackets each quantile; the second pass counts the rows
     below every bracket and ranks only the distinct values inside it.
     """
-    eps = 4.0 / accuracy
-    names = list(probs)
-    marks = [p for n in names for p in (max(0.0, probs[n] - eps), min(1.0, probs[n] + eps))]
+    names, eps = list(probs), 4.0 / accuracy
     v = df.select(F.col(value).cast("double").alias("v")).filter("v IS NOT NULL")
-    head = v.agg(F.percentile_approx("v", marks, accuracy).alias("m"), F.count("*").alias("n")).first()
-    spark = df.sparkSession
-    total = head["n"]
+    total = v.count()
     if total == 0:
-        return spark.range(1).select(*[F.lit(None).cast("double").alias(n) for n in names])
+        return df.sparkSession.range(1).select(*[F.lit(None).cast("double").alias(n) for n in names])
+    ranks = {n: (int(probs[n] * (total - 1)), min(int(probs[n] * (total - 1)) + 1, total - 1)) for n in names}
+    marks = [p for n in names for p in (max(0.0, (ranks[n][0] + 1) / total - eps), min(1.0, (ranks[n][1] + 1) / total + eps))]
+    head = v.agg(F.percentile_approx("v", marks, accuracy).alias("m")).first()
     low = {n: head["m"][2 * i] for i, n in enumerate(names)}
     high = {n: head["m"][2 * i + 1] for i, n in enumerate(names)}
     below = v.agg(*[F.count_if(F.col("v") < low[n]).alias(n) for n in names]).first()
     rows = None
     for name in names:
-        position = probs[name] * (total - 1)
-        lo_rank = int(position)
-        hi_rank, frac = min(lo_rank + 1, total - 1), position - lo_rank
+        lo_rank, hi_rank = ranks[name]
+        frac = probs[name] * (total - 1) - lo_rank
         # only the distinct values of a bracket of a few parts per 100,000 are ranked
         counted = v.filter(F.col("v").between(low[name], high[name])).groupBy("v").agg(F.count("*").alias("c"))
         upto = F.sum("c").over(Window.orderBy("v")) + F.lit(below[name])

@@ -113,7 +113,7 @@ def reachable(edges: DataFrame, seeds: DataFrame, max_depth: int, max_pages: int
     visited = level
     for depth in range(1, max_depth + 1):
         step = (
-            links.join(scale.maybe_broadcast(level.select(F.col("node").alias("src"))), "src", "left_semi")
+            links.join(scale.maybe_broadcast(level.select(F.col("node").alias("src")), stored=True), "src", "left_semi")
             .select(F.col("dst").alias("node")).distinct().join(visited.select("node"), "node", "left_anti")
             .withColumn("depth", F.lit(depth).cast("long"))
         )

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pagemill import scale
 from pagemill.functions import html as hx
 from pagemill.functions import quality as qx
 from pagemill.functions import text as tx
@@ -78,3 +79,13 @@ def processing_stats(gated: DataFrame) -> DataFrame:
         *[count_if(F.col("quality_level") == v).alias(f"level_{v}") for v in ("excellent", "good", "fair", "poor", "very_poor")],
         F.round(F.avg("word_count"), 4).alias("avg_word_count"),
     )
+
+
+def outlines_ok(headings: DataFrame, key: str, position: str, level: str, width: int = 100_000) -> DataFrame:
+    """heading_hierarchy_ok for headings held as rows. Position and level form one
+    order value, whose predecessor is found in segments, so a document with very
+    many headings is not gathered."""
+    rows = headings.select(key, (F.col(position).cast("long") * 10 + F.col(level)).alias("_o"))
+    lagged = scale.with_previous(rows, [key], "_o", width, "_o")
+    step_ok = F.when(F.col("prev").isNull(), F.col("_o") % 10 <= 2).otherwise(F.col("_o") % 10 - F.col("prev") % 10 <= 1)
+    return lagged.groupBy(key).agg(F.bool_and(step_ok).alias("hierarchy_ok"))

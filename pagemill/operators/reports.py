@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagemill.scale import rows_of
+from pagemill.session import materialize
 
 
 def stack_row(row: DataFrame, columns: list[str], name: str = "metric", value: str = "value") -> DataFrame:
@@ -16,12 +17,14 @@ def stack_row(row: DataFrame, columns: list[str], name: str = "metric", value: s
 
 def content_statistics(pages: DataFrame, nested: dict[str, Column], segment: Column) -> DataFrame:
     """Totals, word distribution and pages per segment as (metric, value) rows."""
+    # both aggregates read a few numbers per page, written once: the HTML is parsed once
+    pages = materialize(pages.select("word_count", segment.alias("_segment"), *[c.alias(f"_{n}") for n, c in nested.items()]))
     words = F.col("word_count")
     totals = {
-        "total_pages": F.count("*"), "total_words": F.coalesce(F.sum(words), F.lit(0)), **{f"total_{n}": F.coalesce(F.sum(c), F.lit(0)) for n, c in nested.items()},
+        "total_pages": F.count("*"), "total_words": F.coalesce(F.sum(words), F.lit(0)), **{f"total_{n}": F.coalesce(F.sum(f"_{n}"), F.lit(0)) for n in nested},
         "words_min": F.coalesce(F.min(words), F.lit(0)), "words_max": F.coalesce(F.max(words), F.lit(0)), "words_avg": F.round(F.coalesce(F.avg(words), F.lit(0.0)), 4)}
     row = pages.agg(*[c.alias(n) for n, c in totals.items()])
-    per_segment = pages.groupBy(F.concat(F.lit("category:"), segment).alias("metric")).agg(F.count("*").cast("double").alias("value"))
+    per_segment = pages.groupBy(F.concat(F.lit("category:"), "_segment").alias("metric")).agg(F.count("*").cast("double").alias("value"))
     return stack_row(row, list(totals)).unionByName(per_segment)
 
 
@@ -65,6 +68,7 @@ def code_analysis(code: DataFrame) -> DataFrame:
 
 def link_analysis(links: DataFrame, site: str, n: int = 10) -> DataFrame:
     """links(url): internal and external totals plus both top lists."""
+    links = materialize(links.select("url"))
     internal = F.col("url").contains(site)
     row = links.agg(
         F.count_if(internal).alias("total_internal_links"), F.count_if(~internal).alias("total_external_links"),
@@ -87,10 +91,11 @@ def entity_mentions(pages: DataFrame, key: str, url: str, title: str, content: s
 
 
 def report_json(parts: dict[str, DataFrame]) -> DataFrame:
-    """(report, json) rows, one per analysis; every analysis is a short list of metrics."""
+    """All analyses as one JSON-lines document: a line per metric, so that a report
+    with very many categories is never gathered into one value."""
     out = None
     for name, df in parts.items():
-        one = df.agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("metric", "value"))))).alias("json")).select(F.lit(name).alias("report"), "json")
+        one = df.select(F.lit(name).alias("report"), F.to_json(F.struct("metric", "value")).alias("json"))
         out = one if out is None else out.unionByName(one)
     return out
 

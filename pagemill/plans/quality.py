@@ -73,9 +73,7 @@ def heading_hierarchy(spark, sf):
     lines = table(spark, sf, "lineitem").select(
         F.col("l_orderkey").alias("document_id"), F.col("l_linenumber").alias("pos"),
         F.least(F.lit(6), 1 + F.col("l_quantity").cast("long") % 4).alias("lv"))
-    # an outline is as long as one document, so gathering it per document is bounded
-    outline = lines.groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("pos", "lv"))).alias("o"))
-    return outline.select("document_id", qx.heading_hierarchy_ok(F.transform("o", lambda h: h["lv"])).alias("hierarchy_ok"))
+    return px.outlines_ok(lines, "document_id", "pos", "lv")
 
 
 @query("Q10_quality_level", sp.PAGE_SCORES + " SELECT page_id, quality_level FROM scored")

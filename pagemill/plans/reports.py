@@ -162,12 +162,17 @@ def category_examples(spark, sf):
     return rp.category_examples(c, "category", "url", "page_id").select("category", "n", F.array_join("examples", "|").alias("examples"))
 
 
-@query("A15_category_stats", "SELECT lang AS category, count(*) AS n, max(doc_id) AS latest, round(avg(quality), 6) AS avg_quality, array_to_string(list_sort(list(DISTINCT source)), ',') AS subcategories FROM documents LEFT JOIN labels USING (doc_id) GROUP BY lang")
+@query("A15_category_stats", "SELECT lang AS category, count(*) AS n, max(doc_id) AS latest, round(avg(quality), 6) AS avg_quality, count(DISTINCT source) AS subcategories FROM documents LEFT JOIN labels USING (doc_id) GROUP BY lang")
 def category_stats(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", "lang", "source").join(table(spark, sf, "labels").select("doc_id", "quality"), "doc_id", "left")
-    # the sources are a small fixed vocabulary, so the set per category is bounded
     return d.groupBy(F.col("lang").alias("category")).agg(F.count("*").alias("n"), F.max("doc_id").alias("latest"), F.round(F.avg("quality"), 6).alias("avg_quality"),
-                                                          F.array_join(F.array_sort(F.collect_set("source")), ",").alias("subcategories"))
+                                                          F.count_distinct("source").alias("subcategories"))
+
+
+@query("A15_subcategories", "SELECT DISTINCT lang AS category, source AS subcategory FROM documents")
+def subcategories(spark, sf):
+    """The sets of subcategories as rows, whatever their size."""
+    return table(spark, sf, "documents").select(F.col("lang").alias("category"), F.col("source").alias("subcategory")).distinct()
 
 
 @query("A16_distinct_categories", "SELECT DISTINCT source AS category FROM documents ORDER BY 1")

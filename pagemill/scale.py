@@ -7,15 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pagemill.session import materialize
+
 # Largest table that is broadcast or read to the driver, in rows.
 SMALL_ROWS = 100_000
 
 
-def is_small(df: DataFrame, limit: int = SMALL_ROWS) -> bool:
-    """True when df has at most limit rows; reads no more than limit + 1 of them."""
-    return df.limit(limit + 1).count() <= limit
-
-
 def spread(df: DataFrame) -> DataFrame:
     """More partitions for text-heavy input that arrives in fewer than there are
     cores; input of many files or row groups is left as it is, without a shuffle."""
@@ -23,9 +20,14 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
-def maybe_broadcast(df: DataFrame, limit: int = SMALL_ROWS) -> DataFrame:
-    """Broadcast hint behind a size check; beyond it the join shuffles."""
-    return F.broadcast(df) if is_small(df, limit) else df
+def maybe_broadcast(df: DataFrame, limit: int = SMALL_ROWS, stored: bool = False) -> DataFrame:
+    """Broadcast hint behind a row count; beyond the limit the join shuffles.
+
+    The side is written to the checkpoint folder first (unless it already is a
+    stored table), so the check reads file footers and nothing is computed twice.
+    """
+    side = df if stored else materialize(df)
+    return F.broadcast(side) if side.count() <= limit else side
 
 
 def top_n_per_key(df: DataFrame, keys: list[str], order: list[Column], n: int, rank: str = "rank") -> DataFrame:

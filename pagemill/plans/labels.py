@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from pagemill import scale
 from pagemill.functions import labels as lb
 from pagemill.functions import text as tx
 from pagemill.functions import urls as ux
@@ -166,7 +167,8 @@ _KIND = f"CASE {' '.join(f'WHEN regexp_matches(lower(p), {q(pat)}) THEN {q(n)}'
 @query("Q30_min_length_by_type", _SEC_PAGES + f", k AS (SELECT page_id, length(main_content) AS n, regexp_extract(url, '^[^:]+://[^/]+(/.*)', 1) AS p FROM sp) SELECT page_id, {_KIND} = 'integration' AS is_integration, n AS content_length FROM k WHERE n >= CASE {_KIND} WHEN 'integration' THEN 200 WHEN 'tutorial' THEN 500 ELSE 100 END")
 def min_length(spark, sf):
     r = section_records(spark, sf).select("page_id", F.length("main_content").cast("long").alias("content_length"), ux.classify_path(F.col("url")).alias("kind"))
-    return r.filter(lb.long_enough(F.col("content_length"), F.col("kind"))).select("page_id", (F.col("kind") == "integration").alias("is_integration"), "content_length")
+    kept = scale.keep_computed(r, lambda x: lb.long_enough(x["content_length"], x["kind"]))
+    return kept.select("page_id", (F.col("kind") == "integration").alias("is_integration"), "content_length")
 
 
 @query("Q31_constraint_checks", """SELECT 'lang_in_set' AS rule, count(*) FILTER (NOT lang IN ('en', 'fr', 'de')) AS violations FROM documents UNION ALL SELECT 'content_length', count(*) FILTER (NOT length(text) <= 10000) FROM documents

@@ -97,7 +97,9 @@ def collection_stats(spark, sf):
 
 
 def knowledge(spark, sf):
-    return records(spark, sf).select("page_id", "title", F.col("main_content").alias("content"), F.array("language").alias("tags"))
+    """Extracted once and stored, as searches over pages run on the stored table."""
+    r = records(spark, sf).select("page_id", "title", F.col("main_content").alias("content"), "language")
+    return materialize(r).select("page_id", "title", "content", F.array("language").alias("tags"))
 
 
 _TERMS = ["the", "tion", "en"]

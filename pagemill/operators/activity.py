@@ -24,12 +24,13 @@ def rate_counts(events: DataFrame, key: str, us: str, seconds: int, limit: int)
         "reset_us": F.col("oldest") + seconds * SECOND}).drop("oldest")
 
 
-def split_at_gaps(events: DataFrame, key: str, us: str, gap_us: int, tie: str, width: int = 24 * HOUR, inclusive: bool = False) -> DataFrame:
+def split_at_gaps(events: DataFrame, key: str, us: str, gap_us: int, tie: str, width: int | None = None, inclusive: bool = False) -> DataFrame:
     """Adds `session`: rows of a key belong together until a pause longer than the gap.
 
     The previous time and the running number are found inside time segments and
     carried across them, so a very active key is spread over many tasks.
     """
+    width = width or scale.segment_width(events, [key], us)
     lagged = scale.with_previous(events, [key], us, width, tie)
     pause = F.col(us) - F.col("prev")
     new = F.when(F.col("prev").isNull() | ((pause >= gap_us) if inclusive else (pause > gap_us)), 1).otherwise(0)

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagemill.operators.activity import SECOND, split_at_gaps
-from pagemill.scale import segment_of
+from pagemill.scale import segment_of, segment_width
 
 
 def ordered_fold(df: DataFrame, parts: list[str], order: list[str], start: Callable, step: Callable, schema: str, carry: list[str]) -> DataFrame:
@@ -104,14 +104,14 @@ def compose(first: tuple[float, float, float], then: tuple[float, float, float])
     return first[0] * then[0], apply_change(then, first[1]), apply_change(then, first[2])
 
 
-def adaptive_delay(events: DataFrame, key: str, us: str, tie: str, outcome: str, initial: float = 1.0, width: int = 24 * 3600 * SECOND) -> DataFrame:
+def adaptive_delay(events: DataFrame, key: str, us: str, tie: str, outcome: str, initial: float = 1.0, width: int | None = None) -> DataFrame:
     """Delay after each outcome (success, rate_limit, failure).
 
     The delay never starts afresh, so a key is cut into time segments: each
     segment is summarised for every possible success count at its start, the
     summaries of a key are chained, and the segments are then folded in parallel.
     """
-    rows = events.select(key, us, tie, outcome).withColumn("seg", segment_of(F.col(us), width))
+    rows = events.select(key, us, tie, outcome).withColumn("seg", segment_of(F.col(us), width or segment_width(events, [key], us)))
     key_type = events.schema[key].dataType.simpleString()
 
     def summarize(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -126,12 +126,12 @@ def reachable(edges: DataFrame, seeds: DataFrame, max_depth: int, max_pages: int
     return visited if max_pages is None else visited.orderBy("depth", "node").limit(max_pages)
 
 
-def disambiguate_names(files: DataFrame, name: str, content_hash: str, seq: str, width: int = 1_000_000) -> DataFrame:
+def disambiguate_names(files: DataFrame, name: str, content_hash: str, seq: str, width: int | None = None) -> DataFrame:
     """Same name and hash: later copies skipped and counted. Same name, other
     content: suffix _1, _2, ... in arrival order, numbered in segments so that a
     name holding a large share of all files is spread over many tasks."""
     kept = files.groupBy(name, content_hash).agg(F.min(seq).alias(seq), (F.count("*") - 1).alias("skipped"))
-    numbered = scale.running_sum(kept, [name], seq, width, content_hash, F.lit(1), "_n")
+    numbered = scale.running_sum(kept, [name], seq, width or scale.segment_width(files, [name], seq), content_hash, F.lit(1), "_n")
     stem = F.regexp_replace(F.col(name), r"\.[^.]*$", "")
     suffix = F.regexp_extract(F.col(name), r"(\.[^.]*)$", 1)
     final = F.when(F.col("_n") > 1, F.concat(stem, F.lit("_"), (F.col("_n") - 1).cast("string"), suffix)).otherwise(F.col(name))

@@ -87,6 +87,16 @@ def segment_of(order_value: Column, width: int) -> Column:
     return F.floor(order_value / width).cast("long")
 
 
+def segment_width(df: DataFrame, keys: list[str], order: str, target: int = 1_000_000) -> int:
+    """Width of the order segments at which the largest key yields about `target`
+    rows per segment. One aggregate with a map-side combine; one row comes back."""
+    per_key = df.groupBy(*keys).agg(F.count("*").alias("n"), F.min(order).alias("lo"), F.max(order).alias("hi"))
+    row = per_key.agg(F.max("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).first()
+    if row["n"] is None:
+        return 1
+    return max(1, (int(row["hi"]) - int(row["lo"]) + 1) * target // row["n"])
+
+
 def with_previous(df: DataFrame, keys: list[str], order: str, width: int, tie: str, prev: str = "prev") -> DataFrame:
     """lag(order) per key without one task per key.
 

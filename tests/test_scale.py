@@ -53,7 +53,9 @@ def test_trailing_window(spark):
 
 def test_sessions(spark):
     rows, df = skewed_events(spark)
-    got = sorted(tuple(r) for r in ac.presence_sessions(df, "k", "us", "id").select("k", "start_us", "end_us", "events").collect())
+    assert scale.segment_width(df, ["k"], "us", 100) < scale.segment_width(df, ["k"], "us", 1000)
+    parted = ac.split_at_gaps(df, "k", "us", 1800 * S, "id", width=scale.segment_width(df, ["k"], "us", 50))
+    got = sorted(tuple(r) for r in parted.groupBy("k", "session").agg(F.min("us"), F.max("us"), F.count("*")).drop("session").collect())
     want = []
     for k, group in by_key(rows).items():
         cur = [group[0]]

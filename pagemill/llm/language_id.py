@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 UNDETERMINED = "und"
 PAD = 10  # a newline stands before every text
 BLOCK = 1 << 20  # bytes walked at a time
+LANGUAGES = 1000  # more names than this are not languages
 
 
 @dataclass(frozen=True)
@@ -134,14 +135,23 @@ def code_lengths(texts: list[bytes] | None, trees: Trees, data: np.ndarray | Non
 
 
 def fit(docs: DataFrame, usable: Column, key: str = "doc_id", text: str = "text", lang: str = "lang",
-        per_language: int = 400, order: int = 3) -> Trees | None:
+        per_language: int = 250, order: int = 3) -> Trees | None:
     """Trees from at most `per_language` whole texts of each language, those of smallest
     key hash. The sample's keys are chosen on (key, language) alone and broadcast: there are
     `per_language` for each language at most."""
     known = docs.filter(usable & F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col(key).isNotNull())
     known = known.select(key, F.col(lang).cast("string").alias("_l")).distinct()
-    rank = F.row_number().over(Window.partitionBy("_l").orderBy(F.xxhash64(F.col(key).cast("string")), key))
-    drawn = known.withColumn("_r", rank).filter(F.col("_r") <= per_language).drop("_r")
+    # the share of each language's keys that is ranked keeps its window at about twice the sample
+    counts = known.groupBy("_l").count().limit(LANGUAGES + 1).collect()
+    if len(counts) > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} languages")
+    if not counts:
+        return None
+    shares = F.create_map(*[F.lit(x) for row in counts for x in (row["_l"], min(1.0, 2 * per_language / row["count"]))])
+    hashed = F.xxhash64(F.col(key).cast("string"))
+    ranked = known.filter(F.pmod(hashed, F.lit(1 << 20)) < F.ceil(shares[F.col("_l")] * (1 << 20)))
+    rank = F.row_number().over(Window.partitionBy("_l").orderBy(hashed, key))
+    drawn = ranked.withColumn("_r", rank).filter(F.col("_r") <= per_language).drop("_r")
     same = [F.col("d._k") == F.col("s._k"), F.col("d._l") == F.col("s._l")]
     pairs = docs.select(F.col(key).alias("_k"), F.col(text).alias("_t"), F.col(lang).cast("string").alias("_l")).alias("d")
     drawn = F.broadcast(drawn.select(F.col(key).alias("_k"), "_l")).alias("s")

@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,9 +30,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from sentencepiece import sentencepiece_model_pb2 as model_pb2
 
-KNOWN = 200_000  # entries of a worker's table before it is emptied
+KNOWN = 400_000  # entries of a worker's table before it is emptied
 SHORT = 64  # longest pre-token that is kept there, in characters
 
+# A split pattern of Unicode classes and its equal in the standard library's classes for
+# texts of the characters below, on which letters, digits and blanks mean the same in both.
+UNICODE_SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+LATIN_SPLIT = re.compile(r"""'(?:[stmd]|re|ve|ll)| ?[^\W\d_]+| ?[0-9]+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+""")
+LATIN = bytes([0x09, 0x0A, 0x0D, *range(0x20, 0x7F), *range(0xC0, 0x100)])
+
 
 def byte_characters() -> list[str]:
     """A printable character for each byte: itself where printable, else one from U+0100 on."""
@@ -83,7 +90,20 @@ class Codec:
         self.encoder = sentencepiece.SentencePieceProcessor(model_proto=self.model)
         self.letters = {b: c for b, c in enumerate(byte_characters())}
         self.rank = {piece: i for i, piece in enumerate(self.pieces)}
-        self.known: dict[str, list[int]] = {}
+        self.known: dict[str, tuple[list[int], str]] = {}
+
+    def tokens(self, text: str) -> list[str]:
+        """Pre-tokens of a text, in order."""
+        if self.pattern == UNICODE_SPLIT:
+            try:
+                if not text.encode("latin-1").translate(None, LATIN):
+                    return LATIN_SPLIT.findall(text)
+            except UnicodeEncodeError:
+                pass
+        return self.split(text)
+
+    def _keep(self, token: str, ids: list[int]) -> None:
+        self.known[token] = ids, ",".join(map(str, ids))
 
     def _learn(self, tokens: list[str]) -> None:
         """Ids of pre-tokens that the table lacks."""
@@ -91,30 +111,33 @@ class Codec:
         for token in tokens:
             whole = self.rank.get(token.encode("utf-8", "surrogatepass"))
             if whole is not None:
-                self.known[token] = [whole]
+                self._keep(token, [whole])
             else:
                 hard.append(token)
         if hard:
             mapped = [t.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.letters) for t in hard]
             for token, ids in zip(hard, self.encoder.encode(mapped, num_threads=1), strict=True):
-                self.known[token] = [i - 1 for i in ids]
+                self._keep(token, [i - 1 for i in ids])
 
-    def encode(self, text: str) -> list[int]:
-        tokens = self.split(text)
-        known = self.known
+    def encode(self, text: str) -> tuple[list[int], str]:
+        """Ids, and the same in decimals joined by commas."""
+        tokens, known = self.tokens(text), self.known
         missing = {t for t in tokens if t not in known}
         if missing:
             if len(known) + len(missing) > KNOWN:
                 known.clear()
                 missing = set(tokens)
             self._learn(list(missing))
-        out: list[int] = []
+        ids: list[int] = []
+        written = []
         for token in tokens:
-            out += known[token]
+            own, decimals = known[token]
+            ids += own
+            written.append(decimals)
         for token in missing:
             if len(token) > SHORT:
                 del known[token]
-        return out
+        return ids, ",".join(written)
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.pieces.__getitem__, ids))
@@ -151,9 +174,9 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, keep: list[str], text
                 part = batch.slice(lo, 128)
                 all_ids, counts, names, plain = [], [], [], []
                 for text_ in part.column(len(keep)):
-                    found = codec.encode(text_.as_py())
+                    found, written = codec.encode(text_.as_py())
                     counts.append(len(found))
-                    names.append(hashlib.sha256(",".join(map(str, found)).encode()).hexdigest())
+                    names.append(hashlib.sha256(written.encode()).hexdigest())
                     plain.append(hashlib.sha256(codec.decode(found)).hexdigest())
                     if ids:
                         all_ids.append(found)

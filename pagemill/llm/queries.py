@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm import bpe, decontaminate, language_id, simhash, toxicity
+from pagemill.llm import bpe, chat_format, decontaminate, language_id, license_scan, sharding, simhash, toxicity
 from pagemill.llm.common import fold_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -84,3 +84,81 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(places.n, 0)
     coalesce(places.n, 0) > 0 AS contaminated
 FROM d LEFT JOIN places ON d.r = places.r LEFT JOIN owners ON d.r = owners.r
 """
+
+
+@query
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
+def _gram_rows() -> str:
+    out = []
+    for templates, k, base in ((license_scan.PHRASES, 2, "TRUE"), (license_scan.NOTICES, 3, "FALSE")):
+        for text, label in templates:
+            w = text.split()
+            out += [f"('{' '.join(w[i:i + k])}', {k}, '{label}', {base}, {i}, {len(w) - k + 1})" for i in range(len(w) - k + 1)]
+    return ", ".join(out)
+
+
+ORACLES["op2_license_scan"] = r"""
+WITH d AS (
+    SELECT doc_id, row_number() OVER () AS r,
+        regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+') AS w
+    FROM documents
+), g(gram, k, label, base, pos, grams) AS (VALUES """ + _gram_rows() + r"""),
+spots AS (SELECT r, w, unnest(range(0, len(w) - 1)) AS place FROM d WHERE len(w) >= 2),
+cut AS (SELECT r, place, k, array_to_string(w[place + 1:place + k], ' ') AS gram FROM spots, (SELECT DISTINCT k FROM g)),
+met AS (SELECT r, label, base, grams, cut.k, place, pos, place - pos AS diag FROM cut JOIN g ON cut.gram = g.gram AND cut.k = g.k),
+lines AS (SELECT r, label, base, grams, k, diag, min(place) AS lo, max(place) AS hi, list(DISTINCT pos) AS seen FROM met GROUP BY ALL),
+jumps AS (SELECT *, base OR diag - coalesce(lag(diag) OVER (PARTITION BY r, label, base ORDER BY diag), -1000000000) > 2 AS apart FROM lines),
+runs AS (SELECT *, sum(CAST(apart AS INT)) OVER (PARTITION BY r, label, base ORDER BY diag) AS run FROM jumps),
+whole AS (
+    SELECT r, label, base, grams, k, run, min(lo) AS first, max(hi) + k - 1 AS last, len(list_distinct(flatten(list(seen)))) AS covered
+    FROM runs GROUP BY r, label, base, grams, k, run
+), good AS (
+    SELECT * FROM whole WHERE CASE WHEN base THEN covered = grams ELSE covered / grams >= 0.6 AND last - first + 1 <= (grams + k - 1) * 1.5 END
+), per AS (
+    SELECT r, count(*) FILTER (WHERE base) AS n_base, min(first) FILTER (WHERE base) AS first_word, max(first) FILTER (WHERE base) AS last_word,
+        array_to_string(list_sort(list(DISTINCT label) FILTER (WHERE base)), ',') AS base_labels,
+        array_to_string(list_sort(list(DISTINCT label)), ',') AS labels, max(covered / grams) AS score
+    FROM good GROUP BY r
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base, CAST(first_word AS BIGINT) AS first_word,
+    CAST(last_word AS BIGINT) AS last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
+    CAST(coalesce(score, 0) AS DOUBLE) AS score
+FROM d LEFT JOIN per ON d.r = per.r
+"""
+
+
+@query
+def op8_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.balanced_shards(table(spark, sf_dir, "documents"))
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query
+def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    added = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], rows.schema)
+    tree = chat_format.chained(rows.unionByName(added), "conv_id", "turn", "role", "text")
+    found = chat_format.conversations(tree)
+    turns = F.transform(chat_format.read_turns(F.col("formatted")), lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
+    read = found.select("conv_id", F.size(turns).cast("long").alias("n_turns"), F.sha2(F.array_join(turns, ""), 256).alias("turns_sha256"),
+                        chat_format.read_loss(F.col("formatted"), F.col("loss_spans")).alias("loss"), F.length("formatted").cast("long").alias("formatted_chars"))
+    return read.select("conv_id", "n_turns", "turns_sha256", F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), "formatted_chars")
+
+
+ORACLES["op10_chat_format"] = r"""
+WITH rows AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+), sized AS (
+    SELECT *, 8 + length(role) + 1 + length(text) + 8 + length(text) - length(translate(text, '<[\', '')) AS n FROM rows
+)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+    CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+    sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+    CAST(sum(n) AS BIGINT) AS formatted_chars
+FROM sized GROUP BY conv_id
+"""

@@ -42,20 +42,21 @@ def best_paths(messages: DataFrame, conv: str = "conv_id", node: str = "message_
     given = stored(given.filter("id IS NOT NULL"))
     known = given.select(F.col("id").alias("up"), F.lit(True).alias("_there"))
     first = given.join(known, "up", "left").select("conv", "id", F.when(F.col("_there"), F.col("up")).alias("up"), "s", F.lit(1).cast("long").alias("n"))
-    rounds, most = [stored(first)], given.count()
-    while (1 << len(rounds)) <= 2 * most and rounds[-1].filter("up IS NOT NULL").limit(1).count():
-        last = rounds[-1]
-        above = last.select(F.col("id").alias("up"), F.col("up").alias("_up"), F.col("s").alias("_s"), F.col("n").alias("_n"))
-        rounds.append(stored(last.join(above, "up", "left").select(
-            "conv", "id", F.col("_up").alias("up"), (F.col("s") + F.coalesce("_s", F.lit(0.0))).alias("s"), (F.col("n") + F.coalesce("_n", F.lit(0))).alias("n"))))
-    whole = rounds[-1].filter("up IS NULL")
-    parents = rounds[0].select(F.col("up").alias("id")).filter("id IS NOT NULL").distinct()
+    state = stored(first)
+    active, whole, rounds, most = state.filter("up IS NOT NULL"), state.filter("up IS NULL"), [], given.count()
+    while (1 << len(rounds)) <= 2 * most and active.limit(1).count():
+        # only pointers that have not reached a root jump on
+        rounds.append(active)
+        above = active.unionByName(whole).select(F.col("id").alias("up"), F.col("up").alias("_up"), F.col("s").alias("_s"), F.col("n").alias("_n"))
+        jumped = stored(active.join(above, "up").select("conv", "id", F.col("_up").alias("up"), (F.col("s") + F.col("_s")).alias("s"), (F.col("n") + F.col("_n")).alias("n")))
+        active, whole = jumped.filter("up IS NOT NULL"), whole.unionByName(jumped.filter("up IS NULL"))
+    parents = state.select(F.col("up").alias("id")).filter("id IS NOT NULL").distinct()
     leaves = whole.join(parents, "id", "left_anti")
     ranked = Window.partitionBy("conv").orderBy(F.desc("s"), F.desc("n"), "id")
     best = leaves.withColumn("_r", F.row_number().over(ranked)).filter("_r = 1").select("id", F.col("s").alias("path_score"))
     marked = stored(best)
     for pointers in reversed(rounds):
-        hops = marked.join(pointers.filter("up IS NOT NULL").select("id", "up"), "id").select(F.col("up").alias("id"), "path_score")
+        hops = marked.join(pointers.select("id", "up"), "id").select(F.col("up").alias("id"), "path_score")
         grown = stored(marked.unionByName(hops))
         discard(marked)
         marked = grown

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm import bpe, chat_format, decontaminate, language_id, license_scan, sharding, simhash, toxicity
+from pagemill.llm import bpe, chat_format, decontaminate, language_id, license_scan, line_dedup, quality_rules, sharding, simhash, toxicity
 from pagemill.llm.common import fold_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -162,3 +162,14 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
     CAST(sum(n) AS BIGINT) AS formatted_chars
 FROM sized GROUP BY conv_id
 """
+
+
+@query
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup.without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_lines", "n_dropped", "n_near", F.sha2("text", 256).alias("kept_sha256"))
+
+
+@query
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(table(spark, sf_dir, "documents"))

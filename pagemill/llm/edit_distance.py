@@ -19,20 +19,49 @@ def codes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return flat, np.concatenate([[0], np.cumsum([len(x) for x in lines])]).astype(np.int64)
 
 
+def histograms(lines: list[str]) -> np.ndarray:
+    """Counts of 64 classes of characters per line; one edit changes two counts at most."""
+    flat, at = codes(lines)
+    owner = np.repeat(np.arange(len(lines)), np.diff(at))
+    return np.bincount(owner * 64 + (flat & 63), minlength=len(lines) * 64).reshape(len(lines), 64).astype(np.int32)
+
+
+def trimmed(x: str, y: str) -> tuple[str, str]:
+    """The two lines without their common beginning and end, which cost no edit."""
+
+    def shared(most: int, same) -> int:
+        low = 0
+        while low < most:
+            mid = (low + most + 1) // 2
+            low, most = (mid, most) if same(mid) else (low, mid - 1)
+        return low
+
+    head = shared(min(len(x), len(y)), lambda n: x[:n] == y[:n])
+    x, y = x[head:], y[head:]
+    tail = shared(min(len(x), len(y)), lambda n: x[len(x) - n:] == y[len(y) - n:])
+    return x[: len(x) - tail], y[: len(y) - tail]
+
+
 def within(a: list[str], b: list[str], limit: int) -> np.ndarray:
-    """True where the edit distance of a[i] and b[i] is at most `limit`."""
+    """True where the edit distance of a[i] and b[i] is at most `limit`.
+
+    Lengths and character counts, which bound the distance from below, decide first.
+    """
     if 2 * limit + 1 > WIDTH:
         raise ValueError(f"limit is at most {(WIDTH - 1) // 2}")
-    swap = [len(x) > len(y) for x, y in zip(a, b, strict=True)]
-    short = [y if s else x for x, y, s in zip(a, b, swap, strict=True)]
-    long = [x if s else y for x, y, s in zip(a, b, swap, strict=True)]
-    n, m = (np.array([len(x) for x in side], np.int64) for side in (short, long))
     out = np.zeros(len(a), bool)
-    fit = np.flatnonzero(m - n <= limit)
-    fit = fit[np.argsort(m[fit], kind="stable")]
-    for lo in range(0, len(fit), 4096):
-        part = fit[lo:lo + 4096]
-        out[part] = _block([short[i] for i in part], [long[i] for i in part], n[part], m[part], limit)
+    pairs = [i for i, (x, y) in enumerate(zip(a, b, strict=True)) if abs(len(x) - len(y)) <= limit]
+    left = []
+    for lo in range(0, len(pairs), 512):
+        part = pairs[lo:lo + 512]
+        differ = np.abs(histograms([a[i] for i in part]) - histograms([b[i] for i in part])).sum(1)
+        left += [part[i] for i in np.flatnonzero(differ <= 2 * limit)]
+    cores = [sorted(trimmed(a[i], b[i]), key=len) for i in left]
+    order = sorted(range(len(left)), key=lambda i: len(cores[i][1]))
+    for lo in range(0, len(order), 4096):
+        short, long = ([cores[i][side] for i in order[lo:lo + 4096]] for side in (0, 1))
+        n, m = (np.array([len(x) for x in side], np.int64) for side in (short, long))
+        out[[left[i] for i in order[lo:lo + 4096]]] = _block(short, long, n, m, limit)
     return out
 
 

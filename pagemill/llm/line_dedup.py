@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from pagemill.llm.common import discard, stored
 from pagemill.llm.components import components
-from pagemill.llm.edit_distance import within
+from pagemill.llm.edit_distance import histograms, within
 
 FEW = 40  # lines of a key that are paired directly
 BLOCK = 2_000  # lines of a key that are clustered in one group
@@ -158,11 +158,14 @@ def line_texts(docs: DataFrame, text: str, min_chars: int, wanted: DataFrame) ->
 def cluster(lines: list[str], limit: int) -> list[tuple[int, int]]:
     """Links that join the lines as all pairs within `limit` edits do, from pivot to pivot."""
     rest, links = np.arange(len(lines)), []
+    counts, sizes = histograms(lines), np.array([len(x) for x in lines])
     while len(rest):
         queue, rest = [int(rest[0])], rest[1:]
         while queue and len(rest):
             pivot = queue.pop()
-            near = within([lines[pivot]] * len(rest), [lines[i] for i in rest], limit)
+            may = (np.abs(sizes[rest] - sizes[pivot]) <= limit) & (np.abs(counts[rest] - counts[pivot]).sum(1) <= 2 * limit)
+            near = np.zeros(len(rest), bool)
+            near[may] = within([lines[pivot]] * int(may.sum()), [lines[i] for i in rest[may]], limit)
             links += [(pivot, int(i)) for i in rest[near]]
             queue += rest[near].tolist()
             rest = rest[~near]

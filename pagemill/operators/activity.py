@@ -45,7 +45,7 @@ def presence_sessions(events: DataFrame, key: str, us: str, tie: str, idle_minut
 def limiter_stats(events: DataFrame, key: str, us: str) -> DataFrame:
     """Requests of the last minute and hour before each key's latest event."""
     latest = events.groupBy(key).agg(F.max(us).alias("latest"))
-    recent = events.join(scale.maybe_broadcast(latest), key).filter(F.col(us) > F.col("latest") - HOUR)
+    recent = scale.join_null_safe(events, latest, [key]).filter(F.col(us) > F.col("latest") - HOUR)
     return recent.groupBy(key).agg(F.count_if(F.col(us) > F.col("latest") - 60 * SECOND).alias("minute_requests"), F.count("*").alias("hour_requests"))
 
 
@@ -94,4 +94,4 @@ def question_answer_pairs(turns: DataFrame, key: str, turn: str, role: str, text
     lagged = scale.with_previous(turns, [key], turn, 10_000, turn)
     asked = turns.filter(F.col(role) == "user").select(key, F.col(turn).alias("prev"), F.col(text).alias("question"))
     answers = lagged.filter(F.col(role) == "assistant").select(key, turn, "prev", F.col(text).alias("answer"))
-    return answers.join(asked, [key, "prev"]).select(key, turn, "question", "answer")
+    return scale.join_null_safe(answers, asked, [key, "prev"]).select(key, turn, "question", "answer")

@@ -17,7 +17,7 @@ SENTENCE_BREAK = re.compile(r"[.!?]+\s+")
 PARAGRAPH_BREAK = re.compile(r"\n\s*\n")
 
 
-def word_chunks(df: DataFrame, text: str, out: str = "chunks", size: int = 1000, overlap: int = 200, cap: int | None = 100, min_chars: int = 50) -> DataFrame:
+def word_chunks(df: DataFrame, text: str, out: str = "chunks", size: int = 1000, overlap: int = 200, cap: int | None = None, min_chars: int = 50) -> DataFrame:
     """Windows of `size` words every size - overlap; `cap` is the caller's limit.
 
     The words are a column, so that the windows slice them instead of splitting
@@ -138,7 +138,7 @@ def chunk_table(df: DataFrame, key: str, text: str, mode: str = "paragraph", siz
             rows = []
             for k, t in zip(batch[key], batch[text]):
                 pos = 0
-                pieces = cut(t or "", size, overlap)
+                pieces = cut(t, size, overlap) if t else []
                 for i, piece in enumerate(pieces):
                     found = t.find(piece, pos)
                     begin = found if found >= 0 else pos

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagemill.operators.activity import SECOND, split_at_gaps
-from pagemill.scale import segment_of, segment_width
+from pagemill.scale import join_null_safe, segment_of, segment_width
 
 
 def ordered_fold(df: DataFrame, parts: list[str], order: list[str], start: Callable, step: Callable, schema: str, carry: list[str]) -> DataFrame:
@@ -31,7 +31,7 @@ def ordered_fold(df: DataFrame, parts: list[str], order: list[str], start: Calla
         for batch in batches:
             out = []
             for row in batch.itertuples(index=False):
-                this = tuple(getattr(row, p) for p in parts)
+                this = tuple(None if pd.isna(v) else v for v in (getattr(row, p) for p in parts))
                 if this != part:
                     part, state = this, start(row)
                 state, values = step(state, row)
@@ -119,7 +119,7 @@ def adaptive_delay(events: DataFrame, key: str, us: str, tie: str, outcome: str,
         for batch in batches:
             out = []
             for row in batch.itertuples(index=False):
-                this = (getattr(row, key), row.seg)
+                this = (None if pd.isna(getattr(row, key)) else getattr(row, key), row.seg)
                 if this != part:
                     if part is not None:
                         out.append((*part, *flat(maps)))
@@ -150,4 +150,4 @@ def adaptive_delay(events: DataFrame, key: str, us: str, tie: str, outcome: str,
         delay = apply_change(change, delay)
         return (count, delay), (delay,)
 
-    return ordered_fold(rows.join(starts, [key, "seg"]), [key, "seg"], [us, tie], lambda row: (int(row.start_count), row.start_delay), step, "delay double", [key, us, tie])
+    return ordered_fold(join_null_safe(rows, starts, [key, "seg"]), [key, "seg"], [us, tie], lambda row: (int(row.start_count), row.start_delay), step, "delay double", [key, us, tie])

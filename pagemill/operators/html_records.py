@@ -13,6 +13,8 @@ from html.parser import HTMLParser
 from urllib.parse import urljoin
 
 import pandas as pd
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -399,9 +401,11 @@ def extract_full(pages: DataFrame, metadata_first: bool = False) -> DataFrame:
     }).withColumn("reading_time", tx.reading_minutes(F.col("word_count"))).drop("published_candidates", "modified_candidates")
 
 
-def extract_flat(pages: DataFrame, link_filter: Column | None = None) -> DataFrame:
-    """link_filter: test on the struct column `l` deciding which links stay."""
+def extract_flat(pages: DataFrame, link_filter: Callable[[Column], Column] | None = None) -> DataFrame:
+    """link_filter: test on an element of `links` deciding which links stay."""
     out = _apply(pages, flat_record, FLAT_FIELDS)
+    if link_filter is not None:
+        out = out.withColumn("links", F.filter("links", link_filter))
     return out.withColumns({"word_count": tx.word_count(F.col("content")), "content_hash": F.md5(F.encode("content", "UTF-8"))})
 
 

@@ -94,7 +94,7 @@ def changed_files(files: DataFrame, manifest: DataFrame, key: str, mtime: str, f
     """Files that are new or newer than the manifest says."""
     if force:
         return files
-    known = manifest.select(key, F.col(mtime).alias("_known"))
+    known = manifest.groupBy(key).agg(F.max(mtime).alias("_known"))
     return files.join(known, key, "left").filter(F.col("_known").isNull() | (F.col("_known") < F.col(mtime))).drop("_known")
 
 

@@ -36,15 +36,19 @@ def insert_absent(existing: DataFrame, batch: DataFrame, keys: list[str], order:
     return existing.unionByName(fresh.join(existing.select(*keys).distinct(), keys, "left_anti"))
 
 
-def upsert(existing: DataFrame, batch: DataFrame, key: str, content_hash: str) -> DataFrame:
+def upsert(existing: DataFrame, batch: DataFrame, key: str, content_hash: str, order: str | None = None) -> DataFrame:
     """Batch rows overwrite rows of equal key unless the hash is equal. One shuffle:
-    both sides are stacked and the winner comes from a partial aggregate."""
+    both sides are stacked and the winner comes from a partial aggregate.
+
+    Of several batch rows of a key the largest by `order`, then by its columns, wins.
+    """
     columns = [c for c in existing.columns if c != key]
     stacked = existing.withColumn("_new", F.lit(0)).unionByName(batch.withColumn("_new", F.lit(1)))
     row = F.struct(*columns)
+    rank = F.struct(*([order] if order else []), *columns)
     both = stacked.groupBy(key).agg(
-        F.max_by(F.when(F.col("_new") == 0, row), F.when(F.col("_new") == 0, F.lit(1))).alias("o"),
-        F.max_by(F.when(F.col("_new") == 1, row), F.when(F.col("_new") == 1, F.lit(1))).alias("n"))
+        F.max_by(F.when(F.col("_new") == 0, row), F.when(F.col("_new") == 0, rank)).alias("o"),
+        F.max_by(F.when(F.col("_new") == 1, row), F.when(F.col("_new") == 1, rank)).alias("n"))
     keep_old = F.col("n").isNull() | (F.col("o")[content_hash] == F.col("n")[content_hash])
     winner = F.when(F.coalesce(keep_old, F.lit(False)), F.col("o")).otherwise(F.col("n"))
     action = F.when(F.col("n").isNull(), "kept").when(F.col("o").isNull(), "inserted").when(keep_old, "skipped").otherwise("updated")
@@ -66,10 +70,10 @@ def cascade_delete(documents: DataFrame, chunks: DataFrame, key: str, gone: Data
 def snapshot_diff(old: DataFrame, new: DataFrame, key: str, mtime: str) -> DataFrame:
     """Rows (key, change_type) for new, deleted and modified keys. One stacked
     aggregate stands for the full outer join."""
-    both = old.select(key, F.col(mtime).alias("o"), F.lit(None).cast(new.schema[mtime].dataType).alias("n")).unionByName(
-        new.select(key, F.lit(None).cast(old.schema[mtime].dataType).alias("o"), F.col(mtime).alias("n")))
-    one = both.groupBy(key).agg(F.max("o").alias("o"), F.max("n").alias("n"))
-    kind = F.when(F.col("o").isNull(), "new").when(F.col("n").isNull(), "deleted").when(F.col("n") > F.col("o"), "modified")
+    both = old.select(key, F.lit(True).alias("in_old"), F.col(mtime).alias("o")).unionByName(
+        new.select(key, F.lit(True).alias("in_new"), F.col(mtime).alias("n")), allowMissingColumns=True)
+    one = both.groupBy(key).agg(F.max("o").alias("o"), F.max("n").alias("n"), F.max("in_old").alias("in_old"), F.max("in_new").alias("in_new"))
+    kind = F.when(F.col("in_old").isNull(), "new").when(F.col("in_new").isNull(), "deleted").when(F.col("n") > F.col("o"), "modified")
     return one.select(key, kind.alias("change_type")).filter(F.col("change_type").isNotNull())
 
 

@@ -72,7 +72,7 @@ def idf(n: float, df: float) -> float:
 def bm25_scan(docs: DataFrame, key: str, text: str, terms: list[str], where: Column | None = None) -> DataFrame:
     """All documents holding every term, with their score. No word rows and no
     shuffle: term counts are array sizes; one aggregate row gives the statistics."""
-    t = F.col("_tokens")
+    t, terms = F.col("_tokens"), list(dict.fromkeys(terms))
     rows = docs.withColumn("_tokens", tokens(F.col(text)))
     counted = rows.select(*docs.columns, F.size(t).alias("_dl"), *[F.size(F.filter(t, _equals(term))).alias(f"_tf{i}") for i, term in enumerate(terms)])
     stats = counted.agg(F.count("*").alias("n"), F.avg("_dl").alias("avgdl"), *[F.count_if(F.col(f"_tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))]).first()
@@ -98,6 +98,7 @@ def build_index(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 def search_index(index: DataFrame, key: str, terms: list[str], n_docs: int, avgdl: float) -> DataFrame:
     """Scores from the index rows of the query's terms only."""
+    terms = list(dict.fromkeys(terms))
     rows = index.filter(F.col("term").isin(*terms))
     dfs = {r["term"]: r["n"] for r in rows.groupBy("term").agg(F.count("*").alias("n")).collect()}  # one row per query term
     weight = F.lit(0.0)

@@ -60,7 +60,7 @@ def embed(df: DataFrame, key: str, text: str, load_encoder: Callable[[], Callabl
 
 
 def text_key(text: Column, model: str) -> Column:
-    return F.concat(F.substring(F.sha2(text, 256), 1, 16), F.lit(":"), F.lit(model))
+    return F.concat(F.sha2(text, 256), F.lit(":"), F.lit(model))
 
 
 def unseen_texts(df: DataFrame, text: str, store: DataFrame, model: str) -> DataFrame:

@@ -83,6 +83,15 @@ def rows_of(df: DataFrame, keep: list, array: Column | str, value: str, pos: str
     return out.withColumn(pos, F.col("_pos").cast("long")).drop("_pos")
 
 
+def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join on keys in which null equals null; the keys appear once."""
+    named = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
+    test = F.lit(True)
+    for k in keys:
+        test = test & left[k].eqNullSafe(named[f"_r_{k}"])
+    return left.join(named, test).drop(*[f"_r_{k}" for k in keys])
+
+
 def segment_of(order_value: Column, width: int) -> Column:
     return F.floor(order_value / width).cast("long")
 
@@ -109,8 +118,7 @@ def with_previous(df: DataFrame, keys: list[str], order: str, width: int, tie: s
     carried = ends.select(*keys, "_seg", F.lag("_end").over(Window.partitionBy(*keys).orderBy("_seg")).alias("_carry"))
     inside = Window.partitionBy(*keys, "_seg").orderBy(order, tie)
     return (
-        seg.withColumn(prev, F.lag(order).over(inside))
-        .join(carried, [*keys, "_seg"])
+        join_null_safe(seg.withColumn(prev, F.lag(order).over(inside)), carried, [*keys, "_seg"])
         .withColumn(prev, F.coalesce(F.col(prev), F.col("_carry")))
         .drop("_seg", "_carry")
     )
@@ -124,7 +132,7 @@ def running_sum(df: DataFrame, keys: list[str], order: str, width: int, tie: str
     offsets = totals.select(*keys, "_seg", F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_o"))
     inside = Window.partitionBy(*keys, "_seg").orderBy(order, tie).rowsBetween(Window.unboundedPreceding, 0)
     return (
-        seg.withColumn(out, F.sum("_v").over(inside)).join(offsets, [*keys, "_seg"])
+        join_null_safe(seg.withColumn(out, F.sum("_v").over(inside)), offsets, [*keys, "_seg"])
         .withColumn(out, F.col(out) + F.col("_o")).drop("_seg", "_v", "_o")
     )
 

@@ -29,7 +29,7 @@ def embed(spark, sf):
     return e.select("doc_id", F.round(F.sqrt(ve.dot(F.col("embedding"), F.col("embedding"))), 4).alias("norm"), "error")
 
 
-@query("V2_unseen_texts", "WITH h AS (SELECT substr(sha256(text), 1, 16) || ':hash-64' AS text_key, lang FROM documents) SELECT DISTINCT text_key FROM h WHERE text_key NOT IN (SELECT text_key FROM h WHERE lang = 'en')")
+@query("V2_unseen_texts", "WITH h AS (SELECT sha256(text) || ':hash-64' AS text_key, lang FROM documents) SELECT DISTINCT text_key FROM h WHERE text_key NOT IN (SELECT text_key FROM h WHERE lang = 'en')")
 def unseen(spark, sf):
     d = table(spark, sf, "documents")
     store = d.filter("lang = 'en'").select(ve.text_key(F.col("text"), "hash-64").alias("text_key"))

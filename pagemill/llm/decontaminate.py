@@ -138,21 +138,24 @@ def contamination(docs: DataFrame, items: DataFrame, key: list[str], text: str =
     key, given = keys, marked.select(*keys, text)
     passes = [given.mapInArrow(scanned(b), inner) for b in blocks]
     united = reduce(DataFrame.unionByName, passes)
+    both = F.transform(F.arrays_zip("runs", "spans"), lambda p: F.struct(
+        p["runs"]["first"].alias("first"), p["runs"]["end"].alias("end"), p["spans"]["first"].alias("from"), p["spans"]["end"].alias("to")))
     flat = united.groupBy(*keys, "n_words").agg(
-        F.flatten(F.collect_list("runs")).alias("runs"), F.flatten(F.collect_list("spans")).alias("spans"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"))
-    return flat.select(*keys[:-1], "n_words", merged("runs").alias("runs"), merged("spans").alias("spans"), "item_ids")
+        F.flatten(F.collect_list(both)).alias("both"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"))
+    one = flat.withColumn("both", merged("both"))
+    part = lambda a, b: F.transform("both", lambda r: F.struct(r[a].alias("first"), r[b].alias("end")))
+    return one.select(*keys[:-1], "n_words", part("first", "end").alias("runs"), part("from", "to").alias("spans"), "item_ids")
 
 
 def merged(runs: str):
-    """Union of [first, end) runs, as disjoint runs in order."""
-    start = F.expr("cast(array() as array<struct<first:int,end:int>>)")
+    """Union of word runs [first, end) with their places [from, to), as disjoint runs in order."""
+    start = F.expr("cast(array() as array<struct<first:int,end:int,from:int,to:int>>)")
 
     def add(done, run):
-        last = F.element_at(done, -1)
+        last = F.try_element_at(done, F.lit(-1))
         joins = (F.size(done) > 0) & (run["first"] <= last["end"])
-        longer = F.struct(last["first"].alias("first"), F.greatest(last["end"], run["end"]).alias("end"))
-        return F.when(joins, F.concat(F.slice(done, 1, F.size(done) - 1), F.array(longer))).otherwise(F.concat(done, F.array(run)))
+        longer = F.struct(last["first"].alias("first"), F.greatest(last["end"], run["end"]).alias("end"), last["from"].alias("from"), F.greatest(last["to"], run["to"]).alias("to"))
+        return F.when(joins, F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(longer))).otherwise(F.concat(done, F.array(run)))
 
     return F.aggregate(F.array_sort(runs), start, add)
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from pagemill.functions.text import decode_entities, squash, strip
+from pagemill.functions.text import WS, decode_entities, squash, strip
 
 # Element types dropped as noise.
 NOISE_TAGS = ("nav", "header", "footer", "aside", "script", "style", "noscript")
@@ -116,23 +116,18 @@ def has_element(html: Column, tag: str) -> Column:
     return html.rlike(rf"(?i)<{tag}[\s>/]")
 
 
-# Entity order of the markdown writer.
-MARKDOWN_ENTITIES = (("&nbsp;", " "), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"))
-
-
-def to_markdown_basic(html: Column) -> Column:
-    """Headings, paragraphs, lists, inline code and stripping, in the fixed order."""
-    md = html
-    for n in range(6, 0, -1):
-        md = F.regexp_replace(md, rf"(?i)<h{n}[^>]*>(.*?)</h{n}>", "\n" + "#" * n + " $1\n")
-    md = F.regexp_replace(md, r"(?i)<p[^>]*>(.*?)</p>", "\n$1\n")
-    for tag in ("ul", "ol"):
-        md = F.regexp_replace(md, rf"(?is)<{tag}[^>]*>(.*?)</{tag}>", "\n$1\n")
-    md = F.regexp_replace(md, r"(?i)<li[^>]*>(.*?)</li>", "- $1\n")
-    md = F.regexp_replace(md, r"(?i)<code[^>]*>(.*?)</code>", "`$1`")
-    md = F.regexp_replace(md, r"\n{3,}", "\n\n")
-    md = F.regexp_replace(md, r"(?i)<br\s*/?>", "\n")
-    md = F.regexp_replace(md, ANY_TAG, "")
-    for entity, char in MARKDOWN_ENTITIES:
-        md = F.replace(md, F.lit(entity), F.lit(char))
-    return md
+TEXT_BLOCK = r"(?is)<(h[1-6]|p|li)(?:\s[^>]*)?>(.*?)</(?:h[1-6]|p|li)\s*>"
+
+
+def text_blocks_markdown(html: Column) -> Column:
+    """Headings, paragraphs and list items as markdown blocks, in page order.
+
+    Built-in functions only: a block ends at the first end tag of any such element, and
+    marks inside a block are dropped. The tree walk of the markdown operator writes all.
+    """
+    tags = F.transform(F.regexp_extract_all(html, F.lit(TEXT_BLOCK), F.lit(1)), lambda t: F.lower(t))
+    texts = F.transform(F.regexp_extract_all(html, F.lit(TEXT_BLOCK), F.lit(2)), lambda t: strip(F.regexp_replace(inner_text(t), WS + "+", " ")))
+    rank = lambda tag: F.substring(tag, 2, 1).cast("int")
+    mark = lambda tag: F.when(tag == "li", F.lit("- ")).when(tag == "p", F.lit("")).otherwise(F.concat(F.repeat(F.lit("#"), rank(tag)), F.lit(" ")))
+    written = F.zip_with(tags, texts, lambda tag, text: F.when(text != "", F.concat(mark(tag), text)))
+    return F.array_join(F.filter(written, lambda b: b.isNotNull()), "\n\n")

@@ -4,7 +4,10 @@ which look at the text while they cut, run in one Arrow pass, a row at a time.""
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
+from itertools import accumulate
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -35,90 +38,109 @@ def stride_chunks(c: Column, size: int = 500, overlap: int = 50) -> Column:
 
 
 def merge_chunk_array(chunks: Column, max_size: int = 2000) -> Column:
-    """Greedy packing with single blanks, as a fold over one document's chunks."""
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("cur"))
+    """Greedy packing with single blanks: a fold over the lengths finds where groups open, slices join them."""
+    none = F.struct(F.array().cast("array<int>").alias("opens"), F.lit(0).alias("used"), F.lit(0).alias("seen"))
 
-    def step(acc: Column, piece: Column) -> Column:
-        full = F.length(acc["cur"]) + F.length(piece) + 1 > max_size
-        closed = F.when(acc["cur"] != "", F.concat(acc["done"], F.array(tx.strip(acc["cur"])))).otherwise(acc["done"])
-        grown = F.when(acc["cur"] != "", F.concat_ws(" ", acc["cur"], piece)).otherwise(piece)
-        return F.struct(F.when(full, closed).otherwise(acc["done"]).alias("done"), F.when(full, piece).otherwise(grown).alias("cur"))
+    def place(acc: Column, n: Column) -> Column:
+        fresh = (acc["seen"] == 0) | (acc["used"] + n >= max_size)
+        opens = F.when(fresh, F.concat(acc["opens"], F.array(acc["seen"]))).otherwise(acc["opens"])
+        used = F.when(fresh | (acc["used"] == 0), n).otherwise(acc["used"] + n + 1)
+        return F.struct(opens.alias("opens"), used.alias("used"), (acc["seen"] + 1).alias("seen"))
 
-    def finish(acc: Column) -> Column:
-        return F.when(acc["cur"] != "", F.concat(acc["done"], F.array(tx.strip(acc["cur"])))).otherwise(acc["done"])
+    opens = F.aggregate(F.transform(chunks, lambda c: F.length(c)), none, place, lambda acc: acc["opens"])
 
-    return F.aggregate(chunks, start, step, finish)
+    def joined(s: Column) -> Column:
+        ends = F.concat(F.slice(s["opens"], 2, 2_000_000_000), F.array(F.size(s["all"])))
+        return F.zip_with(s["opens"], ends, lambda i, j: tx.strip(F.array_join(F.slice(s["all"], i + 1, j - i), " ")))
+
+    # the one-element array names chunks and openings, so that no slice computes them again
+    bound = F.array(F.struct(chunks.alias("all"), opens.alias("opens")))
+    return F.filter(F.transform(bound, joined)[0], lambda t: t != "")
 
 
 def explode_chunks(df: DataFrame, key: str, chunks: Column) -> DataFrame:
     return rows_of(df, [key], chunks, "content", "chunk_index")
 
 
-def by_characters(text: str, size: int, overlap: int) -> list[str]:
-    out, start = [], 0
-    while start < len(text):
-        end = start + size
-        if end < len(text):
-            floor = max(start + size // 2, end - 100)
-            end = next((i for i in range(end, floor, -1) if text[i].isspace()), end)
-        out.append(text[start:end].strip())
-        if end >= len(text):
+class Ends(NamedTuple):
+    """Where a window may end: places after `pattern`, or before it, near its full length."""
+
+    pattern: re.Pattern
+    after: bool
+    slack: int
+
+
+BLANK_ENDS = Ends(re.compile(r"\s"), False, 100)
+SENTENCE_ENDS = Ends(re.compile(r"[.!?\n]"), True, 100)
+
+
+def windows(text: str, size: int, overlap: int, ends: Ends, reach: int, beyond: int) -> list[str]:
+    """Overlapping slices; each end is looked up among the sorted places of the pattern.
+
+    An end moves back by less than `reach`; windows go on until one ends `beyond` past the text.
+    """
+    places = [m.end() if ends.after else m.start() for m in ends.pattern.finditer(text)]
+
+    def end_of(start: int) -> int:
+        full = start + size
+        if full >= len(text):
+            return full
+        latest = full + ends.after
+        at = bisect_right(places, latest)
+        return places[at - 1] if at and places[at - 1] > latest - min(reach, ends.slack) else full
+
+    bounds = [(0, end_of(0))] if text else []
+    while bounds and bounds[-1][1] < len(text) + beyond:
+        start = max(bounds[-1][0] + 1, bounds[-1][1] - overlap)
+        if start >= len(text):
             break
-        start = max(start + 1, end - overlap)
-    return [c for c in out if c]
-
-
-def _pack(pieces: list[str], glue: str, room: int, size: int, overlap: int, split_long: Callable[[str], list[str]]) -> list[str]:
-    """Fills chunks in order; an overflow closes the chunk and carries its tail on."""
-    out, cur = [], ""
-    for piece in pieces:
-        if len(cur) + len(piece) + room <= size:
-            cur = cur + glue + piece if cur else piece
-        elif cur:
-            out.append(cur.strip())
-            cur = cur[-overlap:] + glue + piece if 0 < overlap < len(cur) else piece
-        else:
-            parts = split_long(piece)
-            out.extend(parts[:-1])
-            cur = parts[-1] if parts else ""
-    if cur:
-        out.append(cur.strip())
-    return [c for c in out if c]
+        bounds.append((start, end_of(start)))
+    return [c for c in (text[i:j].strip() for i, j in bounds) if c]
+
+
+def by_characters(text: str, size: int, overlap: int) -> list[str]:
+    return windows(text, size, overlap, BLANK_ENDS, size - size // 2, 0)
+
+
+def packed(pieces: list[str], glue: str, size: int, overlap: int, split: Callable[[str, int, int], list[str]]) -> list[str]:
+    """Chunks of whole pieces; running lengths tell how many fit behind the tail of the chunk before.
+
+    A first piece longer than a chunk is split; later ones stay whole.
+    """
+    if not pieces:
+        return []
+    sums = [0, *accumulate(len(p) + len(glue) for p in pieces)]
+    *chunks, head = [pieces[0]] if sums[1] <= size else split(pieces[0], size, overlap)
+    used = 1
+    while True:
+        fit = max(used, bisect_right(sums, sums[used] + size - len(head)) - 1)
+        whole = glue.join([head, *pieces[used:fit]])
+        chunks.append(whole.strip())
+        if fit == len(pieces):
+            return [c for c in chunks if c]
+        tail = [whole[-overlap:]] if 0 < overlap < len(whole) else []
+        head, used = glue.join([*tail, pieces[fit]]), fit + 1
 
 
 def by_sentences(text: str, size: int, overlap: int) -> list[str]:
-    parts = [p.strip() for p in SENTENCE_BREAK.split(text)]
-    if len(parts) <= 1:
+    *closed, rest = (p.strip() for p in SENTENCE_BREAK.split(text))
+    if not closed:
         return by_characters(text, size, overlap)
-    last = len(parts) - 1
-    pieces = [p if i == last else p + ". " for i, p in enumerate(parts) if p]
-    return _pack(pieces, "", 0, size, overlap, lambda s: by_characters(s, size, overlap))
+    return packed([p + ". " for p in closed if p] + [rest] * bool(rest), "", size, overlap, by_characters)
 
 
 def by_paragraphs(text: str, size: int, overlap: int) -> list[str]:
-    if not text:
-        return []
+    pieces = PARAGRAPH_BREAK.split(text)
     if len(text) <= size:
-        return [text]
-    parts = PARAGRAPH_BREAK.split(text)
-    if len(parts) <= 1:
+        return [text] * bool(text)
+    if len(pieces) == 1:
         return by_sentences(text, size, overlap)
-    pieces = [p.strip() for p in parts if p.strip()]
-    return _pack(pieces, "\n\n", 2, size, overlap, lambda s: by_sentences(s, size, overlap))
+    return packed([p.strip() for p in pieces if not p.isspace() and p], "\n\n", size, overlap, by_sentences)
 
 
 def by_char_sentence(text: str, size: int, overlap: int) -> list[str]:
-    """Fixed size, backing off up to 100 characters to a sentence end."""
-    if len(text) <= size:
-        return [text]
-    out, start = [], 0
-    while start < len(text):
-        end = start + size
-        if end < len(text):
-            end = next((i + 1 for i in range(end, max(end - 100, start), -1) if text[i] in ".!?\n"), end)
-        out.append(text[start:end].strip())
-        start = max(start + 1, end - overlap)
-    return [c for c in out if c]
+    """Fixed size, each end moved back to a sentence end within 100 characters."""
+    return [text] if len(text) <= size else windows(text, size, overlap, SENTENCE_ENDS, size, overlap)
 
 
 MODES = {"paragraph": by_paragraphs, "sentence": by_sentences, "char": by_characters, "char_sentence": by_char_sentence}

@@ -10,14 +10,17 @@ from pagemill.functions import text as tx
 
 # Stop words of the keyword report.
 STOP_WORDS = (
-    "the and for are but not you all can had her was one our out day get has him his how man new now old see two way "
-    "who boy did its let put say she too use this that with have from they know want been good much some time very when come "
-    "here just like long make many over such take than them well were will would there could other after first little only right "
-    "think where being every great might shall still those under while"
-).split()
+    "the", "and", "for", "are", "but", "not", "you", "all", "can", "had", "her", "was", "one", "our", "out", "day", "get", "has", "him", "his", "how",
+    "man", "new", "now", "old", "see", "two", "way", "who", "boy", "did", "its", "let", "put", "say", "she", "too", "use", "this", "that", "with",
+    "have", "from", "they", "know", "want", "been", "good", "much", "some", "time", "very", "when", "come", "here", "just", "like", "long", "make",
+    "many", "over", "such", "take", "than", "them", "well", "were", "will", "would", "there", "could", "other", "after", "first", "little", "only",
+    "right", "think", "where", "being", "every", "great", "might", "shall", "still", "those", "under", "while",
+)
 
 # Stop words of the topic report.
-TOPIC_STOP_WORDS = "the a an and or but in on at to for of with by".split()
+TOPIC_STOP_WORDS = (
+    "the", "a", "an", "and", "or", "but", "in", "on", "at", "to", "for", "of", "with", "by",
+)
 
 
 def ascii_words(c: Column) -> Column:

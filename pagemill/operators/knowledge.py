@@ -16,10 +16,12 @@ CATEGORY_NAMES = {
 
 # Tag words and the words never used as tags.
 TAG_WORDS = (
-    "http webhook code function if switch merge split gmail slack discord telegram twitter facebook "
-    "mysql postgres mongodb redis elasticsearch api rest graphql json xml csv"
-).split()
-TAG_STOP_WORDS = "the and or but in on at to for of with by".split()
+    "http", "webhook", "code", "function", "if", "switch", "merge", "split", "gmail", "slack", "discord", "telegram", "twitter", "facebook", "mysql",
+    "postgres", "mongodb", "redis", "elasticsearch", "api", "rest", "graphql", "json", "xml", "csv",
+)
+TAG_STOP_WORDS = (
+    "the", "and", "or", "but", "in", "on", "at", "to", "for", "of", "with", "by",
+)
 NODE_NAME = r"([\p{L}\p{N}_]+)" + tx.WS + r"+node(?:$|[^\p{L}\p{N}_])"
 
 

@@ -30,9 +30,10 @@ SERVICES = {
 }
 # Node types that are no service.
 UTILITY_NODES = (
-    "set function code if switch merge split stickynote wait schedule cron manual stopanderror noop error limit aggregate summarize filter sort "
-    "removeduplicates datetime extractfromfile converttofile readbinaryfile readbinaryfiles executiondata executeworkflow executecommand respondtowebhook"
-).split()
+    "set", "function", "code", "if", "switch", "merge", "split", "stickynote", "wait", "schedule", "cron", "manual", "stopanderror", "noop", "error",
+    "limit", "aggregate", "summarize", "filter", "sort", "removeduplicates", "datetime", "extractfromfile", "converttofile", "readbinaryfile",
+    "readbinaryfiles", "executiondata", "executeworkflow", "executecommand", "respondtowebhook",
+)
 # Services of each category.
 SERVICE_CATEGORIES = {
     "messaging": ["Telegram", "Discord", "Slack", "WhatsApp", "Mattermost", "Microsoft Teams", "Rocket.Chat"],

@@ -169,23 +169,14 @@ def record_site(spark, sf):
     return r.select("page_id", "status", "title", "word_count", "character_count", F.array_join(F.transform("headings", lambda h: h["text"]), "|").alias("headings"))
 
 
-def _markdown_sql(x: str) -> str:
-    for n in range(6, 0, -1):
-        x = f"regexp_replace({x}, {q(f'(?i)<h{n}[^>]*>(.*?)</h{n}>')}, e'\\n{'#' * n} \\\\1\\n', 'g')"
-    x = f"regexp_replace({x}, '(?i)<p[^>]*>(.*?)</p>', e'\\n\\\\1\\n', 'g')"
-    for t in ("ul", "ol"):
-        x = f"regexp_replace({x}, '(?is)<{t}[^>]*>(.*?)</{t}>', e'\\n\\\\1\\n', 'g')"
-    x = f"regexp_replace({x}, '(?i)<li[^>]*>(.*?)</li>', e'- \\\\1\\n', 'g')"
-    x = f"regexp_replace({x}, '(?i)<code[^>]*>(.*?)</code>', '`\\1`', 'g')"
-    x = f"regexp_replace({x}, e'\\n{{3,}}', e'\\n\\n', 'g')"
-    x = f"regexp_replace({x}, '(?i)<br\\s*/?>', e'\\n', 'g')"
-    x = f"regexp_replace({x}, '<[^>]*>', '', 'g')"
-    return sp.decode(x, hx.MARKDOWN_ENTITIES)
-
-
-@query("H25_html_to_markdown", f"SELECT page_id, {_markdown_sql('html')} AS markdown FROM pages")
+_BLOCK_TEXTS = f"list_transform(regexp_extract_all(html, {q(hx.TEXT_BLOCK)}, 2), lambda t: {sp.strip(sp.replace_all(sp.inner_text('t'), sp.WS + '+', q(' ')))})"
+_BLOCK_TAGS = f"list_transform(regexp_extract_all(html, {q(hx.TEXT_BLOCK)}, 1), lambda t: lower(t))"
+
+
+@query("H25_html_to_markdown", f"""WITH b AS (SELECT page_id, list_zip({_BLOCK_TAGS}, {_BLOCK_TEXTS}) AS z FROM pages)
+SELECT page_id, array_to_string(list_transform(list_filter(z, lambda e: e[2] <> ''), lambda e: CASE WHEN e[1] = 'li' THEN '- ' WHEN e[1] = 'p' THEN '' ELSE repeat('#', substr(e[1], 2, 1)::INT) || ' ' END || e[2]), e'\\n\\n') AS markdown FROM b""")
 def html_to_markdown(spark, sf):
-    return pages(spark, sf).select("page_id", hx.to_markdown_basic(F.col("html")).alias("markdown"))
+    return pages(spark, sf).select("page_id", hx.text_blocks_markdown(F.col("html")).alias("markdown"))
 
 
 @query("H25_html_to_markdown_full")

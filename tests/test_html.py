@@ -60,10 +60,23 @@ def test_other_record_forms(spark):
 def test_markdown():
     html = '<h2>A<b>b</b></h2><p>x <a href="/y">y</a></p><ul><li>i</li></ul><a href="/z">Z</a><pre><code class="language-js">a &lt; b</code></pre><table><tr><td>1</td></tr><tr><td>2</td></tr></table><img src="/p.png" width="1600" height="100" alt="P">'
     out = md.to_markdown(html, "https://a.example.com/d")
-    assert "## Ab" in out and "x y" in out and "- i" in out and "[Z](https://a.example.com/z)" in out and "```js\na < b\n```" in out
+    assert "## Ab" in out and "x [y](https://a.example.com/y)" in out and "- i" in out and "[Z](https://a.example.com/z)" in out and "```js\na < b\n```" in out
     assert "| 1 |\n| --- |\n| 2 |" in out and 'width="800" height="50"' in out
 
 
+@pytest.mark.parametrize("html, want", [
+    ("", ""), (None, ""), ("<p></p>", ""), ("a  b\n c", "a b c"), ("<p>a<br>b</p>c", "a  \nb\n\nc"), ("<h3> x\n y </h3>", "### x y"),
+    ("<ol><li>a<ul><li>b</li></ul></li><li><p>c</p><p>d</p></li><li></li></ol>", "1. a\n\n   - b\n2. c\n\n   d"),
+    ("<blockquote>a<p>b</p></blockquote>", "> a\n>\n> b"), ("<pre>x\n```\n</pre>", "````\nx\n```\n````"), ("<code>a`b</code>", "``a`b``"),
+    ("<table><tr><th>A|B</th></tr><tr><td>1<table><tr><td>n</td></tr></table></td></tr></table>", "| A\\|B |\n| --- |\n| 1 \\| n \\| \\| --- \\| |"),
+    ("<script>x</script><p>a &lt;b&eacute;", "a <b\u00e9"), ('<img src="data:x"><img src="/q.png">', "![q_{0}.png](shared_assets/q_{0}.png)"), ("</p></ul>x", "x"),
+    ("<div>" * 3000 + "deep", "deep"),
+])
+def test_markdown_blocks(html, want):
+    digest = md.asset_name("https://a.example.com/q.png").split("_")[1].removesuffix(".png")
+    assert md.to_markdown(html, "https://a.example.com/d") == want.replace("{0}", digest)
+
+
 @pytest.mark.parametrize("text, want", [("2024-01-05", "2024-01-05"), ("2024-01-05T01:02:03Z", "2024-01-05"), ("on 03/04/2024", "2024-03-04"), ("04.03.2024", "2024-03-04"),
                                         ("March 4, 2024", None), ("2024-13-45", None), ("13/45/2024 or 04.03.2024", "2024-03-04"), ("", None)])
 def test_parse_date(spark, text, want):

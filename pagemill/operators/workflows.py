@@ -12,9 +12,12 @@ SCHEMA = (
     "nodes array<struct<name:string,type:string,typeVersion:int,parameters:map<string,string>,notes:string>>, "
     "connections map<string,map<string,array<struct<node:string>>>>, settings map<string,string>")
 
-# Prefix of built-in node types; a setting of the workflow system.
-BASE_PREFIX = "base-nodes."
-SCOPED_PREFIX = "@scope/"
+def _starts(kind: Column, prefixes: tuple[str, ...]) -> Column:
+    test = F.lit(False)
+    for p in prefixes:
+        test = test | kind.startswith(p.lower())
+    return test
+
 
 # Service names by node type in lower case.
 SERVICES = {
@@ -116,20 +119,26 @@ def trigger_type(nodes: Column, n_integrations: Column) -> Column:
     return F.when((F.size(nodes) > 10) & (n_integrations > 3), "Complex").otherwise(folded)
 
 
-def integrations(nodes: Column) -> Column:
-    """Sorted services of the nodes; a hint in the node name wins over the type."""
+def integrations(nodes: Column, built_in: tuple[str, ...] = (), scoped: tuple[str, ...] = ("@",)) -> Column:
+    """Sorted services of the nodes; a hint in the node name wins over the type.
+
+    built_in: type prefixes of the workflow system's own nodes; scoped: prefixes of
+    packaged ones. Types under either are looked up among the services.
+    """
     table = F.create_map(*[F.lit(x) for kv in SERVICES.items() for x in kv])
 
     def prepare(n: Column) -> Column:
         kind = F.lower(n["type"])
-        raw = F.when(kind.startswith(BASE_PREFIX), F.substring_index(kind, BASE_PREFIX, -1)).otherwise(F.substring_index(kind, ".", -1))
+        raw = F.substring_index(kind, ".", -1)
+        for p in built_in:
+            raw = F.when(kind.startswith(p.lower()), F.substr(kind, F.lit(len(p) + 1))).otherwise(raw)
         return F.struct(kind.alias("kind"), F.lower(n["name"]).alias("name"), F.replace(raw, F.lit("trigger"), F.lit("")).alias("raw"))
 
     def service(n: Column) -> Column:
         kind, name, raw = n["kind"], n["name"], n["raw"]
         known = F.when((raw == "") | raw.isin(*UTILITY_NODES), None).otherwise(F.coalesce(F.try_element_at(table, raw), F.initcap(raw)))
         custom = F.when(kind.contains("youtube"), "YouTube").when(kind.contains("telegram"), "Telegram").when(kind.contains("discord"), "Discord")
-        by_type = F.when(kind.startswith(BASE_PREFIX) | kind.startswith(SCOPED_PREFIX), known).when(kind.contains("-"), custom)
+        by_type = F.when(_starts(kind, built_in + scoped), known).when(kind.contains("-"), custom)
         hint = None
         for key, value in SERVICES.items():
             hint = F.when(name.contains(key), value) if hint is None else hint.when(name.contains(key), value)
@@ -163,10 +172,18 @@ def connection_count(connections: Column) -> Column:
     return F.coalesce(F.aggregate(sizes, F.lit(0), lambda a, n: a + n), F.lit(0)).cast("long")
 
 
-def analyze(df: DataFrame) -> DataFrame:
-    """Counts, types, stripped integrations, triggers, complexity, completeness."""
+def analyze(df: DataFrame, built_in: tuple[str, ...] = ()) -> DataFrame:
+    """Counts, types, stripped integrations, triggers, complexity, completeness.
+
+    built_in: type prefixes that are taken off for the integrations.
+    """
+    def bare(kind: Column) -> Column:
+        for p in built_in:
+            kind = F.replace(kind, F.lit(p), F.lit(""))
+        return F.replace(kind, F.lit("Trigger"), F.lit(""))
+
     types = F.filter(F.transform("nodes", lambda n: n["type"]), lambda t: t != "")
-    stripped = F.transform(types, lambda t: F.replace(F.replace(t, F.lit(BASE_PREFIX), F.lit("")), F.lit("Trigger"), F.lit("")))
+    stripped = F.transform(types, bare)
     triggers = F.transform(F.filter("nodes", lambda n: F.lower(n["type"]).contains("trigger") | (n["typeVersion"] == 1)), lambda n: n["type"])
     out = df.withColumns({
         "node_count": F.size("nodes").cast("long"), "connection_count": connection_count(F.col("connections")), "node_types": F.array_sort(F.array_distinct(types)),

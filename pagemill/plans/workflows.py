@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pagemill import scale
 from pagemill.functions import labels as lb
 from pagemill.operators import workflows as wf
 from pagemill.plans import sqlparts as sp
@@ -13,12 +12,15 @@ from pagemill.plans.registry import query, table
 from pagemill.plans.sqlparts import q
 from pagemill.session import materialize
 
-B = wf.BASE_PREFIX
+# Type prefix of the nodes that the documents below carry.
+B = "base-nodes."
 
 
 def files(spark, sf):
-    """Document texts. An order of more than 1000 lines would be cut into several
-    documents, so that no group grows without bound."""
+    """Document texts, one per order whatever its number of lines.
+
+    A document is one JSON row, so its lines meet in one place by nature.
+    """
     lines = table(spark, sf, "lineitem")
     no, flag, status = F.col("l_linenumber"), F.col("l_returnflag"), F.col("l_linestatus")
     kind = (
@@ -28,11 +30,11 @@ def files(spark, sf):
     node = F.struct(
         "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", F.concat(F.lit(B), kind).alias("type"),
         F.when(status == "F", 1).otherwise(2).alias("version"), F.when(F.col("l_discount") > 0.05, "discounted").otherwise("").alias("notes"))
-    cut = scale.bounded_groups(lines, "l_orderkey", ["l_partkey", "l_suppkey", "l_linenumber"])
-    grouped = cut.groupBy(F.col("l_orderkey").alias("o_orderkey"), "block").agg(F.array_sort(F.collect_list(node)).alias("n"))
-    # placed by the join key: the shuffle a large join needs anyway, and the JSON
-    # work below is spread even where the other side is small enough to broadcast
-    o = table(spark, sf, "orders").repartition("o_orderkey").join(grouped, "o_orderkey", "left")
+    grouped = lines.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.array_sort(F.collect_list(node)).alias("n"))
+    # placed by the join key with a given count: adaptive execution would merge the
+    # small shuffle, and few tasks would do the JSON work
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    o = table(spark, sf, "orders").repartition(parts, "o_orderkey").join(grouped, "o_orderkey", "left")
     n, key = F.coalesce(F.col("n"), F.array().cast(grouped.schema["n"].dataType)), F.col("o_orderkey").cast("string")
     step = lambda i: F.concat(F.lit("Node "), (i + 1).cast("string"))
     nodes = F.transform(n, lambda x, i: F.struct(
@@ -47,7 +49,7 @@ def files(spark, sf):
         key.alias("id"), name.alias("name"), (F.col("o_orderstatus") == "O").alias("active"), text.alias("description"), nodes.alias("nodes"), links.alias("connections"),
         F.create_map(F.lit("timezone"), F.lit("UTC"), F.lit("retries"), F.lit("3")).alias("settings")))
     tags = F.concat(F.lit('{"tags":["'), p, F.lit('",{"name":"'), F.col("o_orderstatus"), F.lit('"},{"id":7},{}],'))
-    return o.select("o_orderkey", F.coalesce("block", F.lit(0)).alias("block"), F.concat(key, F.lit("_order_http_api")).alias("stem"), F.concat(tags, F.substr(body, F.lit(2))).alias("json"))
+    return o.select("o_orderkey", F.concat(key, F.lit("_order_http_api")).alias("stem"), F.concat(tags, F.substr(body, F.lit(2))).alias("json"))
 
 
 def parsed(spark, sf):
@@ -55,7 +57,7 @@ def parsed(spark, sf):
 
 
 def enriched(spark, sf):
-    p = parsed(spark, sf).withColumn("services", wf.integrations(F.col("nodes")))
+    p = parsed(spark, sf).withColumn("services", wf.integrations(F.col("nodes"), (B,)))
     p = p.withColumns({"node_count": F.size("nodes").cast("long"), "trigger": wf.trigger_type(F.col("nodes"), F.size("services"))})
     return p.withColumn("complexity", wf.complexity_bucket(F.col("node_count")))
 
@@ -116,7 +118,7 @@ def clean_tags(spark, sf):
 @query("W8_analyze_workflow", _SRC + """ SELECT o_orderkey, node_count, connection_count, array_to_string(types, '|') AS node_types, array_to_string(stripped, '|') AS integrations, array_to_string(triggers, '|') AS trigger_types, least(1.0, (node_count + connection_count) / 50.0::DOUBLE)::DOUBLE AS complexity_score,
 greatest(0.0, round(1.0 - CASE WHEN json_name = '' THEN 0.2 ELSE 0 END - CASE WHEN description = '' THEN 0.3 ELSE 0 END - CASE WHEN node_count = 0 THEN 0.5 ELSE 0 END, 6))::DOUBLE AS completeness_score FROM w""")
 def analyze(spark, sf):
-    a = wf.analyze(parsed(spark, sf))
+    a = wf.analyze(parsed(spark, sf), (B,))
     return a.select("o_orderkey", "node_count", "connection_count", F.array_join("node_types", "|").alias("node_types"), F.array_join("stripped", "|").alias("integrations"),
                     F.array_join("trigger_types", "|").alias("trigger_types"), "complexity_score", "completeness_score")
 
@@ -127,7 +129,7 @@ WHEN list_has_any(stripped, ['slack', 'telegram']) THEN 'communication' WHEN lis
 
 @query("W9_categorize_workflow", _SRC + f" SELECT o_orderkey, {_CATEGORY} AS category FROM w")
 def categorize(spark, sf):
-    a = wf.analyze(parsed(spark, sf))
+    a = wf.analyze(parsed(spark, sf), (B,))
     return a.select("o_orderkey", wf.categorize(F.col("trigger_types"), F.col("stripped")).alias("category"))
 
 

@@ -37,17 +37,6 @@ def top_n_per_key(df: DataFrame, keys: list[str], order: list[Column], n: int, r
     return df.withColumn(rank, F.row_number().over(w)).filter(F.col(rank) <= n)
 
 
-def bounded_groups(df: DataFrame, key: str, salt: list[str], limit: int = 1000, block: str = "block") -> DataFrame:
-    """Adds a block number that cuts only the keys with more than `limit` rows.
-
-    The list of such keys is at most rows / limit long and is broadcast behind a
-    size check; all other keys keep block 0.
-    """
-    hot = df.groupBy(key).agg(F.count("*").alias("_n")).filter(F.col("_n") > limit)
-    part = F.pmod(F.xxhash64(*salt), F.ceil(F.col("_n") / (limit // 2)))
-    return df.join(maybe_broadcast(hot), key, "left").withColumn(block, F.coalesce(part, F.lit(0)).cast("long")).drop("_n")
-
-
 def first_per_key(df: DataFrame, keys: list[str], order: Column) -> DataFrame:
     """Row with the smallest order value per key, by a partial aggregate."""
     rest = [c for c in df.columns if c not in keys]

@@ -11,6 +11,7 @@ from pagemill import scale
 from pagemill.operators import activity as ac
 from pagemill.operators import folds
 from pagemill.operators import frontier as fr
+from pagemill.operators import knowledge as kn
 from pagemill.operators import merge as mg
 from pagemill.operators import search as se
 from pagemill.operators import vectors as ve
@@ -110,12 +111,26 @@ def test_exact_quantiles(spark):
         assert [row["a"], row["b"], row["c"]] == pytest.approx(list(np.quantile(values, [0.5, 0.95, 0.99])))
 
 
-def test_bounded_groups_keep_every_row(spark):
-    df = spark.range(5000).select(F.when(F.col("id") < 2500, 1).otherwise(F.col("id")).alias("k"), F.col("id").alias("v"))
-    out = scale.bounded_groups(df, "k", ["v"], 1000)
-    assert out.count() == 5000
-    assert out.groupBy("k", "block").count().agg(F.max("count")).first()[0] <= 1000
-    assert out.filter("k <> 1").agg(F.max("block")).first()[0] == 0
+def test_an_order_stays_one_document(spark, tmp_path):
+    from pagemill.plans import workflows as wp
+
+    o = spark.sql("SELECT 7L AS o_orderkey, 1L AS o_custkey, 'O' AS o_orderstatus, '2-HIGH' AS o_orderpriority")
+    line = spark.range(1, 5001).selectExpr(
+        "7L AS l_orderkey", "int(id) AS l_linenumber", "id AS l_partkey", "1L AS l_suppkey", "1.0D AS l_extendedprice", "0.0D AS l_discount", "'A' AS l_returnflag", "'F' AS l_linestatus")
+    o.write.parquet(str(tmp_path / "orders.parquet"))
+    line.write.parquet(str(tmp_path / "lineitem.parquet"))
+    rows = wp.parse_workflow(spark, str(tmp_path)).collect()
+    assert [(r["o_orderkey"], r["node_count"]) for r in rows] == [(7, 5000)]
+    assert wp.graph_edges(spark, str(tmp_path)).count() == 4999
+
+
+def test_fingerprint_and_labels_cover_every_row(spark):
+    f = spark.range(100).select("id", F.lit(5).alias("size"), F.lit(1).alias("m"))
+    was = kn.fingerprint(f, "id", F.col("size"), F.col("m")).first()["checksum"]
+    assert was == kn.fingerprint(f.orderBy(F.col("id").desc()).repartition(3), "id", F.col("size"), F.col("m")).first()["checksum"]
+    assert was != kn.fingerprint(f.withColumn("m", F.when(F.col("id") == 77, 2).otherwise(1)), "id", F.col("size"), F.col("m")).first()["checksum"]
+    v = spark.range(500).select(F.when(F.col("id") >= 400, F.col("id")).alias("label"))
+    assert tuple(ve.collection_stats(v, "label").first()) == (500, 100)
 
 
 def test_names_and_reachability(spark):
@@ -148,7 +163,7 @@ def test_vector_search(spark):
     for r in ve.bulk_top_k(df, "vec_id", q, "query_id", 5, block=7).collect():
         got[r["query_id"]][r["rank"]] = r["vec_id"]
     assert all([got[i][k] for k in range(1, 6)] == want[i] for i in range(1, 20))
-    near = ve.approx_top_k(ve.signatures(df, "vec_id"), "vec_id", q, "query_id", 5).collect()
+    near = ve.approx_top_k(ve.signatures(df, "vec_id"), df, "vec_id", q, "query_id", 5).collect()
     found = defaultdict(set)
     for r in near:
         found[r["query_id"]].add(r["vec_id"])

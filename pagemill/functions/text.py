@@ -64,6 +64,16 @@ def unescape_all(texts: pd.Series) -> pd.Series:
     return texts.map(html.unescape, na_action="ignore")
 
 
+# Entities beyond the common ones.
+OTHER_ENTITY = "&(?!(?:" + "|".join(e[1:-1] for e, _ in ENTITIES) + ");)(?:#[0-9xX]|[A-Za-z][A-Za-z0-9]{1,31};)"
+
+
+def decode_all(c: Column) -> Column:
+    """Every HTML entity; only texts with one beyond the common ones go to Python."""
+    rare = c.rlike(OTHER_ENTITY)
+    return F.when(rare, unescape_all(F.when(rare, c))).otherwise(decode_entities(c))
+
+
 @F.pandas_udf(T.StringType())
 def nfkc(texts: pd.Series) -> pd.Series:
     """Unicode compatibility form; Catalyst has no such function."""
@@ -85,8 +95,8 @@ def paragraph_count(c: Column) -> Column:
 
 def clean_text(c: Column, remove_html: bool = True, normalize_whitespace: bool = True,
                preserve_urls: bool = False, preserve_emails: bool = False,
-               full_entities: bool = False) -> Column:
-    c = unescape_all(c) if full_entities else decode_entities(c)
+               full_entities: bool = True) -> Column:
+    c = decode_all(c) if full_entities else decode_entities(c)
     if remove_html:
         c = F.regexp_replace(c, TAG_PATTERN, " ")
     if not preserve_urls:

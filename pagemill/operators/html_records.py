@@ -17,6 +17,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pagemill.functions import text as tx
 
@@ -393,6 +394,45 @@ def first_date(candidates: Column) -> Column:
     return F.try_element_at(F.filter(F.transform(candidates, parse_date), lambda d: d.isNotNull()), F.lit(1))
 
 
+def _classes(selector) -> set[str]:
+    return {selector[1]} if selector[0] == "class" else _classes(selector[1]) if selector[0] == "inside" else set()
+
+
+_SELECTORS = NOISE + TITLE + CONTENT + AUTHOR + PUBLISHED + TAGS
+_CLASS_NAMES = "|".join(sorted(set().union(*map(_classes, _SELECTORS))))
+# Markup on which a selector beyond element names can match, or a rarer entity occurs.
+NEEDS_TREE = (
+    rf"(?is)<[^>]*\bclass\s*=[^>]*(?<![\w-])(?:{_CLASS_NAMES})(?![\w-])"
+    r"|<[^>]*\b(?:name|property|rel|role)\s*=\s*[\"']?[^>]*(?:author|date|keywords|published_time|tag|main)"
+    r"|<[^>]*\bdatetime\s*=|<[^>]*\bstyle\s*=[^>]*(?:display: none|visibility: hidden)|" + tx.OTHER_ENTITY)
+_HEADING = T.StructType().add("level", "long").add("text", "string")
+TREE_FIELDS = T.StructType().add("found", "boolean")
+for _name in ("title", "description", "main_content", "language", "author"):
+    TREE_FIELDS = TREE_FIELDS.add(_name, "string")
+for _name in ("has_code", "has_tables", "has_lists", "has_images"):
+    TREE_FIELDS = TREE_FIELDS.add(_name, "boolean")
+for _name in ("published_candidates", "tags"):
+    TREE_FIELDS = TREE_FIELDS.add(_name, T.ArrayType(T.StringType()))
+TREE_FIELDS = TREE_FIELDS.add("headings", T.ArrayType(_HEADING))
+
+
+def needs_tree(html: Column) -> Column:
+    return F.coalesce(html.rlike(NEEDS_TREE), F.lit(False))
+
+
+@F.pandas_udf(TREE_FIELDS)
+def tree_fields(markup: pd.Series, url: pd.Series) -> pd.DataFrame:
+    """The scored fields of a page; a null page is not found."""
+    names, rows = TREE_FIELDS.names, []
+    for m, u in zip(markup, url):
+        r = {} if m is None else full_record(m, u or "")
+        if r:
+            r |= {"found": True, "headings": [{"level": h["level"], "text": h["text"]} for h in r["headings"]]}
+            r |= {f"has_{k}": bool(r[v]) for k, v in (("code", "code_blocks"), ("tables", "tables"), ("lists", "lists"), ("images", "images"))}
+        rows.append({n: r.get(n) for n in names})
+    return pd.DataFrame(rows, columns=names, dtype=object)
+
+
 def extract_full(pages: DataFrame, metadata_first: bool = False) -> DataFrame:
     raw = _apply(pages, lambda m, u: full_record(m, u, metadata_first), FULL_FIELDS)
     return raw.withColumns({

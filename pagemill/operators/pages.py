@@ -1,4 +1,4 @@
-"""Page records from raw HTML with built-in functions only."""
+"""Page records from raw HTML: built-in functions, and the tree pass where they cannot decide."""
 
 from __future__ import annotations
 
@@ -9,39 +9,50 @@ from pagemill import scale
 from pagemill.functions import html as hx
 from pagemill.functions import quality as qx
 from pagemill.functions import text as tx
+from pagemill.operators import html_records as hr
 
 
 def extract_basic(pages: DataFrame) -> DataFrame:
-    """One structured record per page; narrow, whole-stage generated.
+    """One structured record per page; narrow, without a shuffle.
 
     Noise goes first, so text, headings and description never see it. Links and
-    lists are read from the untouched page.
+    lists are read from the untouched page. Pages on which a class, role, style or
+    author selector can match, or with rarer entities, take their fields from the tree
+    pass; all others stay with the expressions and have no author, date or tags.
     """
-    clean = F.col("_clean")
+    clean, html, tree = F.col("_clean"), F.col("html"), F.col("_tree")
+    own = lambda name, c: F.when(tree["found"], tree[name]).otherwise(c).alias(name)
     # Each costly part is a column of its own, read by name afterwards, so that no
     # regular expression runs twice; the literal tests skip pages without the tag.
-    staged = pages.withColumn("_clean", hx.remove_noise(F.col("html"))).withColumns({
+    staged = pages.withColumn("_marked", hr.needs_tree(html)).withColumns({
+        "_tree": hr.tree_fields(F.when(F.col("_marked"), html), F.col("url")),
+        "_clean": F.when(~F.col("_marked"), hx.remove_noise(html)),
+    }).withColumns({
         "_h1": hx.first_text(clean, "h1"), "_lead": hx.first_text(clean, "p"),
         "_main": F.when(clean.rlike("(?i)<main"), hx.region_text(clean, "main")).otherwise(""),
         "_article": F.when(clean.rlike("(?i)<article"), hx.region_text(clean, "article")).otherwise(""),
-        "headings": hx.headings(clean), "raw_links": hx.raw_links(F.col("html")),
+        "headings": F.when(tree["found"], tree["headings"]).otherwise(hx.headings(clean)), "raw_links": hx.raw_links(html),
     })
     lead = F.col("_lead")
     return staged.select(
         "page_id", "url",
-        F.when(F.col("_h1") != "", F.col("_h1")).otherwise(hx.title_without_h1(clean)).alias("title"),
-        hx.description_or(clean, lead).alias("description"),
-        F.when(tx.word_count(F.col("_main")) > 20, F.col("_main")).when(tx.word_count(F.col("_article")) > 20, F.col("_article"))
-        .otherwise(hx.region_text(clean, "body")).alias("main_content"),
-        hx.language(clean).alias("language"), "headings", "raw_links",
-        hx.has_element(clean, "pre").alias("has_code"), hx.has_element(clean, "table").alias("has_tables"),
-        (hx.has_element(clean, "ul") | hx.has_element(clean, "ol")).alias("has_lists"), hx.has_element(clean, "img").alias("has_images"),
+        own("title", F.when(F.col("_h1") != "", F.col("_h1")).otherwise(hx.title_without_h1(clean))),
+        own("description", hx.description_or(clean, lead)),
+        own("main_content", F.when(tx.word_count(F.col("_main")) > 20, F.col("_main")).when(tx.word_count(F.col("_article")) > 20, F.col("_article"))
+            .otherwise(hx.region_text(clean, "body"))),
+        own("language", hx.language(clean)), "headings", "raw_links",
+        own("has_code", hx.has_element(clean, "pre")), own("has_tables", hx.has_element(clean, "table")),
+        own("has_lists", hx.has_element(clean, "ul") | hx.has_element(clean, "ol")), own("has_images", hx.has_element(clean, "img")),
+        tree["author"].alias("author"), hr.first_date(tree["published_candidates"]).alias("published"),
+        F.coalesce(tree["tags"], F.array().cast("array<string>")).alias("tags"),
         F.transform("headings", lambda h: h["level"]).alias("heading_levels"),
     )
 
 
 def assess_pages(pages: DataFrame) -> DataFrame:
-    return qx.assess(extract_basic(pages), lists="has_lists", tables="has_tables", code="has_code")
+    record = extract_basic(pages).withColumns({
+        "has_author": F.coalesce(F.col("author"), F.lit("")) != "", "has_published": F.col("published").isNotNull(), "has_tags": F.size("tags") > 0})
+    return qx.assess(record, lists="has_lists", tables="has_tables", code="has_code", author="has_author", published="has_published", tags="has_tags")
 
 
 def processing_gates(assessed: DataFrame, min_quality: float = 40.0, min_words: int = 50, max_words: int = 50000) -> DataFrame:

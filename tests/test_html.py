@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pagemill.functions import urls as ux
 from pagemill.operators import html_records as hr
 from pagemill.operators import markdown as md
+from pagemill.operators import pages as px
 
 PAGE = """<html lang="DE-de"><head><title>T</title><meta name="author" content="Ann"><meta name="keywords" content="a, b,,a">
 <meta property="og:description" content="About"><meta property="article:published_time" content="2024-03-01T10:00:00Z">
@@ -99,3 +100,47 @@ def test_resolve_matches_the_standard_join(spark):
                                        ("http://a.example.com:8080/", "http://a.example.com:8080/"), ("https://a.example.com/?b&a=", "https://a.example.com/?a=&b=")])
 def test_normalize_url(spark, url, want):
     assert spark.createDataFrame([(url,)], "u string").select(ux.normalize_url(F.col("u")).alias("x")).first()["x"] == want
+
+
+WORDS = " ".join(f"word{i}" for i in range(30))
+MARKED = {
+    "author": ('<meta name="author" content="Ann Example">', ""),
+    "byline": ("", '<p class="byline">By Bo</p>'),
+    "date": ('<meta property="article:published_time" content="2024-03-05T10:00:00Z">', ""),
+    "tags": ('<meta name="keywords" content="one, two">', ""),
+    "noise": ("", '<div class="sidebar">menu words</div><div style="display: none">unseen</div>'),
+    "role": ("", f'<div role="main"><p>{WORDS} inside</p></div>'),
+    "entities": ("", "<p>caf&eacute; &#8217;s</p>"),
+    "plain": ("", "<ul><li>item</li></ul><p>fish &amp; chips</p>"),
+}
+
+
+def marked_pages(spark):
+    rows = [(i, f"http://h/{k}", f"<html><head><title>T{i}</title>{head}</head><body><h1>Head {i}</h1><h2>Part</h2><p>{WORDS}</p>{body}</body></html>") for i, (k, (head, body)) in enumerate(MARKED.items())]
+    return spark.createDataFrame([*rows, (99, "http://h/none", None)], "page_id long, url string, html string")
+
+
+def test_records_follow_the_tree_where_selectors_can_match(spark):
+    pages = marked_pages(spark)
+    got = {r["page_id"]: r for r in px.extract_basic(pages).collect()}
+    want = {r["page_id"]: r for r in hr.extract_full(pages.filter("html IS NOT NULL")).collect()}
+    for i, w in want.items():
+        for field in ("title", "description", "main_content", "author", "tags", "published", "language"):
+            assert got[i][field] == w[field], (i, field)
+        assert [(h["level"], h["text"]) for h in got[i]["headings"]] == [(h["level"], h["text"]) for h in w["headings"]]
+        assert got[i]["has_lists"] == bool(w["lists"])
+    names = list(MARKED)
+    assert got[names.index("noise")]["main_content"].endswith("word29") and "café ’s" in got[names.index("entities")]["main_content"]
+    assert got[99]["title"] in (None, "")
+    plain = pages.filter(~hr.needs_tree(F.col("html")))
+    assert {r["url"] for r in plain.collect()} == {"http://h/plain", "http://h/none"}
+
+
+def test_authors_dates_and_tags_count_in_the_scores(spark):
+    got = {r["url"].rsplit("/", 1)[1]: r for r in px.assess_pages(marked_pages(spark)).collect()}
+    bare = got["plain"]
+    assert "Missing author information" in bare["warnings"] and "Missing publication date" in bare["warnings"]
+    for name in ("author", "byline"):
+        assert "Missing author information" not in got[name]["warnings"]
+    assert "Missing publication date" not in got["date"]["warnings"]
+    assert got["tags"]["structure_score"] > got["noise"]["structure_score"]

@@ -40,7 +40,8 @@ def test_clean_text_switches(spark):
     s = "<b>Hi</b> &amp; see http://x.y/z or me@x.org"
     assert one(spark, s, tx.clean_text(c)) == "Hi & see [URL] or [EMAIL]"
     assert one(spark, s, tx.clean_text(c, preserve_urls=True, preserve_emails=True)) == "Hi & see http://x.y/z or me@x.org"
-    assert one(spark, "&hellip;&eacute;", tx.clean_text(c, full_entities=True)) == "…é"
+    assert one(spark, "&hellip;&eacute;", tx.clean_text(c)) == "…é" and one(spark, "&#8217;&amp;", tx.clean_text(c)) == "’&"
+    assert one(spark, "&hellip;&amp;", tx.clean_text(c, full_entities=False)) == "&hellip;&"
     assert one(spark, "ﬁ ½", tx.clean_processed_text(c)) == "fi 1⁄2"
 
 

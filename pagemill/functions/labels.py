@@ -101,9 +101,11 @@ def category_confidence(category: Column, content: Column) -> Column:
     return F.least(F.lit(1.0), score)
 
 
-def secondary_categories(content: Column, n: int = 3) -> Column:
+def secondary_categories(content: Column, n: int | None = None) -> Column:
+    """Labels in the order of the categories: all, or the first n."""
     low = F.lower(content)
-    return F.slice(F.array_compact(F.array(*[F.when(tx.contains_any(low, ks), name) for name, ks in CATEGORIES])), 1, n)
+    found = F.array_compact(F.array(*[F.when(tx.contains_any(low, ks), name) for name, ks in CATEGORIES]))
+    return found if n is None else F.slice(found, 1, n)
 
 
 def content_tags(content: Column) -> Column:
@@ -161,13 +163,13 @@ def page_type_metadata(content: Column, heading_texts: Column) -> dict[str, Colu
     return {
         "node_type": F.when(low.contains("trigger node"), "trigger").when(low.contains("regular node"), "regular"),
         "credentials_required": tx.contains_any(low, CREDENTIAL_WORDS),
-        "operations": F.slice(F.filter(heading_texts, lambda h: tx.contains_any(F.lower(h), OPERATION_WORDS)), 1, 10),
+        "operations": F.filter(heading_texts, lambda h: tx.contains_any(F.lower(h), OPERATION_WORDS)),
         "has_workflow_json": low.contains("workflow.json") | content.contains('"nodes":'),
         "node_count": F.when(mentions > 10, mentions).otherwise(0).cast("long"),
         "workflow_complexity": F.when(mentions > 20, "complex").when(mentions > 10, "medium").otherwise("simple"),
-        "use_cases": F.slice(F.filter(heading_texts, lambda h: tx.contains_any(F.lower(h), USE_CASE_WORDS)), 1, 5),
+        "use_cases": F.filter(heading_texts, lambda h: tx.contains_any(F.lower(h), USE_CASE_WORDS)),
         "methods": F.array_sort(F.array_distinct(F.regexp_extract_all(content, F.lit(HTTP_METHODS), F.lit(1)))),
-        "endpoints": F.slice(F.array_sort(F.array_distinct(F.regexp_extract_all(content, F.lit(ENDPOINT), F.lit(0)))), 1, 10),
+        "endpoints": F.array_sort(F.array_distinct(F.regexp_extract_all(content, F.lit(ENDPOINT), F.lit(0)))),
         "response_formats": F.array_compact(F.array(F.when(low.contains("json"), "json"), F.when(low.contains("xml"), "xml"))),
     }
 

@@ -83,10 +83,11 @@ def access_counters(events: DataFrame, key: str, ts: str) -> DataFrame:
     return events.groupBy(key).agg(F.count("*").alias("access_count"), F.max(ts).alias("last_accessed"))
 
 
-def history_blocks(turns: DataFrame, key: str, turn: str, fields: list[str], block: int = 1000) -> DataFrame:
-    """Ordered turns per session in blocks of bounded length."""
-    part = turns.withColumn("block", F.floor(F.col(turn) / block).cast("long"))
-    return part.groupBy(key, "block").agg(F.array_sort(F.collect_list(F.struct(turn, *fields))).alias("turns"))
+def history_blocks(turns: DataFrame, key: str, turn: str, fields: list[str], block: int | None = None) -> DataFrame:
+    """The ordered turns of each session; with `block`, in rows of so many turns."""
+    if block is not None:
+        turns = turns.withColumn("block", F.floor(F.col(turn) / block).cast("long"))
+    return turns.groupBy(key, *([] if block is None else ["block"])).agg(F.array_sort(F.collect_list(F.struct(turn, *fields))).alias("turns"))
 
 
 def question_answer_pairs(turns: DataFrame, key: str, turn: str, role: str, text: str) -> DataFrame:

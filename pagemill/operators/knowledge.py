@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,14 +35,15 @@ def category_from_name(name: Column) -> tuple[Column, Column]:
     return F.coalesce(F.try_element_at(names, head), F.initcap(head)), F.when(F.size(parts) > 1, rest).otherwise("general")
 
 
-def domain_tags(content: Column, title: Column, category: Column, subcategory: Column, n: int = 10) -> Column:
-    """Category, subcategory, node names and known words: sorted, first n kept."""
+def domain_tags(content: Column, title: Column, category: Column, subcategory: Column, n: int | None = None) -> Column:
+    """Category, subcategory, node names and known words, sorted: all, or the first n."""
     low = F.concat_ws(" ", F.lower(content), F.lower(title))
     tokens = F.regexp_extract_all(low, F.lit(tx.WORD_CHAR + "+"), F.lit(0))
     known = F.array_intersect(tokens, F.array(*[F.lit(w) for w in TAG_WORDS]))
     nodes = F.when(low.contains("node"), F.regexp_extract_all(low, F.lit(NODE_NAME), F.lit(1))).otherwise(F.array().cast("array<string>"))
     found = F.array_distinct(F.concat(F.array(F.lower(category), F.lower(subcategory)), nodes, known))
-    return F.slice(F.array_sort(F.filter(found, lambda t: (F.length(t) > 2) & ~t.isin(*TAG_STOP_WORDS))), 1, n)
+    tags = F.array_sort(F.filter(found, lambda t: (F.length(t) > 2) & ~t.isin(*TAG_STOP_WORDS)))
+    return tags if n is None else F.slice(tags, 1, n)
 
 
 def chunk_metadata(content: Column) -> dict[str, Column]:
@@ -115,12 +118,14 @@ def processing_stats(chunks: DataFrame, processed: DataFrame, n_files: DataFrame
 
 
 def fingerprint(files: DataFrame, name: str, size: Column, mtime: Column) -> DataFrame:
-    """md5 over count, total size and the times of the first ten names."""
-    totals = files.agg(F.count("*").alias("file_count"), F.sum(size).alias("total_size"))
-    head = files.select(F.col(name).alias("k"), mtime.cast("string").alias("t")).orderBy("k").limit(10)
-    times = head.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "t"))), lambda s: s["t"]), ":").alias("times"))
-    one = totals.unionByName(times, allowMissingColumns=True).agg(*[F.max(c).alias(c) for c in ("file_count", "total_size", "times")])
-    text = F.concat_ws(":", F.col("file_count").cast("string"), F.col("total_size").cast("string"), F.col("times"))
+    """md5 over count, total size and the sum of a hash of every name and time.
+
+    The sum does not depend on order, so it is combined on the map side.
+    """
+    named = F.md5(F.encode(F.concat_ws(":", F.col(name).cast("string"), mtime.cast("string")), "UTF-8"))
+    hashed = F.conv(F.substring(named, 1, 15), 16, 10).cast("decimal(38,0)")
+    one = files.agg(F.count("*").alias("file_count"), F.sum(size).alias("total_size"), F.sum(hashed).cast("string").alias("names"))
+    text = F.concat_ws(":", F.col("file_count").cast("string"), F.col("total_size").cast("string"), F.col("names"))
     return one.select("file_count", "total_size", F.md5(F.encode(text, "UTF-8")).alias("checksum"))
 
 
@@ -128,16 +133,19 @@ def is_stale(current: dict, stored: dict, age_hours: float, limit_hours: float =
     return age_hours > limit_hours or any(current[k] != stored[k] for k in ("file_count", "checksum"))
 
 
-def with_hooks(df: DataFrame, before: list, build, after: list) -> DataFrame:
-    """User stages around a build step. A stage that cannot be planned is left out."""
+def with_hooks(df: DataFrame, before: list, build, after: list, left_out: list | None = None) -> DataFrame:
+    """User stages around a build step. A stage that cannot be planned is left out with
+    a warning; its error is added to `left_out` where that list is given."""
     def run(frame: DataFrame, stages: list) -> DataFrame:
         for stage in stages:
             try:
                 nxt = frame.transform(stage)
                 nxt.schema  # noqa: B018  (analysis happens here)
                 frame = nxt
-            except Exception:  # noqa: BLE001
-                continue
+            except Exception as e:  # noqa: BLE001
+                warnings.warn(f"stage left out: {e}", stacklevel=2)
+                if left_out is not None:
+                    left_out.append(e)
         return frame
 
     return run(build(run(df, before)), after)

@@ -13,14 +13,15 @@ def chunks_of_type(chunks: DataFrame, documents: DataFrame, key: str, kind: str)
     return chunks.join(documents.filter(F.col("document_type") == kind).select(key), key)
 
 
-def documents_with_chunks(documents: DataFrame, chunks: DataFrame, key: str, index: str, fields: list[str], block: int = 1000) -> DataFrame:
-    """Ordered chunk lists per document, in blocks of at most `block` index values.
+def documents_with_chunks(documents: DataFrame, chunks: DataFrame, key: str, index: str, fields: list[str], block: int | None = None) -> DataFrame:
+    """The ordered chunk list of each document, one row per document.
 
-    A document with very many chunks becomes several rows, so neither a task nor
-    a row ever holds an unbounded list.
+    With `block`, a list comes in rows (key, block) of at most so many index values,
+    for documents whose chunks do not fit one row.
     """
-    blocks = chunks.withColumn("block", F.floor((F.col(index) - 1) / block).cast("long"))
-    lists = blocks.groupBy(key, "block").agg(F.array_sort(F.collect_list(F.struct(index, *fields))).alias("chunks"))
+    if block is not None:
+        chunks = chunks.withColumn("block", F.floor((F.col(index) - 1) / block).cast("long"))
+    lists = chunks.groupBy(key, *([] if block is None else ["block"])).agg(F.array_sort(F.collect_list(F.struct(index, *fields))).alias("chunks"))
     return documents.join(lists, key, "left")
 
 

@@ -55,12 +55,12 @@ PRACTICE_WORDS = ("best practice", "recommendation", "tip", "should", "avoid")
 
 
 def lookup_words(df: DataFrame, words: list[str], key: str, n: int, snippet: int, title_words: tuple[str, ...] = ()) -> DataFrame:
-    """First n rows holding any word; then, if asked, only those whose title fits."""
+    """First n rows holding any word and, if asked, one of the title words."""
     pattern = "|".join(re.escape(w.lower()) for w in words)
-    found = df.filter(F.lower("content").rlike(pattern)).orderBy(key).limit(n)
+    found = df.filter(F.lower("content").rlike(pattern))
     if title_words:
         found = found.filter(tx.contains_any(F.lower("title"), title_words))
-    return found.select(key, "title", F.concat(F.substring("content", 1, snippet), F.lit("...")).alias("snippet"))
+    return found.orderBy(key).limit(n).select(key, "title", F.concat(F.substring("content", 1, snippet), F.lit("...")).alias("snippet"))
 
 
 def idf(n: float, df: float) -> float:

@@ -159,7 +159,8 @@ def bulk_top_k(corpus: DataFrame, key: str, queries: DataFrame, query_key: str,
 
 
 def signatures(df: DataFrame, key: str, tables: int = 8, bits: int = 6, vector: str = "embedding", seed: int = 7) -> DataFrame:
-    """Index rows (key, table, sig, vector): sign bits of random projections."""
+    """Index rows (key, table, sig): sign bits of random projections. The vectors
+    stay in their own table."""
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         planes = None
         for frame in frames:
@@ -170,22 +171,21 @@ def signatures(df: DataFrame, key: str, tables: int = 8, bits: int = 6, vector:
                 planes = np.random.default_rng(seed).standard_normal((m.shape[1], tables * bits))
             sign = (m @ planes > 0).reshape(len(m), tables, bits)
             sig = (sign * (1 << np.arange(bits))).sum(axis=2)
-            yield pd.DataFrame({key: np.repeat(frame[key].to_numpy(), tables), "table": np.tile(np.arange(tables), len(m)), "sig": sig.ravel(),
-                                vector: [v for v in frame[vector] for _ in range(tables)]})
+            yield pd.DataFrame({key: np.repeat(frame[key].to_numpy(), tables), "table": np.tile(np.arange(tables), len(m)), "sig": sig.ravel()})
 
-    return df.select(key, vector).mapInPandas(run, f"{key} {df.schema[key].dataType.simpleString()}, table int, sig int, {vector} array<float>")
+    return df.select(key, vector).mapInPandas(run, f"{key} {df.schema[key].dataType.simpleString()}, table int, sig int")
 
 
-def approx_top_k(index: DataFrame, key: str, queries: DataFrame, query_key: str, k: int = 5, vector: str = "embedding", **settings) -> DataFrame:
-    """Candidates share a signature with the query, or differ in one bit; they are
-    scored exactly. Only (query, candidate) pairs arise, never pairs of a bucket."""
-    bits = settings.get("bits", 6)
-    probes = signatures(queries.select(F.col(query_key).alias("q"), vector), "q", vector=vector, **settings).withColumnRenamed(vector, "qv")
+def approx_top_k(index: DataFrame, corpus: DataFrame, key: str, queries: DataFrame, query_key: str, k: int = 5, vector: str = "embedding", **settings) -> DataFrame:
+    """Candidates share a signature with the query, or differ in one bit; each is met
+    once, joined to its vector once and scored exactly. Only (query, candidate) pairs
+    arise, never pairs of a bucket."""
+    bits, asked = settings.get("bits", 6), queries.select(F.col(query_key).alias("q"), F.col(vector).alias("qv"))
     flips = F.array(F.col("sig"), *[F.col("sig").bitwiseXOR(F.lit(1 << b)) for b in range(bits)])
-    probes = probes.select("q", "table", "qv", F.explode(flips).alias("sig"))
-    pairs = index.join(scale.maybe_broadcast(probes), ["table", "sig"]).select(F.col("q").alias(query_key), key, _arrow_cosine(F.col(vector), F.col("qv")).alias("score"))
-    once = pairs.groupBy(query_key, key).agg(F.max("score").alias("score"))
-    return scale.top_n_per_key(once, [query_key], [F.col("score").desc(), F.col(key)], k)
+    probes = signatures(asked, "q", vector="qv", **settings).select("q", "table", F.explode(flips).alias("sig"))
+    met = index.join(probes, ["table", "sig"]).select("q", key).distinct()
+    scored = met.join(corpus.select(key, vector), key).join(asked, "q").select(F.col("q").alias(query_key), key, _arrow_cosine(F.col(vector), F.col("qv")).alias("score"))
+    return scale.top_n_per_key(scored, [query_key], [F.col("score").desc(), F.col(key)], k)
 
 
 @F.pandas_udf(T.DoubleType())
@@ -217,8 +217,7 @@ def delete_rows(store: DataFrame, keys: DataFrame | None = None, key: str = "vec
     return out if where is None else out.filter(~F.coalesce(where, F.lit(False)))
 
 
-def collection_stats(df: DataFrame, key: str, label: str, sample: int = 100) -> DataFrame:
-    """Row count, and the distinct labels of the first `sample` rows by key."""
-    total = df.agg(F.count("*").alias("total"))
-    head = df.select(key, label).orderBy(key).limit(sample).agg(F.count_distinct(label).alias("sample_labels"))
-    return total.unionByName(head, allowMissingColumns=True).agg(F.max("total").alias("total"), F.max("sample_labels").alias("sample_labels"))
+def collection_stats(df: DataFrame, label: str) -> DataFrame:
+    """Row count and number of distinct labels of the whole collection."""
+    per = df.groupBy(label).agg(F.count("*").alias("_n"))
+    return per.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("total"), F.count(label).alias("labels"))

@@ -116,10 +116,10 @@ def access_counters(spark, sf):
     return ac.access_counters(table(spark, sf, "events"), "user_id", "ts")
 
 
-@query("Z12_conversation_history", "SELECT conv_id, turn // 1000 AS block, string_agg(role || ':' || md5(text), ',' ORDER BY turn) AS turns FROM conversations GROUP BY ALL")
+@query("Z12_conversation_history", "SELECT conv_id, string_agg(role || ':' || md5(text), ',' ORDER BY turn) AS turns FROM conversations GROUP BY ALL")
 def conversation_history(spark, sf):
     c = table(spark, sf, "conversations").withColumn("h", F.md5(F.encode("text", "UTF-8")))
-    return ac.history_blocks(c, "conv_id", "turn", ["role", "h"]).select("conv_id", "block", F.array_join(F.transform("turns", lambda t: F.concat_ws(":", t["role"], t["h"])), ",").alias("turns"))
+    return ac.history_blocks(c, "conv_id", "turn", ["role", "h"]).select("conv_id", F.array_join(F.transform("turns", lambda t: F.concat_ws(":", t["role"], t["h"])), ",").alias("turns"))
 
 
 @query("Z12_question_answer_pairs", "WITH l AS (SELECT *, lag(role) OVER w AS prev_role, lag(text) OVER w AS question FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) SELECT conv_id, turn, question, text AS answer FROM l WHERE role = 'assistant' AND prev_role = 'user'")

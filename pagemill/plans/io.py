@@ -53,7 +53,7 @@ def scan_csv(spark, sf):
     return files.scan_csv(spark, path, columns)
 
 
-@query("S5_scan_log_text", "WITH l AS (SELECT 'event ' || event_id || CASE event_type WHEN 'error' THEN ' ERROR' ELSE ' INFO' END || ' user ' || user_id AS value FROM events ORDER BY ts DESC, event_id DESC LIMIT 200) SELECT value FROM l WHERE contains(value, 'ERROR')")
+@query("S5_scan_log_text", "WITH l AS (SELECT 'event ' || event_id || CASE event_type WHEN 'error' THEN ' ERROR' ELSE ' INFO' END || ' user ' || user_id AS value FROM events WHERE event_type = 'error' ORDER BY ts DESC, event_id DESC LIMIT 200) SELECT value FROM l")
 def scan_log(spark, sf):
     path = folder(spark, "log-text")
     line = F.concat(F.lit("event "), F.col("event_id").cast("string"), F.when(F.col("event_type") == "error", " ERROR").otherwise(" INFO"), F.lit(" user "), F.col("user_id").cast("string"))

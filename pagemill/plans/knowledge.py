@@ -38,7 +38,7 @@ def _tags_sql(content: str, title: str, cat: str, sub: str) -> str:
     low = f"(lower({content}) || ' ' || lower({title}))"
     known = f"list_filter(regexp_extract_all({low}, {q(tx.WORD_CHAR + '+')}), lambda w: w IN ({', '.join(map(q, kn.TAG_WORDS))}))"
     found = f"list_distinct(list_concat([lower({cat}), lower({sub})], list_concat(regexp_extract_all({low}, {q(kn.NODE_NAME)}, 1), {known})))"
-    return f"list_sort(list_filter({found}, lambda t: length(t) > 2 AND t NOT IN ({', '.join(map(q, kn.TAG_STOP_WORDS))})))[1:10]"
+    return f"list_sort(list_filter({found}, lambda t: length(t) > 2 AND t NOT IN ({', '.join(map(q, kn.TAG_STOP_WORDS))})))"
 
 
 _CLEANED = sp.squash(f"regexp_replace(regexp_replace(main_content, {q(tx.WS + '+')}, ' ', 'g'), {q(tx.TAG_PATTERN)}, '', 'g')")
@@ -98,8 +98,8 @@ def processing_stats(spark, sf):
     return kn.processing_stats(chunks, d.filter("lang = 'en'").select(F.col("doc_id").alias("processed_at")), d, 60.0)
 
 
-@query("K8_source_fingerprint", """WITH h AS (SELECT array_to_string(list(t ORDER BY o_orderkey), ':') AS times FROM (SELECT o_orderkey, (epoch(o_orderdate)::BIGINT)::VARCHAR AS t FROM orders ORDER BY o_orderkey LIMIT 10)),
-t AS (SELECT count(*) AS file_count, sum(length(o_orderpriority))::BIGINT AS total_size FROM orders) SELECT file_count, total_size, md5(file_count || ':' || total_size || ':' || times) AS checksum FROM t, h""")
+@query("K8_source_fingerprint", """WITH t AS (SELECT count(*) AS file_count, sum(length(o_orderpriority))::BIGINT AS total_size,
+sum(('0x' || substr(md5(o_orderkey || ':' || epoch(o_orderdate)::BIGINT), 1, 15))::BIGINT)::VARCHAR AS names FROM orders) SELECT file_count, total_size, md5(file_count || ':' || total_size || ':' || names) AS checksum FROM t""")
 def fingerprint(spark, sf):
     o = table(spark, sf, "orders")
     return kn.fingerprint(o, "o_orderkey", F.length("o_orderpriority"), F.unix_seconds(F.col("o_orderdate").cast("timestamp")))

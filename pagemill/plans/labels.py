@@ -77,7 +77,7 @@ def primary_category(spark, sf):
         "doc_id", "category", F.round(lb.category_confidence(F.col("category"), F.col("text")), 6).alias("confidence"))
 
 
-_SECONDARY = "list_filter([" + ", ".join(f"CASE WHEN {sp.any_of('lower(text)', ks)} THEN {q(n)} END" for n, ks in lb.CATEGORIES) + "], lambda x: x IS NOT NULL)[1:3]"
+_SECONDARY = "list_filter([" + ", ".join(f"CASE WHEN {sp.any_of('lower(text)', ks)} THEN {q(n)} END" for n, ks in lb.CATEGORIES) + "], lambda x: x IS NOT NULL)"
 _TAGS = "list_filter([" + ", ".join(f"CASE WHEN {sp.any_of('lower(text)', ps)} THEN {q(n)} END" for n, ps in lb.TAG_PATTERNS) + "], lambda x: x IS NOT NULL)"
 _DIFF = f"CASE WHEN {_COMPLEX} < 0.3 THEN 'beginner' WHEN {_COMPLEX} < 0.7 THEN 'intermediate' ELSE 'advanced' END"
 _TYPE = lambda c, t: f"CASE WHEN {sp.any_of(f'lower({t})', ('tutorial', 'how to'))} THEN 'tutorial' WHEN {sp.any_of(f'lower({t})', ('reference', 'api'))} THEN 'reference' WHEN {sp.any_of(f'lower({c})', ('example', 'sample'))} THEN 'example' WHEN {sp.any_of(f'lower({c})', ('troubleshoot', 'error'))} THEN 'troubleshooting' ELSE 'documentation' END"
@@ -149,10 +149,10 @@ _MENTIONS = f"len(list_filter(regexp_extract_all({_LOW}, {q(tx.WORD_CHAR + '+')}
 
 
 @query("Q29_page_type_metadata", "WITH " + sp.PAGES_CTE + f""" SELECT page_id, CASE WHEN contains({_LOW}, 'trigger node') THEN 'trigger' WHEN contains({_LOW}, 'regular node') THEN 'regular' END AS node_type,
-{sp.any_of(_LOW, lb.CREDENTIAL_WORDS)} AS credentials_required, array_to_string(list_filter(h1s, lambda h: {sp.any_of('lower(h)', lb.OPERATION_WORDS)})[1:10], '|') AS operations,
+{sp.any_of(_LOW, lb.CREDENTIAL_WORDS)} AS credentials_required, array_to_string(list_filter(h1s, lambda h: {sp.any_of('lower(h)', lb.OPERATION_WORDS)}), '|') AS operations,
 contains({_LOW}, 'workflow.json') OR contains(main_content, '"nodes":') AS has_workflow_json, CASE WHEN {_MENTIONS} > 10 THEN {_MENTIONS} ELSE 0 END AS node_count,
-CASE WHEN {_MENTIONS} > 20 THEN 'complex' WHEN {_MENTIONS} > 10 THEN 'medium' ELSE 'simple' END AS workflow_complexity, array_to_string(list_filter(h1s, lambda h: {sp.any_of('lower(h)', lb.USE_CASE_WORDS)})[1:5], '|') AS use_cases,
-array_to_string(list_sort(list_distinct(regexp_extract_all(main_content, {q(lb.HTTP_METHODS)}, 1))), '|') AS methods, array_to_string(list_sort(list_distinct(regexp_extract_all(main_content, {q(lb.ENDPOINT)})))[1:10], '|') AS endpoints,
+CASE WHEN {_MENTIONS} > 20 THEN 'complex' WHEN {_MENTIONS} > 10 THEN 'medium' ELSE 'simple' END AS workflow_complexity, array_to_string(list_filter(h1s, lambda h: {sp.any_of('lower(h)', lb.USE_CASE_WORDS)}), '|') AS use_cases,
+array_to_string(list_sort(list_distinct(regexp_extract_all(main_content, {q(lb.HTTP_METHODS)}, 1))), '|') AS methods, array_to_string(list_sort(list_distinct(regexp_extract_all(main_content, {q(lb.ENDPOINT)}))), '|') AS endpoints,
 array_to_string(list_filter([CASE WHEN contains({_LOW}, 'json') THEN 'json' END, CASE WHEN contains({_LOW}, 'xml') THEN 'xml' END], lambda x: x IS NOT NULL), '|') AS response_formats FROM rec""")
 def page_type_metadata(spark, sf):
     r = section_records(spark, sf)

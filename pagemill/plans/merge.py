@@ -43,14 +43,14 @@ def document_view(spark, sf):
 _PARTS = "l_linenumber || ':' || l_partkey || ':' || l_suppkey"
 
 
-@query("J2_documents_with_chunks", f"""WITH b AS (SELECT l_orderkey, (l_linenumber - 1) // 1000 AS block, string_agg({_PARTS}, ',' ORDER BY l_linenumber, l_partkey, l_suppkey) AS chunks FROM lineitem GROUP BY ALL)
-SELECT o_orderkey AS document_id, block::BIGINT AS block, chunks FROM orders LEFT JOIN b ON o_orderkey = l_orderkey""")
+@query("J2_documents_with_chunks", f"""WITH b AS (SELECT l_orderkey, string_agg({_PARTS}, ',' ORDER BY l_linenumber, l_partkey, l_suppkey) AS chunks FROM lineitem GROUP BY ALL)
+SELECT o_orderkey AS document_id, chunks FROM orders LEFT JOIN b ON o_orderkey = l_orderkey""")
 def documents_with_chunks(spark, sf):
     d = orders(spark, sf).select(F.col("o_orderkey").alias("document_id"))
     c = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("document_id"), "l_linenumber", "l_partkey", "l_suppkey")
     out = mg.documents_with_chunks(d, c, "document_id", "l_linenumber", ["l_partkey", "l_suppkey"])
     text = F.array_join(F.transform("chunks", lambda s: F.concat_ws(":", s["l_linenumber"], s["l_partkey"], s["l_suppkey"])), ",")
-    return out.select("document_id", "block", F.when(F.col("chunks").isNotNull(), text).alias("chunks"))
+    return out.select("document_id", F.when(F.col("chunks").isNotNull(), text).alias("chunks"))
 
 
 def hashed(spark, sf):

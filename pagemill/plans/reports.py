@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from pagemill import scale
@@ -15,6 +17,7 @@ from pagemill.plans.registry import query, table
 from pagemill.plans.sqlparts import q
 from pagemill.plans.trends import events
 from pagemill.plans.urls import CATEGORY_SQL, HOST, SCHEME, SECTION_CTE, section_urls
+from pagemill.session import checkpoint_root
 
 NOW = "2024-02-01 00:00:00"
 _SEG = "regexp_extract(url, '^[^:]+://[^/]+/([^/?#]*)', 1)"
@@ -212,9 +215,9 @@ def counters_gauges(spark, sf):
     return _metrics(spark, sf)
 
 
-@query("A19_exposition", "WITH m AS (SELECT event_type AS k, count(*) AS c FROM events GROUP BY 1) SELECT '# HELP ' || k || '_counter Events' || e'\\n# TYPE ' || k || e'_counter counter\\n' || k || '_counter ' || c || e'\\n# HELP ' || k || e'_gauge Events\\n# TYPE ' || k || e'_gauge gauge\\n' || k || '_gauge ' || c AS text FROM m")
+@query("A19_exposition", "WITH m AS (SELECT event_type AS k, count(*) AS c, arg_max(value, ts) AS g FROM events GROUP BY 1) SELECT '# HELP ' || k || '_counter Events' || e'\\n# TYPE ' || k || e'_counter counter\\n' || k || '_counter ' || c || e'\\n# HELP ' || k || e'_gauge Events\\n# TYPE ' || k || e'_gauge gauge\\n' || k || '_gauge ' || g AS text FROM m")
 def exposition(spark, sf):
-    return rp.exposition(_metrics(spark, sf).withColumn("gauge", F.col("counter")), "event_type")
+    return rp.exposition(_metrics(spark, sf), "event_type")
 
 
 @query("A20_job_progress", "SELECT user_id, count(*) FILTER (event_type <> 'error') AS processed, count(*) FILTER (event_type = 'error') AS failed, count(*) AS total, round(count(*) FILTER (event_type <> 'error') / count(*)::DOUBLE * 100, 4) AS percent FROM events GROUP BY 1")
@@ -223,11 +226,22 @@ def job_progress(spark, sf):
 
 
 @query("A21_update_cycle", """WITH o AS (SELECT o_orderkey, o_orderdate AS m FROM orders WHERE o_orderdate < '2001-01-01'), n AS (SELECT o_orderkey, CASE WHEN o_orderpriority = '1-URGENT' THEN o_orderdate + INTERVAL 1 DAY ELSE o_orderdate END AS m FROM orders WHERE o_orderdate >= '1996-01-01'),
-j AS (SELECT o.m AS a, n.m AS b FROM o FULL JOIN n ON o.o_orderkey = n.o_orderkey) SELECT count(*) FILTER (a IS NULL) AS new_files, count(*) FILTER (b > a) AS modified_files, count(*) FILTER (b IS NULL) AS deleted_files, count(*) FILTER (a IS NULL OR b IS NULL OR b > a) AS total_changes, 2 AS steps_ok, 1 AS steps_failed, FALSE AS success FROM j""")
+j AS (SELECT o.m AS a, n.m AS b FROM o FULL JOIN n ON o.o_orderkey = n.o_orderkey) SELECT count(*) FILTER (a IS NULL) AS new_files, count(*) FILTER (b > a) AS modified_files, count(*) FILTER (b IS NULL) AS deleted_files, count(*) FILTER (a IS NULL OR b IS NULL OR b > a) AS total_changes, 3 AS steps_ok, 0 AS steps_failed, TRUE AS success, count(*) FILTER (a IS NULL OR b > a) AS indexed FROM j""")
 def update_cycle(spark, sf):
-    """Two steps that work and one that fails; the failure is counted."""
+    """The new snapshot is written, its new and changed files are indexed by month, and
+    a report is made from the index; the last column counts what the report holds."""
+    from pagemill.operators.knowledge import changed_files
     from pagemill.plans.merge import _snapshots
 
     old, new = _snapshots(spark, sf)
-    steps = {"ingest": lambda d: d.schema, "analyse": lambda d: d.agg(F.max("m")).schema, "rebuild": lambda d: d.no_such_method(), "publish": lambda d: d.schema}
-    return rp.update_cycle(old, new, "o_orderkey", "m", steps)[0]
+    base = f"{checkpoint_root(spark)}/cycle-{uuid.uuid4().hex}"
+    read = lambda name: spark.read.parquet(f"{base}/{name}")
+    month = F.date_trunc("month", F.col("m"))
+    steps = {
+        "ingest": lambda d: d.write.parquet(f"{base}/snapshot"),
+        "index": lambda d: changed_files(read("snapshot"), old, "o_orderkey", "m").withColumn("month", month).write.parquet(f"{base}/index"),
+        "report": lambda d: read("index").groupBy("month").agg(F.count("*").alias("n")).write.parquet(f"{base}/report"),
+    }
+    counts, done = rp.update_cycle(old, new, "o_orderkey", "m", steps)
+    indexed = read("report").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] if all(done.values()) else 0
+    return counts.withColumn("indexed", F.lit(indexed).cast("long"))

@@ -68,7 +68,7 @@ def filtered(spark, sf):
 def approximate(spark, sf):
     v = vectors(spark, sf)
     queries = v.filter("label = 3").select(F.col("vec_id").alias("query_id"), "embedding")
-    return ve.approx_top_k(ve.signatures(v, "vec_id"), "vec_id", queries, "query_id", 5).select("query_id", "vec_id", F.round("score", 6).alias("score"), "rank")
+    return ve.approx_top_k(ve.signatures(v, "vec_id"), v, "vec_id", queries, "query_id", 5).select("query_id", "vec_id", F.round("score", 6).alias("score"), "rank")
 
 
 @query("V8_add_documents", "SELECT vec_id::VARCHAR AS vec_id, 'stored' AS source, '2024-01-01' AS added_at FROM embeddings WHERE label <> 1 UNION ALL SELECT vec_id::VARCHAR, CASE WHEN vec_id > 100 THEN 'given' ELSE 'unknown' END, '2024-02-01' FROM embeddings WHERE label = 1")
@@ -91,9 +91,9 @@ def get_by_id(spark, sf):
     return vectors(spark, sf).filter("vec_id = 42").select("vec_id", "label", F.size("embedding").cast("long").alias("dims"))
 
 
-@query("V11_collection_stats", "SELECT (SELECT count(*) FROM embeddings) AS total, (SELECT count(DISTINCT label) FROM (SELECT label FROM embeddings ORDER BY vec_id LIMIT 100)) AS sample_labels")
+@query("V11_collection_stats", "SELECT count(*) AS total, count(DISTINCT label) AS labels FROM embeddings")
 def collection_stats(spark, sf):
-    return ve.collection_stats(vectors(spark, sf), "vec_id", "label")
+    return ve.collection_stats(vectors(spark, sf), "label")
 
 
 def knowledge(spark, sf):
@@ -117,7 +117,7 @@ def lookup_topic(spark, sf):
     return se.lookup_topic(knowledge(spark, sf), "retion", "page_id")
 
 
-@query("R3_lookup_examples", REC + " , f AS (SELECT page_id, title, main_content FROM rec WHERE regexp_matches(lower(main_content), 'workflow|example|tutorial|these|other') ORDER BY page_id LIMIT 5) SELECT page_id, title, substr(main_content, 1, 400) || '...' AS snippet FROM f WHERE contains(lower(title), 'th')")
+@query("R3_lookup_examples", REC + " , f AS (SELECT page_id, title, main_content FROM rec WHERE regexp_matches(lower(main_content), 'workflow|example|tutorial|these|other') AND contains(lower(title), 'th') ORDER BY page_id LIMIT 5) SELECT page_id, title, substr(main_content, 1, 400) || '...' AS snippet FROM f")
 def lookup_examples(spark, sf):
     return se.lookup_words(knowledge(spark, sf), list(se.EXAMPLE_WORDS) + ["these", "other"], "page_id", 5, 400, ("th",))
 

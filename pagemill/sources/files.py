@@ -34,7 +34,7 @@ def scan_json_recursive(spark: SparkSession, path: str, schema: str = PAGE_SCHEM
 
 def scan_status(scanned: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Counts per status, and the failed files with their text."""
-    errors = scanned.filter("status = 'error'").select("file_path", F.substring("_corrupt", 1, 200).alias("error"))
+    errors = scanned.filter("status = 'error'").select("file_path", F.col("_corrupt").alias("error"))
     return scanned.groupBy("status").agg(F.count("*").alias("n")), errors
 
 
@@ -50,12 +50,12 @@ def scan_csv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
 
 
 def scan_log_text(spark: SparkSession, path: str, level: str | None, n: int) -> DataFrame:
-    """The last n lines first, then those holding the level. Lines are ordered by
-    file name, block and place in the block; the top-n keeps n rows per task."""
+    """The last n lines holding the level. Lines are ordered by file name, block and
+    place in the block; the top-n keeps n rows per task."""
     lines = spark.read.text(path).select(
         "value", F.col("_metadata.file_name").alias("f"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("i"))
-    last = lines.orderBy(F.col("f").desc(), F.col("b").desc(), F.col("i").desc()).limit(n)
-    return (last if level is None else last.filter(F.col("value").contains(level.upper()))).select("value")
+    wanted = lines if level is None else lines.filter(F.col("value").contains(level.upper()))
+    return wanted.orderBy(F.col("f").desc(), F.col("b").desc(), F.col("i").desc()).limit(n).select("value")
 
 
 def new_or_changed_files(files: DataFrame, manifest: DataFrame) -> DataFrame:

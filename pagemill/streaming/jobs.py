@@ -6,6 +6,7 @@ a checkpointed sink, so a restart continues where the last commit ended.
 
 from __future__ import annotations
 
+import math
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -47,12 +48,15 @@ def sessions(events: DataFrame, ts: str, key: str, idle: str = "30 minutes") ->
         key, F.col("session_window.start").alias("start_ts"), "last_ts", "events")
 
 
-def token_bucket(events: DataFrame, ts: str, key: str, capacity: float, rate: float, idle_ms: int = 86_400_000) -> DataFrame:
+def token_bucket(events: DataFrame, ts: str, key: str, capacity: float, rate: float) -> DataFrame:
     """Per-event decisions; the state of a key is its token count and last time.
 
-    Rows of a micro-batch are put in time order per key; the state of a key that
-    stays away in event time expires, which equals a full bucket.
+    Rows of a micro-batch are put in time order per key. The state of a key expires
+    once it stayed away for as long as an empty bucket takes to fill.
     """
+    if rate <= 0:
+        raise ValueError("rate must be positive")
+    idle_ms = math.ceil(capacity / rate * 1000) + 1
     key_type = events.schema[key].dataType.simpleString()
 
     def decide(k, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:

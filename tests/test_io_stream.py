@@ -39,9 +39,9 @@ def test_page_scan(spark, folder):
     assert hashed.count() == 3 and all(r["file_size"] > 0 for r in hashed.collect())
 
 
-def test_log_filter_runs_after_the_limit(spark, tmp_path):
+def test_log_filter_runs_before_the_limit(spark, tmp_path):
     (tmp_path / "a.log").write_text("\n".join(f"{i} {'ERROR' if i in (1, 8) else 'INFO'}" for i in range(10)))
-    assert [r["value"] for r in files.scan_log_text(spark, str(tmp_path), "error", 5).collect()] == ["8 ERROR"]
+    assert [r["value"] for r in files.scan_log_text(spark, str(tmp_path), "error", 5).collect()] == ["8 ERROR", "1 ERROR"]
 
 
 def test_snapshot_round_trip(spark, tmp_path):
@@ -80,10 +80,10 @@ def test_workflow_validation_and_repair(spark):
 def test_workflow_triggers_and_services(spark):
     node = lambda t, n="n": {"name": n, "type": t, "typeVersion": 2, "parameters": {}, "notes": ""}
     doc = lambda *ns: json.dumps({"name": "A", "tags": ["x", {"name": "y"}, {"id": 3}, {}], "nodes": ns, "connections": {}})
-    b = wf.BASE_PREFIX
+    b = "base-nodes."
     df = workflows(spark, doc(node(b + "cron"), node(b + "webhook")), doc(node(b + "webhook"), node(b + "cron")), doc(node(b + "gmailTrigger")), doc(node(b + "manualTrigger")),
                    doc(node(b + "set", "Slack step"), node("x-nodes.youtubeThing"), node(b + "foobar")), doc(*[node(b + s) for s in ("slack", "gmail", "notion", "jira")] * 3))
-    p = wf.parse(df).withColumn("s", wf.integrations(F.col("nodes"))).withColumn("t", wf.trigger_type(F.col("nodes"), F.size("s")))
+    p = wf.parse(df).withColumn("s", wf.integrations(F.col("nodes"), (b,))).withColumn("t", wf.trigger_type(F.col("nodes"), F.size("s")))
     got = {r["stem"]: (r["t"], r["s"]) for r in p.collect()}
     assert [got[f"f{i}"][0] for i in range(6)] == ["Webhook", "Scheduled", "Webhook", "Manual", "Manual", "Complex"]
     assert got["f2"][1] == ["Gmail"] and got["f4"][1] == ["Foobar", "Slack", "YouTube"]

@@ -118,6 +118,23 @@ def test_toxicity_odd_tables(spark, odd, none):
     assert toxicity.score(none, empty).count() == 0
 
 
+def test_toxicity_reads_whole_words_and_runs():
+    terms = lambda t: set(toxicity.hashed_terms(t, 30)[0].tolist())
+    run = "\u4f60\u8fd9\u4e2a\u767d\u75f4\uff0c\u6eda\u51fa\u6211\u4eec\u7684\u56fd\u5bb6"
+    assert len(terms(run)) == 1 + (len(run) - 1) + (len(run) - 2)
+    assert len(terms(run[6:8]) & terms(run)) == 1
+    for a, b in (("\u0441\u0432\u043e\u043b\u043e\u0447\u044c", "\u0441\u0432\u043e\u0431\u043e\u0434\u0430"), ("donaudampfer", "donaudeich")):
+        assert terms(a) != terms(b) and terms(a) - terms(b)
+
+
+def test_toxicity_learns_a_rare_word():
+    rng = np.random.default_rng(2)
+    said = [" ".join(rng.choice([f"w{j}" for j in range(50)], 20)) + (" slur" if i < 13 else "") for i in range(800)]
+    y = np.array([int(i < 400) for i in range(800)])
+    m = toxicity.train([toxicity.hashed_terms(t, 14) for t in said], y, 14, 4, 5, 0.1, 1e-3, 5, 3.5)
+    assert m.weights[toxicity.hashed_terms("slur", 14)[0]].min() > 0
+
+
 # license scans
 
 def test_license_scan_against_brute_force(spark):

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from pagemill.llm import bpe, decontaminate, language_id, line_dedup, simhash
 from pagemill.llm.common import fold_of, stored
+from pagemill.llm.components import components
 
 ORACLE_SQL = None
 
@@ -32,11 +33,17 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked fingerprints: the one of smallest doc_id."""
-    rest = [c for c in docs.columns if c != "doc_id"]
-    groups = simhash.near_duplicates(docs.select("doc_id", "text"))
-    stays = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    return docs.join(stays, docs["doc_id"].eqNullSafe(stays["doc_id"]), "left_semi").dropDuplicates(["doc_id"]).select("doc_id", *rest)
+    """One row of each group of linked fingerprints: the first by doc_id (nulls last) and text.
+
+    Keys need not be unique or known: rows of a fingerprint are gathered under the smallest
+    fingerprint that its links reach.
+    """
+    order = F.struct(F.col("_row.doc_id").isNull(), F.col("_row.doc_id"), F.sha2(F.coalesce("_row.text", F.lit("")), 256), F.xxhash64("_row"))
+    prints = simhash.fingerprints(docs.select("text", F.struct(*docs.columns).alias("_row")), ["_row"])
+    first = stored(prints.groupBy("fingerprint").agg(F.min_by("_row", order).alias("_row")))
+    labels = components(stored(simhash.near_links(first.select("fingerprint")))).withColumnRenamed("node", "fingerprint")
+    named = first.join(labels, "fingerprint", "left").withColumn("_group", F.coalesce("label", "fingerprint"))
+    return named.groupBy("_group").agg(F.min_by("_row", order).alias("_row")).select("_row.*")
 
 
 def clean_of_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

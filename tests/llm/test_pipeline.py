@@ -62,3 +62,13 @@ def test_odd_and_empty_tables(spark, sf):
         for _, stage in corpus_pipeline.STAGES:
             table = stored(stage(spark, table, sf))
         assert table.count() <= 1
+
+
+def test_rows_without_or_with_repeated_keys_stay(spark, sf):
+    said = ["".join(f"{w}{i} " for w in "alpha beta gamma delta epsilon zeta eta theta iota kappa".split()) for i in range(6)]
+    rows = [(None, said[0], "en", "a", 1), (None, said[1], "en", "a", 1), (None, said[0], "en", "a", 1), (7, said[2], "en", "a", 1), (7, said[3], "en", "a", 1),
+            (8, said[4], "en", "a", 1), (9, said[4], "en", "a", 1), (None, said[4], "en", "a", 1), (9, said[5], "en", "a", 1)]
+    want = [(None, said[0]), (None, said[1]), (7, said[2]), (7, said[3]), (8, said[4]), (9, said[5])]
+    for given in (rows, rows[::-1]):
+        got = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(given, ODD.split(", fingerprint")[0]), sf)
+        assert sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=str) == sorted(want, key=str)

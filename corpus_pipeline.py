@@ -28,7 +28,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without lines that an earlier document or line holds; texts left empty go."""
-    kept = line_dedup.without_repeats(docs).filter((F.col("n_dropped") == 0) | (F.length("text") > 0))
+    kept = line_dedup.without_repeats(docs, short=True).filter((F.col("n_dropped") == 0) | (F.length("text") > 0))
     return kept.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 

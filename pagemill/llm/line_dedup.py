@@ -12,7 +12,8 @@ lines form classes; the first line of a class by (key, line number) stays, where
 A line is known by a 128-bit hash; live keys are searched on 63 bits of it, which only
 widens the candidates. Copies of a line within a task's part are indexed once.
 
-Defined results: lines shorter than `min_chars` are left alone; a null text stays null and
+Defined results: lines shorter than `min_chars` are never near; with `short` their exact
+repeats go, where they hold a letter or digit, and without it they are left alone; a null text stays null and
 has no lines; null keys come first; identical rows (key and text) share their fate; ties
 cannot occur otherwise. Other columns pass through.
 """
@@ -72,8 +73,9 @@ def long_lines(text: str | None, min_chars: int) -> list[tuple[int, str]]:
     return [(i, line) for i, line in enumerate(text.split("\n")) if len(line) >= min_chars] if text else []
 
 
-def occurrences(docs: DataFrame, key: str, text: str, min_chars: int) -> DataFrame:
-    """(key, mark, line, id) of every line of at least min_chars; mark is the text's hash."""
+def occurrences(docs: DataFrame, key: str, text: str, min_chars: int, short: bool = False) -> DataFrame:
+    """(key, mark, line, id) of every line of at least min_chars, and with `short` of every
+    line with a letter or digit; mark is the text's hash."""
     given = docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("mark"), F.col(text).alias("t"))
     schema = given.select("key", "mark").schema.add("line", "integer").add("id", "binary")
 
@@ -81,7 +83,9 @@ def occurrences(docs: DataFrame, key: str, text: str, min_chars: int) -> DataFra
         for batch in batches:
             rows, numbers, ids = [], [], []
             for r, t in enumerate(batch.column(2)):
-                for i, line in long_lines(t.as_py(), min_chars):
+                for i, line in long_lines(t.as_py(), 0 if short else min_chars):
+                    if len(line) < min_chars and not any(map(str.isalnum, line)):
+                        continue
                     rows.append(r)
                     numbers.append(i)
                     ids.append(line_id(line))
@@ -210,10 +214,10 @@ def near_links(docs: DataFrame, text: str, min_chars: int, limit: int) -> DataFr
     return links
 
 
-def dropped_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_chars: int = 30, limit: int = 2) -> DataFrame:
+def dropped_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_chars: int = 30, limit: int = 2, short: bool = False) -> DataFrame:
     """(key, mark, lines, near): numbers of the lines that go from each text; near counts
     those whose class stays under another wording."""
-    lines = stored(occurrences(docs, key, text, min_chars))
+    lines = stored(occurrences(docs, key, text, min_chars, short))
     labels = components(near_links(docs, text, min_chars, limit)).select(F.col("node").alias("id"), F.col("label").alias("class"))
     per = lines.groupBy("id").agg(F.count("*").alias("n"), F.min(F.struct("key", "mark", "line", "id")).alias("first"))
     named = per.join(labels, "id", "left").withColumn("class", F.coalesce("class", "id"))
@@ -225,9 +229,9 @@ def dropped_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_
         F.collect_set("line").alias("lines"), F.count_if(F.col("id") != F.col("stays.id")).alias("near"))
 
 
-def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", min_chars: int = 30, limit: int = 2) -> DataFrame:
+def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", min_chars: int = 30, limit: int = 2, short: bool = False) -> DataFrame:
     """The rows with repeated lines taken out of the text, and n_lines, n_dropped, n_near."""
-    gone = dropped_lines(docs, key, text, min_chars, limit)
+    gone = dropped_lines(docs, key, text, min_chars, limit, short)
     row = docs.select(F.struct("*").alias("_row"), F.col(key).alias("_key"), F.col(text).alias("_t"), F.xxhash64(text).alias("_mark"))
     joined = row.join(gone, F.col("_key").eqNullSafe(F.col("key")) & (F.col("_mark") == F.col("mark")), "left")
     split = joined.withColumn("_lines", F.split("_t", "\n", -1))

@@ -166,7 +166,7 @@ FROM sized GROUP BY conv_id
 
 @query
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = line_dedup.without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    kept = line_dedup.without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), short=True)
     return kept.select("doc_id", "n_lines", "n_dropped", "n_near", F.sha2("text", 256).alias("kept_sha256"))
 
 

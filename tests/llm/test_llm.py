@@ -290,6 +290,12 @@ def test_line_dedup_against_all_pairs(spark, monkeypatch, few, block):
     assert got == plain_line_dedup(rows, 18, 2)
 
 
+def test_line_dedup_drops_exact_repeats_of_short_lines(spark):
+    docs = spark.createDataFrame([(1, "Menu\n---\n\nMenu"), (2, "Menu\nMenus\n---\n"), (3, "\u5206\u4eab\nnew"), (4, "\u5206\u4eab")], "doc_id long, text string")
+    got = {r["doc_id"]: (r["text"], r["n_dropped"]) for r in line_dedup.without_repeats(docs, short=True).collect()}
+    assert got == {1: ("Menu\n---\n", 1), 2: ("Menus\n---\n", 1), 3: ("\u5206\u4eab\nnew", 0), 4: ("", 1)}
+
+
 def test_line_dedup_odd_tables(spark, odd, none):
     rows = line_dedup.without_repeats(odd).collect()
     assert len(rows) == odd.count()

@@ -7,8 +7,8 @@ lowest rank. Every pre-token (a match of the split pattern) is encoded on its ow
 that is itself in the vocabulary is that id. Decoding maps ids back to byte strings.
 
 The model is serialised on the driver (one vocabulary file, tens of thousands of entries,
-a few MB) and broadcast. Python workers keep the ids of short pre-tokens in a table that
-is emptied when it is full.
+a few MB) and broadcast. A task keeps the ids of short pre-tokens in a table that is
+emptied when it is full and given up with the task, so a reused worker holds nothing.
 
 Defined results: a null or empty text has no ids and decodes to nothing. Text is encoded
 as UTF-8. Repeated rows are encoded each; extra columns are ignored.
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from sentencepiece import sentencepiece_model_pb2 as model_pb2
 
-KNOWN = 400_000  # entries of a worker's table before it is emptied
+KNOWN = 250_000  # entries of a task's table before it is emptied, about 60 MB
 SHORT = 64  # longest pre-token that is kept there, in characters
 
 # A split pattern of Unicode classes and its equal in the standard library's classes for
@@ -79,7 +79,7 @@ def model_bytes(pieces: list[bytes]) -> bytes:
 
 @dataclass
 class Codec:
-    """Encoder and decoder of one worker."""
+    """Encoder and decoder of one task."""
 
     model: bytes
     pieces: list[bytes]
@@ -90,7 +90,8 @@ class Codec:
         self.encoder = sentencepiece.SentencePieceProcessor(model_proto=self.model)
         self.letters = {b: c for b, c in enumerate(byte_characters())}
         self.rank = {piece: i for i, piece in enumerate(self.pieces)}
-        self.known: dict[str, tuple[list[int], str]] = {}
+        self.own = list(range(-1, len(self.pieces)))  # id of a model's piece: one object for each, however many entries hold it
+        self.known: dict[str, tuple[tuple[int, ...], str]] = {}
 
     def tokens(self, text: str) -> list[str]:
         """Pre-tokens of a text, in order."""
@@ -102,7 +103,7 @@ class Codec:
                 pass
         return self.split(text)
 
-    def _keep(self, token: str, ids: list[int]) -> None:
+    def _keep(self, token: str, ids: tuple[int, ...]) -> None:
         self.known[token] = ids, ",".join(map(str, ids))
 
     def _learn(self, tokens: list[str]) -> None:
@@ -111,13 +112,13 @@ class Codec:
         for token in tokens:
             whole = self.rank.get(token.encode("utf-8", "surrogatepass"))
             if whole is not None:
-                self._keep(token, [whole])
+                self._keep(token, (whole,))
             else:
                 hard.append(token)
         if hard:
             mapped = [t.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.letters) for t in hard]
             for token, ids in zip(hard, self.encoder.encode(mapped, num_threads=1), strict=True):
-                self._keep(token, [i - 1 for i in ids])
+                self._keep(token, tuple(map(self.own.__getitem__, ids)))
 
     def encode(self, text: str) -> tuple[list[int], str]:
         """Ids, and the same in decimals joined by commas."""
@@ -143,19 +144,6 @@ class Codec:
         return b"".join(map(self.pieces.__getitem__, ids))
 
 
-_codecs: dict[tuple[int, int], Codec] = {}
-
-
-def _codec(shared, pattern: str) -> Codec:
-    """One codec per worker and vocabulary."""
-    model, pieces = shared.value
-    at = (id(model), len(pieces))
-    if at not in _codecs:
-        _codecs.clear()
-        _codecs[at] = Codec(model, pieces, pattern)
-    return _codecs[at]
-
-
 def encode(docs: DataFrame, vocabulary: str, pattern: str, keep: list[str], text: str = "text", ids: bool = True) -> DataFrame:
     """`keep` columns with n_tokens, the ids (unless ids=False), the SHA-256 of the decimal
     ids joined by commas and the SHA-256 of the bytes decoded from the ids."""
@@ -168,7 +156,7 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, keep: list[str], text
     out = out.add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(shared, pattern)
+        codec = Codec(*shared.value, pattern)
         for batch in batches:
             for lo in range(0, batch.num_rows, 128):
                 part = batch.slice(lo, 128)

@@ -266,11 +266,13 @@ def test_segments_meet_for_every_near_pair(limit):
         assert keys & {(long[p:q], seed) for p, q, seed, _ in line_dedup.probes(len(long), limit)}
 
 
-def plain_line_dedup(rows, min_chars, limit):
-    lines = [(d, i, x) for d, t in rows for i, x in enumerate((t or "").split("\n")) if len(x) >= min_chars]
-    texts = sorted({x for _, _, x in lines})
+def plain_line_dedup(rows, min_chars, limit, short=False):
+    wanted = lambda x: len(x) >= min_chars or short and any(c.isalnum() for c in x)
+    lines = [(d, i, x) for d, t in rows for i, x in enumerate((t or "").split("\n")) if wanted(x)]
+    every = sorted({x for _, _, x in lines})
+    texts = [x for x in every if len(x) >= min_chars]
     pairs = [(a, b) for i, a in enumerate(texts) for b in texts[i + 1:] if abs(len(a) - len(b)) <= limit and levenshtein(a, b) <= limit]
-    group = grouped(pairs, texts)
+    group = grouped(pairs, every)
     first = {}
     for d, i, x in lines:
         first[group[x]] = min(first.get(group[x], (d, i)), (d, i))

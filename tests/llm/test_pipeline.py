@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 import pytest
+from pyspark.sql import functions as F
 
 from pagemill.llm.common import stored
 from tests.llm.test_llm import ODD, grouped, plain_fingerprint, plain_hits, plain_line_dedup
@@ -33,7 +34,7 @@ def test_language_keeps_texts_with_letters(stages):
 
 def test_lines(stages):
     given, got, _ = stages["line_dedup"]
-    want = plain_line_dedup(sorted((i, r["text"]) for i, r in given.items()), 30, 2)
+    want = plain_line_dedup(sorted((i, r["text"]) for i, r in given.items()), 30, 2, short=True)
     assert {r["doc_id"]: r["text"] for r in got} == {i: t for i, t in want.items() if t or t == given[i]["text"]}
     assert all(r["n_chars"] == len(r["text"]) for r in got)
 
@@ -72,3 +73,17 @@ def test_rows_without_or_with_repeated_keys_stay(spark, sf):
     for given in (rows, rows[::-1]):
         got = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(given, ODD.split(", fingerprint")[0]), sf)
         assert sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=str) == sorted(want, key=str)
+
+
+def test_no_column_name_of_an_operator_is_in_the_way(spark, sf):
+    """Every name that the five operators return or use inside, as an extra column."""
+    names = ["lang_pred", "score", "bits_per_byte", "n_lines", "n_dropped", "n_near", "n_words", "runs", "spans", "item_ids", "_t", "_letters", "_row", "_key", "_mark",
+             "_lines", "fingerprint", "component_id", "_group", "label", "node", "key", "mark", "line", "lines", "id", "near", "ids", "n_tokens", "ids_sha256", "decoded_sha256"]
+    docs = spark.read.parquet(f"{sf}/documents.parquet").filter("doc_id < 30").withColumns({n: F.lit(f"own {n}") for n in names})
+    plain = docs.drop(*names)
+    for name, stage in corpus_pipeline.STAGES:
+        docs, plain = stored(stage(spark, docs, sf)), stored(stage(spark, plain, sf))
+        if name != "bpe":
+            assert docs.columns == plain.columns + names
+            assert all(r[n] == f"own {n}" for r in docs.collect() for n in names)
+        assert sorted(map(str, docs.select(*plain.columns).collect())) == sorted(map(str, plain.collect()))

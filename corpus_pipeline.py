@@ -9,7 +9,7 @@ stage with a brute-force version.
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagemill.llm import bpe, decontaminate, language_id, line_dedup, simhash
@@ -19,17 +19,28 @@ from pagemill.llm.components import components
 ORACLE_SQL = None
 
 
+def held(docs: DataFrame, *names: str) -> DataFrame:
+    """Text, the named columns, and the whole row as one value, so that no column's name
+    can meet a name that an operator adds."""
+    return docs.select(*names, "text", F.struct(*docs.columns).alias("_row"))
+
+
+def rows_again(found: DataFrame, docs: DataFrame, **changed: Column) -> DataFrame:
+    """The columns of docs out of the held rows, with the changed ones put in their places."""
+    return found.select(*[changed.get(c, F.col("_row")[c]).alias(c) for c in docs.columns])
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows whose text is in one of the learned languages; lang becomes the prediction."""
     trees = language_id.fit(docs, usable=fold_of(F.col("doc_id"), 4) != 2)
-    named = language_id.predict(docs, trees, docs.columns).filter(F.col("lang_pred") != language_id.UNDETERMINED)
-    return named.withColumn("lang", F.col("lang_pred")).select(*docs.columns)
+    named = language_id.predict(held(docs), trees, ["_row"]).filter(F.col("lang_pred") != language_id.UNDETERMINED)
+    return rows_again(named, docs, lang=F.col("lang_pred"))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without lines that an earlier document or line holds; texts left empty go."""
-    kept = line_dedup.without_repeats(docs, short=True).filter((F.col("n_dropped") == 0) | (F.length("text") > 0))
-    return kept.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    kept = line_dedup.without_repeats(held(docs, "doc_id"), short=True).filter((F.col("n_dropped") == 0) | (F.length("text") > 0))
+    return rows_again(kept, docs, text=F.col("text"), n_chars=F.length("text").cast("long"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,8 +60,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def clean_of_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no window of a benchmark item."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    found = decontaminate.contamination(docs, items, docs.columns)
-    return found.filter(F.size("runs") == 0).select(*docs.columns)
+    found = decontaminate.contamination(held(docs), items, ["_row"])
+    return rows_again(found.filter(F.size("runs") == 0), docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -8,14 +8,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # ASCII bytes outside [0-9a-z] become blanks, A-Z become a-z, bytes of other letters stay.
-_FOLD = bytes(
+FOLD = bytes(
     b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else b + 32 if 0x41 <= b <= 0x5A else 0x20 for b in range(256)
 )
 
 
 def folded_words(text: str | None) -> list[bytes]:
     """Words `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+` of the text with A-Z in lower case, as UTF-8."""
-    return (text or "").encode("utf-8", "surrogatepass").translate(_FOLD).split()
+    return (text or "").encode("utf-8", "surrogatepass").translate(FOLD).split()
 
 
 def folded_text(text: Column) -> Column:

@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm import bpe, chat_format, decontaminate, language_id, license_scan, line_dedup, quality_rules, sharding, simhash, toxicity
+from pagemill.llm import (bpe, chat_format, decontaminate, language_id, license_scan, line_dedup, quality_rules, resampling, sharding, simhash, spelling,
+                          topk, toxicity)
 from pagemill.llm.common import fold_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -173,3 +174,97 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"))
+
+
+def _crc32(text: str) -> str:
+    """DuckDB text for the unsigned CRC-32 of a string expression's UTF-8 bytes, by the usual byte table."""
+    table = []
+    for c in range(256):
+        for _ in range(8):
+            c = (c >> 1) ^ (0xEDB88320 if c & 1 else 0)
+        table.append(c)
+    digits = f"list_transform(range(0, strlen({text})), lambda i: CAST('0x' || substr(hex(encode({text})), 2 * i + 1, 2) AS BIGINT))"
+    return f"xor(list_reduce(list_prepend(4294967295, {digits}), lambda c, b: xor(c >> 8, {table}[(xor(c, b) & 255) + 1])), 4294967295)"
+
+
+@query
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+ORACLES["op11_importance_resampling"] = r"""
+WITH d AS (
+    SELECT doc_id, row_number() OVER () AS r,
+        regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+') AS w
+    FROM documents
+), b AS (
+    SELECT unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+')) AS word
+    FROM benchmark
+), f AS (SELECT r, word, count(*) AS n FROM (SELECT r, unnest(w) AS word FROM d) GROUP BY r, word),
+vocabulary AS (SELECT word, """ + _crc32("word") + r""" % 10000 AS bucket FROM (SELECT DISTINCT word FROM (SELECT word FROM f UNION ALL SELECT word FROM b))),
+s AS (SELECT bucket, sum(n) AS n FROM f JOIN vocabulary USING (word) GROUP BY bucket),
+t AS (SELECT bucket, count(*) AS n FROM b JOIN vocabulary USING (word) GROUP BY bucket),
+gains AS (
+    SELECT bucket, CAST(floor(1000 * ln((CAST(coalesce(t.n, 0) AS DOUBLE) + 1) * ((SELECT coalesce(sum(n), 0) FROM s) + 10000)
+        / ((CAST(s.n AS DOUBLE) + 1) * ((SELECT coalesce(sum(n), 0) FROM t) + 10000)))) AS BIGINT) AS gain
+    FROM s LEFT JOIN t USING (bucket)
+), means AS (SELECT r, CAST(floor(CAST(sum(n * gain) AS DOUBLE) / sum(n)) AS BIGINT) AS mean FROM f JOIN vocabulary USING (word) JOIN gains USING (bucket) GROUP BY r),
+scored AS (
+    SELECT d.r, doc_id, CAST(len(w) AS BIGINT) AS n_features, coalesce(mean, 0) AS weight,
+        coalesce(mean, 0) + CAST(floor(-1000 * ln(-ln((CAST(CAST('0x' || substr(sha256('2024:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) AS DOUBLE) + 0.5) / 4294967296))) AS BIGINT) AS score
+    FROM d LEFT JOIN means ON d.r = means.r
+), placed AS (
+    SELECT r, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST, n_features) AS place, count(*) OVER () AS many FROM scored WHERE n_features >= 20
+)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= 10 * many // 100 THEN place END AS rank
+FROM scored LEFT JOIN placed ON scored.r = placed.r
+"""
+
+
+@query
+def op12_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
+
+
+ORACLES["op12_topk_search"] = r"""
+WITH v AS (
+    SELECT vec_id, row_number() OVER () AS r, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS x FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), pairs AS (
+    SELECT q.r, q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.x, c.x) AS BIGINT) AS score
+    FROM v q JOIN v c ON q.r <> c.r AND len(q.x) = len(c.x) WHERE q.vec_id % 50 = 0
+), placed AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id NULLS LAST) AS place FROM pairs)
+SELECT query_id, CAST(place AS INT) AS rank, vec_id, score FROM placed WHERE place <= 5
+"""
+
+
+@query
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op13_spelling_variants"] = r"""
+WITH RECURSIVE runs AS (
+    SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS d, unnest(list_filter(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[a-z\x{C0}-\x{FF}]+'), lambda x: length(x) >= 7)) AS run
+    FROM documents
+), hashed AS (SELECT run, times, """ + _crc32("(d || ':' || run)") + r""" AS h FROM (SELECT d, run, count(*) AS times FROM runs GROUP BY d, run)),
+read AS (SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, times FROM hashed),
+words AS (SELECT word, CAST(sum(times) AS BIGINT) AS n FROM read WHERE length(word) >= 7 GROUP BY word HAVING sum(times) >= 2),
+places AS (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM words),
+cuts AS (SELECT word, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM places),
+pairs AS (
+    SELECT a.word, b.word AS near FROM cuts a JOIN cuts b ON a.rest = b.rest AND a.i = b.i WHERE a.word <> b.word
+    UNION SELECT cuts.word, words.word FROM cuts JOIN words ON cuts.rest = words.word
+    UNION SELECT words.word, cuts.word FROM cuts JOIN words ON cuts.rest = words.word
+), best AS (
+    SELECT pairs.word, count(*) AS n_near, arg_min(near, (-words.n, near)) AS near, max(words.n) AS near_n FROM pairs JOIN words ON pairs.near = words.word GROUP BY pairs.word
+), named AS (
+    SELECT words.word, n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 10 * n THEN near END AS form, CASE WHEN near_n >= 10 * n THEN near_n END AS form_n
+    FROM words LEFT JOIN best ON words.word = best.word
+), chain AS (
+    SELECT word, word AS link FROM named
+    UNION ALL SELECT chain.word, named.form FROM chain JOIN named ON chain.link = named.word WHERE named.form IS NOT NULL
+), ends AS (SELECT chain.word, link AS root FROM chain JOIN named ON chain.link = named.word WHERE named.form IS NULL)
+SELECT named.word, form, root, n, CAST(n_near AS BIGINT) AS n_near, form_n FROM named JOIN ends ON named.word = ends.word
+"""

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -16,7 +17,8 @@ import tiktoken
 import xxhash
 from pyspark.sql import functions as F
 
-from pagemill.llm import bpe, chat_format, decontaminate, language_id, license_scan, line_dedup, quality_rules, sharding, simhash, toxicity
+from pagemill.llm import (bpe, chat_format, decontaminate, language_id, license_scan, line_dedup, quality_rules, resampling, sharding, simhash, spelling,
+                          topk, toxicity)
 from pagemill.llm.components import components
 from pagemill.llm.edit_distance import within
 from pagemill.llm.queries import QUERIES
@@ -494,3 +496,127 @@ def test_long_chain_and_no_messages(spark):
     one = chat_format.conversations(chat_format.chained(rows, "conv_id", "turn", "role", "text"))
     assert one.select(chat_format.read_loss(F.col("formatted"), F.col("loss_spans"))).first()[0] == "".join(map(str, range(300)))
     assert chat_format.conversations(chat_format.chained(rows.limit(0), "conv_id", "turn", "role", "text")).count() == 0
+
+
+# importance resampling
+
+WORDS = re.compile("[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def plain_resample(rows, target, longest, buckets, percent, min_words):
+    def found(text):
+        words = WORDS.findall((text or "").translate(LOWER))
+        return len(words), [zlib.crc32(" ".join(words[i:i + n]).encode()) % buckets for n in range(1, longest + 1) for i in range(len(words) - n + 1)]
+
+    given = [(key, *found(text)) for key, text in rows]
+    s, t = Counter(b for _, _, f in given for b in f), Counter(b for text in target for b in found(text)[1])
+    size_s, size_t = s.total() + buckets, t.total() + buckets
+    gain = [math.floor(1000 * math.log((t[b] + 1) * size_s / ((s[b] + 1) * size_t))) for b in range(buckets)]
+    scored = []
+    for key, n, f in given:
+        h = int(hashlib.sha256(f"2024:{'' if key is None else key}".encode()).hexdigest()[:8], 16)
+        weight = sum(gain[b] for b in f) // len(f) if f else 0
+        scored.append((key, len(f), weight, weight + math.floor(-1000 * math.log(-math.log((h + 0.5) / 4294967296))), n))
+    order = sorted((x for x in scored if x[4] >= min_words), key=lambda x: (-x[3], x[0] is None, x[0] or 0, x[1]))
+    drawn = len(order) * percent // 100
+    return [(*x[:4], i if i <= drawn else None) for i, x in enumerate(order, 1)] + [(*x[:4], None) for x in scored if x[4] < min_words]
+
+
+@pytest.mark.parametrize("longest,block,digit", [(1, 1 << 18, 16), (2, 8, 16), (1, 5, 7)])
+def test_resampling_against_brute_force(spark, monkeypatch, longest, block, digit):
+    monkeypatch.setattr(resampling, "BLOCK", block)
+    monkeypatch.setattr(resampling, "DIGIT", digit)
+    rng = random.Random(block)
+    vocabulary = ["Alpha", "beta", "\u00c9t\u00e9", "x1", "\u65e5\u672c", "gamma"]
+    rows = [(rng.choice([None, -(1 << 62), (1 << 62) + i, i, i % 7]), rng.choice([None, "", " ".join(rng.choices(vocabulary, k=rng.randint(1, 30)))])) for i in range(120)]
+    rows += [(None, "alpha beta " * 6)] * 40 + [(3, "alpha beta " * 6)] * 3
+    target = ["beta gamma " * 5, None, "x1"]
+    docs = spark.createDataFrame([(k, t, 1, "w") for k, t in rows], "doc_id long, text string, rank int, key string")
+    got = resampling.resample(docs, spark.createDataFrame([(t,) for t in target], "text string"), longest=longest, buckets=50, percent=30, min_words=8)
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, plain_resample(rows, target, longest, 50, 30, 8)))
+
+
+def test_resampling_odd_tables(spark, odd, none):
+    assert resampling.resample(odd, odd).count() == odd.count()
+    assert resampling.resample(none, none).count() == 0 and resampling.resample(odd, none).filter("rank IS NOT NULL").count() == 0
+
+
+# top k
+
+def plain_top_k(rows, k):
+    whole = [(key, None if v is None or any(x is None or not math.isfinite(x) for x in v) else [math.floor(256 * x) for x in v]) for key, v in rows]
+    out = []
+    for at, (key, v) in enumerate(whole):
+        if key is not None and key % 50 == 0 and v is not None:
+            others = [(-sum(x * y for x, y in zip(v, w)), other is None, other or 0, other) for i, (other, w) in enumerate(whole) if i != at and w is not None and len(w) == len(v)]
+            cut = [(max(-(1 << 63), min((1 << 63) - 1, -s)), *rest) for s, *rest in others]
+            out += [(key, n, other, s) for n, (s, _, _, other) in enumerate(sorted(cut, key=lambda x: (-x[0], *x[1:3]))[:k], 1)]
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("queries,shard,cells,fan", [(2048, 8192, 1 << 22, 8), (3, 11, 40, 2)])
+def test_top_k_against_all_pairs(spark, monkeypatch, queries, shard, cells, fan):
+    for name, value in (("QUERIES", queries), ("SHARD", shard), ("CELLS", cells), ("FAN", fan)):
+        monkeypatch.setattr(topk, name, value)
+    rng = random.Random(5)
+    rows = [(rng.choice([i, i * 50, 50, None]), [rng.choice([-1.5, 0.25, 0.004, 1.0]) for _ in range(rng.choice([3, 3, 3, 4, 0]))]) for i in range(90)]
+    rows += [(100, [1e15, 1e15, -3e14]), (101, [1e15, 1e15, 1.0]), (102, [-1e15, -1e15, 1.0]), (150, None), (151, [None, 1.0, 2.0]), (200, [float("nan"), 1.0, 1.0]), (250, [1.0, float("inf"), 2.0])]
+    vectors = spark.createDataFrame([(k, v, 1, 2) for k, v in rows], "vec_id long, embedding array<double>, rank int, query_id int")
+    got = topk.search(vectors, F.col("vec_id") % 50 == 0, 5)
+    assert sorted(map(tuple, got.collect()), key=str) == plain_top_k(rows, 5)
+
+
+def test_top_k_empty_table(spark):
+    assert topk.search(spark.createDataFrame([], "vec_id long, embedding array<float>"), F.col("vec_id") % 50 == 0, 5).count() == 0
+    assert topk.search(spark.createDataFrame([(50, [1.0])], "vec_id long, embedding array<float>"), F.col("vec_id") % 50 == 0, 5).count() == 0
+
+
+# spelling
+
+def one_edit(a, b):
+    return a != b and levenshtein(a, b) == 1
+
+
+def plain_variants(rows, min_length, min_count, ratio, slip):
+    counts = Counter()
+    for key, text in rows:
+        for run in re.findall("[A-Za-z\u00C0-\u00FF]+", text or ""):
+            word = run.translate(LOWER)
+            h = zlib.crc32(f"{'' if key is None else key}:{word}".encode())
+            counts[word[:h % len(word)] + word[h % len(word) + 1:] if h % slip == 0 else word] += 1
+    n = {w: c for w, c in counts.items() if len(w) >= min_length and c >= min_count}
+    near = {w: [v for v in n if one_edit(w, v)] for w in n}
+    best = {w: min(near[w], key=lambda v: (-n[v], v)) for w in n if near[w]}
+    form = {w: v for w, v in best.items() if n[v] >= ratio * n[w]}
+
+    def root(w):
+        while w in form:
+            w = form[w]
+        return w
+
+    return sorted((w, form.get(w), root(w), n[w], len(near[w]), n[form[w]] if w in form else None) for w in n) if n else []
+
+
+@pytest.mark.parametrize("group,tile,batch,cells", [(50_000, 64, 40_000, 1 << 23), (4, 2, 7, 50)])
+def test_spelling_against_all_pairs(spark, monkeypatch, group, tile, batch, cells):
+    for name, value in (("GROUP", group), ("TILE", tile), ("BATCH", batch), ("CELLS", cells), ("KEPT", 20)):
+        monkeypatch.setattr(spelling, name, value)
+    rng = random.Random(6)
+    seeds = ["".join(rng.choices("abc\u00e9", k=rng.randint(4, 9))) for _ in range(12)] + ["abcabcabc", "aaaaaaaa"]
+    said = [edited(rng, rng.choice(seeds), rng.choice([0, 0, 0, 1, 1, 2])) for _ in range(500)]
+    rows = [(rng.choice([None, i]), " ".join(w.title() if rng.random() < 0.2 else w for w in said[i * 10:i * 10 + 10])) for i in range(50)] + [(1, None), (2, "")]
+    docs = spark.createDataFrame([(k, t, "a", 3) for k, t in rows], "doc_id long, text string, word string, n int")
+    want = plain_variants(rows, 4, 1, 2, 5)
+    assert sum(r[1] is not None for r in want) > 10 and any(r[1] != r[2] != r[0] for r in want if r[1])
+    got = spelling.variants(docs, min_length=4, min_count=1, ratio=2, slip=5)
+    assert sorted(map(tuple, got.collect())) == want
+
+
+def test_spelling_odd_tables(spark, odd, none):
+    assert {r["word"]: r["n"] for r in spelling.variants(odd, min_length=4).collect()} == {k: v for k, v in {
+        r[0]: r[3] for r in plain_variants([(r["doc_id"], r["text"]) for r in odd.collect()], 4, 2, 10, 31)}.items()}
+    assert spelling.variants(none).count() == 0
+    long_run = "ab" * 50_000
+    got = spelling.variants(spark.createDataFrame([(1, f"{long_run} {long_run}"), (2, f"{long_run}c {long_run}c")], "doc_id long, text string"), slip=0)
+    assert sorted((len(r["word"]), r["n_near"]) for r in got.collect()) == [(100_000, 1), (100_001, 1)]

@@ -6,13 +6,14 @@ from pyspark.sql import functions as F
 
 from pagemill import scale
 from pagemill.functions import text as tx
+from pagemill.operators import fulltext as ft
 from pagemill.operators import search as se
 from pagemill.operators import vectors as ve
 from pagemill.plans import sqlparts as sp
 from pagemill.plans.html import REC, docs, records
 from pagemill.plans.registry import query, table
 from pagemill.plans.sqlparts import q
-from pagemill.session import materialize
+from pagemill.session import kept
 
 
 def vectors(spark, sf):
@@ -97,9 +98,10 @@ def collection_stats(spark, sf):
 
 
 def knowledge(spark, sf):
-    """Extracted once and stored, as searches over pages run on the stored table."""
-    r = records(spark, sf).select("page_id", "title", F.col("main_content").alias("content"), "language")
-    return materialize(r).select("page_id", "title", "content", F.array("language").alias("tags"))
+    """Extracted once for each version of the pages, as searches over pages run on the stored table."""
+    pages = table(spark, sf, "pages")
+    r = kept("search_pages", pages, lambda: records(spark, sf).select("page_id", "title", F.col("main_content").alias("content"), "language"))
+    return r.select("page_id", "title", "content", F.array("language").alias("tags"))
 
 
 _TERMS = ["the", "tion", "en"]
@@ -156,13 +158,55 @@ def fulltext_total(spark, sf):
 
 @query("R5_fulltext_index", _BM25 + " SELECT doc_id, score FROM b")
 def fulltext_index(spark, sf):
-    """The same scores out of an inverted index that is written once."""
+    """The same scores out of an inverted index that is written once for each version of the table."""
     d = docs(spark, sf)
-    index = materialize(se.build_index(d, "doc_id", "text"))
+    index = kept("fulltext_terms", d, lambda: se.build_index(d, "doc_id", "text"))
     size = d.agg(F.count("*").alias("n"), F.avg(F.size(se.tokens(F.col("text")))).alias("a")).first()
     return se.search_index(index, "doc_id", _QUERY, size["n"], size["a"])
 
 
+def _tf(words: str, prefix: bool = False) -> str:
+    """DuckDB text for the number of places where the words stand in the token list."""
+    parts = words.split()
+    last = f"starts_with(tok[i + {len(parts) - 1}], {q(parts[-1])})" if prefix else f"tok[i + {len(parts) - 1}] = {q(parts[-1])}"
+    tests = " AND ".join([*[f"tok[i + {j}] = {q(w)}" for j, w in enumerate(parts[:-1])], last])
+    return f"len(list_filter(range(1, len(tok) - {len(parts) - 2}), lambda i: {tests}))"
+
+
+def _matched(units: dict[str, str], accepted: str, scored: list[str]) -> str:
+    """Documents by their unit counts, with the BM25 sum over the scored units."""
+    weight = " + ".join(f"ln(1 + (n - df_{u} + 0.5::DOUBLE) / (df_{u} + 0.5::DOUBLE)) * {u} * 2.2::DOUBLE / ({u} + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl))" for u in scored)
+    return f"""WITH t0 AS (SELECT doc_id, {_TOK} AS tok FROM documents), t AS (SELECT doc_id, len(tok) AS dl, {', '.join(f'{x} AS {u}' for u, x in units.items())} FROM t0),
+st AS (SELECT count(*) AS n, sum(dl) / count(*) AS avgdl, {', '.join(f'count(*) FILTER ({u} > 0) AS df_{u}' for u in units)} FROM t)
+SELECT doc_id, round({weight}, 6) AS score FROM t, st WHERE {accepted}"""
+
+
+def positions(spark, sf):
+    d = docs(spark, sf)
+    return kept("fulltext_positions", d, lambda: ft.positions(d, "doc_id", "text")), d.count()
+
+
+def _match(spark, sf, *branches):
+    index, n = positions(spark, sf)
+    return ft.search(index, "doc_id", list(branches), n)
+
+
+@query("R5_fulltext_phrase", _matched({"a": _tf("in the"), "b": _tf("with")}, "a > 0 AND b > 0", ["a", "b"]))
+def fulltext_phrase(spark, sf):
+    return _match(spark, sf, ft.All((ft.phrase("in the"), ft.word("with"))))
+
+
+@query("R5_fulltext_prefix", _matched({"a": _tf("thes", True), "b": _tf("of th", True)}, "a > 0 AND b > 0", ["a", "b"]))
+def fulltext_prefix(spark, sf):
+    return _match(spark, sf, ft.All((ft.prefix("thes"), ft.phrase("of th", prefix=True))))
+
+
+@query("R5_fulltext_boolean", _matched({"a": _tf("mit license"), "b": _tf("der"), "c": _tf("die d", True), "d": _tf("und")}, "a > 0 OR (b > 0 AND c > 0 AND d = 0)", ["a", "b", "c"]))
+def fulltext_boolean(spark, sf):
+    """The phrase, or both words without the third."""
+    return _match(spark, sf, ft.All((ft.phrase("MIT License"),)), ft.All((ft.word("der"), ft.phrase("die d", prefix=True)), (ft.word("und"),)))
+
+
 @query("J3_fulltext_join_base", _BM25 + " SELECT doc_id, score, source, b.lang FROM b JOIN documents USING (doc_id)")
 def fulltext_join(spark, sf):
     return table(spark, sf, "documents").select("doc_id", "source", "lang").join(_bm25(spark, sf), "doc_id").select("doc_id", "score", "source", "lang")

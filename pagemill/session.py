@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -44,3 +46,51 @@ def materialize(df: DataFrame) -> DataFrame:
     path = f"{checkpoint_root(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(df: DataFrame) -> None:
+    """Removes a table that materialize() wrote, once nothing reads it any more."""
+    spark = df.sparkSession
+    for name in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        if path.getName().startswith("table-"):
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def version_of(df: DataFrame) -> str:
+    """Digest of the files a table is read from: their paths, lengths and times of change."""
+    spark, digest = df.sparkSession, hashlib.sha256()
+    for name in sorted(df.inputFiles()):
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        status = path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path)
+        digest.update(f"{name}:{status.getLen()}:{status.getModificationTime()};".encode())
+    return digest.hexdigest()[:32]
+
+
+def kept(name: str, source: DataFrame, build: Callable[[], DataFrame]) -> DataFrame:
+    """The table that build() derives from source, written once for each version of it.
+
+    Later calls of the application read what the first one wrote. A new version of the
+    source takes the place of the earlier one, which is removed. The folder is written under
+    another name first, so a broken write is never read.
+    """
+    spark = source.sparkSession
+    home = f"{checkpoint_root(spark)}/kept-{spark.sparkContext.applicationId}/{name}"
+    version, path_of = version_of(source), spark._jvm.org.apache.hadoop.fs.Path
+    place = path_of(f"{home}/{version}")
+    files = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(place):
+        df, draft = build(), path_of(f"{home}/draft-{uuid.uuid4().hex}")
+        df.write.parquet(draft.toString())
+        for old in files.listStatus(path_of(home)):
+            if not old.getPath().getName().startswith("draft-"):
+                files.delete(old.getPath(), True)
+        if not files.rename(draft, place):
+            files.delete(draft, True)  # another thread was faster
+    return spark.read.parquet(place.toString())
+
+
+def forget_kept(spark: SparkSession) -> None:
+    """Removes all tables that kept() wrote for this application."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(f"{checkpoint_root(spark)}/kept-{spark.sparkContext.applicationId}")
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)

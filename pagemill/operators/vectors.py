@@ -1,4 +1,4 @@
-"""Embeddings and similarity: exact scans, filtered and bulk search, hashing index."""
+"""Embeddings and similarity: exact scans, filtered and bulk search."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -117,85 +118,52 @@ def top_k(df: DataFrame, key: str, query: list[float], k: int = 5, vector: str =
     return ranked if threshold is None else ranked.filter(F.col("score") >= threshold)
 
 
-def bulk_top_k(corpus: DataFrame, key: str, queries: DataFrame, query_key: str, k: int = 5, vector: str = "embedding", block: int = 1024) -> DataFrame:
-    """Best k corpus rows for each query, by cosine.
+def unit_rows(vectors: pa.ChunkedArray) -> np.ndarray:
+    """Matrix of equally long vectors, each divided by its length; zero vectors stay zero."""
+    m = vectors.combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(vectors), -1)
+    return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
 
-    Queries travel in blocks of a fixed size; a block is scored against every
-    Arrow batch as one matrix product, and only k rows per query and batch leave it.
-    More queries mean more blocks, never a larger one.
-    """
-    key_type, query_type = corpus.schema[key].dataType.simpleString(), queries.schema[query_key].dataType.simpleString()
-    result, pending = None, []
-    rows = queries.select(query_key, vector).toLocalIterator()
 
-    def score_block(part: list) -> DataFrame:
-        ids = [r[0] for r in part]
-        q = np.array([r[1] for r in part], dtype=np.float64)
-        q = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
+def best_of(scores: np.ndarray, order: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row and column numbers of the k highest scores of each row, ties to the smaller order."""
+    k = min(k, scores.shape[1])
+    if k == 0:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    edge = np.partition(scores, scores.shape[1] - k, axis=1)[:, -k]
+    rows, columns = np.nonzero(scores >= edge[:, None])
+    by = np.lexsort((order[columns], -scores[rows, columns], rows))
+    rows, columns = rows[by], columns[by]
+    place = np.arange(len(rows)) - np.searchsorted(rows, rows)
+    return rows[place < k], columns[place < k]
 
-        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for frame in frames:
-                if len(frame) == 0:
-                    continue
-                m = np.vstack(frame[vector].to_numpy()).astype(np.float64)
-                m = m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
-                scores, own = q @ m.T, frame[key].to_numpy()
-                kk = min(k, len(own))
-                for i, qid in enumerate(ids):
-                    order = np.lexsort((own, -scores[i]))[:kk]
-                    yield pd.DataFrame({query_key: [qid] * kk, key: own[order], "score": scores[i][order]})
-
-        return corpus.select(key, vector).mapInPandas(run, f"{query_key} {query_type}, {key} {key_type}, score double")
-
-    for row in rows:
-        pending.append(row)
-        if len(pending) == block:
-            part = score_block(pending)
-            result, pending = part if result is None else result.unionByName(part), []
-    if pending or result is None:
-        part = score_block(pending) if pending else corpus.select(F.lit(None).cast(query_type).alias(query_key), key, F.lit(0.0).alias("score")).limit(0)
-        result = part if result is None else result.unionByName(part)
-    return scale.top_n_per_key(result, [query_key], [F.col("score").desc(), F.col(key)], k)
-
-
-def signatures(df: DataFrame, key: str, tables: int = 8, bits: int = 6, vector: str = "embedding", seed: int = 7) -> DataFrame:
-    """Index rows (key, table, sig): sign bits of random projections. The vectors
-    stay in their own table."""
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        planes = None
-        for frame in frames:
-            if len(frame) == 0:
-                continue
-            m = np.vstack(frame[vector].to_numpy()).astype(np.float64)
-            if planes is None:
-                planes = np.random.default_rng(seed).standard_normal((m.shape[1], tables * bits))
-            sign = (m @ planes > 0).reshape(len(m), tables, bits)
-            sig = (sign * (1 << np.arange(bits))).sum(axis=2)
-            yield pd.DataFrame({key: np.repeat(frame[key].to_numpy(), tables), "table": np.tile(np.arange(tables), len(m)), "sig": sig.ravel()})
-
-    return df.select(key, vector).mapInPandas(run, f"{key} {df.schema[key].dataType.simpleString()}, table int, sig int")
-
-
-def approx_top_k(index: DataFrame, corpus: DataFrame, key: str, queries: DataFrame, query_key: str, k: int = 5, vector: str = "embedding", **settings) -> DataFrame:
-    """Candidates share a signature with the query, or differ in one bit; each is met
-    once, joined to its vector once and scored exactly. Only (query, candidate) pairs
-    arise, never pairs of a bucket."""
-    bits, asked = settings.get("bits", 6), queries.select(F.col(query_key).alias("q"), F.col(vector).alias("qv"))
-    flips = F.array(F.col("sig"), *[F.col("sig").bitwiseXOR(F.lit(1 << b)) for b in range(bits)])
-    probes = signatures(asked, "q", vector="qv", **settings).select("q", "table", F.explode(flips).alias("sig"))
-    met = index.join(probes, ["table", "sig"]).select("q", key).distinct()
-    scored = met.join(corpus.select(key, vector), key).join(asked, "q").select(F.col("q").alias(query_key), key, _arrow_cosine(F.col(vector), F.col("qv")).alias("score"))
-    return scale.top_n_per_key(scored, [query_key], [F.col("score").desc(), F.col(key)], k)
-
-
-@F.pandas_udf(T.DoubleType())
-def _arrow_cosine(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Row-wise cosine of two vector columns, a matrix operation per Arrow batch."""
-    if len(a) == 0:
-        return pd.Series([], dtype=float)
-    x, y = (np.vstack(v.to_numpy()).astype(np.float64) for v in (a, b))
-    norm = np.linalg.norm(x, axis=1) * np.linalg.norm(y, axis=1)
-    return pd.Series(np.divide((x * y).sum(axis=1), norm, out=np.zeros(len(x)), where=norm > 0))
+
+def bulk_top_k(corpus: DataFrame, key: str, queries: DataFrame, query_key: str, k: int = 5, vector: str = "embedding", block: int = 2048, part: int = 8192) -> DataFrame:
+    """Best k corpus rows for each query, by cosine: a join of blocks as matrix products.
+
+    Queries and corpus are dealt by key hash into blocks of about `block` and `part` rows;
+    each pair of blocks meets in one task group as one product and lets k rows per query
+    out. The plan is the same for any number of queries, and no vector passes the driver.
+    Rows without a vector take no part; a corpus key and a query key are each given once.
+    """
+    key_type, query_type = corpus.schema[key].dataType.simpleString(), queries.schema[query_key].dataType.simpleString()
+    queries, corpus = queries.filter(F.col(vector).isNotNull()), corpus.filter(F.col(vector).isNotNull())
+    blocks, parts = max(1, -(-queries.count() // block)), max(1, -(-corpus.count() // part))
+    dealt = lambda column, n: F.pmod(F.xxhash64(column), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    asked = queries.select(F.col(query_key).alias("q"), F.col(vector).alias("qv"), dealt(query_key, blocks).alias("qb"), every(parts).alias("qp"))
+    held = corpus.select(F.col(key).alias("c"), F.col(vector).alias("cv"), dealt(key, parts).alias("cp"), every(blocks).alias("cb"))
+
+    def product(left: pa.Table, right: pa.Table) -> pa.Table:
+        if len(left) == 0 or len(right) == 0:
+            rows, columns, scores = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, 0))
+        else:
+            right = right.sort_by("c")
+            scores = unit_rows(left["qv"]) @ unit_rows(right["cv"]).T
+            rows, columns = best_of(scores, np.arange(len(right)), k)
+        return pa.table({query_key: left["q"].take(pa.array(rows)), key: right["c"].take(pa.array(columns)), "score": pa.array(scores[rows, columns], pa.float64())})
+
+    found = asked.groupBy("qb", "qp").cogroup(held.groupBy("cb", "cp")).applyInArrow(product, f"{query_key} {query_type}, {key} {key_type}, score double")
+    return scale.top_n_per_key(found, [query_key], [F.col("score").desc(), F.col(key)], k)
 
 
 def add_documents(store: DataFrame, batch: DataFrame, key: str, source: str, stamp: str) -> DataFrame:

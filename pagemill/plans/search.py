@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pagemill import scale
 from pagemill.functions import text as tx
 from pagemill.operators import fulltext as ft
+from pagemill.operators import ivf
 from pagemill.operators import search as se
 from pagemill.operators import vectors as ve
 from pagemill.plans import sqlparts as sp
@@ -65,11 +66,26 @@ def filtered(spark, sf):
     return ve.top_k(v, "vec_id", ve.vector_of(v, "vec_id", 3), 20, where=F.col("label") == label, threshold=0.2)
 
 
-@query("V7_approximate_top_k")
-def approximate(spark, sf):
+def _approximate(spark, sf):
     v = vectors(spark, sf)
     queries = v.filter("label = 3").select(F.col("vec_id").alias("query_id"), "embedding")
-    return ve.approx_top_k(ve.signatures(v, "vec_id"), v, "vec_id", queries, "query_id", 5).select("query_id", "vec_id", F.round("score", 6).alias("score"), "rank")
+    quantiser = ivf.fit(v, "vec_id")
+    rows = kept("vector_lists", v, lambda: ivf.index(v, "vec_id", quantiser))
+    return v, queries, ivf.search(rows, quantiser, v, "vec_id", queries, "query_id", 5)
+
+
+@query("V7_approximate_top_k")
+def approximate(spark, sf):
+    return _approximate(spark, sf)[2].select("query_id", "vec_id", F.round("score", 6).alias("score"), "rank")
+
+
+@query("V7_recall", "SELECT count(*) * 5 AS wanted, TRUE AS recall_reached FROM embeddings WHERE label = 3")
+def approximate_recall(spark, sf):
+    """Whether nine in ten of the exact best rows are among the approximate ones."""
+    v, queries, near = _approximate(spark, sf)
+    exact = ve.bulk_top_k(v, "vec_id", queries, "query_id", 5).select("query_id", "vec_id")
+    both = exact.join(near.select("query_id", "vec_id", F.lit(1).alias("met")), ["query_id", "vec_id"], "left")
+    return both.agg(F.count("*").alias("wanted"), (F.count("met") >= F.lit(0.9) * F.count("*")).alias("recall_reached"))
 
 
 @query("V8_add_documents", "SELECT vec_id::VARCHAR AS vec_id, 'stored' AS source, '2024-01-01' AS added_at FROM embeddings WHERE label <> 1 UNION ALL SELECT vec_id::VARCHAR, CASE WHEN vec_id > 100 THEN 'given' ELSE 'unknown' END, '2024-02-01' FROM embeddings WHERE label = 1")

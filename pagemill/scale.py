@@ -140,32 +140,73 @@ def trailing_window(df: DataFrame, keys: list[str], order: str, span: int, aggre
     return both.withColumns({name: fn(w) for name, fn in aggregates.items()}).filter(~F.col("_halo")).drop("_seg", "_halo")
 
 
-def exact_quantiles(df: DataFrame, value: str, probs: dict[str, float], accuracy: int = 100_000) -> DataFrame:
-    """Exact linear-interpolated quantiles of a whole table as one row.
+# Rows between two marks that are few enough to be sorted as one list.
+FEW_VALUES = 10_000
 
-    A mergeable sketch brackets each quantile; the second pass counts the rows
-    below every bracket and ranks only the distinct values inside it.
+
+def order_statistics(v: DataFrame, ranks: list[int], total: int, accuracy: int = 100_000) -> dict[int, float]:
+    """Values at the given ranks (from 0) of a column `v` without nulls, by distributed selection.
+
+    A sketch sets two marks around each rank; one aggregate counts the rows below, at and
+    between the marks. A rank that falls on a mark is known; else only the open range that
+    holds it goes on, a few parts in 100,000 of the rows, until those can be sorted as a
+    short list. Nothing is ranked across the whole table, and repeated values cost nothing.
     """
-    names, eps = list(probs), 4.0 / accuracy
+    found: dict[int, float] = {}
+    # per rank: open range (low, high) that holds it, rows before the range, rows inside
+    ranges = {r: (None, None, 0, total) for r in ranks}
+    value = F.col("v")
+
+    def inside(low, high):
+        return (F.lit(True) if low is None else value > low) & (F.lit(True) if high is None else value < high)
+
+    while ranges:
+        small = {r: x for r, x in ranges.items() if x[3] <= FEW_VALUES}
+        if small:
+            lists = v.agg(*[F.sort_array(F.collect_list(F.when(inside(*x[:2]), value))).alias(f"r{r}") for r, x in small.items()]).first()
+            found |= {r: lists[f"r{r}"][r - x[2]] for r, x in small.items()}
+            ranges = {r: x for r, x in ranges.items() if r not in small}
+            continue
+        eps = 4.0 / accuracy
+        shares = {r: (r - x[2] + 1) / x[3] for r, x in ranges.items()}
+        marks = v.agg(*[F.percentile_approx(F.when(inside(*x[:2]), value), [max(0.0, shares[r] - eps), min(1.0, shares[r] + eps)], accuracy).alias(f"r{r}") for r, x in ranges.items()]).first()
+        tests = []
+        for r, x in ranges.items():
+            low, high = marks[f"r{r}"]
+            here = inside(*x[:2])
+            for name, test in (("below", value < low), ("low", value == low), ("between", (value > low) & (value < high)), ("high", value == high)):
+                tests.append(F.count_if(here & test).alias(f"{name}{r}"))
+        counts = v.agg(*tests).first()
+        following = {}
+        for r, (low, high, before, n) in ranges.items():
+            a, b = marks[f"r{r}"]
+            at = r - before
+            under, first, middle, last = counts[f"below{r}"], counts[f"low{r}"], counts[f"between{r}"], counts[f"high{r}"]
+            if a == b:
+                last = 0
+            if at < under:
+                following[r] = (low, a, before, under)
+            elif at < under + first:
+                found[r] = a
+            elif at < under + first + middle:
+                following[r] = (a, b, before + under + first, middle)
+            elif at < under + first + middle + last:
+                found[r] = b
+            else:
+                after = under + first + middle + last
+                following[r] = (b, high, before + after, n - after)
+        ranges = following
+    return found
+
+
+def exact_quantiles(df: DataFrame, value: str, probs: dict[str, float]) -> DataFrame:
+    """Exact linear-interpolated quantiles of a whole table as one row."""
     v = df.select(F.col(value).cast("double").alias("v")).filter("v IS NOT NULL")
     total = v.count()
+    one = df.sparkSession.range(1)
     if total == 0:
-        return df.sparkSession.range(1).select(*[F.lit(None).cast("double").alias(n) for n in names])
-    ranks = {n: (int(probs[n] * (total - 1)), min(int(probs[n] * (total - 1)) + 1, total - 1)) for n in names}
-    marks = [p for n in names for p in (max(0.0, (ranks[n][0] + 1) / total - eps), min(1.0, (ranks[n][1] + 1) / total + eps))]
-    head = v.agg(F.percentile_approx("v", marks, accuracy).alias("m")).first()
-    low = {n: head["m"][2 * i] for i, n in enumerate(names)}
-    high = {n: head["m"][2 * i + 1] for i, n in enumerate(names)}
-    below = v.agg(*[F.count_if(F.col("v") < low[n]).alias(n) for n in names]).first()
-    rows = None
-    for name in names:
-        lo_rank, hi_rank = ranks[name]
-        frac = probs[name] * (total - 1) - lo_rank
-        # only the distinct values of a bracket of a few parts per 100,000 are ranked
-        counted = v.filter(F.col("v").between(low[name], high[name])).groupBy("v").agg(F.count("*").alias("c"))
-        upto = F.sum("c").over(Window.orderBy("v")) + F.lit(below[name])
-        x, y = F.min(F.when(F.col("hi") > lo_rank, F.col("v"))), F.min(F.when(F.col("hi") > hi_rank, F.col("v")))
-        one = counted.withColumn("hi", upto).agg(x.alias("x"), y.alias("y")).select(
-            F.lit(name).alias("q"), (F.col("x") + (F.col("y") - F.col("x")) * frac).alias("value"))
-        rows = one if rows is None else rows.unionByName(one)
-    return rows.agg(*[F.max(F.when(F.col("q") == n, F.col("value"))).alias(n) for n in names])
+        return one.select(*[F.lit(None).cast("double").alias(n) for n in probs])
+    places = {n: p * (total - 1) for n, p in probs.items()}
+    found = order_statistics(v, sorted({r for x in places.values() for r in (int(x), min(int(x) + 1, total - 1))}), total)
+    ends = {n: (found[int(x)], found[min(int(x) + 1, total - 1)]) for n, x in places.items()}
+    return one.select(*[F.lit(a + (b - a) * (places[n] - int(places[n])) if a != b else a).cast("double").alias(n) for n, (a, b) in ends.items()])

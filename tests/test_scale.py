@@ -7,10 +7,12 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pagemill import scale
+from pagemill import scale, session
 from pagemill.operators import activity as ac
 from pagemill.operators import folds
 from pagemill.operators import frontier as fr
+from pagemill.operators import fulltext as ft
+from pagemill.operators import ivf
 from pagemill.operators import knowledge as kn
 from pagemill.operators import merge as mg
 from pagemill.operators import search as se
@@ -103,7 +105,9 @@ def test_adaptive_delay_across_segments(spark):
             assert got[r[0]] == pytest.approx(delay, rel=1e-9)
 
 
-def test_exact_quantiles(spark):
+@pytest.mark.parametrize("few", [10_000, 5, 1])
+def test_exact_quantiles(spark, monkeypatch, few):
+    monkeypatch.setattr(scale, "FEW_VALUES", few)
     rng = np.random.default_rng(1)
     for values in (rng.exponential(5, 5001), np.repeat([1.0, 2.0, 9.0], [4000, 10, 3]), np.array([4.0])):
         df = spark.createDataFrame([(float(v),) for v in values], "v double")
@@ -163,12 +167,63 @@ def test_vector_search(spark):
     for r in ve.bulk_top_k(df, "vec_id", q, "query_id", 5, block=7).collect():
         got[r["query_id"]][r["rank"]] = r["vec_id"]
     assert all([got[i][k] for k in range(1, 6)] == want[i] for i in range(1, 20))
-    near = ve.approx_top_k(ve.signatures(df, "vec_id"), df, "vec_id", q, "query_id", 5).collect()
-    found = defaultdict(set)
-    for r in near:
-        found[r["query_id"]].add(r["vec_id"])
-    recall = np.mean([len(found[i] & set(want[i])) / 5 for i in range(1, 20)])
-    assert recall >= 0.7
+
+
+@pytest.mark.parametrize("part", [8192, 50])
+def test_inverted_lists(spark, monkeypatch, part):
+    """Recall against the exact search, on vectors without clusters and many copies of one."""
+    monkeypatch.setattr(ivf, "PART", part)
+    rng = np.random.default_rng(6)
+    m = rng.standard_normal((1500, 24)).astype(np.float32)
+    m = np.vstack([m, m[:1].repeat(300, axis=0)])
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(m)] + [(5000, None)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(4)
+    q = df.filter("vec_id BETWEEN 1 AND 60").select(F.col("vec_id").alias("query_id"), "embedding")
+    exact = {(r["query_id"], r["vec_id"]) for r in ve.bulk_top_k(df, "vec_id", q, "query_id", 5, block=17, part=100).collect()}
+    quantiser = ivf.fit(df, "vec_id")
+    index = ivf.index(df, "vec_id", quantiser)
+    assert index.count() == 1800
+    found = {(r["query_id"], r["vec_id"]) for r in ivf.search(index, quantiser, df, "vec_id", q, "query_id", 5).collect()}
+    recall, read = len(found & exact) / len(exact), ivf.share_read(index, quantiser, q, "query_id")
+    print(f"recall at 5: {recall:.3f}; codes read: {read:.2f}; rows scored exactly: {100 / 1800:.3f}")
+    assert len(exact) == 300 and recall >= 0.9 and read < 0.75
+
+
+def test_positional_postings(spark):
+    rng = np.random.default_rng(8)
+    said = {i: [str(x) for x in rng.choice(["a", "ab", "abc", "b", "ba"], rng.integers(0, 30))] for i in range(80)}
+    said[80] = ["a", "a", "a", "a"]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in said.items()] + [(99, None)], "id long, text string").repartition(3)
+    index = ft.positions(docs, "id", "text").cache()
+
+    def times(tokens, unit):
+        n = len(unit.words)
+        fits = lambda w, x, i: w.startswith(x) if unit.prefix and i == n - 1 else w == x
+        return sum(all(fits(tokens[at + i], unit.words[i], i) for i in range(n)) for at in range(len(tokens) - n + 1))
+
+    for branches in ([ft.All((ft.phrase("a a"),))], [ft.All((ft.phrase("A ab b", prefix=True), ft.word("ba")))], [ft.All((ft.prefix("ab"),), (ft.phrase("b a"), ft.word("abc")))],
+                     [ft.All((ft.phrase("a b"),)), ft.All((ft.phrase("abc abc"),), (ft.prefix("ba"),))], [ft.All((ft.word("zz"),))]):
+        want = {i for i, t in said.items() if any(all(times(t, u) for u in b.units) and not any(times(t, u) for u in b.without) for b in branches)}
+        got = {r["id"]: r["score"] for r in ft.search(index, "id", branches, 82).collect()}
+        assert set(got) == want and all(x > 0 for x in got.values())
+    tf = {r["id"]: r["tf"] for r in ft.occurrences(index, "id", [ft.phrase("a a")]).collect()}
+    assert tf == {i: times(t, ft.phrase("a a")) for i, t in said.items() if times(t, ft.phrase("a a"))} and tf[80] == 3
+    index.unpersist()
+
+
+def test_kept_tables_follow_their_source(spark, tmp_path):
+    path, built = str(tmp_path / "t"), []
+
+    def total():
+        source = spark.read.parquet(path)
+        return session.kept("sums", source, lambda: built.append(1) or source.agg(F.sum("x").alias("s"))).first()["s"]
+
+    spark.range(5).select(F.col("id").alias("x")).write.parquet(path)
+    assert total() == total() == 10 and len(built) == 1
+    spark.range(3).select(F.col("id").alias("x")).write.mode("append").parquet(path)
+    assert total() == 13 and len(built) == 2
+    session.forget_kept(spark)
+    assert total() == 13 and len(built) == 3
 
 
 def test_embedding_rules(spark):

@@ -146,26 +146,27 @@ def by_char_sentence(text: str, size: int, overlap: int) -> list[str]:
 MODES = {"paragraph": by_paragraphs, "sentence": by_sentences, "char": by_characters, "char_sentence": by_char_sentence}
 
 
-def chunk_table(df: DataFrame, key: str, text: str, mode: str = "paragraph", size: int = 1000, overlap: int = 200) -> DataFrame:
-    """Rows (key, chunk_index, total_chunks, content, start_index, end_index).
+def placed_chunks(text: str | None, mode: str, size: int, overlap: int) -> Iterator[tuple[int, int, str, int, int]]:
+    """(number, how many, chunk, start, end) of a text's chunks.
 
     start is the first place of the chunk at or after the previous end, or that
     end itself where the packing changed the text.
     """
-    cut = MODES[mode]
+    pieces, pos = MODES[mode](text, size, overlap) if text else [], 0
+    for i, piece in enumerate(pieces):
+        found = text.find(piece, pos)
+        begin = found if found >= 0 else pos
+        pos = begin + len(piece)
+        yield i, len(pieces), piece, begin, pos
+
+
+def chunk_table(df: DataFrame, key: str, text: str, mode: str = "paragraph", size: int = 1000, overlap: int = 200) -> DataFrame:
+    """Rows (key, chunk_index, total_chunks, content, start_index, end_index)."""
     key_type = df.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
-            for k, t in zip(batch[key], batch[text]):
-                pos = 0
-                pieces = cut(t, size, overlap) if t else []
-                for i, piece in enumerate(pieces):
-                    found = t.find(piece, pos)
-                    begin = found if found >= 0 else pos
-                    pos = begin + len(piece)
-                    rows.append((k, i, len(pieces), piece, begin, pos))
+            rows = [(k, *row) for k, t in zip(batch[key], batch[text]) for row in placed_chunks(t, mode, size, overlap)]
             yield pd.DataFrame(rows, columns=[key, "chunk_index", "total_chunks", "content", "start_index", "end_index"])
 
     return df.select(key, text).mapInPandas(

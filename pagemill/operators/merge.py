@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagemill.operators.vectors import update_rows
+from pagemill.session import discard, materialize
+
 
 def chunks_of_type(chunks: DataFrame, documents: DataFrame, key: str, kind: str) -> DataFrame:
     """Chunk rows whose document has the given type; the type filter runs before the join."""
@@ -110,3 +114,52 @@ def key_sets(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     both = old.select(key, F.lit(1).alias("o"), F.lit(0).alias("n")).unionByName(new.select(key, F.lit(0).alias("o"), F.lit(1).alias("n")))
     one = both.groupBy(key).agg(F.max("o").alias("o"), F.max("n").alias("n"))
     return one.select(key, F.when(F.col("o") == 0, "only_new").when(F.col("n") == 0, "only_old").otherwise("both").alias("key_set"))
+
+
+class BucketStore:
+    """A table in folders bucket=0, 1, ... by key hash, of which a change rewrites the touched ones.
+
+    Changes are computed from the touched buckets alone, written aside, and put in their
+    place by dynamic partition overwrite: other files keep their names, and a broken job
+    before that step leaves the table as it was. Rows without a key are kept, share a
+    bucket, and match no change by key but the upsert's, for which they are one key.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, key: str, buckets: int = 64):
+        self.spark, self.path, self.key, self.buckets = spark, path, key, buckets
+
+    def _placed(self, df: DataFrame) -> DataFrame:
+        return df.withColumn("bucket", F.pmod(F.xxhash64(F.col(self.key)), F.lit(self.buckets)).cast("int"))
+
+    def create(self, df: DataFrame) -> None:
+        rows = self._placed(df).repartition("bucket")
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("bucket").parquet(self.path)
+
+    def read(self) -> DataFrame:
+        return self.spark.read.parquet(self.path).drop("bucket")
+
+    def _touched(self, keys: DataFrame) -> list[int]:
+        return sorted(r[0] for r in self._placed(keys.select(self.key)).select("bucket").distinct().collect())  # at most `buckets` numbers
+
+    def _replace(self, touched: list[int], change: Callable[[DataFrame], DataFrame]) -> None:
+        if not touched:
+            return
+        stored = self.spark.read.parquet(self.path)
+        columns = [c for c in stored.columns if c != "bucket"]
+        after = materialize(change(stored.filter(F.col("bucket").isin(touched)).select(*columns)).select(*columns))
+        emptied = set(touched) - set(self._touched(after))
+        self._placed(after).repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(self.path)
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path
+        for bucket in emptied:  # an overwrite does not see a bucket without rows
+            place = folder(f"{self.path}/bucket={bucket}")
+            place.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(place, True)
+        discard(after)
+
+    def upsert(self, batch: DataFrame, content_hash: str, order: str | None = None) -> None:
+        self._replace(self._touched(batch), lambda rows: upsert(rows, batch, self.key, content_hash, order))
+
+    def update(self, changes: DataFrame, fields: list[str]) -> None:
+        self._replace(self._touched(changes), lambda rows: update_rows(rows, changes, self.key, fields))
+
+    def delete(self, keys: DataFrame) -> None:
+        self._replace(self._touched(keys), lambda rows: rows.join(keys.select(self.key).distinct(), self.key, "left_anti"))

@@ -10,10 +10,11 @@ from pagemill import scale
 
 def daily_series(events: DataFrame, topic: str, ts: str) -> DataFrame:
     """Share of each topic in the events of a day. After this aggregate a topic
-    holds one row per day, so windows over it stay as short as the calendar."""
+    holds one row per day, so windows over it stay as short as the calendar. Events
+    without a day or a topic count under a null of their own, which comes first in time."""
     per_day = events.groupBy(F.col(topic).alias("topic"), F.to_date(ts).alias("day")).agg(F.count("*").alias("n"))
     totals = per_day.groupBy("day").agg(F.sum("n").alias("total"))
-    return per_day.join(scale.maybe_broadcast(totals), "day").select("topic", "day", (F.col("n") / F.col("total")).alias("popularity"))
+    return scale.join_null_safe(per_day, scale.maybe_broadcast(totals), ["day"]).select("topic", "day", (F.col("n") / F.col("total")).alias("popularity"))
 
 
 def topic_trends(series: DataFrame, horizon: int = 7, n: int = 10) -> DataFrame:
@@ -65,11 +66,11 @@ def anomalies(points: DataFrame, metric: str, ts: str, value: str) -> DataFrame:
     that would hold a whole metric in one task.
     """
     stats = points.groupBy(metric).agg(F.avg(value).alias("_m"), F.stddev_pop(value).alias("_s"), F.count("*").alias("_n")).filter("_n >= 10")
-    joined = points.join(scale.maybe_broadcast(stats), metric)
+    joined = scale.join_null_safe(points, scale.maybe_broadcast(stats), [metric])
     v, low, high = F.col(value), F.col("_m") - 2 * F.col("_s"), F.col("_m") + 2 * F.col("_s")
     score = F.when(v < low, (low - v) / F.col("_s")).otherwise((v - high) / F.col("_s"))
     found = joined.filter((v < low) | (v > high)).withColumn("anomaly_score", F.round(score, 6))
-    text = F.format_string("%s is unusually %s: %.2f (expected: %.2f)", F.col(metric), F.when(v > high, "high").otherwise("low"), F.round(v, 2), F.round("_m", 2))
+    text = F.format_string("%s is unusually %s: %.2f (expected: %.2f)", F.coalesce(F.col(metric), F.lit("(unnamed)")), F.when(v > high, "high").otherwise("low"), F.round(v, 2), F.round("_m", 2))
     severity = F.when(F.col("anomaly_score") > 3, "high").when(F.col("anomaly_score") > 2, "medium").otherwise("low")
     return found.select(metric, ts, F.round(v, 6).alias("value"), "anomaly_score", severity.alias("severity"), text.alias("description"))
 

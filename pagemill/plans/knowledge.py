@@ -12,7 +12,7 @@ from pagemill.plans.html import docs
 from pagemill.plans.labels import _SEC_PAGES, section_records
 from pagemill.plans.registry import query, table
 from pagemill.plans.sqlparts import q
-from pagemill.session import materialize
+from pagemill.session import kept
 
 # Names look like <section>_<sub>_<page>, taken from the moved page URL.
 _NAME = "replace(regexp_extract(url, '^[^:]+://[^/]+/(.*)$', 1), '/', '_')"
@@ -24,8 +24,8 @@ _SRC = _SEC_PAGES + f", n AS (SELECT *, {_NAME} AS name FROM sp), k AS (SELECT *
 
 def named(spark, sf):
     name = F.replace(F.regexp_extract("url", r"^[^:]+://[^/]+/(.*)$", 1), F.lit("/"), F.lit("_"))
-    # stored once: the chunk builder filters on the extracted text
-    return materialize(section_records(spark, sf).select("page_id", "url", "title", "main_content").withColumn("name", name))
+    # stored once for each version of the pages: the chunk builder filters on the extracted text
+    return kept("named_pages", table(spark, sf, "pages"), lambda: section_records(spark, sf).select("page_id", "url", "title", "main_content").withColumn("name", name))
 
 
 @query("K1_category_from_filename", _SRC + " SELECT page_id, category, subcategory FROM k")

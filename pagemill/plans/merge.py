@@ -11,6 +11,7 @@ from pagemill.operators import merge as mg
 from pagemill.plans import sqlparts as sp
 from pagemill.plans.registry import query, table
 from pagemill.plans.urls import CATEGORY_SQL, SECTION_CTE, section_urls
+from pagemill.session import kept_path
 
 _TYPE = "CASE WHEN o_orderstatus = 'F' THEN 'documentation' ELSE 'workflow' END"
 
@@ -81,12 +82,39 @@ CASE WHEN n.h IS NULL OR o.h = n.h THEN o.price ELSE n.price END AS price, CASE
 FROM o FULL JOIN n ON o.o_orderkey = n.o_orderkey""")
 def upsert(spark, sf):
     """Two overlapping date ranges of the orders; open orders change their hash."""
+    old, new = _versions(spark, sf)
+    return mg.upsert(old, new, "o_orderkey", "h").select("o_orderkey", "price", "action")
+
+
+def _versions(spark, sf):
     o = orders(spark, sf)
     same = F.md5(F.concat(F.col("o_orderkey").cast("string"), "o_orderpriority"))
     old = o.filter(F.col("o_orderdate") < date("1999-01-01")).select("o_orderkey", F.col("o_totalprice").alias("price"), same.alias("h"))
     new = o.filter(F.col("o_orderdate") >= date("1997-01-01")).select(
         "o_orderkey", (F.col("o_totalprice") + 1).alias("price"), F.when(F.col("o_orderstatus") == "O", F.md5("o_orderpriority")).otherwise(same).alias("h"))
-    return mg.upsert(old, new, "o_orderkey", "h").select("o_orderkey", "price", "action")
+    return old, new
+
+
+@query("J7_bucket_upsert", f"""WITH o AS ({_OLD}), n AS ({_NEW}) SELECT coalesce(o.o_orderkey, n.o_orderkey) AS o_orderkey,
+CASE WHEN n.h IS NULL OR o.h = n.h THEN o.price ELSE n.price END AS price, CASE WHEN n.h IS NULL OR o.h = n.h THEN o.h ELSE n.h END AS h FROM o FULL JOIN n ON o.o_orderkey = n.o_orderkey""")
+def bucket_upsert(spark, sf):
+    """The written table after its touched buckets were rewritten."""
+    old, new = _versions(spark, sf)
+    store = mg.BucketStore(spark, kept_path(spark, "orders_upsert"), "o_orderkey", 16)
+    store.create(old)
+    store.upsert(new, "h")
+    return store.read().select("o_orderkey", "price", "h")
+
+
+@query("V9_bucket_update_delete", "SELECT o_orderkey, CASE WHEN o_orderpriority = '1-URGENT' THEN 0 ELSE o_totalprice END AS o_totalprice FROM orders WHERE o_orderstatus <> 'P'")
+def bucket_update_delete(spark, sf):
+    """Prices of urgent orders set to 0 and open deliveries deleted, in the written table."""
+    o = orders(spark, sf)
+    store = mg.BucketStore(spark, kept_path(spark, "orders_update"), "o_orderkey", 16)
+    store.create(o.select("o_orderkey", "o_totalprice"))
+    store.update(o.filter("o_orderpriority = '1-URGENT'").select("o_orderkey", F.lit(0.0).alias("o_totalprice")), ["o_totalprice"])
+    store.delete(o.filter("o_orderstatus = 'P'"))
+    return store.read().select("o_orderkey", "o_totalprice")
 
 
 @query("J7_upsert_counts", f"""WITH o AS ({_OLD}), n AS ({_NEW}) SELECT CASE WHEN n.h IS NULL THEN 'kept' WHEN o.h IS NULL THEN 'inserted' WHEN o.h = n.h THEN 'skipped' ELSE 'updated' END AS action, count(*) AS n FROM o FULL JOIN n ON o.o_orderkey = n.o_orderkey GROUP BY ALL""")

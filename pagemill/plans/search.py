@@ -9,6 +9,7 @@ from pagemill.functions import text as tx
 from pagemill.operators import fulltext as ft
 from pagemill.operators import ivf
 from pagemill.operators import search as se
+from pagemill.operators import setjoin as sj
 from pagemill.operators import vectors as ve
 from pagemill.plans import sqlparts as sp
 from pagemill.plans.html import REC, docs, records
@@ -317,6 +318,21 @@ def spell_correct(spark, sf):
     return se.spell_correct(words(spark, sf).groupBy("term").agg(F.count("*").alias("n")), _MISSPELLED)
 
 
+# DuckDB counts edits of bytes: letters of two bytes become capitals, which no word holds.
+_BY_LETTER = "levenshtein(translate(term, 'éèñßêíçüöóä', 'ABCDEFGHIJK'), translate(word, 'éèñßêíçüöóä', 'ABCDEFGHIJK'))"
+
+
+@query("R16_correct_table", f"""WITH v AS (SELECT term, count(*) AS n FROM {_WORDS} GROUP BY 1 HAVING count(*) >= 5), b AS (SELECT DISTINCT unnest({_TOK}) AS word FROM benchmark), m AS (SELECT word FROM b ANTI JOIN v ON word = term),
+r AS (SELECT word, term, {_BY_LETTER} AS d, n FROM v, m WHERE {_BY_LETTER} <= 2), k AS (SELECT *, row_number() OVER (PARTITION BY word ORDER BY d, n DESC, term) AS k FROM r)
+SELECT m.word, term AS correction, d AS distance FROM m LEFT JOIN k ON m.word = k.word AND k.k = 1""")
+def correct_table(spark, sf):
+    """Every rare or unknown word of the benchmark against the words the documents use at least five times."""
+    vocabulary = words(spark, sf).groupBy("term").agg(F.count("*").alias("n")).filter("n >= 5")
+    asked = scale.rows_of(table(spark, sf, "benchmark"), [], se.tokens(F.col("text")), "word").distinct()
+    unknown = asked.join(vocabulary.select(F.col("term").alias("word")), "word", "left_anti")
+    return sj.correct_words(vocabulary, unknown, "word")
+
+
 @query("R17_expand_query", "SELECT p_partkey, array_to_string(CASE p_type WHEN 'ECONOMY' THEN ['ECONOMY', 'cheap', 'basic'] WHEN 'PROMO' THEN ['PROMO', 'offer'] ELSE [p_type] END, '|') AS terms FROM part")
 def expand_query(spark, sf):
     e = se.expand_query(table(spark, sf, "part").select("p_partkey", "p_type"), "p_type", {"ECONOMY": ["cheap", "basic"], "PROMO": ["offer"]})

@@ -8,6 +8,7 @@ from pagemill.functions import text as tx
 from pagemill.operators import chunks as ch
 from pagemill.operators import keywords as kw
 from pagemill.operators import knowledge as kn
+from pagemill.operators import table_functions as tables
 from pagemill.plans import sqlparts as sp
 from pagemill.plans.html import REC, docs, records
 from pagemill.plans.registry import query
@@ -70,6 +71,39 @@ def chunk_words(spark, sf):
     return ch.explode_chunks(ch.word_chunks(docs(spark, sf), "text", "c", 100, 20), "doc_id", F.col("c"))
 
 
+def _in_sql(spark, sf, statement):
+    """A statement over the documents in which the chunkers are table functions."""
+    tables.register(spark)
+    return spark.sql(statement, documents=docs(spark, sf))
+
+
+@query("T4_split_text_sql")
+def split_text_sql(spark, sf):
+    return _in_sql(spark, sf, "SELECT doc_id, c.* FROM {documents}, LATERAL chunk_text(text, 'paragraph', 1000, 200) AS c")
+
+
+@query("T5_split_by_sentences_sql")
+def split_by_sentences_sql(spark, sf):
+    return _in_sql(spark, sf, "SELECT doc_id, c.* FROM {documents}, LATERAL chunk_text(text, 'sentence', 1000, 200) AS c")
+
+
+@query("T6_split_by_characters_sql")
+def split_by_characters_sql(spark, sf):
+    return _in_sql(spark, sf, "SELECT doc_id, c.* FROM {documents}, LATERAL chunk_text(text, 'char', 1000, 200) AS c")
+
+
+@query("T8_chunk_char_sentence_sql")
+def chunk_char_sentence_sql(spark, sf):
+    return _in_sql(spark, sf, """SELECT doc_id, IF(total_chunks > 1, concat(doc_id, '_part_', chunk_index), cast(doc_id AS string)) AS id, content, total_chunks > 1 AS is_split_chunk,
+        IF(total_chunks > 1, chunk_index, NULL) AS chunk_part, cast(length(content) AS bigint) AS chunk_char_count
+        FROM {documents}, LATERAL chunk_text(text, 'char_sentence', 1000, 200) AS c""")
+
+
+@query("T10_chunk_offsets_sql")
+def chunk_offsets_sql(spark, sf):
+    return _in_sql(spark, sf, "SELECT doc_id, chunk_index, total_chunks, start_index, end_index FROM {documents}, LATERAL chunk_text(text, 'paragraph', 1000, 200, true) AS c")
+
+
 @query("T8_chunk_char_sentence")
 def chunk_char_sentence(spark, sf):
     return ch.split_parts(docs(spark, sf), "doc_id", "text")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pagemill.functions import labels as lb
+from pagemill.operators import setjoin as sj
 from pagemill.operators import workflows as wf
 from pagemill.plans import sqlparts as sp
 from pagemill.plans.html import docs
@@ -216,6 +217,34 @@ def similar_workflows(spark, sf):
     return wf.similar(enriched(spark, sf).select("o_orderkey", "services"), "o_orderkey", "services", 7)
 
 
+# Different service sets, each named by its smallest workflow, and the similar pairs among them.
+_SETS = _SRC + """, u AS (SELECT o_orderkey, list_sort(list_distinct(services)) AS s FROM w), c AS (SELECT s, min(o_orderkey) AS rep, count(*) AS members FROM u GROUP BY s),
+p AS (SELECT a.rep AS a, b.rep AS b, len(list_intersect(a.s, b.s)) / len(list_distinct(list_concat(a.s, b.s)))::DOUBLE AS j, a.members AS am, b.members AS bm FROM c a JOIN c b ON a.rep < b.rep AND len(a.s) > 0 AND len(b.s) > 0)"""
+
+
+def _classes(spark, sf):
+    return sj.set_classes(enriched(spark, sf).select("o_orderkey", "services"), "o_orderkey", "services")
+
+
+@query("W21_similar_sets", _SETS + " SELECT a, b, round(j, 6) AS similarity FROM p WHERE j >= 0.5")
+def similar_sets(spark, sf):
+    classes, _ = _classes(spark, sf)
+    return sj.similar_sets(classes, 0.5).select("a", "b", F.round("similarity", 6).alias("similarity"))
+
+
+@query("W21_similar_counts", _SETS + """, q AS (SELECT a AS rep, bm AS n FROM p WHERE j >= 0.5 UNION ALL SELECT b, am FROM p WHERE j >= 0.5), t AS (SELECT rep, sum(n) AS n FROM q GROUP BY rep)
+SELECT u.o_orderkey, c.rep, (c.members - 1 + coalesce(t.n, 0))::BIGINT AS similar FROM u JOIN c ON u.s = c.s LEFT JOIN t ON c.rep = t.rep""")
+def similar_counts(spark, sf):
+    """For every workflow, how many others have an equal or a similar set."""
+    classes, members = _classes(spark, sf)
+    pairs = sj.similar_sets(classes, 0.5)
+    sizes = classes.select(F.col("rep").alias("other"), "members")
+    both = pairs.select(F.col("a").alias("rep"), F.col("b").alias("other")).unionByName(pairs.select(F.col("b").alias("rep"), F.col("a").alias("other")))
+    near = both.join(sizes, "other").groupBy("rep").agg(F.sum("members").alias("near"))
+    totals = classes.join(near, "rep", "left").select("rep", (F.col("members") - 1 + F.coalesce("near", F.lit(0))).alias("similar"))
+    return members.join(totals, "rep").select("o_orderkey", "rep", "similar")
+
+
 @query("W22_workflow_stats", _SRC + """ SELECT unnest(['total', 'active', 'inactive', 'total_nodes', 'avg_nodes']) AS metric, unnest([count(*)::DOUBLE, count(*) FILTER (o_orderstatus = 'O')::DOUBLE, count(*) FILTER (o_orderstatus <> 'O')::DOUBLE, sum(node_count)::DOUBLE, round(avg(node_count), 4)]) AS value FROM w
 UNION ALL SELECT 'unique_integrations', count(DISTINCT s)::DOUBLE FROM (SELECT unnest(services) AS s FROM w) UNION ALL SELECT 'trigger:' || trigger, count(*)::DOUBLE FROM w GROUP BY 1
 UNION ALL SELECT 'complexity:' || CASE WHEN node_count <= 5 THEN 'low' WHEN node_count <= 15 THEN 'medium' ELSE 'high' END, count(*)::DOUBLE FROM w GROUP BY 1""")

@@ -90,6 +90,11 @@ def kept(name: str, source: DataFrame, build: Callable[[], DataFrame]) -> DataFr
     return spark.read.parquet(place.toString())
 
 
+def kept_path(spark: SparkSession, name: str) -> str:
+    """Folder for a table that a query of this application writes anew each time it runs."""
+    return f"{checkpoint_root(spark)}/kept-{spark.sparkContext.applicationId}/{name}"
+
+
 def forget_kept(spark: SparkSession) -> None:
     """Removes all tables that kept() wrote for this application."""
     place = spark._jvm.org.apache.hadoop.fs.Path(f"{checkpoint_root(spark)}/kept-{spark.sparkContext.applicationId}")

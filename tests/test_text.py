@@ -9,6 +9,8 @@ from pagemill.functions import quality as qx
 from pagemill.functions import text as tx
 from pagemill.operators import chunks as ch
 from pagemill.operators import keywords as kw
+from pagemill.operators import table_functions as tables
+from tests.conftest import rows
 
 WORDS = "alpha beta gamma. delta! epsilon? zeta eta theta, iota kappa\nlambda".split(" ")
 
@@ -138,3 +140,24 @@ def test_word_and_stride_chunks_match_brute_force(spark):
 def test_keywords_ties_by_first_place(spark):
     df = frame(spark, ["zebra apple apple zebra mango the with café cafés"])
     assert [r["term"] for r in kw.top_keywords(df, "doc_id", "text").orderBy("rank").collect()] == ["zebra", "apple", "mango"]
+
+
+def test_chunkers_in_sql(spark):
+    """The table functions give what the DataFrame chunkers give, null and empty texts included."""
+    tables.register(spark)
+    said = "One two three. Four five six! Seven eight nine? Ten.\n\nA new paragraph of words here. And more of them, up to the end.\n\nLast."
+    docs = spark.createDataFrame([(1, said), (2, None), (3, ""), (4, "word " * 60), (5, "x" * 130)], "id long, text string")
+    columns = ["id", "chunk_index", "total_chunks", "content", "start_index", "end_index"]
+    for mode in ch.MODES:
+        got = spark.sql(f"SELECT id, c.* FROM {{d}}, LATERAL chunk_text(text, '{mode}', 50, 10, true) AS c", d=docs)
+        want = ch.chunk_table(docs, "id", "text", mode, 50, 10)
+        assert got.columns == columns and sorted(rows(got)) == sorted(rows(want.select(*columns))) and got.count() > 5
+    short = spark.sql("SELECT c.* FROM VALUES ('Aa bb. Cc dd.') AS t(text), LATERAL chunk_text(text, 'sentence', 8, 0) AS c")
+    assert rows(short) == [(0, 2, "Aa bb."), (1, 2, "Cc dd.")]
+    pieces = spark.createDataFrame([(1, ["aa", "bb", "", "c" * 9, "d"]), (2, None), (3, [])], "id long, p array<string>")
+    packed = spark.sql("SELECT id, c.* FROM {d}, LATERAL merge_chunks(p, 8) AS c", d=pieces)
+    want = ch.explode_chunks(pieces, "id", ch.merge_chunk_array(F.col("p"), 8)).select("id", "chunk_index", "content")
+    assert sorted(rows(packed)) == sorted(rows(want)) and packed.count() > 2
+    for bad in ("'nothing', 50, 10", "'char', 10, 10", "'char', id, 0"):
+        with pytest.raises(Exception, match="mode must be|overlap must be|must be a constant"):
+            spark.sql(f"SELECT c.* FROM {{d}}, LATERAL chunk_text(text, {bad}) AS c", d=docs).collect()

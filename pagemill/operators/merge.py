@@ -135,6 +135,10 @@ class BucketStore:
         rows = self._placed(df).repartition("bucket")
         rows.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("bucket").parquet(self.path)
 
+    def exists(self) -> bool:
+        place = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/_SUCCESS")
+        return place.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(place)
+
     def read(self) -> DataFrame:
         return self.spark.read.parquet(self.path).drop("bucket")
 
@@ -163,3 +167,8 @@ class BucketStore:
 
     def delete(self, keys: DataFrame) -> None:
         self._replace(self._touched(keys), lambda rows: rows.join(keys.select(self.key).distinct(), self.key, "left_anti"))
+
+    def replace_rows(self, keys: DataFrame, rows: DataFrame) -> None:
+        """All rows of the given keys are taken out and the given rows put in; a key may have many."""
+        both = keys.select(self.key).unionByName(rows.select(self.key))
+        self._replace(self._touched(both), lambda old: old.join(keys.select(self.key).distinct(), self.key, "left_anti").unionByName(rows.select(*old.columns)))

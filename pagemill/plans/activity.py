@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 from pagemill.operators import activity as ac
 from pagemill.operators import chunks as ch
 from pagemill.operators import folds
+from pagemill.operators import merge as mg
 from pagemill.plans import sqlparts as sp
 from pagemill.plans.registry import ORACLES, query, table
 from pagemill.session import checkpoint_root
-from pagemill.streaming import jobs
+from pagemill.streaming import jobs, stateful
 
 
 def events(spark, sf):
@@ -165,6 +166,45 @@ def stream_active_users(spark, sf):
     return jobs.newest_updates(spark, sink, ["doc", "user_id"]).filter("present").select("doc", "user_id")
 
 
+@query("Z9_stream_bounded_log", ORACLES["Z9_bounded_log"])
+def stream_bounded_log(spark, sf):
+    """List state, trimmed to the newest 20 of each user."""
+    sink = jobs.drain(stateful.bounded_log(_stream(spark, sf), "ts", "user_id", "event_id", 20), "update", state=jobs.ROCKS)
+    return jobs.newest_updates(spark, sink, ["user_id", "rank"]).select("user_id", F.col("id").alias("event_id"), "rank")
+
+
+@query("Z7_stream_presence", f"""WITH e AS (SELECT *, CAST(json_extract(props, '$.k') AS BIGINT) AS doc FROM events WHERE event_type IN ('signup', 'error')),
+m AS (SELECT max(ts) - INTERVAL 10 MINUTE AS mark FROM e), l AS (SELECT doc, user_id, max(ts) AS last, arg_max(event_type, (ts, event_id)) AS kind FROM e GROUP BY ALL)
+SELECT doc, user_id FROM l, m WHERE kind = 'signup' AND last + INTERVAL 168 HOUR > mark""")
+def stream_presence(spark, sf):
+    """Value state with timers: members leave by a move or after a week without one."""
+    stream = stateful.presence(by_doc(_stream(spark, sf)), "ts", "doc", "user_id", "event_id", "signup", "error", "event_type", 168)
+    sink = jobs.drain(stream, "update", state=jobs.ROCKS)
+    return jobs.newest_updates(spark, sink, ["doc", "user_id"]).filter("present").select("doc", "user_id")
+
+
+@query("Z10_stream_expiry", f"SELECT event_id FROM events WHERE ts + INTERVAL 168 HOUR > {_MARK}")
+def stream_expiry(spark, sf):
+    """Map state with timers: entries of a user until a week after their event."""
+    sink = jobs.drain(stateful.expiring_entries(_stream(spark, sf), "ts", "user_id", "event_id", 168), "update", state=jobs.ROCKS)
+    return jobs.newest_updates(spark, sink, ["user_id", "id"]).filter("live").select(F.col("id").alias("event_id"))
+
+
+@query("S12_changed_files", f"""WITH s AS (SELECT doc_id, text, unnest(range(0, length(text), 450)) AS i FROM documents), p AS (SELECT doc_id, i, substr(text, (i + 1)::BIGINT, 500) AS content FROM s)
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS chunk_index, md5(content) AS content_hash FROM p WHERE {sp.not_blank('content')}""")
+def changed_files(spark, sf):
+    """Index of a folder of files of which those of one language are edited between two runs."""
+    d = table(spark, sf, "documents").select("doc_id", "lang", "text")
+    base = f"{checkpoint_root(spark)}/changes-{uuid.uuid4().hex}"
+    store = mg.BucketStore(spark, f"{base}/chunks", "doc_id", 16)
+    build = lambda df: ch.explode_chunks(df, "doc_id", ch.stride_chunks(F.col("text"))).select("doc_id", "chunk_index", F.md5(F.encode("content", "UTF-8")).alias("content_hash"))
+    draft = F.when(F.col("lang") == "en", F.concat(F.upper("text"), F.lit(" draft"))).otherwise(F.col("text"))
+    for rows in (d.withColumn("text", draft), d.filter("lang = 'en'")):
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("lang").parquet(f"{base}/in")
+        jobs.changing_index(jobs.changed_files(spark, f"{base}/in", d.select("doc_id", "text").schema, "*.parquet"), "doc_id", build, store, f"{base}/log")
+    return store.read()
+
+
 @query("Z11_incremental_index", f"""WITH s AS (SELECT doc_id, text, unnest(range(0, length(text), 450)) AS i FROM documents), p AS (SELECT doc_id, i, substr(text, (i + 1)::BIGINT, 500) AS content FROM s)
 SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS chunk_index, md5(content) AS content_hash FROM p WHERE {sp.not_blank('content')}""")
 def incremental_index(spark, sf):

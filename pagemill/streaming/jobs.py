@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
+from pagemill.operators.merge import BucketStore
 from pagemill.session import checkpoint_root
 
 WATERMARK = "10 minutes"
@@ -86,20 +87,34 @@ def membership(events: DataFrame, ts: str, doc: str, user: str, joined: str, lef
     return moves.groupBy(doc, user).agg(F.max_by(F.col(kind) == joined, "_ts").alias("present"), F.max("_ts").alias("changed_at"))
 
 
-def drain(stream: DataFrame, mode: str, sink: str | None = None, checkpoint: str | None = None) -> str:
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def drain(stream: DataFrame, mode: str, sink: str | None = None, checkpoint: str | None = None, state: str | None = None, progress: list | None = None) -> str:
     """Runs over all files there are and stops; returns the folder of results.
 
-    append: a parquet sink with exactly-once commits. update: one folder per
+    `state` names the state store provider where the job needs another than the session's;
+    `progress` receives the reports of all micro-batches. append: a parquet sink with exactly-once commits. update: one folder per
     micro-batch, overwritten if the batch is repeated.
     """
     base = f"{checkpoint_root(stream.sparkSession)}/stream-{uuid.uuid4().hex}"
     sink, checkpoint = sink or f"{base}/out", checkpoint or f"{base}/log"
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+    provider, spark = "spark.sql.streaming.stateStore.providerClass", stream.sparkSession
+    before = spark.conf.get(provider, None)
+    if state:
+        spark.conf.set(provider, state)
     if mode == "append":
         started = writer.format("parquet").option("path", sink).start()
     else:
         started = writer.foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(f"{sink}/batch={n}")).start()
-    started.awaitTermination()
+    try:
+        started.awaitTermination()
+    finally:
+        if state:
+            spark.conf.unset(provider) if before is None else spark.conf.set(provider, before)
+    if progress is not None:
+        progress += started.recentProgress
     return sink
 
 
@@ -128,6 +143,31 @@ def keep_newest(stream: DataFrame, key: str, order: str, n: int, table: str, che
     q.awaitTermination()
 
 
+def changed_files(spark: SparkSession, folder: str, schema: StructType, glob: str = "*", kind: str = "parquet") -> DataFrame:
+    """New files and files that changed since the last run, as a stream."""
+    from pagemill.sources.changes import ChangedFiles
+
+    spark.dataSource.register(ChangedFiles)
+    return spark.readStream.format("changed_files").schema(schema).option("path", folder).option("glob", glob).option("kind", kind).load()
+
+
+def changing_index(stream: DataFrame, key: str, build: Callable[[DataFrame], DataFrame], store: BucketStore, checkpoint: str) -> None:
+    """Documents that come again take the place of their earlier chunks; only the buckets of
+    the batch's documents are rewritten, and a repeated batch gives the same table.
+
+    Of several rows of a document in one batch all are indexed.
+    """
+    def index(df: DataFrame, batch: int) -> None:
+        rows = build(df)
+        if store.exists():
+            store.replace_rows(df.select(key), rows)
+        else:
+            store.create(rows)
+
+    q = stream.writeStream.foreachBatch(index).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    q.awaitTermination()
+
+
 def incremental_index(stream: DataFrame, key: str, build: Callable[[DataFrame], DataFrame], sink: str, checkpoint: str) -> None:
     """New documents become chunk rows. Each batch owns one folder, so a repeated
     batch replaces its rows; documents already indexed are left out."""

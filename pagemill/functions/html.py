@@ -116,18 +116,48 @@ def has_element(html: Column, tag: str) -> Column:
     return html.rlike(rf"(?i)<{tag}[\s>/]")
 
 
-TEXT_BLOCK = r"(?is)<(h[1-6]|p|li)(?:\s[^>]*)?>(.*?)</(?:h[1-6]|p|li)\s*>"
+# Elements that end a run of text. Fixed values.
+BLOCK_TAGS = ("address", "article", "aside", "body", "caption", "center", "dd", "details", "dialog", "dir", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer",
+              "form", "header", "hgroup", "hr", "html", "legend", "main", "menu", "nav", "ol", "option", "p", "section", "select", "summary", "table", "tbody", "tfoot", "thead", "tr", "td", "th", "ul")
+RUN, OPEN, CLOSE = "\x01", "\x02", "\x03"  # between runs; around the mark of a run
+# Patterns and what stands in their place (group 1 is written {1}), in order.
+MARKDOWN_STEPS = (
+    ("(?is)<!--.*?-->|" + "|".join(rf"<{t}\b[^>]*>.*?(?:</{t}\s*>|\z)" for t in ("head", "script", "style", "noscript", "template")), ""),
+    (r"(?is)<pre\b[^>]*>(?:\s*<code\b[^>]*>)?", f"{RUN}{OPEN}`{CLOSE}"),
+    (r"(?is)(?:</code\s*>)?\s*</pre\s*>", RUN),
+    (r"(?is)</?code\b[^>]*>", "`"),
+    (r"(?is)</t[dh]\s*>\s*<t[dh]\b[^>]*>", " | "),
+    (r"(?is)<li\b[^>]*>(?:\s*<p\b[^>]*>)?", f"{RUN}{OPEN}-{CLOSE}"),
+    (r"(?is)<blockquote\b[^>]*>(?:\s*<p\b[^>]*>)?", f"{RUN}{OPEN}>{CLOSE}"),
+    (r"(?is)<h([1-6])\b[^>]*>", f"{RUN}{OPEN}{{1}}{CLOSE}"),
+    (r"(?is)<br\b[^>]*>", " "),
+    (rf"(?is)</?(?:{'|'.join(BLOCK_TAGS)}|h[1-6]|li|blockquote)\b[^>]*>", RUN),
+)
 
 
 def text_blocks_markdown(html: Column) -> Column:
-    """Headings, paragraphs and list items as markdown blocks, in page order.
+    """All text of a page as markdown blocks, in page order.
 
-    Built-in functions only: a block ends at the first end tag of any such element, and
-    marks inside a block are dropped. The tree walk of the markdown operator writes all.
+    Built-in functions only: every tag of a block element ends a run of text, and each run
+    that holds any is a block. Headings, list items, quotes and preformatted text carry
+    their mark, cells of a row stand between bars, inline code between backticks; other
+    marks inside a run are dropped. The tree walk of the markdown operator writes those too.
     """
-    tags = F.transform(F.regexp_extract_all(html, F.lit(TEXT_BLOCK), F.lit(1)), lambda t: F.lower(t))
-    texts = F.transform(F.regexp_extract_all(html, F.lit(TEXT_BLOCK), F.lit(2)), lambda t: strip(F.regexp_replace(inner_text(t), WS + "+", " ")))
-    rank = lambda tag: F.substring(tag, 2, 1).cast("int")
-    mark = lambda tag: F.when(tag == "li", F.lit("- ")).when(tag == "p", F.lit("")).otherwise(F.concat(F.repeat(F.lit("#"), rank(tag)), F.lit(" ")))
-    written = F.zip_with(tags, texts, lambda tag, text: F.when(text != "", F.concat(mark(tag), text)))
-    return F.array_join(F.filter(written, lambda b: b.isNotNull()), "\n\n")
+    marked = html
+    for pattern, to in MARKDOWN_STEPS:
+        marked = F.regexp_replace(marked, pattern, to.replace("{1}", "$1"))
+
+    def block(run: Column) -> Column:
+        mark = F.regexp_extract(run, f"^{OPEN}(.){CLOSE}", 1)
+        text = inner_text(F.regexp_replace(run, f"^{OPEN}.{CLOSE}", ""))
+        plain = F.struct(mark.alias("mark"), F.when(mark == "`", F.regexp_replace(text, r"^\s*\n|\s+\z", "")).otherwise(strip(F.regexp_replace(text, WS + "+", " "))).alias("text"))
+        return plain
+
+    def written(b: Column) -> Column:
+        mark, text = b["mark"], b["text"]
+        heading = F.concat(F.repeat(F.lit("#"), mark.try_cast("int")), F.lit(" "), text)
+        return (F.when(mark == "", text).when(mark == "`", F.concat(F.lit("```\n"), text, F.lit("\n```")))
+                .when(mark.isin("-", ">"), F.concat(mark, F.lit(" "), text)).otherwise(heading))
+
+    blocks = F.filter(F.transform(F.split(marked, RUN, -1), block), lambda b: b["text"] != "")
+    return F.array_join(F.transform(blocks, written), "\n\n")

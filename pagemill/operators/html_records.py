@@ -122,6 +122,51 @@ class TreeReader(HTMLParser):
         self.open[-1].kids.append(data)
 
 
+class SpanReader(TreeReader):
+    """A tree whose elements know their place in the source: from start tag to end tag, or
+    to where something else closes them."""
+
+    def __init__(self, markup: str):
+        super().__init__()
+        self.markup, self.spans, self.comments = markup, {}, []
+        self.lines = [0, *(m.end() for m in re.finditer("\n", markup))]
+        self.feed(markup)
+        self.close()
+
+    def _at(self) -> int:
+        line, column = self.getpos()
+        return self.lines[line - 1] + column
+
+    def handle_starttag(self, tag, attrs):
+        super().handle_starttag(tag, attrs)
+        start = self._at()
+        self.spans[id(self.open[-1].kids[-1] if tag in VOID else self.open[-1])] = [start, start + len(self.get_starttag_text() or "") if tag in VOID else len(self.markup)]
+
+    def handle_endtag(self, tag):
+        before, start = list(self.open), self._at()
+        super().handle_endtag(tag)
+        for node in before[len(self.open):]:
+            self.spans[id(node)][1] = start
+        if len(self.open) < len(before):  # the one that the tag names ends behind it
+            self.spans[id(before[len(self.open)])][1] = self.markup.find(">", start) + 1 or len(self.markup)
+
+    def handle_comment(self, data):
+        start = self._at()
+        self.comments.append([start, (self.markup.find("-->", start) + 3) if self.markup.find("-->", start) >= 0 else len(self.markup)])
+
+
+def without_noise(markup: str, selectors=NOISE) -> str:
+    """The source without comments and without the elements that a noise selector matches."""
+    reader = SpanReader(markup)
+    gone = sorted(reader.comments + [reader.spans[id(n)] for n in select(reader.root, selectors)])
+    out, at = [], 0
+    for start, end in gone:
+        if start >= at:
+            out.append(markup[at:start])
+        at = max(at, end)
+    return "".join([*out, markup[at:]])
+
+
 def parse(markup: str) -> Node:
     reader = TreeReader()
     reader.feed(markup)
@@ -433,6 +478,11 @@ def tree_fields(markup: pd.Series, url: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=names, dtype=object)
 
 
+@F.pandas_udf(T.StringType())
+def noise_removed(markup: pd.Series) -> pd.Series:
+    return markup.map(without_noise, na_action="ignore")
+
+
 def extract_full(pages: DataFrame, metadata_first: bool = False) -> DataFrame:
     raw = _apply(pages, lambda m, u: full_record(m, u, metadata_first), FULL_FIELDS)
     return raw.withColumns({

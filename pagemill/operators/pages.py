@@ -12,6 +12,14 @@ from pagemill.functions import text as tx
 from pagemill.operators import html_records as hr
 
 
+def clean_pages(pages: DataFrame) -> DataFrame:
+    """page_id, url and html with the noise taken out; only pages on which a class, style or
+    role selector can match pass through the tree."""
+    marked = hr.needs_tree(F.col("html"))
+    plain = pages.filter(~marked).select("page_id", "url", hx.remove_noise(F.col("html")).alias("html"))
+    return plain.unionByName(pages.filter(marked).select("page_id", "url", hr.noise_removed(F.col("html")).alias("html")))
+
+
 def extract_basic(pages: DataFrame) -> DataFrame:
     """One structured record per page; narrow, without a shuffle.
 
@@ -20,33 +28,44 @@ def extract_basic(pages: DataFrame) -> DataFrame:
     author selector can match, or with rarer entities, take their fields from the tree
     pass; all others stay with the expressions and have no author, date or tags.
     """
-    clean, html, tree = F.col("_clean"), F.col("html"), F.col("_tree")
-    own = lambda name, c: F.when(tree["found"], tree[name]).otherwise(c).alias(name)
+    marked = hr.needs_tree(F.col("html"))
+    return _by_expressions(pages.filter(~marked)).unionByName(_by_tree(pages.filter(marked)))
+
+
+_SHARED = ("page_id", "url", "title", "description", "main_content", "language", "headings", "raw_links", "has_code", "has_tables", "has_lists", "has_images", "author")
+
+
+def _finished(rows: DataFrame) -> DataFrame:
+    return rows.select(*_SHARED, hr.first_date(F.col("published_candidates")).alias("published"), F.coalesce("tags", F.array().cast("array<string>")).alias("tags"),
+                       F.transform("headings", lambda h: h["level"]).alias("heading_levels"))
+
+
+def _by_tree(pages: DataFrame) -> DataFrame:
+    staged = pages.select("page_id", "url", hx.raw_links(F.col("html")).alias("raw_links"), hr.tree_fields(F.col("html"), F.col("url")).alias("_tree"))
+    return _finished(staged.select("page_id", "url", "raw_links", *[F.col("_tree")[n].alias(n) for n in hr.TREE_FIELDS.names if n != "found"]))
+
+
+def _by_expressions(pages: DataFrame) -> DataFrame:
+    clean, html, lead = F.col("_clean"), F.col("html"), F.col("_lead")
     # Each costly part is a column of its own, read by name afterwards, so that no
     # regular expression runs twice; the literal tests skip pages without the tag.
-    staged = pages.withColumn("_marked", hr.needs_tree(html)).withColumns({
-        "_tree": hr.tree_fields(F.when(F.col("_marked"), html), F.col("url")),
-        "_clean": F.when(~F.col("_marked"), hx.remove_noise(html)),
-    }).withColumns({
+    staged = pages.withColumn("_clean", hx.remove_noise(html)).withColumns({
         "_h1": hx.first_text(clean, "h1"), "_lead": hx.first_text(clean, "p"),
         "_main": F.when(clean.rlike("(?i)<main"), hx.region_text(clean, "main")).otherwise(""),
         "_article": F.when(clean.rlike("(?i)<article"), hx.region_text(clean, "article")).otherwise(""),
-        "headings": F.when(tree["found"], tree["headings"]).otherwise(hx.headings(clean)), "raw_links": hx.raw_links(html),
+        "headings": hx.headings(clean), "raw_links": hx.raw_links(html),
     })
-    lead = F.col("_lead")
-    return staged.select(
-        "page_id", "url",
-        own("title", F.when(F.col("_h1") != "", F.col("_h1")).otherwise(hx.title_without_h1(clean))),
-        own("description", hx.description_or(clean, lead)),
-        own("main_content", F.when(tx.word_count(F.col("_main")) > 20, F.col("_main")).when(tx.word_count(F.col("_article")) > 20, F.col("_article"))
-            .otherwise(hx.region_text(clean, "body"))),
-        own("language", hx.language(clean)), "headings", "raw_links",
-        own("has_code", hx.has_element(clean, "pre")), own("has_tables", hx.has_element(clean, "table")),
-        own("has_lists", hx.has_element(clean, "ul") | hx.has_element(clean, "ol")), own("has_images", hx.has_element(clean, "img")),
-        tree["author"].alias("author"), hr.first_date(tree["published_candidates"]).alias("published"),
-        F.coalesce(tree["tags"], F.array().cast("array<string>")).alias("tags"),
-        F.transform("headings", lambda h: h["level"]).alias("heading_levels"),
-    )
+    none = F.lit(None).cast("array<string>")
+    return _finished(staged.select(
+        "page_id", "url", "headings", "raw_links",
+        F.when(F.col("_h1") != "", F.col("_h1")).otherwise(hx.title_without_h1(clean)).alias("title"),
+        hx.description_or(clean, lead).alias("description"),
+        F.when(tx.word_count(F.col("_main")) > 20, F.col("_main")).when(tx.word_count(F.col("_article")) > 20, F.col("_article"))
+        .otherwise(hx.region_text(clean, "body")).alias("main_content"),
+        hx.language(clean).alias("language"),
+        hx.has_element(clean, "pre").alias("has_code"), hx.has_element(clean, "table").alias("has_tables"),
+        (hx.has_element(clean, "ul") | hx.has_element(clean, "ol")).alias("has_lists"), hx.has_element(clean, "img").alias("has_images"),
+        F.lit(None).cast("string").alias("author"), none.alias("published_candidates"), none.alias("tags")))
 
 
 def assess_pages(pages: DataFrame) -> DataFrame:

@@ -33,8 +33,7 @@ def docs(spark, sf):
 
 @query("H1_remove_noise", REC + " SELECT page_id, md5(c) AS clean_hash, length(c) AS clean_length FROM rec")
 def remove_noise(spark, sf):
-    return pages(spark, sf).select("page_id", hx.remove_noise(F.col("html")).alias("c")).select(
-        "page_id", F.md5(F.encode("c", "UTF-8")).alias("clean_hash"), F.length("c").cast("long").alias("clean_length"))
+    return px.clean_pages(pages(spark, sf)).select("page_id", F.md5(F.encode("html", "UTF-8")).alias("clean_hash"), F.length("html").cast("long").alias("clean_length"))
 
 
 @query("H2_extract_title", REC + " SELECT page_id, title FROM rec")
@@ -169,12 +168,17 @@ def record_site(spark, sf):
     return r.select("page_id", "status", "title", "word_count", "character_count", F.array_join(F.transform("headings", lambda h: h["text"]), "|").alias("headings"))
 
 
-_BLOCK_TEXTS = f"list_transform(regexp_extract_all(html, {q(hx.TEXT_BLOCK)}, 2), lambda t: {sp.strip(sp.replace_all(sp.inner_text('t'), sp.WS + '+', q(' ')))})"
-_BLOCK_TAGS = f"list_transform(regexp_extract_all(html, {q(hx.TEXT_BLOCK)}, 1), lambda t: lower(t))"
+_MARKED = "html"
+for _pattern, _to in hx.MARKDOWN_STEPS:
+    _MARKED = sp.replace_all(_MARKED, _pattern, q(_to.replace("{1}", "\\1")))
+_RUN_MARK = f"regexp_extract(r, {q(f'^{hx.OPEN}(.){hx.CLOSE}')}, 1)"
+_RUN_TEXT = sp.inner_text(f"regexp_replace(r, {q(f'^{hx.OPEN}.{hx.CLOSE}')}, '')")
 
 
-@query("H25_html_to_markdown", f"""WITH b AS (SELECT page_id, list_zip({_BLOCK_TAGS}, {_BLOCK_TEXTS}) AS z FROM pages)
-SELECT page_id, array_to_string(list_transform(list_filter(z, lambda e: e[2] <> ''), lambda e: CASE WHEN e[1] = 'li' THEN '- ' WHEN e[1] = 'p' THEN '' ELSE repeat('#', substr(e[1], 2, 1)::INT) || ' ' END || e[2]), e'\\n\\n') AS markdown FROM b""")
+@query("H25_html_to_markdown", f"""WITH m AS (SELECT page_id, {_MARKED} AS m FROM pages), r AS (SELECT page_id, unnest(string_split(m, {q(hx.RUN)})) AS r, generate_subscripts(string_split(m, {q(hx.RUN)}), 1) AS i FROM m),
+b AS (SELECT page_id, i, {_RUN_MARK} AS mark, CASE WHEN {_RUN_MARK} = '`' THEN {sp.replace_all(_RUN_TEXT, r'^[ \t\n\x0B\f\r]*\n|[ \t\n\x0B\f\r]+\z', "''")} ELSE {sp.strip(sp.replace_all(_RUN_TEXT, sp.WS + '+', q(' ')))} END AS t FROM r)
+SELECT page_id, string_agg(CASE WHEN mark = '' THEN t WHEN mark = '`' THEN '```' || chr(10) || t || chr(10) || '```' WHEN mark IN ('-', '>') THEN mark || ' ' || t ELSE repeat('#', TRY_CAST(mark AS INT)) || ' ' || t END, e'\n\n' ORDER BY i) AS markdown
+FROM b WHERE t <> '' GROUP BY page_id""")
 def html_to_markdown(spark, sf):
     return pages(spark, sf).select("page_id", hx.text_blocks_markdown(F.col("html")).alias("markdown"))
 
@@ -203,7 +207,7 @@ def csv_page_counts(spark, sf):
 
 
 @query("S9_text_blocks", REC + f""" SELECT page_id, repeat('=', 80) || e'\\nURL: ' || url || e'\\nTitle: ' || title || e'\\n' || repeat('=', 80) || e'\\n' || main_content AS block,
-'# ' || title || e'\\n\\n' || CASE WHEN length(main_content) > 500 THEN substr(main_content, 1, 500) || '...' ELSE main_content END AS markdown FROM rec""")
+'# ' || title || e'\\n\\n' || main_content AS markdown FROM rec""")
 def text_blocks(spark, sf):
     from pagemill.sources import sinks
     r = records(spark, sf)

@@ -25,8 +25,9 @@ def text_block(url: Column, title: Column, body: Column) -> Column:
     return F.concat_ws("\n", rule, F.concat(F.lit("URL: "), url), F.concat(F.lit("Title: "), title), rule, body)
 
 
-def markdown_block(title: Column, body: Column, size: int = 500) -> Column:
-    cut = F.when(F.length(body) > size, F.concat(F.substring(body, 1, size), F.lit("..."))).otherwise(body)
+def markdown_block(title: Column, body: Column, size: int | None = None) -> Column:
+    """Title and body; with `size`, a body of more characters is cut there, as in a preview."""
+    cut = body if size is None else F.when(F.length(body) > size, F.concat(F.substring(body, 1, size), F.lit("..."))).otherwise(body)
     return F.concat(F.lit("# "), title, F.lit("\n\n"), cut)
 
 

@@ -3,6 +3,7 @@ from urllib.parse import urljoin
 import pytest
 from pyspark.sql import functions as F
 
+from pagemill.functions import html as hx
 from pagemill.functions import urls as ux
 from pagemill.operators import html_records as hr
 from pagemill.operators import markdown as md
@@ -144,3 +145,34 @@ def test_authors_dates_and_tags_count_in_the_scores(spark):
         assert "Missing author information" not in got[name]["warnings"]
     assert "Missing publication date" not in got["date"]["warnings"]
     assert got["tags"]["structure_score"] > got["noise"]["structure_score"]
+
+
+MARKDOWN_PAGE = """<html><head><title>T</title><style>p{}</style></head><body>Bare <b>text</b> first<div>lost &amp; found<h2 id=x>A <i>head</i></h2>after</div>
+<ul><li><p>one</p> tail</li><li>two<ul><li>deep</li></ul></li></ul><table><tr><th>a</th><th>b</th></tr><tr><td>1</td><td>2 <code>x</code></td></tr></table>
+<pre class="k"><code>if a &lt; b:
+    go()
+</code></pre><blockquote><p>said</p></blockquote><!-- gone --><script>var p = "<p>no</p>";</script>line<br>break<footer>end</footer></body></html>"""
+
+
+def test_native_markdown_keeps_all_text(spark, sf):
+    df = spark.createDataFrame([(MARKDOWN_PAGE,), ("",), (None,), ("plain",)], "html string")
+    got = [r["m"] for r in df.select(hx.text_blocks_markdown(F.col("html")).alias("m")).collect()]
+    assert got[0] == "\n\n".join(["Bare text first", "lost & found", "## A head", "after", "- one", "tail", "- two", "- deep", "a | b", "1 | 2 `x`",
+                                  "```\nif a < b:\n    go()\n```", "> said", "line break", "end"])
+    assert got[1:] == ["", None, "plain"]
+    # on every page of the table: the same characters as the body's text, but for blanks and marks
+    pages = spark.read.parquet(f"{sf}/pages.parquet")
+    body = F.regexp_replace("html", hx.MARKDOWN_STEPS[0][0], "")
+    bare = lambda c: F.regexp_replace(c, r"[\s\p{Z}|`>#-]+", "")
+    rows = pages.select(bare(hx.text_blocks_markdown(F.col("html"))).alias("a"), bare(hx.inner_text(body)).alias("b")).collect()
+    assert len(rows) > 20 and all(r["a"] == r["b"] != "" for r in rows)
+
+
+def test_noise_selectors_reach_the_cleaned_source(spark):
+    page = ('<body class="x"><div class="sidebar big">S<div>in</div></div><p>keep</p><div style="display: none">H</div><!-- c --><p class="menu">M</p>keep 2'
+            '<nav>N</nav><span class="cookie-notice">C</span> tail<br class="ads"><img class=hidden src=a>&hellip;</body>')
+    plain = "<body><nav>N</nav><p>keep</p><!-- c --><aside>A</aside></body>"
+    df = spark.createDataFrame([(1, "u", page), (2, "u", plain), (3, "u", None), (4, "u", '<p>a<div class="hidden">open')], "page_id long, url string, html string")
+    got = {r["page_id"]: r["html"] for r in px.clean_pages(df).collect()}
+    assert got[1] == '<body class="x"><p>keep</p>keep 2 tail&hellip;</body>'
+    assert got[2] == "<body><p>keep</p></body>" and got[3] is None and got[4] == "<p>a"

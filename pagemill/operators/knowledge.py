@@ -54,11 +54,14 @@ def chunk_metadata(content: Column) -> dict[str, Column]:
     }
 
 
-def chunk_ids(url: Column, title: Column, content: Column, file: Column) -> dict[str, Column]:
+def chunk_ids(url: Column, title: Column, content: Column, file: Column, starts: tuple[int, int] | None = None) -> dict[str, Column]:
+    """Ids of a chunk by its whole content. With `starts`, the first two take only so many
+    first characters, as in stores whose ids were made so; equal starts then share an id."""
+    of = lambda i: content if starts is None else F.substring(content, 1, starts[i])
     joined = lambda *c: F.md5(F.encode(F.concat_ws(":", *c), "UTF-8"))
     return {
-        "chunk_id": F.substring(joined(url, title, F.substring(content, 1, 200)), 1, 16),
-        "file_chunk_id": F.concat(F.lit("chunk_"), file, F.lit("_"), F.substring(joined(url, title, file, F.substring(content, 1, 100)), 1, 12)),
+        "chunk_id": F.substring(joined(url, title, of(0)), 1, 16),
+        "file_chunk_id": F.concat(F.lit("chunk_"), file, F.lit("_"), F.substring(joined(url, title, file, of(1)), 1, 12)),
         "length_chunk_id": F.substring(joined(url, title, F.length(content).cast("string")), 1, 16),
     }
 

@@ -40,6 +40,29 @@ def scan_status(spark, sf):
     return files.scan_status(files.scan_json_recursive(spark, _page_files(spark, sf), one_per_file=False))[0]
 
 
+@query("S1_scan_one_per_file", REC + f" SELECT url, title, md5(main_content) AS content_hash, {sp.wc('main_content')} AS word_count FROM rec")
+def scan_one_per_file(spark, sf):
+    """Every record in a file of its own, written over several lines of one object."""
+    path = folder(spark, "page-files")
+    r = records(spark, sf).select("url", "title", F.col("main_content").alias("content"), tx.word_count(F.col("main_content")).alias("word_count"))
+    lines = F.to_json(F.struct("url", "title", "content", "word_count", F.md5(F.encode("content", "UTF-8")).alias("content_hash")), {"pretty": "true"})
+    sinks.write_one_per_file(r.select(lines.alias("value")), f"{path}", "json")
+    return files.scan_pages_json(spark, path).select("url", "title", "content_hash", "word_count")
+
+
+@query("S2_failing_files", "SELECT CASE WHEN page_id % 7 = 3 THEN 'error' ELSE 'processed' END AS status, count(*) AS n, md5(coalesce(string_agg(CASE WHEN page_id % 7 = 3 THEN '{\"url\": \"' || url || '\", \"content\": ' END, '|' ORDER BY url), '')) AS texts FROM pages GROUP BY 1")
+def failing_files(spark, sf):
+    """Files that break off are listed with their text; the others are read."""
+    path = folder(spark, "page-files")
+    whole = F.to_json(F.struct("url", F.lit("text").alias("content")))
+    broken = F.concat(F.lit('{"url": "'), "url", F.lit('", "content": '))
+    sinks.write_one_per_file(table(spark, sf, "pages").select(F.when(F.col("page_id") % 7 == 3, broken).otherwise(whole).alias("value")), path, "json")
+    counts, errors = files.scan_status(files.scan_json_recursive(spark, path))
+    texts = F.array_sort(F.collect_list(F.regexp_replace("error", "\n$", "")))
+    listed = errors.groupBy(F.lit("error").alias("status")).agg(F.md5(F.array_join(texts, "|")).alias("texts"))
+    return counts.join(listed, "status", "left").select("status", "n", F.coalesce("texts", F.md5(F.lit(""))).alias("texts"))
+
+
 @query("S3_scan_binary_with_hash")
 def scan_binary(spark, sf):
     scanned = files.scan_binary_with_hash(spark, _page_files(spark, sf), "*.json")
@@ -61,6 +84,27 @@ def scan_log(spark, sf):
     return files.scan_log_text(spark, path, "error", 200)
 
 
+@query("S7_csv_written", REC + f" SELECT url, title, {sp.wc('main_content')} AS word_count, len(h1s) AS headings_count, len(hrefs) AS links_count FROM rec")
+def csv_written(spark, sf):
+    """Counts of the nested fields as CSV, read back."""
+    path = folder(spark, "page-counts")
+    r = records(spark, sf).select("url", "title", tx.word_count(F.col("main_content")).alias("word_count"), "headings", F.col("raw_links").alias("links"))
+    sinks.write_csv(sinks.page_counts(r), path)
+    return spark.read.schema("url string, title string, word_count long, headings_count long, links_count long").option("header", True).option("escape", '"').csv(path)
+
+
+@query("S7_csv_page_index", f"""WITH {SECTION_CTE}, {sp.PAGES_CTE.strip()}, p AS (SELECT page_id, {CATEGORY_SQL} AS category, url FROM sec)
+SELECT p.url, title, category, length(main_content) AS content_length, {sp.wc('main_content')} AS word_count, '2024-02-01T00:00:00Z' AS scraped_at FROM p JOIN rec USING (page_id)""")
+def csv_page_index(spark, sf):
+    """The other set of columns: what each page is, how long, and when it was read."""
+    path = folder(spark, "page-index")
+    urls = section_urls(spark, sf).select("page_id", "url", ux.category(F.col("url")).alias("category"))
+    r = records(spark, sf).select("page_id", "title", F.col("main_content").alias("content"))
+    sinks.write_csv(sinks.page_index(urls.join(r, "page_id"), "2024-02-01T00:00:00Z"), path)
+    columns = "url string, title string, category string, content_length long, word_count long, scraped_at string"
+    return spark.read.schema(columns).option("header", True).option("escape", '"').csv(path)
+
+
 @query("S8_sink_json", "SELECT doc_id, lang, md5(text) AS content_hash FROM documents")
 def sink_json(spark, sf):
     path = folder(spark, "documents-json")
@@ -94,6 +138,18 @@ def snapshot_restore(spark, sf):
     return sinks.restore(spark, root, "20240201000000").withColumn("manifest_rows", F.lit(rows).cast("long"))
 
 
+@query("S11_expired_snapshots", "SELECT o_orderkey, o_totalprice, 2::BIGINT AS kept FROM orders WHERE o_orderstatus <> 'P'")
+def expired_snapshots(spark, sf):
+    """Three snapshots of which the oldest is deleted; the newest left is restored."""
+    root, o = folder(spark, "snapshots"), table(spark, sf, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus")
+    for stamp, rows in (("20240101000000", o), ("20240201000000", o.filter("o_orderstatus = 'P'")), ("20240205000000", o.filter("o_orderstatus <> 'P'"))):
+        sinks.snapshot(rows.drop("o_orderstatus"), root, stamp)
+    sinks.expire_snapshots(spark, root, "2024-02-10 00:00:00", 30)
+    left = sinks.manifest(spark, root)
+    newest = left.agg(F.max("stamp")).first()[0]
+    return sinks.restore(spark, root, newest).withColumn("kept", F.lit(left.count()))
+
+
 @query("S12_streaming_file_source", "SELECT doc_id, lang FROM documents")
 def streaming_source(spark, sf):
     stream = jobs.file_stream(spark, sf, table(spark, sf, "documents").schema, "documents.parquet")

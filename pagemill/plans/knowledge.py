@@ -44,7 +44,7 @@ def _tags_sql(content: str, title: str, cat: str, sub: str) -> str:
 _CLEANED = sp.squash(f"regexp_replace(regexp_replace(main_content, {q(tx.WS + '+')}, ' ', 'g'), {q(tx.TAG_PATTERN)}, '', 'g')")
 
 
-@query("K2_knowledge_chunks", _SRC + f""" SELECT page_id, substr(md5(url || ':' || title || ':' || substr(main_content, 1, 200)), 1, 16) AS id, {_CLEANED} AS clean, category, subcategory, {sp.wc('main_content')} AS word_count,
+@query("K2_knowledge_chunks", _SRC + f""" SELECT page_id, substr(md5(url || ':' || title || ':' || main_content), 1, 16) AS id, {_CLEANED} AS clean, category, subcategory, {sp.wc('main_content')} AS word_count,
 array_to_string({_tags_sql('main_content', 'title', 'category', 'subcategory')}, '|') AS tags FROM k WHERE length({sp.strip('main_content')}) >= 50""")
 def knowledge_chunks(spark, sf):
     c = kn.knowledge_chunks(named(spark, sf), "title", "main_content", "url", "name")

@@ -164,10 +164,17 @@ def readability(spark, sf):
 SELECT page_id, substr(md5(url || ':' || title || ':' || substr(main_content, 1, 200)), 1, 16) AS chunk_id, 'chunk_' || f || '_' || substr(md5(url || ':' || title || ':' || f || ':' || substr(main_content, 1, 100)), 1, 12) AS file_chunk_id,
 substr(md5(url || ':' || title || ':' || length(main_content)), 1, 16) AS length_chunk_id FROM n""")
 def chunk_ids(spark, sf):
-    ids = kn.chunk_ids(F.col("url"), F.col("title"), F.col("main_content"), ux.output_name(F.col("url")))
+    ids = kn.chunk_ids(F.col("url"), F.col("title"), F.col("main_content"), ux.output_name(F.col("url")), (200, 100))
     return records(spark, sf).select("page_id", *[c.alias(n) for n, c in ids.items()])
 
 
+@query("T16_whole_chunk_ids", REC + f""", n AS (SELECT *, {OUTPUT_NAME_SQL} AS f FROM rec)
+SELECT page_id, substr(md5(url || ':' || title || ':' || main_content), 1, 16) AS chunk_id, 'chunk_' || f || '_' || substr(md5(url || ':' || title || ':' || f || ':' || main_content), 1, 12) AS file_chunk_id FROM n""")
+def whole_chunk_ids(spark, sf):
+    ids = kn.chunk_ids(F.col("url"), F.col("title"), F.col("main_content"), ux.output_name(F.col("url")))
+    return records(spark, sf).select("page_id", *[ids[n].alias(n) for n in ("chunk_id", "file_chunk_id")])
+
+
 def _terms_sql(terms: str, stop: list[str], n: int) -> str:
     return f"""WITH l AS (SELECT doc_id, {terms} AS l FROM documents), w AS (SELECT doc_id, unnest(l) AS term, generate_subscripts(l, 1) AS pos FROM l),
 c AS (SELECT doc_id, term, count(*) AS n, min(pos) AS fp FROM w WHERE length(term) >= 4 AND term NOT IN ({', '.join(map(q, stop))}) GROUP BY ALL),

@@ -5,12 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagemill.functions import text as tx
+
 
 def page_counts(records: DataFrame, nested: tuple[str, ...] = ("headings", "links", "code_blocks", "images")) -> DataFrame:
     present = [c for c in nested if c in records.columns]
     return records.select("url", "title", "word_count", *[F.size(c).alias(f"{c}_count") for c in present])
 
 
+def page_index(records: DataFrame, scraped_at: str) -> DataFrame:
+    """One line a page: place, kind and length; absent kinds are left out."""
+    kinds = [c for c in ("category", "subcategory") if c in records.columns]
+    return records.select("url", "title", *kinds, F.length("content").cast("long").alias("content_length"), tx.word_count(F.col("content")).alias("word_count"), F.lit(scraped_at).alias("scraped_at"))
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
@@ -35,6 +43,21 @@ def write_text(df: DataFrame, column: str, path: str) -> None:
     df.select(F.col(column).alias("value")).write.mode("overwrite").text(path)
 
 
+def write_one_per_file(df: DataFrame, path: str, kind: str) -> None:
+    """Each row of the one text column as a file of its own, with `kind` as the file ending.
+
+    The rows are the bound: this is for stores of single documents, not for bulk tables.
+    """
+    files = df.sparkSession._jvm.org.apache.hadoop.fs
+    df.write.mode("overwrite").option("maxRecordsPerFile", 1).option("lineSep", "\n").text(path)
+    root = files.Path(path)
+    system = root.getFileSystem(df.sparkSession._jsc.hadoopConfiguration())
+    for status in system.listStatus(root):
+        name = status.getPath().getName()
+        if name.endswith(".txt"):
+            system.rename(status.getPath(), files.Path(root, f"{name.removesuffix('.txt')}.{kind}"))
+
+
 def write_by_category(df: DataFrame, path: str, category: str = "category") -> None:
     """One partitioned table in place of a table per category.
 
@@ -74,3 +97,20 @@ def kept_snapshots(man: DataFrame, now: str, days: int) -> DataFrame:
     """Manifest rows younger than the retention limit (stamp: yyyyMMddHHmmss)."""
     age = F.lit(now).cast("timestamp") - F.make_interval(days=F.lit(days))
     return man.filter(F.to_timestamp("stamp", "yyyyMMddHHmmss") >= age)
+
+
+def expire_snapshots(spark: SparkSession, root: str, now: str, days: int) -> list[str]:
+    """Deletes snapshots beyond the retention limit, then writes the manifest without them.
+
+    The folders go first: a manifest row without its folder can be deleted again.
+    """
+    man = manifest(spark, root)
+    kept = man.join(kept_snapshots(man, now, days).select("stamp"), "stamp", "left_semi").select(*man.columns).collect()  # one row a snapshot
+    gone = sorted({r["stamp"] for r in man.select("stamp").collect()} - {r["stamp"] for r in kept})
+    files = spark._jvm.org.apache.hadoop.fs
+    system = files.Path(root).getFileSystem(spark._jsc.hadoopConfiguration())
+    for stamp in gone:
+        system.delete(files.Path(f"{root}/snapshot={stamp}"), True)
+    rows = spark.createDataFrame(kept, man.schema)
+    rows.coalesce(1).write.mode("overwrite").parquet(f"{root}/_manifest")
+    return gone

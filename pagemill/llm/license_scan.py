@@ -4,7 +4,8 @@ Each text's words give rolling k-gram hashes; a broadcast join meets them with t
 of the template words. A meeting votes for the diagonal (word number - template word
 number). Votes are counted by diagonal; diagonals at most `gap` apart merge, since an
 inserted or lost word moves the rest by one; and a merged span is verified: its votes must
-cover enough of the template, and it must not be much longer than the template.
+cover enough of the template, it must not be much longer than the template, and it must
+hold the words that tell the template from its siblings: a version, a "lesser", an "nc".
 
 Phrases are templates too, with every gram demanded on a single diagonal. All grams join
 on the hash of their first two words, and the words themselves are compared in the join,
@@ -30,16 +31,27 @@ PHRASES = (
     ("general public license", "gpl"),
 )
 
-# Notices in public use, with the labels that the scan gives them.
+# Notices in public use, with the labels that the scan gives them and the
+# words of each that tell it from its siblings, which a span must hold.
 NOTICES = (
-    ("released under the mit license", "mit-notice"),
-    ("licensed under the apache license version 2 0", "apache-2.0"),
-    ("this work is licensed under the gnu general public license version 3", "gpl-3.0"),
-    ("licensed under cc by nc 4 0", "cc-by-nc-4.0"),
-    ("permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", "mit-text"),
-    ("you may not use this file except in compliance with the license you may obtain a copy of the license at", "apache-text"),
-    ("this program is free software you can redistribute it and or modify it under the terms of the gnu general public license", "gpl-text"),
-    ("redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", "bsd-text"),
+    ("released under the mit license", "mit-notice", ("the mit license",)),
+    ("licensed under the apache license version 2 0", "apache-2.0", ("apache license version", "version 2 0")),
+    ("licensed under the apache license version 1 1", "apache-1.1", ("apache license version", "version 1 1")),
+    ("this work is licensed under the gnu general public license version 3", "gpl-3.0", ("gnu general public", "license version 3")),
+    ("this work is licensed under the gnu general public license version 2", "gpl-2.0", ("gnu general public", "license version 2")),
+    ("this work is licensed under the gnu lesser general public license version 2 1", "lgpl-2.1", ("gnu lesser general", "version 2 1")),
+    ("this work is licensed under the gnu lesser general public license version 3", "lgpl-3.0", ("gnu lesser general", "license version 3")),
+    ("this work is licensed under the gnu affero general public license version 3", "agpl-3.0", ("gnu affero general", "license version 3")),
+    ("licensed under cc by nc 4 0", "cc-by-nc-4.0", ("by nc 4", "nc 4 0")),
+    ("licensed under cc by sa 4 0", "cc-by-sa-4.0", ("by sa 4", "sa 4 0")),
+    ("licensed under cc by nc sa 4 0", "cc-by-nc-sa-4.0", ("by nc sa", "sa 4 0")),
+    ("licensed under cc by nc nd 4 0", "cc-by-nc-nd-4.0", ("by nc nd", "nd 4 0")),
+    ("permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", "mit-text", ()),
+    ("you may not use this file except in compliance with the license you may obtain a copy of the license at", "apache-text", ()),
+    ("this program is free software you can redistribute it and or modify it under the terms of the gnu general public license", "gpl-text", ("gnu general public",)),
+    ("this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license", "lgpl-text", ("gnu lesser general",)),
+    ("this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license", "agpl-text", ("gnu affero general",)),
+    ("redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", "bsd-text", ()),
 )
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -50,22 +62,36 @@ def words_of(text: Column) -> Column:
     return F.regexp_extract_all(folded_text(text), F.lit(WORD), F.lit(0))
 
 
-def gram_table(spark: SparkSession, k: int = 3, phrases=PHRASES, notices=NOTICES) -> DataFrame:
-    """(h, gram, k, label, base, position, grams) of every template gram; h hashes two words."""
+def template_grams(k: int, phrases=PHRASES, notices=NOTICES) -> list[tuple]:
+    """(gram, size, label, base, position, grams, told, tells) of all templates."""
     rows = []
-    for templates, size, base in ((phrases, 2, True), (notices, k, False)):
-        for text, label in templates:
+    for templates, size, base in (([(*p, ()) for p in phrases], 2, True), (notices, k, False)):
+        for text, label, telling in templates:
             words = text.split()
-            count = len(words) - size + 1
-            rows += [(" ".join(words[i:i + 2]), " ".join(words[i:i + size]), size, label, base, i, count) for i in range(count)]
+            grams = [" ".join(words[i:i + size]) for i in range(len(words) - size + 1)]
+            told = []
+            for phrase in telling:
+                n, found = len(phrase.split()), [i for i in range(len(words)) if words[i:i + len(phrase.split())] == phrase.split()]
+                if not found:
+                    raise ValueError(f"{phrase!r} is not in {text!r}")
+                # grams inside the phrase, or around it where they are longer
+                told += [i for i in range(len(grams)) if found[0] <= i and i + size <= found[0] + n] or [max(0, min(found[0], len(grams) - 1))]
+            rows += [(g, size, label, base, i, len(grams), i in told, len(set(told))) for i, g in enumerate(grams)]
+    return rows
+
+
+def gram_table(spark: SparkSession, k: int = 3, phrases=PHRASES, notices=NOTICES) -> DataFrame:
+    """(h, gram, k, label, base, position, grams, told, tells) of every template gram; h hashes
+    two words, told marks the grams that touch a telling word, tells counts them."""
+    rows = [(" ".join(gram.split()[:2]), gram, *rest) for gram, *rest in template_grams(k, phrases, notices)]
     if len(rows) > GRAMS:
         raise ValueError(f"templates give {len(rows)} grams, more than {GRAMS}")
-    frame = spark.createDataFrame(rows, "pair string, gram string, k int, label string, base boolean, position int, grams int")
+    frame = spark.createDataFrame(rows, "pair string, gram string, k int, label string, base boolean, position int, grams int, told boolean, tells int")
     return frame.withColumn("h", F.xxhash64("pair")).drop("pair")
 
 
 def votes(docs: DataFrame, grams: DataFrame, key: str, text: str) -> DataFrame:
-    """Distinct (key, mark, label, base, grams, k, place, position, diagonal) of all meetings."""
+    """Distinct (key, mark, label, base, grams, k, told, tells, place, position, diagonal) of all meetings."""
     words = docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("mark"), words_of(F.col(text)).alias("w"))
     places = F.when(F.size("w") >= 2, F.sequence(F.lit(0), F.size("w") - 2))
     at = words.select("key", "mark", "w", F.explode(places).alias("place"))
@@ -73,22 +99,23 @@ def votes(docs: DataFrame, grams: DataFrame, key: str, text: str) -> DataFrame:
     hashed = at.withColumn("h", F.xxhash64(F.concat_ws(" ", first, second)))
     run = F.concat_ws(" ", F.slice("w", F.col("place") + 1, F.col("k")))
     met = hashed.join(F.broadcast(grams), "h").filter(run == F.col("gram"))
-    return met.select("key", "mark", "label", "base", "grams", "k", "place", "position", (F.col("place") - F.col("position")).alias("diagonal")).distinct()
+    return met.select("key", "mark", "label", "base", "grams", "k", "told", "tells", "place", "position", (F.col("place") - F.col("position")).alias("diagonal")).distinct()
 
 
 def spans(met: DataFrame, gap: int = 2, cover: float = 0.6, longer: float = 1.5) -> DataFrame:
     """Verified spans (key, mark, label, base, first, last, share)."""
     by = ["key", "mark", "label", "base"]
-    lines = met.groupBy(*by, "grams", "k", "diagonal").agg(
-        F.count("*").alias("n"), F.min("place").alias("lo"), F.max("place").alias("hi"), F.collect_set("position").alias("seen"))
+    lines = met.groupBy(*by, "grams", "k", "tells", "diagonal").agg(
+        F.min("place").alias("lo"), F.max("place").alias("hi"), F.collect_set("position").alias("seen"), F.collect_set(F.when(F.col("told"), F.col("position"))).alias("said"))
     order = Window.partitionBy(*by).orderBy("diagonal")
     apart = F.col("base") | (F.col("diagonal") - F.coalesce(F.lag("diagonal").over(order), F.lit(-1 << 30)) > gap)
     runs = lines.withColumn("run", F.sum(apart.cast("int")).over(order))
-    whole = runs.groupBy(*by, "grams", "k", "run").agg(
-        F.min("lo").alias("first"), (F.max("hi") + F.max("k") - 1).alias("last"), F.size(F.array_distinct(F.flatten(F.collect_list("seen")))).alias("covered"))
+    different = lambda lists: F.size(F.array_distinct(F.flatten(F.collect_list(lists))))
+    whole = runs.groupBy(*by, "grams", "k", "tells", "run").agg(
+        F.min("lo").alias("first"), (F.max("hi") + F.max("k") - 1).alias("last"), different("seen").alias("covered"), different("said").alias("said"))
     share = F.col("covered") / F.col("grams")
     length, template = F.col("last") - F.col("first") + 1, F.col("grams") + F.col("k") - 1
-    good = F.when(F.col("base"), F.col("covered") == F.col("grams")).otherwise((share >= cover) & (length <= template * longer))
+    good = F.when(F.col("base"), F.col("covered") == F.col("grams")).otherwise((share >= cover) & (length <= template * longer) & (F.col("said") == F.col("tells")))
     return whole.filter(good).select(*by, "first", "last", share.alias("share"))
 
 

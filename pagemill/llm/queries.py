@@ -93,12 +93,7 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _gram_rows() -> str:
-    out = []
-    for templates, k, base in ((license_scan.PHRASES, 2, "TRUE"), (license_scan.NOTICES, 3, "FALSE")):
-        for text, label in templates:
-            w = text.split()
-            out += [f"('{' '.join(w[i:i + k])}', {k}, '{label}', {base}, {i}, {len(w) - k + 1})" for i in range(len(w) - k + 1)]
-    return ", ".join(out)
+    return ", ".join(f"('{gram}', {k}, '{label}', {base}, {i}, {grams}, {told}, {tells})" for gram, k, label, base, i, grams, told, tells in license_scan.template_grams(3))
 
 
 ORACLES["op2_license_scan"] = r"""
@@ -106,18 +101,18 @@ WITH d AS (
     SELECT doc_id, row_number() OVER () AS r,
         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+') AS w
     FROM documents
-), g(gram, k, label, base, pos, grams) AS (VALUES """ + _gram_rows() + r"""),
+), g(gram, k, label, base, pos, grams, told, tells) AS (VALUES """ + _gram_rows() + r"""),
 spots AS (SELECT r, w, unnest(range(0, len(w) - 1)) AS place FROM d WHERE len(w) >= 2),
 cut AS (SELECT r, place, k, array_to_string(w[place + 1:place + k], ' ') AS gram FROM spots, (SELECT DISTINCT k FROM g)),
-met AS (SELECT r, label, base, grams, cut.k, place, pos, place - pos AS diag FROM cut JOIN g ON cut.gram = g.gram AND cut.k = g.k),
-lines AS (SELECT r, label, base, grams, k, diag, min(place) AS lo, max(place) AS hi, list(DISTINCT pos) AS seen FROM met GROUP BY ALL),
+met AS (SELECT r, label, base, grams, tells, told, cut.k, place, pos, place - pos AS diag FROM cut JOIN g ON cut.gram = g.gram AND cut.k = g.k),
+lines AS (SELECT r, label, base, grams, tells, k, diag, min(place) AS lo, max(place) AS hi, list(DISTINCT pos) AS seen, coalesce(list(DISTINCT pos) FILTER (WHERE told), []) AS said FROM met GROUP BY ALL),
 jumps AS (SELECT *, base OR diag - coalesce(lag(diag) OVER (PARTITION BY r, label, base ORDER BY diag), -1000000000) > 2 AS apart FROM lines),
 runs AS (SELECT *, sum(CAST(apart AS INT)) OVER (PARTITION BY r, label, base ORDER BY diag) AS run FROM jumps),
 whole AS (
-    SELECT r, label, base, grams, k, run, min(lo) AS first, max(hi) + k - 1 AS last, len(list_distinct(flatten(list(seen)))) AS covered
-    FROM runs GROUP BY r, label, base, grams, k, run
+    SELECT r, label, base, grams, tells, k, run, min(lo) AS first, max(hi) + k - 1 AS last, len(list_distinct(flatten(list(seen)))) AS covered, len(list_distinct(flatten(list(said)))) AS said
+    FROM runs GROUP BY r, label, base, grams, tells, k, run
 ), good AS (
-    SELECT * FROM whole WHERE CASE WHEN base THEN covered = grams ELSE covered / grams >= 0.6 AND last - first + 1 <= (grams + k - 1) * 1.5 END
+    SELECT * FROM whole WHERE CASE WHEN base THEN covered = grams ELSE covered / grams >= 0.6 AND last - first + 1 <= (grams + k - 1) * 1.5 AND said = tells END
 ), per AS (
     SELECT r, count(*) FILTER (WHERE base) AS n_base, min(first) FILTER (WHERE base) AS first_word, max(first) FILTER (WHERE base) AS last_word,
         array_to_string(list_sort(list(DISTINCT label) FILTER (WHERE base)), ',') AS base_labels,

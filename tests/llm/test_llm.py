@@ -141,7 +141,7 @@ def test_toxicity_learns_a_rare_word():
 
 def test_license_scan_against_brute_force(spark):
     filler = "one two three four five six".split()
-    notice = license_scan.NOTICES[4][0]
+    notice = next(text for text, label, _ in license_scan.NOTICES if label == "mit-text")
     inserted = notice.replace("obtaining a", "obtaining any a")
     texts = ["MIT license mit LICENSE", "the general public license", "general public mit license general public license", notice.upper(), inserted,
              " ".join(notice.split()[:8]), "licensed under the apache, license", "", None, "mit", " ".join(filler) + " Released under the MIT License. " + " ".join(filler)]
@@ -159,6 +159,56 @@ def test_license_scan_against_brute_force(spark):
     assert got[5]["labels"] == "" and got[10]["labels"] == "mit,mit-notice"
 
 
+def plain_labels(text, k=3, gap=2, cover=0.6, longer=1.5):
+    """Labels of the notices by loops over grams and diagonals."""
+    words, out = re.findall(license_scan.WORD, (text or "").lower()), set()
+    for notice, label, telling in license_scan.NOTICES:
+        t = notice.split()
+        hits = sorted((place - pos, place, pos) for place in range(len(words) - k + 1) for pos in range(len(t) - k + 1) if words[place:place + k] == t[pos:pos + k])
+        runs = []
+        for hit in hits:
+            if runs and hit[0] - runs[-1][-1][0] <= gap:
+                runs[-1].append(hit)
+            else:
+                runs.append([hit])
+        for run in runs:
+            seen, length = {h[2] for h in run}, max(h[1] for h in run) + k - min(h[1] for h in run)
+            said = all(any(" ".join(t[p:p + k]) == phrase for p in seen) for phrase in telling)
+            if len(seen) / (len(t) - k + 1) >= cover and length <= len(t) * longer and said:
+                out.add(label)
+    return out
+
+
+SIBLINGS = [
+    ("This work is licensed under the GNU General Public License, version 2.", {"gpl-2.0"}), ("Licensed under the GNU General Public License version 3", {"gpl-3.0"}),
+    ("this work is licensed under the GNU Lesser General Public License version 2.1", {"lgpl-2.1"}), ("this work is licensed under the GNU Lesser General Public License version 3", {"lgpl-3.0"}),
+    ("this work is licensed under the GNU Affero General Public License version 3", {"agpl-3.0"}), ("this work is licensed under the GNU General Public License version 9", set()),
+    ("Licensed under the Apache License, Version 1.1", {"apache-1.1"}), ("Licensed under the Apache License, Version 2.0", {"apache-2.0"}), ("Licensed under the Apache License, Version 3.0", set()),
+    ("licensed under CC BY-NC 4.0", {"cc-by-nc-4.0"}), ("licensed under CC BY-NC-ND 4.0", {"cc-by-nc-nd-4.0"}), ("licensed under CC BY-NC-SA 4.0", {"cc-by-nc-sa-4.0"}), ("licensed under CC BY-SA 4.0", {"cc-by-sa-4.0"}),
+    ("licensed under CC BY 4.0", set()),
+    ("this library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published", {"lgpl-text"}),
+    ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published", {"gpl-text"}),
+    ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published", {"agpl-text"})]
+
+
+def test_license_siblings_are_told_apart(spark):
+    rng = random.Random(2)
+    vocabulary = sorted({w for n, _, _ in license_scan.NOTICES for w in n.split()})
+    texts = [t for t, _ in SIBLINGS]
+    for notice, _, _ in license_scan.NOTICES:  # notices with words lost, put in and repeated
+        for _ in range(6):
+            w = notice.split()
+            for _ in range(rng.randint(0, 3)):
+                at = rng.randrange(len(w))
+                w[at:at + 1] = rng.choice([[], [w[at], rng.choice(vocabulary)], [rng.choice(vocabulary)]])
+            texts.append(" ".join(w * rng.choice([1, 1, 2])))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    base = {label for _, label in license_scan.PHRASES}
+    got = {r["doc_id"]: {x for x in r["labels"].split(",") if x} - base for r in license_scan.scan(docs).collect()}
+    assert [got[i] for i in range(len(SIBLINGS))] == [want for _, want in SIBLINGS]
+    assert got == {i: plain_labels(t) for i, t in enumerate(texts)}
+
+
 def test_license_scan_odd_tables(spark, odd, none):
     rows = license_scan.scan(odd).collect()
     assert len(rows) == odd.count() and [r["base_labels"] for r in rows if r["doc_id"] == 1] == ["mit", "mit"]

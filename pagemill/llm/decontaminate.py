@@ -5,15 +5,16 @@ automaton holds each window once, with blanks around it, so it can only meet who
 it reads a document's normalised words once and gives every occurrence. A document word
 inside an occurrence is hit; word numbers map back to places in the original text.
 
-Items are dealt into blocks of at most MAX_WINDOWS windows by a hash of the item text. One
-block is the usual case; every block is a pass of its own over the documents, with an
-automaton of bounded size, and the passes are united by key. The items of a block are
-broadcast as plain strings behind that bound.
+Windows are dealt into blocks of about MAX_NODES characters, the most nodes that an
+automaton can have, by a hash of the window. One block is the usual case and one pass. With
+more, the rows are stored once under a row number; the first block's pass gives every row,
+the others only rows they hit, and runs and items unite by row number, so the result is the
+same for any number of blocks. Blocks come to the driver one after the other, each behind
+that bound, and go out as broadcasts; a task holds one automaton of at most about 250 MB.
 
 Defined results: a null text has no words; a null or wordless item has no windows; an item
-with a null id marks words but is not listed; rows of one item id unite; rows of one
-document key are each scanned (and, with more than one block, told apart by their number
-of words and text hash). Extra columns are ignored.
+with a null id marks words but is not listed; rows of one item id unite; every document row
+has its own result, repeated or not. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,7 +22,6 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
-from functools import reduce
 
 import ahocorasick
 import numpy as np
@@ -29,9 +29,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import folded_words
+from pagemill.llm.common import discard, folded_words, stored
 
-MAX_WINDOWS = 400_000  # windows in one automaton
+MAX_NODES = 4_000_000  # characters of the windows in one automaton, about 50 bytes each
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")  # A-Z included: the original text
 
 
@@ -42,17 +42,12 @@ def windows_of(text: str | None, window: int) -> list[str]:
     return [" ".join(words[i:i + window]) for i in range(max(1, len(words) - window + 1))]
 
 
-def automaton(items: list[tuple[str | None, str]], window: int) -> ahocorasick.Automaton:
-    """Windows of (id, text) items; a value is (words in the window, ids that have it)."""
-    ids, sizes = {}, {}
-    for item, text in items:
-        for w in windows_of(text, window):
-            ids.setdefault(w, set()).add(item)
-            sizes[w] = w.count(" ") + 1
+def automaton(windows: list[tuple[str, list[str]]]) -> ahocorasick.Automaton:
+    """Windows with the ids that have them; a value is (words in the window, ids)."""
     found = ahocorasick.Automaton()
-    for w, owners in ids.items():
-        found.add_word(f" {w} ", (sizes[w], owners))
-    if ids:
+    for w, owners in windows:
+        found.add_word(f" {w} ", (w.count(" ") + 1, owners))
+    if windows:
         found.make_automaton()
     return found
 
@@ -69,7 +64,7 @@ def scan(text: str | None, machine: ahocorasick.Automaton) -> tuple[int, list[tu
         counted += read.count(" ", at, last + 1)  # blanks up to here; the window ends with word counted - 1
         at = last + 1
         end = counted - 1
-        owners |= ids
+        owners.update(ids)
         if runs and end - size <= runs[-1][1]:
             runs[-1] = (min(runs[-1][0], end - size), max(runs[-1][1], end))
             while len(runs) > 1 and runs[-1][0] <= runs[-2][1]:
@@ -88,63 +83,77 @@ def original_spans(text: str, runs: list[tuple[int, int]]) -> list[tuple[int, in
     return [(places[a][0], places[b - 1][1]) for a, b in runs]
 
 
-def blocks_of(items: DataFrame, item: str, text: str, window: int) -> list[list[tuple[str | None, str]]]:
-    """Distinct items as lists of at most about MAX_WINDOWS windows each.
+def window_table(items: DataFrame, item: str, text: str, window: int) -> DataFrame:
+    """(w, ids): every different window with the known ids of its items, stored."""
+    given = items.select(F.col(item).cast("string").alias("i"), F.col(text).alias("t")).filter("t IS NOT NULL")
 
-    The number of windows is at most the number of blanks; the lists come to the driver one
-    block at a time, each bounded by the same limit.
-    """
-    given = items.select(F.col(item).cast("string").alias("i"), F.col(text).alias("t")).filter("t IS NOT NULL").distinct()
-    words = given.agg(F.sum(F.length("t") / 2 + 1)).first()[0] or 0
-    count = max(1, int(-(-words // (MAX_WINDOWS * 4))))
-    part = given.withColumn("b", F.pmod(F.xxhash64("t"), F.lit(count)))
-    return [[(r["i"], r["t"]) for r in part.filter(F.col("b") == b).collect()] for b in range(count)]
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                own = sorted(set(windows_of(t, window)))
+                yield pa.RecordBatch.from_arrays([pa.array([i] * len(own), pa.string()), pa.array(own, pa.string())], names=["i", "w"])
+
+    return stored(given.mapInArrow(cut, "i string, w string").groupBy("w").agg(F.sort_array(F.collect_set("i")).alias("ids")))
+
+
+def blocks_of(windows: DataFrame) -> Iterator[list[tuple[str, list[str]]]]:
+    """The windows as lists of about MAX_NODES characters; one empty list if there are none."""
+    size = windows.agg(F.sum(F.length("w") + 2)).first()[0] or 0
+    count = max(1, -(-size // MAX_NODES))
+    part = windows.withColumn("b", F.pmod(F.xxhash64("w"), F.lit(count)))
+    for b in range(count):
+        yield [(r["w"], r["ids"]) for r in part.filter(F.col("b") == b).collect()]
 
 
 def contamination(docs: DataFrame, items: DataFrame, key: list[str], text: str = "text", item: str = "item_id", item_text: str = "text",
                   window: int = 10) -> DataFrame:
     """Per document: `key` columns, n_words, runs (hit words), spans (characters), item_ids."""
-    blocks = blocks_of(items, item, item_text, window)
     spark = docs.sparkSession
-    given = docs.select(*key, text)
     kind = "array<struct<first:int,end:int>>"
-    names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in given.select(*key).schema)
-    schema = f"{names}, n_words long, runs {kind}, spans {kind}, item_ids array<string>"
     pairs = pa.list_(pa.struct([("first", pa.int32()), ("end", pa.int32())]))
 
-    def scanned(block: list[tuple[str | None, str]]):
+    def scanned(rows: DataFrame, keep: list[str], block: list[tuple[str, list[str]]], hits_only: bool) -> DataFrame:
         shared = spark.sparkContext.broadcast(block)
+        names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keep).schema)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            machine = automaton(shared.value, window)
+            machine = automaton(shared.value)
             for batch in batches:
-                counts, runs, spans, owners = [], [], [], []
-                for value in batch.column(len(key)):
+                at, counts, runs, spans, owners = [], [], [], [], []
+                for number, value in enumerate(batch.column(len(keep))):
                     text_ = value.as_py()
                     n, hit, ids = scan(text_, machine)
+                    if hits_only and not hit:
+                        continue
+                    at.append(number)
                     counts.append(n)
                     runs.append([{"first": a, "end": b} for a, b in hit])
                     spans.append([{"first": a, "end": b} for a, b in original_spans(text_ or "", hit)])
-                    owners.append(sorted(i for i in ids if i is not None))
+                    owners.append(sorted(ids))
                 out = [pa.array(counts, pa.int64()), pa.array(runs, pairs), pa.array(spans, pairs), pa.array(owners, pa.list_(pa.string()))]
-                yield pa.RecordBatch.from_arrays([*batch.columns[: len(key)], *out], names=[*key, "n_words", "runs", "spans", "item_ids"])
-
-        return run
-
-    if len(blocks) == 1:
-        return given.mapInArrow(scanned(blocks[0]), schema)
-    marked = given.withColumn("_mark", F.xxhash64(text))
-    keys, inner = [*key, "_mark"], f"{names}, _mark long, n_words long, runs {kind}, spans {kind}, item_ids array<string>"
-    key, given = keys, marked.select(*keys, text)
-    passes = [given.mapInArrow(scanned(b), inner) for b in blocks]
-    united = reduce(DataFrame.unionByName, passes)
+                kept = [c.take(pa.array(at, pa.int64())) if hits_only else c for c in batch.columns[: len(keep)]]
+                yield pa.RecordBatch.from_arrays([*kept, *out], names=[*keep, "n_words", "runs", "spans", "item_ids"])
+
+        return rows.select(*keep, text).mapInArrow(run, f"{names}, n_words long, runs {kind}, spans {kind}, item_ids array<string>")
+
+    windows = window_table(items, item, item_text, window)
+    blocks = blocks_of(windows)
+    first, second = next(blocks), next(blocks, None)
+    if second is None:
+        discard(windows)
+        return scanned(docs.select(*key, text), key, first, False)
+    held = stored(docs.select(F.struct(*key).alias("_row"), text, F.monotonically_increasing_id().alias("_n")))
+    found = stored(scanned(held, ["_n"], first, False))
+    more = [stored(scanned(held, ["_n"], second, True))] + [stored(scanned(held, ["_n"], block, True)) for block in blocks]
+    for part in more:
+        found = found.unionByName(part)
     both = F.transform(F.arrays_zip("runs", "spans"), lambda p: F.struct(
         p["runs"]["first"].alias("first"), p["runs"]["end"].alias("end"), p["spans"]["first"].alias("from"), p["spans"]["end"].alias("to")))
-    flat = united.groupBy(*keys, "n_words").agg(
-        F.flatten(F.collect_list(both)).alias("both"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"))
-    one = flat.withColumn("both", merged("both"))
+    flat = found.groupBy("_n").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list(both)).alias("both"),
+                                   F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"))
+    one = held.select("_row", "_n").join(flat.withColumn("both", merged("both")), "_n")
     part = lambda a, b: F.transform("both", lambda r: F.struct(r[a].alias("first"), r[b].alias("end")))
-    return one.select(*keys[:-1], "n_words", part("first", "end").alias("runs"), part("from", "to").alias("spans"), "item_ids")
+    return one.select(*[F.col("_row")[c].alias(c) for c in key], "n_words", part("first", "end").alias("runs"), part("from", "to").alias("spans"), "item_ids")
 
 
 def merged(runs: str):

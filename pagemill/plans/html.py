@@ -99,6 +99,49 @@ _tree("H16_extract_code_blocks", lambda: F.to_json("code_blocks").alias("code_bl
 _tree("H17_extract_tables", lambda: F.array_join("tables", "\n\n").alias("tables"))
 
 
+def marked_pages(spark, sf):
+    """The pages with elements in front that the generated ones lack, filled from their keys."""
+    i, b = F.col("page_id").cast("string"), (F.col("page_id") % 7).cast("string")
+    front = F.concat(
+        F.lit('<meta name="keywords" content="key '), i, F.lit(', second"><meta property="og:kind" content="kind '), b, F.lit('"><script type="application/ld+json">{"id": '), i, F.lit('}</script>'),
+        F.lit('<div class="breadcrumbs"><a href="/">Home</a> / <a href="/s">Section '), b, F.lit('</a></div><span class="tag wide">tag '), b, F.lit('</span><span class="tag">second</span>'),
+        F.lit('<span class="category">Cat '), b, F.lit('</span><p class="post-category">Page '), i, F.lit('</p><span class="category">Cat '), b, F.lit('</span><span class="byline">Writer '), b,
+        F.lit('</span><img src="/img/'), i, F.lit('.png" alt="Picture '), b, F.lit('" width="10"><pre><code class="big language-python">x = '), i, F.lit('\n</code></pre><code>y'), b,
+        F.lit('</code><table><tr><th>name</th><th> n </th></tr><tr><td>row '), b, F.lit('</td><td>'), i, F.lit('</td></tr></table>'))
+    return pages(spark, sf).withColumn("html", F.concat(front, "html"))
+
+
+def _marked(name, oracle, columns, **settings):
+    @query(name, f"SELECT page_id, {oracle} FROM (SELECT *, page_id % 7 AS b FROM pages)")
+    def run(spark, sf):
+        return hr.extract_full(marked_pages(spark, sf), **settings).select("page_id", *columns())
+
+
+_marked("H5_marked_author", "'Writer ' || b AS author", lambda: ["author"])
+_marked("H8_marked_tags", "'key ' || page_id || '|second|tag ' || b AS tags", lambda: [F.array_join("tags", "|").alias("tags")])
+_marked("H9_marked_categories", "'Cat ' || b || '|Page ' || page_id AS categories", lambda: [F.array_join("categories", "|").alias("categories")])
+_marked("H10_marked_breadcrumbs", "'Home|Section ' || b AS breadcrumbs", lambda: [F.array_join("breadcrumbs", "|").alias("breadcrumbs")])
+_marked("H15_marked_images", f"""'[{{"url":"' || {SCHEME} || '://' || {HOST} || '/img/' || page_id || '.png","alt":"Picture ' || b || '","title":"","width":"10","height":""}}]' AS images""",
+        lambda: [F.to_json("images").alias("images")])
+_marked("H16_marked_code_blocks", r"""'[{"language":"python","code":"x = ' || page_id || '\n"},{"language":"text","code":"y' || b || '"}]' AS code_blocks""", lambda: [F.to_json("code_blocks").alias("code_blocks")])
+_marked("H17_marked_tables", "'name | n' || chr(10) || 'row ' || b || ' | ' || page_id AS tables", lambda: [F.array_join("tables", "\n\n").alias("tables")])
+_marked("H19_marked_meta_map", "'key ' || page_id || ', second' AS keywords, 'kind ' || b AS kind, '{\"id\": ' || page_id || '}' AS structured_data",
+        lambda: [F.col("metadata")["keywords"].alias("keywords"), F.col("metadata")["og:kind"].alias("kind"), "structured_data"], metadata_first=True)
+
+
+@query("H23_marked_record_flat", """SELECT page_id, 'completed' AS status, 'Picture ' || page_id % 7 AS alt, 'x = ' || page_id || '|x = ' || page_id || '|y' || page_id % 7 AS code, 'big' AS language FROM pages""")
+def marked_record_flat(spark, sf):
+    r = hr.extract_flat(marked_pages(spark, sf))
+    return r.select("page_id", "status", F.col("images")[0]["alt"].alias("alt"), F.array_join(F.transform("code_blocks", lambda c: c["content"]), "|").alias("code"), F.col("code_blocks")[1]["language"].alias("language"))
+
+
+@query("H24_page_record_site_headings", f"""WITH x AS (SELECT page_id, list_filter(list_transform(regexp_extract_all(html, '(?is)<h[1-6][^>]*>(.*?)</h[1-6]\\s*>', 1), lambda h: {sp.strip(sp.inner_text('h'))}), lambda h: h <> '') AS h FROM pages)
+SELECT page_id, 'completed' AS status, array_to_string(h, '|') AS headings FROM x""")
+def record_site_headings(spark, sf):
+    r = hr.extract_site(pages(spark, sf))
+    return r.select("page_id", "status", F.array_join(F.filter(F.transform("headings", lambda h: F.trim(h["text"])), lambda t: t != ""), "|").alias("headings"))
+
+
 @query("H11_extract_headings", REC + ", x AS (SELECT page_id, unnest(h1s) AS text, generate_subscripts(h1s, 1) AS pos FROM rec) SELECT page_id, pos, 1::BIGINT AS level, text FROM x")
 def headings(spark, sf):
     r = scale.rows_of(records(spark, sf), ["page_id"], "headings", "h", "pos")

@@ -11,7 +11,7 @@ from pagemill.operators import knowledge as kn
 from pagemill.operators import table_functions as tables
 from pagemill.plans import sqlparts as sp
 from pagemill.plans.html import REC, docs, records
-from pagemill.plans.registry import query
+from pagemill.plans.registry import ORACLES, query
 from pagemill.plans.sqlparts import q
 from pagemill.plans.urls import OUTPUT_NAME_SQL
 from pagemill.functions import urls as ux
@@ -51,15 +51,28 @@ def clean_processed_nfkc(spark, sf):
     return docs(spark, sf).select("doc_id", tx.clean_processed_text(F.col("text")).alias("cleaned")).withColumn("content_hash", tx.content_hash16(F.col("cleaned")))
 
 
-def _chunker(name, mode, size=1000, overlap=200):
-    @query(name)
+def _chunker(name, mode, size=1000, overlap=200, oracle=None):
+    @query(name, oracle)
     def run(spark, sf):
         return ch.chunk_table(docs(spark, sf), "doc_id", "text", mode, size, overlap).select("doc_id", "chunk_index", "total_chunks", "content")
 
 
+def _windows_sql(last: str, stop: str, columns: str) -> str:
+    """Overlapping slices of 1000 characters by recursion: each end is `last` place found in the slice, or its full length."""
+    end = f"CASE WHEN s + 1000 >= n THEN s + 1000 ELSE coalesce({last}, s + 1000) END"
+    return f"""WITH RECURSIVE d AS (SELECT doc_id, text, length(text) AS n FROM documents WHERE length(text) > 0),
+w AS (SELECT doc_id, text, n, 0 AS k, 0::BIGINT AS s, {end.replace('s + 1000', '0 + 1000').replace('(s ', '(0 ')} AS e FROM d
+UNION ALL SELECT doc_id, text, n, k + 1, s, {end} FROM (SELECT doc_id, text, n, k, greatest(s + 1, e - 200) AS s FROM w WHERE e < n + {stop}) WHERE s < n),
+c AS (SELECT doc_id, k, n, {sp.strip('substr(text, s + 1, e - s)')} AS content FROM w), f AS (SELECT doc_id, n, content, row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS chunk_index,
+count(*) OVER (PARTITION BY doc_id) AS total_chunks FROM c WHERE content <> '') SELECT doc_id, {columns} FROM f"""
+
+
+# The last blank among the 100 places up to the full length, or the place behind the last sentence end.
+_BLANK_END = "s + 901 + nullif(length(regexp_extract(substr(text, (s + 902)::BIGINT, 100), '(?s)^(.*)[ \\t\\n\\x0B\\f\\r]', 0)), 0) - 1"
+_SENTENCE_END = "s + 901 + nullif(length(regexp_extract(substr(text, (s + 902)::BIGINT, 100), '(?s)^(.*)[.!?\\n]', 0)), 0)"
 _chunker("T4_split_text", "paragraph")
 _chunker("T5_split_by_sentences", "sentence")
-_chunker("T6_split_by_characters", "char")
+_chunker("T6_split_by_characters", "char", oracle=_windows_sql(_BLANK_END, "0", "chunk_index, total_chunks, content"))
 
 
 @query("T7_chunk_words", f"""WITH w AS (SELECT doc_id, {sp.words('text')} AS w FROM documents),
@@ -87,7 +100,7 @@ def split_by_sentences_sql(spark, sf):
     return _in_sql(spark, sf, "SELECT doc_id, c.* FROM {documents}, LATERAL chunk_text(text, 'sentence', 1000, 200) AS c")
 
 
-@query("T6_split_by_characters_sql")
+@query("T6_split_by_characters_sql", ORACLES["T6_split_by_characters"])
 def split_by_characters_sql(spark, sf):
     return _in_sql(spark, sf, "SELECT doc_id, c.* FROM {documents}, LATERAL chunk_text(text, 'char', 1000, 200) AS c")
 
@@ -104,11 +117,16 @@ def chunk_offsets_sql(spark, sf):
     return _in_sql(spark, sf, "SELECT doc_id, chunk_index, total_chunks, start_index, end_index FROM {documents}, LATERAL chunk_text(text, 'paragraph', 1000, 200, true) AS c")
 
 
-@query("T8_chunk_char_sentence")
+@query("T8_chunk_char_sentence", "WITH whole AS (SELECT doc_id, text FROM documents WHERE length(text) BETWEEN 1 AND 1000), parts AS (" + _windows_sql(
+    _SENTENCE_END, "200", "chunk_index, total_chunks, content, n") + """) SELECT doc_id, doc_id::VARCHAR AS id, text AS content, FALSE AS is_split_chunk, NULL::BIGINT AS chunk_part, length(text) AS chunk_char_count FROM whole
+UNION ALL SELECT doc_id, CASE WHEN total_chunks > 1 THEN doc_id || '_part_' || chunk_index ELSE doc_id::VARCHAR END, content, total_chunks > 1, CASE WHEN total_chunks > 1 THEN chunk_index END, length(content) FROM parts WHERE n > 1000""")
 def chunk_char_sentence(spark, sf):
     return ch.split_parts(docs(spark, sf), "doc_id", "text")
 
 
+ORACLES["T8_chunk_char_sentence_sql"] = ORACLES["T8_chunk_char_sentence"]
+
+
 @query("T9_chunk_chars_stride", f"""WITH s AS (SELECT doc_id, text, unnest(range(0, length(text), 450)) AS i FROM documents), p AS (SELECT doc_id, i, substr(text, (i + 1)::BIGINT, 500) AS content FROM s)
 SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS chunk_index, content, md5(content) AS content_hash FROM p WHERE {sp.not_blank('content')}""")
 def chunk_stride(spark, sf):
@@ -122,7 +140,11 @@ def chunk_offsets(spark, sf):
     return rows.select("doc_id", "chunk_index", "total_chunks", "start_index", "end_index", "char_count", "word_count", "sentence_count")
 
 
-@query("T11_merge_chunks")
+# Greedy packing as a fold: a list of chunks so far, to which the next chunk is joined or added.
+@query("T11_merge_chunks", f"""WITH s AS (SELECT doc_id, text, unnest(range(0, length(text), 450)) AS i FROM documents), p AS (SELECT doc_id, i, substr(text, (i + 1)::BIGINT, 500) AS c FROM s),
+l AS (SELECT doc_id, list([c] ORDER BY i) AS l FROM p WHERE {sp.not_blank('c')} GROUP BY doc_id),
+m AS (SELECT doc_id, list_filter(list_transform(list_reduce(l, lambda a, x: CASE WHEN length(a[-1]) + length(x[1]) < 2000 THEN list_concat(a[:-2], [a[-1] || ' ' || x[1]]) ELSE list_concat(a, x) END), lambda c: {sp.strip('c')}), lambda c: c <> '') AS m FROM l)
+SELECT doc_id, unnest(m) AS content, generate_subscripts(m, 1) - 1 AS chunk_index FROM m""")
 def merge_chunks(spark, sf):
     return ch.explode_chunks(docs(spark, sf), "doc_id", ch.merge_chunk_array(ch.stride_chunks(F.col("text")), 2000))
 

@@ -33,7 +33,24 @@ def sliding_rate(spark, sf):
     return ac.rate_counts(events(spark, sf).select("event_id", "user_id", "us"), "user_id", "us", 3600, 2).drop("us")
 
 
-@query("Z1_sliding_log_decisions")
+# Folds of a user's events in order of time, as a recursion from one event to the next.
+_EVENTS_IN_ORDER = "e AS (SELECT user_id, epoch_us(ts) AS us, event_id, event_type, value, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts), event_id) AS k FROM events)"
+
+
+def _fold_sql(first: str, state: str, step: str, columns: str) -> str:
+    """`first` and `step` give the columns `state`; step reads the event e and the state before it, p."""
+    return f"""WITH RECURSIVE {_EVENTS_IN_ORDER}, f AS (SELECT user_id, us, event_id, k, {first} FROM e WHERE k = 1
+UNION ALL SELECT e.user_id, e.us, e.event_id, e.k, {step} FROM f p JOIN e ON e.user_id IS NOT DISTINCT FROM p.user_id AND e.k = p.k + 1) SELECT {columns} FROM f"""
+
+
+_OPEN = "list_filter(p.log, lambda t: t > e.us - 7200000000)"
+_LOG = _fold_sql("TRUE AS allowed, [us] AS log", "allowed, log", f"len({_OPEN}) < 2, CASE WHEN len({_OPEN}) < 2 THEN list_append({_OPEN}, e.us) ELSE {_OPEN} END",
+                 "user_id, us, event_id, allowed, 2 - len(log) AS remaining, log[1] + 7200000000 AS reset_us")
+_FILLED = "least(3.0::DOUBLE, p.tokens + (e.us - p.us)::DOUBLE / 1000000 * (1::DOUBLE / 7200))"
+_BUCKET = "TRUE AS allowed, 2.0::DOUBLE AS tokens", "allowed, tokens", f"{_FILLED} >= 1, {_FILLED} - CASE WHEN {_FILLED} >= 1 THEN 1 ELSE 0 END"
+
+
+@query("Z1_sliding_log_decisions", _LOG)
 def sliding_log(spark, sf):
     return folds.sliding_log(events(spark, sf), "user_id", "us", "event_id", 7200, 2)
 
@@ -47,12 +64,21 @@ def tumbling(spark, sf):
     return g.select(F.col("w.start").cast("timestamp_ntz").alias("start"), "event_type", "n", "total")
 
 
-@query("Z3_token_bucket")
+@query("Z3_token_bucket", _fold_sql(*_BUCKET, "user_id, us, event_id, allowed, round(tokens, 6) AS tokens"))
 def token_bucket(spark, sf):
-    return folds.token_bucket(events(spark, sf), "user_id", "us", "event_id", 3.0, 1 / 7200)
+    return folds.token_bucket(events(spark, sf), "user_id", "us", "event_id", 3.0, 1 / 7200).withColumn("tokens", F.round("tokens", 6))
+
+
+def _delay_sql() -> str:
+    good, limited = "e.event_type IS DISTINCT FROM 'error'", "coalesce(e.value > 25, FALSE)"
+    five = f"{good} AND p.n + 1 = 5"
+    step = f"CASE WHEN {good} AND p.n + 1 < 5 THEN p.n + 1 ELSE 0 END, CASE WHEN {five} THEN greatest(1.0::DOUBLE, 0.9::DOUBLE * p.delay) WHEN {good} THEN p.delay WHEN {limited} THEN least(300.0::DOUBLE, 2.0::DOUBLE * p.delay) ELSE least(60.0::DOUBLE, 1.5::DOUBLE * p.delay) END"
+    first = step.replace("e.", "").replace("p.n", "0").replace("p.delay", "1.0::DOUBLE").replace("event_type", "event_type")
+    first = first.replace(", CASE WHEN", " AS n, CASE WHEN", 1) + " AS delay"
+    return _fold_sql(first, "n, delay", step, "user_id, us, event_id, round(delay, 9) AS delay")
 
 
-@query("Z4_adaptive_delay")
+@query("Z4_adaptive_delay", _delay_sql())
 def adaptive_delay(spark, sf):
     outcome = F.when(F.col("event_type") != "error", "success").when(F.col("value") > 25, "rate_limit").otherwise("failure")
     return folds.adaptive_delay(events(spark, sf).withColumn("outcome", outcome), "user_id", "us", "event_id", "outcome").withColumn("delay", F.round("delay", 9))
@@ -154,7 +180,7 @@ def stream_sessions(spark, sf):
     return spark.read.parquet(sink).select("user_id", F.unix_micros("start_ts").alias("start_us"), F.unix_micros("last_ts").alias("end_us"), "events")
 
 
-@query("Z3_stream_token_bucket")
+@query("Z3_stream_token_bucket", _fold_sql(*_BUCKET, "user_id, us, allowed"))
 def stream_token_bucket(spark, sf):
     return spark.read.parquet(jobs.drain(jobs.token_bucket(_stream(spark, sf), "ts", "user_id", 3.0, 1 / 7200), "append"))
 

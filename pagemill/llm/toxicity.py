@@ -4,9 +4,10 @@ score = sigmoid(b + sum_i w_i x_i + sum_{i<j} <v_i, v_j> x_i x_j). Terms are who
 the five-letter runs of words longer than that, and the two- and three-letter runs of words
 in scripts written without blanks, over their whole length. x is the scaled square root of a
 term's share of the words, so one marked word in twelve weighs the same in short and long
-texts; without blanks two letters count as a word. Only terms whose mean differs clearly
-between the labels get weights, in the pair part too: a pair of terms that each differ
-nowhere on their own is not learned.
+texts; without blanks two letters count as a word. Terms are learned whose mean differs
+clearly between the labels, and terms of pairs whose common presence does, whether or not
+either term differs on its own; the pairs looked at are those of the PAIRED commonest terms
+below a presence in half of the sampled texts.
 
 The machine is fitted on a bounded, key-hashed sample of labelled rows (`per_class` rows
 of each label at most); scoring reads every whole text, in Arrow batches.
@@ -36,6 +37,7 @@ from pagemill.llm.common import folded_words
 RUN = 5  # letters of the runs of longer words
 DENSE = (2, 3)  # letters of the runs in scripts without blanks
 SCALE = 100.0
+PAIRED = 2_000  # terms whose pairs are tested
 
 
 @dataclass(frozen=True)
@@ -51,14 +53,17 @@ def without_blanks(letter: str) -> bool:
 
 
 @lru_cache(1 << 16)
-def word_terms(word: bytes, bits: int) -> tuple[np.ndarray, int]:
-    """Bucket numbers of a word's terms, and how many words it counts as."""
-    letters, mask = word.decode("utf-8", "surrogatepass"), (1 << bits) - 1
-    dense = not word.isascii() and any(map(without_blanks, letters))
+def word_terms(word: bytes) -> tuple[tuple[int, ...], int]:
+    """Hashes of a word's terms, and how many words it counts as."""
+    if word.isascii():
+        runs = [zlib.crc32(word[i:i + RUN], RUN) for i in range(len(word) - RUN + 1)] if len(word) > RUN else ()
+        return (zlib.crc32(word), *runs), 1
+    letters = word.decode("utf-8", "surrogatepass")
+    dense = any(map(without_blanks, letters))
     terms = [zlib.crc32(word)]
     for size in DENSE if dense else (RUN,) if len(letters) > RUN else ():
         terms += [zlib.crc32(letters[i:i + size].encode("utf-8", "surrogatepass"), size) for i in range(len(letters) - size + 1)]
-    return np.array(terms, np.int64) & mask, max(1, len(letters) // 2) if dense else 1
+    return tuple(terms), max(1, len(letters) // 2) if dense else 1
 
 
 def hashed_terms(text: str | None, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -66,11 +71,15 @@ def hashed_terms(text: str | None, bits: int) -> tuple[np.ndarray, np.ndarray]:
     counts = Counter(folded_words(text))
     if not counts:
         return np.zeros(0, np.int64), np.zeros(0, np.float32)
-    found = [word_terms(w, bits) for w in counts]
+    flat: list[int] = []
+    lens, total = [], 0
+    for (terms, size), n in zip(map(word_terms, counts), counts.values(), strict=True):
+        flat += terms
+        lens.append(len(terms))
+        total += size * n
+    ids, at = np.unique(np.array(flat, np.int64) & ((1 << bits) - 1), return_inverse=True)
     n = np.fromiter(counts.values(), np.int64, len(counts))
-    share = SCALE / max(1, int(n @ np.array([f[1] for f in found])))
-    ids, at = np.unique(np.concatenate([f[0] for f in found]), return_inverse=True)
-    return ids, np.sqrt(np.bincount(at, np.repeat(n, [len(f[0]) for f in found])) * share).astype(np.float32)
+    return ids, np.sqrt(np.bincount(at, np.repeat(n, lens)) * (SCALE / max(1, total))).astype(np.float32)
 
 
 def raw_scores(ids: np.ndarray, values: np.ndarray, starts: np.ndarray, m: Machine) -> np.ndarray:
@@ -105,11 +114,40 @@ def telling(texts: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, size
     return (met >= min_texts) & (np.abs(mean[1] - mean[0]) >= min_t * error)
 
 
+def telling_pairs(texts: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, size: int, min_texts: int, min_t: float) -> np.ndarray:
+    """Buckets of pairs whose common presence differs between the labels by `min_t` standard errors.
+
+    Two matrix products of text by term count all pairs of the PAIRED commonest terms.
+    """
+    met = np.zeros(size, np.int64)
+    for ids, _ in texts:
+        met[ids] += 1
+    usable = np.flatnonzero((met >= min_texts) & (met <= len(texts) / 2))
+    chosen = np.sort(usable[np.argsort(-met[usable], kind="stable")[:PAIRED]])
+    place = np.full(size, -1)
+    place[chosen] = np.arange(len(chosen))
+    both, n = [], []
+    for y in (0, 1):
+        own = [t for (t, _), of in zip(texts, labels, strict=True) if of == y]
+        held = np.zeros((len(own), len(chosen)), np.float32)
+        for r, ids in enumerate(own):
+            held[r, place[ids[place[ids] >= 0]]] = 1
+        both.append(held.T @ held)
+        n.append(max(1, len(own)))
+    rate = (both[0] + both[1]) / sum(n)
+    error = np.sqrt(rate * (1 - rate) * (1 / n[0] + 1 / n[1]) + 1e-12)
+    strong = (both[0] + both[1] >= min_texts) & (np.abs(both[1] / n[1] - both[0] / n[0]) >= min_t * error)
+    np.fill_diagonal(strong, False)
+    out = np.zeros(size, bool)
+    out[chosen[strong.any(0)]] = True
+    return out
+
+
 def train(texts: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, bits: int, factors: int,
-          epochs: int, rate: float, l2: float, min_texts: int, min_t: float, seed: int = 7) -> Machine:
+          epochs: int, rate: float, l2: float, min_texts: int, min_t: float, min_pair_t: float = 7.0, seed: int = 7) -> Machine:
     """AdaGrad over small batches of the log loss; both labels weigh the same in total."""
     rng, size = np.random.default_rng(seed), 1 << bits
-    seen = telling(texts, labels, size, min_texts, min_t)
+    seen = telling(texts, labels, size, min_texts, min_t) | telling_pairs(texts, labels, size, 2 * min_texts, min_pair_t)
     texts = [(i[seen[i]], x[seen[i]]) for i, x in texts]
     w, v, bias = np.zeros(size, np.float32), rng.normal(0, 0.02, (size, factors)).astype(np.float32), 0.0
     gw, gv, gb = np.full(size, 1e-4, np.float32), np.full((size, factors), 1e-4, np.float32), 1e-4

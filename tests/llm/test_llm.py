@@ -101,6 +101,23 @@ def test_toxicity_pairs_beat_single_terms():
     assert ((raw > 0) == (y == 1)).mean() > 0.95
 
 
+def test_toxicity_learns_a_pair_of_terms_that_do_not_differ_alone():
+    """Exclusive or: each of two words is as common with one label as with the other."""
+    rng = np.random.default_rng(4)
+    flags = [(i & 1, i >> 1 & 1) for i in range(1600)]
+    said = [" ".join([*rng.choice([f"w{j}" for j in range(40)], 12), *["left"] * a, *["right"] * b]) for a, b in flags]
+    texts, y = [toxicity.hashed_terms(t, 14) for t in said], np.array([a ^ b for a, b in flags])
+    own = np.array([toxicity.hashed_terms(w, 14)[0][0] for w in ("left", "right")])
+    assert not toxicity.telling(texts, y, 1 << 14, 5, 3.5)[own].any() and toxicity.telling_pairs(texts, y, 1 << 14, 10, 7.0)[own].all()
+    m = toxicity.train(texts[:1200], y[:1200], 14, 4, 40, 0.1, 1e-4, 5, 3.5)
+    starts = np.concatenate([[0], np.cumsum([len(t[0]) for t in texts[1200:]])])
+    raw = toxicity.raw_scores(np.concatenate([t[0] for t in texts[1200:]]), np.concatenate([t[1] for t in texts[1200:]]), starts, m)
+    assert ((raw > 0) == (y[1200:] == 1)).mean() > 0.95
+    alone = toxicity.Machine(m.bias, m.weights, np.zeros_like(m.factors))
+    lone = toxicity.raw_scores(np.concatenate([t[0] for t in texts[1200:]]), np.concatenate([t[1] for t in texts[1200:]]), starts, alone)
+    assert ((lone > 0) == (y[1200:] == 1)).mean() < 0.8
+
+
 def test_toxicity_raw_score_is_the_pair_sum():
     rng = np.random.default_rng(1)
     m = toxicity.Machine(0.3, rng.normal(size=64), rng.normal(size=(64, 3)))

@@ -3,9 +3,11 @@
 Each document gives a vector of transformed statistics: mean word length, symbols per
 word (log), share of repeated lines (log), share of repeated three-word windows. For every
 language and source the minimum-covariance-determinant estimate of centre and scatter is
-found by concentration steps: from medians and median deviations, keep the share `inner`
-of the rows that lie nearest, take their mean and covariance, and repeat. A document goes
-when its squared Mahalanobis distance passes the chi-square value of `level`.
+found by concentration steps: keep the share `inner` of the rows that lie nearest, take
+their mean and covariance, and repeat until no determinant falls any more. Every group is
+estimated from each of STARTS, which rank the rows by different distances from medians and
+by the plain covariance; the estimate of least determinant stays. A document goes when its
+squared Mahalanobis distance passes the chi-square value of `level`.
 
 Scatter never falls below `floors` per statistic, so a source whose documents all agree
 in one statistic stays measurable. Sources with fewer than `least` usable rows share one
@@ -31,6 +33,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 BLANKS = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 DIMS = ("x0", "x1", "x2", "x3")
+STARTS = 4  # ways to rank the rows of a group before the first step
 GROUPS = 50_000  # rows of estimates (about 20 numbers each) that may be broadcast
 
 
@@ -124,23 +127,48 @@ def nearest(rows: DataFrame, inner: float) -> DataFrame:
     return binned.join(few(stored(cuts)), "g").filter(F.col("bin") <= F.col("cut"))
 
 
-def estimates(rows: DataFrame, floors: tuple[float, ...], inner: float, steps: int) -> DataFrame:
-    """MCD centre and Cholesky factor of each group g of the rows (g, x*)."""
+def starts(rows: DataFrame, floors: tuple[float, ...]) -> DataFrame:
+    """Rows (g, x*, d) of every start, g carrying the number of the start.
+
+    From medians and median deviations: sum of squares, largest part, and a bounded sum that
+    far rows cannot pull; and the distance by the mean and covariance of all rows.
+    """
     mid = stored(rows.groupBy("g").agg(*[F.percentile_approx(d, 0.5, 1000).alias(f"m{i}") for i, d in enumerate(DIMS)]))
     off = rows.join(few(mid), "g")
     spread = stored(off.groupBy("g").agg(*[F.percentile_approx(F.abs(F.col(d) - F.col(f"m{i}")), 0.5, 1000).alias(f"s{i}") for i, d in enumerate(DIMS)]))
-    start = sum(((F.col(d) - F.col(f"m{i}")) / (F.lit(1.4826) * F.col(f"s{i}") + floors[i])) ** 2 for i, d in enumerate(DIMS))
-    placed = off.join(few(spread), "g").select("g", *DIMS, start.alias("d"))
+    z2 = [((F.col(d) - F.col(f"m{i}")) / (F.lit(1.4826) * F.col(f"s{i}") + floors[i])) ** 2 for i, d in enumerate(DIMS)]
+    robust = off.join(few(spread), "g").select("g", *DIMS, F.array(sum(z2[1:], z2[0]), F.greatest(*z2), sum((z / (1 + z) for z in z2[1:]), z2[0] / (1 + z2[0]))).alias("all"))
+    plain = rows.join(few(stored(moments(rows, floors, 1.0))), "g").select("g", *DIMS, distance().alias("d"))
+    numbered = robust.select("g", *DIMS, F.posexplode("all").alias("start", "d")).unionByName(plain.withColumn("start", F.lit(3)))
+    return numbered.select(F.struct("g", "start").alias("g"), *DIMS, "d")
+
+
+def log_determinant() -> Column:
+    return sum((F.log(f"l{i}{i}") for i in range(1, len(DIMS))), F.log("l00")) * 2
+
+
+def estimates(rows: DataFrame, floors: tuple[float, ...], inner: float, steps: int) -> DataFrame:
+    """MCD centre, Cholesky factor and log determinant of each group g of the rows (g, x*)."""
+    placed, every = starts(rows, floors), rows.withColumn("start", F.explode(F.array(*[F.lit(i) for i in range(STARTS)]))).select(F.struct("g", "start").alias("g"), *DIMS)
     cut = chi_square_at(inner, len(DIMS))
-    factor = inner / chi_square(cut, len(DIMS) + 2)
+    factor, before, found = inner / chi_square(cut, len(DIMS) + 2), None, None
     for _ in range(steps):
-        found = stored(moments(nearest(placed, inner), floors, factor))
-        placed = rows.join(few(found), "g").select("g", *DIMS, distance().alias("d"))
-    return found
+        following = stored(moments(nearest(placed, inner), floors, factor).withColumn("logdet", log_determinant()))
+        total = following.agg(F.round(F.sum("logdet"), 6)).first()[0]
+        if found is not None:
+            discard(found)
+        found = following
+        if total is None or (before is not None and total >= before):
+            break
+        before = total
+        placed = every.join(few(found.drop("logdet")), "g").select("g", *DIMS, distance().alias("d"))
+    rest = [c for c in found.columns if c != "g"]
+    best = found.groupBy(F.col("g.g").alias("g")).agg(F.min_by(F.struct(*rest), F.struct("logdet", F.col("g.start"))).alias("b"))
+    return stored(best.select("g", *[F.col("b")[c].alias(c) for c in rest]))
 
 
 def judge(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source", floors: tuple[float, ...] = (0.1, 0.25, 0.25, 0.1),
-          inner: float = 0.75, steps: int = 3, least: int = 40, level: float = 1 - 1e-9) -> DataFrame:
+          inner: float = 0.75, steps: int = 10, least: int = 40, level: float = 1 - 1e-9) -> DataFrame:
     """key, the statistics, base_failed, kept and distance of every row."""
     raw = docs.select(F.col(key).alias("_key"), F.col(lang).cast("string").alias("_lang"), F.col(source).cast("string").alias("_source"), F.col(text).alias("_text"))
     counted = statistics(raw, ["_key", "_lang", "_source"], "_text")
@@ -153,7 +181,7 @@ def judge(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     grouped = stored(rows.join(few(stored(of)), same).drop("_l", "_s", "_lang", "_source"))
     found = estimates(grouped.filter(~F.col("base_failed")).select("g", *DIMS), floors, inner, steps)
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
-    judged = grouped.join(few(found), "g", "left").withColumn("distance", distance())
+    judged = grouped.join(few(found.drop("logdet")), "g", "left").withColumn("distance", distance())
     near = F.coalesce(F.col("distance") <= chi_square_at(level, len(DIMS)), F.lit(True))
     discard(sizes)
     return judged.select(F.col("_key").alias(key), *names, (~F.col("base_failed") & near).alias("kept"), "distance")

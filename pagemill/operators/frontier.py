@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pagemill import scale
 from pagemill.functions import urls as ux
-from pagemill.session import materialize
+from pagemill.session import discard, materialize
 
 RULE_FIELDS = ["type", "priority", "include", "max_depth", "follow_links", "pattern"]
 DEFAULT_RULE = {"type": "unknown", "priority": 3, "include": True, "max_depth": 5, "follow_links": True, "pattern": ".*"}
@@ -123,6 +123,7 @@ def reachable(edges: DataFrame, seeds: DataFrame, max_depth: int, max_pages: int
         visited = visited.unionByName(level)
         if max_pages is not None and visited.count() >= max_pages:
             break
+    discard(links)
     return visited if max_pages is None else visited.orderBy("depth", "node").limit(max_pages)
 
 

@@ -15,10 +15,14 @@ def stack_row(row: DataFrame, columns: list[str], name: str = "metric", value: s
     return row.select(F.expr(f"stack({len(columns)}, {pairs}) AS ({name}, {value})"))
 
 
-def content_statistics(pages: DataFrame, nested: dict[str, Column], segment: Column) -> DataFrame:
-    """Totals, word distribution and pages per segment as (metric, value) rows."""
-    # both aggregates read a few numbers per page, written once: the HTML is parsed once
-    pages = materialize(pages.select("word_count", segment.alias("_segment"), *[c.alias(f"_{n}") for n, c in nested.items()]))
+def content_statistics(pages: DataFrame, nested: dict[str, Column], segment: Column, stored: bool = False) -> DataFrame:
+    """Totals, word distribution and pages per segment as (metric, value) rows.
+
+    Two aggregates read a few numbers per page: those are written once, unless the pages
+    already are a stored table, so that the HTML is parsed once.
+    """
+    pages = pages.select("word_count", segment.alias("_segment"), *[c.alias(f"_{n}") for n, c in nested.items()])
+    pages = pages if stored else materialize(pages)
     words = F.col("word_count")
     totals = {
         "total_pages": F.count("*"), "total_words": F.coalesce(F.sum(words), F.lit(0)), **{f"total_{n}": F.coalesce(F.sum(f"_{n}"), F.lit(0)) for n in nested},
@@ -66,9 +70,9 @@ def code_analysis(code: DataFrame) -> DataFrame:
     return out.unionByName(by(F.lower("language"), "language:")).unionByName(by(F.col("type"), "type:"))
 
 
-def link_analysis(links: DataFrame, site: str, n: int = 10) -> DataFrame:
+def link_analysis(links: DataFrame, site: str, n: int = 10, stored: bool = False) -> DataFrame:
     """links(url): internal and external totals plus both top lists."""
-    links = materialize(links.select("url"))
+    links = links.select("url") if stored else materialize(links.select("url"))
     internal = F.col("url").contains(site)
     row = links.agg(
         F.count_if(internal).alias("total_internal_links"), F.count_if(~internal).alias("total_external_links"),

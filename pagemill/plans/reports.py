@@ -18,6 +18,7 @@ from pagemill.plans.sqlparts import q
 from pagemill.plans.trends import events
 from pagemill.plans.urls import CATEGORY_SQL, HOST, SCHEME, SECTION_CTE, section_urls
 from pagemill.session import checkpoint_root
+from pagemill.session import kept
 
 NOW = "2024-02-01 00:00:00"
 _SEG = "regexp_extract(url, '^[^:]+://[^/]+/([^/?#]*)', 1)"
@@ -32,9 +33,9 @@ SELECT unnest(['total_pages', 'total_words', 'total_headings', 'total_links', 'w
 unnest([count(*)::DOUBLE, sum(w)::DOUBLE, sum(h)::DOUBLE, sum(l)::DOUBLE, min(w)::DOUBLE, max(w)::DOUBLE, round(avg(w), 4)]) AS value FROM p
 UNION ALL SELECT 'category:' || CASE WHEN {_SEG} = '' THEN 'root' ELSE {_SEG} END, count(*)::DOUBLE FROM p GROUP BY 1""")
 def content_statistics(spark, sf):
-    p = _pages(spark, sf)
+    p = kept("report_pages", table(spark, sf, "pages"), lambda: _pages(spark, sf).select("url", "word_count", "headings", "raw_links"))
     seg = F.coalesce(F.nullif(F.regexp_extract("url", "^[^:]+://[^/]+/([^/?#]*)", 1), F.lit("")), F.lit("root"))
-    return rp.content_statistics(p, {"headings": F.size("headings"), "links": F.size("raw_links")}, seg)
+    return rp.content_statistics(p, {"headings": F.size("headings"), "links": F.size("raw_links")}, seg, stored=True)
 
 
 @query("A2_heading_analysis", REC + f""", h AS (SELECT unnest(h1s) AS t FROM rec)
@@ -68,8 +69,11 @@ SELECT unnest(['total_internal_links', 'total_external_links', 'unique_internal_
 UNION ALL (SELECT 'linked:' || link, count(*)::DOUBLE AS c FROM x WHERE i GROUP BY link ORDER BY c DESC, link LIMIT 10)
 UNION ALL (SELECT 'domain:' || string_split(link, '/')[3] AS d, count(*)::DOUBLE AS c FROM x WHERE NOT i GROUP BY d ORDER BY c DESC, d LIMIT 10)""")
 def link_analysis(spark, sf):
-    r = scale.rows_of(records(spark, sf), ["url"], "raw_links", "l")
-    return rp.link_analysis(r.select(ux.resolve_url(F.col("url"), F.col("l.href")).alias("url")), "example.org")
+    def links():
+        r = scale.rows_of(records(spark, sf), ["url"], "raw_links", "l")
+        return r.select(ux.resolve_url(F.col("url"), F.col("l.href")).alias("url"))
+
+    return rp.link_analysis(kept("report_links", table(spark, sf, "pages"), links), "example.org", stored=True)
 
 
 _MENTION = r"(?<![\p{L}\p{N}_])[A-Z][a-zA-Z]*\s*[Tt]ion(?![\p{L}\p{N}_])"

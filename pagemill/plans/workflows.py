@@ -11,7 +11,7 @@ from pagemill.plans import sqlparts as sp
 from pagemill.plans.html import docs
 from pagemill.plans.registry import query, table
 from pagemill.plans.sqlparts import q
-from pagemill.session import materialize
+from pagemill.session import kept
 
 # Type prefix of the nodes that the documents below carry.
 B = "base-nodes."
@@ -250,7 +250,8 @@ UNION ALL SELECT 'unique_integrations', count(DISTINCT s)::DOUBLE FROM (SELECT u
 UNION ALL SELECT 'complexity:' || CASE WHEN node_count <= 5 THEN 'low' WHEN node_count <= 15 THEN 'medium' ELSE 'high' END, count(*)::DOUBLE FROM w GROUP BY 1""")
 def workflow_stats(spark, sf):
     # several aggregates read the same few columns: written once, scanned cheaply
-    narrow = materialize(enriched(spark, sf).select("active", "node_count", "trigger", "complexity", "services"))
+    rows = enriched(spark, sf).select("active", "node_count", "trigger", "complexity", "services")
+    narrow = kept("workflow_numbers", rows, lambda: rows)
     return wf.stats(narrow, "services")
 
 

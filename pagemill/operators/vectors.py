@@ -18,12 +18,11 @@ from pagemill import scale
 def hashing_encoder(dim: int = 64) -> Callable[[list[str]], np.ndarray]:
     """Offline default: signed feature hashing of the lower-case words."""
     def encode(texts: list[str]) -> np.ndarray:
-        out = np.zeros((len(texts), dim))
-        for i, text in enumerate(texts):
-            for word in text.lower().split():
-                h = zlib.crc32(word.encode("utf-8"))
-                out[i, h % dim] += 1.0 if (h >> 16) & 1 else -1.0
-        return out
+        split = [text.lower().split() for text in texts]
+        words = [w.encode("utf-8") for own in split for w in own]
+        h = np.fromiter(map(zlib.crc32, words), np.int64, len(words))
+        cells = np.repeat(np.arange(len(texts)), [len(own) for own in split]) * dim + h % dim
+        return np.bincount(cells, np.where((h >> 16) & 1, 1.0, -1.0), len(texts) * dim).reshape(len(texts), dim)
 
     return encode
 

@@ -32,6 +32,15 @@ def embed(spark, sf):
     return e.select("doc_id", F.round(F.sqrt(ve.dot(F.col("embedding"), F.col("embedding"))), 4).alias("norm"), "error")
 
 
+@query("V1_embedding_components", f"""WITH w AS (SELECT doc_id, unnest({sp.words('lower(text)')}) AS word FROM documents), h AS (SELECT word, {sp.crc32('word')} AS h FROM (SELECT DISTINCT word FROM w)),
+s AS (SELECT doc_id, h % 64 AS dim, sum(CASE WHEN (h >> 16) & 1 = 1 THEN 1 ELSE -1 END)::DOUBLE AS v FROM w JOIN h USING (word) GROUP BY ALL), n AS (SELECT doc_id, sqrt(sum(v * v)) AS size FROM s GROUP BY doc_id)
+SELECT doc_id, dim, round((v / size)::FLOAT::DOUBLE, 4) AS value FROM s JOIN n USING (doc_id) WHERE v <> 0""")
+def embedding_components(spark, sf):
+    """Every component of every vector that is not 0."""
+    e = ve.embed(docs(spark, sf), "doc_id", "text").select("doc_id", F.posexplode("embedding").alias("dim", "value")).filter("value <> 0")
+    return e.select("doc_id", F.col("dim").cast("long").alias("dim"), F.round(F.col("value").cast("double"), 4).alias("value"))
+
+
 @query("V2_unseen_texts", "WITH h AS (SELECT sha256(text) || ':hash-64' AS text_key, lang FROM documents) SELECT DISTINCT text_key FROM h WHERE text_key NOT IN (SELECT text_key FROM h WHERE lang = 'en')")
 def unseen(spark, sf):
     d = table(spark, sf, "documents")

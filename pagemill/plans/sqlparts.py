@@ -18,6 +18,17 @@ def replace_all(x: str, pattern: str, to: str) -> str:
     return f"regexp_replace({x}, {q(pattern)}, {to}, 'g')"
 
 
+def crc32(x: str) -> str:
+    """Unsigned CRC-32 of the UTF-8 bytes of a text, byte by byte over the table of its polynomial."""
+    table = []
+    for c in range(256):
+        for _ in range(8):
+            c = (c >> 1) ^ (0xEDB88320 if c & 1 else 0)
+        table.append(c)
+    digits = f"list_transform(range(0, strlen({x})), lambda i: CAST('0x' || substr(hex(encode({x})), 2 * i + 1, 2) AS BIGINT))"
+    return f"xor(list_reduce(list_prepend(4294967295, {digits}), lambda c, b: xor(c >> 8, {table}[(xor(c, b) & 255) + 1])), 4294967295)"
+
+
 def squash(x: str) -> str:
     return f"trim({replace_all(x, WS + '+', q(' '))})"
 

@@ -11,6 +11,17 @@ from pagemill.session import materialize
 
 # Largest table that is broadcast or read to the driver, in rows.
 SMALL_ROWS = 100_000
+# Largest table that is broadcast, in bytes of its stored files.
+SMALL_BYTES = 32 << 20
+
+
+def stored_bytes(df: DataFrame) -> int:
+    """Length of the files of a stored table."""
+    spark, total = df.sparkSession, 0
+    for name in df.inputFiles():
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        total += path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).getLen()
+    return total
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -21,13 +32,13 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def maybe_broadcast(df: DataFrame, limit: int = SMALL_ROWS, stored: bool = False) -> DataFrame:
-    """Broadcast hint behind a row count; beyond the limit the join shuffles.
+    """Broadcast hint behind a count of rows and bytes; beyond the limits the join shuffles.
 
     The side is written to the checkpoint folder first (unless it already is a
     stored table), so the check reads file footers and nothing is computed twice.
     """
     side = df if stored else materialize(df)
-    return F.broadcast(side) if side.count() <= limit else side
+    return F.broadcast(side) if side.count() <= limit and stored_bytes(side) <= SMALL_BYTES else side
 
 
 def top_n_per_key(df: DataFrame, keys: list[str], order: list[Column], n: int, rank: str = "rank") -> DataFrame:

@@ -85,18 +85,19 @@ def language(spark, sf):
     return records(spark, sf).select("page_id", "language")
 
 
-def _tree(name, columns):
-    @query(name)
+def _tree(name, oracle, columns):
+    """The generated pages hold no such element: nothing may be found on them."""
+    @query(name, f"SELECT page_id, {oracle} FROM pages")
     def run(spark, sf):
         return hr.extract_full(pages(spark, sf)).select("page_id", columns())
 
 
-_tree("H8_extract_tags", lambda: F.array_join("tags", "|").alias("tags"))
-_tree("H9_extract_categories", lambda: F.array_join("categories", "|").alias("categories"))
-_tree("H10_extract_breadcrumbs", lambda: F.array_join("breadcrumbs", "|").alias("breadcrumbs"))
-_tree("H15_extract_images", lambda: F.to_json("images").alias("images"))
-_tree("H16_extract_code_blocks", lambda: F.to_json("code_blocks").alias("code_blocks"))
-_tree("H17_extract_tables", lambda: F.array_join("tables", "\n\n").alias("tables"))
+_tree("H8_extract_tags", "'' AS tags", lambda: F.array_join("tags", "|").alias("tags"))
+_tree("H9_extract_categories", "'' AS categories", lambda: F.array_join("categories", "|").alias("categories"))
+_tree("H10_extract_breadcrumbs", "'' AS breadcrumbs", lambda: F.array_join("breadcrumbs", "|").alias("breadcrumbs"))
+_tree("H15_extract_images", "'[]' AS images", lambda: F.to_json("images").alias("images"))
+_tree("H16_extract_code_blocks", "'[]' AS code_blocks", lambda: F.to_json("code_blocks").alias("code_blocks"))
+_tree("H17_extract_tables", "'' AS tables", lambda: F.array_join("tables", "\n\n").alias("tables"))
 
 
 def marked_pages(spark, sf):

@@ -69,6 +69,14 @@ def scan_binary(spark, sf):
     return scanned.select("file_hash", "file_size")
 
 
+@query("S3_hash_of_each_file", "SELECT md5(html || chr(10)) AS file_hash, strlen(html) + 1 AS file_size FROM pages")
+def hash_of_each_file(spark, sf):
+    """Every page as a file of its own, hashed from its bytes."""
+    path = folder(spark, "html-files")
+    sinks.write_one_per_file(table(spark, sf, "pages").select(F.col("html").alias("value")), path, "html")
+    return files.scan_binary_with_hash(spark, path, "*.html").select("file_hash", "file_size")
+
+
 @query("S4_scan_csv", "SELECT o_orderkey::VARCHAR AS o_orderkey, o_orderstatus, o_orderpriority FROM orders")
 def scan_csv(spark, sf):
     path, columns = folder(spark, "orders-csv"), ["o_orderkey", "o_orderstatus", "o_orderpriority"]

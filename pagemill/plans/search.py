@@ -26,15 +26,17 @@ _COS = "list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding FROM embed
 _DOT = "list_inner_product(embedding::DOUBLE[], (SELECT embedding FROM embeddings WHERE vec_id = 3)::DOUBLE[])"
 
 
-@query("V1_embed_text")
+_HASHED = f"""WITH w AS (SELECT doc_id, unnest({sp.words('lower(text)')}) AS word FROM documents), h AS (SELECT word, {sp.crc32('word')} AS h FROM (SELECT DISTINCT word FROM w)),
+s AS (SELECT doc_id, h % 64 AS dim, sum(CASE WHEN (h >> 16) & 1 = 1 THEN 1 ELSE -1 END)::DOUBLE AS v FROM w JOIN h USING (word) GROUP BY ALL), n AS (SELECT doc_id, sqrt(sum(v * v)) AS size FROM s GROUP BY doc_id)"""
+
+
+@query("V1_embed_text", _HASHED + f""" SELECT d.doc_id, CASE WHEN size > 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS norm, CASE WHEN text IS NULL OR {sp.strip('text')} = '' THEN 'empty text' END AS error FROM documents d LEFT JOIN n USING (doc_id)""")
 def embed(spark, sf):
     e = ve.embed(docs(spark, sf), "doc_id", "text")
     return e.select("doc_id", F.round(F.sqrt(ve.dot(F.col("embedding"), F.col("embedding"))), 4).alias("norm"), "error")
 
 
-@query("V1_embedding_components", f"""WITH w AS (SELECT doc_id, unnest({sp.words('lower(text)')}) AS word FROM documents), h AS (SELECT word, {sp.crc32('word')} AS h FROM (SELECT DISTINCT word FROM w)),
-s AS (SELECT doc_id, h % 64 AS dim, sum(CASE WHEN (h >> 16) & 1 = 1 THEN 1 ELSE -1 END)::DOUBLE AS v FROM w JOIN h USING (word) GROUP BY ALL), n AS (SELECT doc_id, sqrt(sum(v * v)) AS size FROM s GROUP BY doc_id)
-SELECT doc_id, dim, round((v / size)::FLOAT::DOUBLE, 4) AS value FROM s JOIN n USING (doc_id) WHERE v <> 0""")
+@query("V1_embedding_components", _HASHED + " SELECT doc_id, dim, round((v / size)::FLOAT::DOUBLE, 4) AS value FROM s JOIN n USING (doc_id) WHERE v <> 0")
 def embedding_components(spark, sf):
     """Every component of every vector that is not 0."""
     e = ve.embed(docs(spark, sf), "doc_id", "text").select("doc_id", F.posexplode("embedding").alias("dim", "value")).filter("value <> 0")

@@ -12,6 +12,7 @@ from pagemill.plans.html import docs
 from pagemill.plans.labels import _SEC_PAGES, section_records
 from pagemill.plans.registry import query, table
 from pagemill.plans.sqlparts import q
+from pagemill.plans.text import CHUNK_DIGESTS
 from pagemill.session import kept
 
 # Names look like <section>_<sub>_<page>, taken from the moved page URL.
@@ -113,6 +114,6 @@ def hooks(spark, sf):
         lambda d: d.select("doc_id", tx.squash(F.col("text")).alias("cleaned")), [lambda d: d.withColumn("n", F.length("cleaned").cast("long"))])
 
 
-@query("K10_document_chunks")
+@query("K10_document_chunks", CHUNK_DIGESTS)
 def document_chunks(spark, sf):
     return ch.document_chunks(docs(spark, sf), "doc_id", "text", "hashing-64").select("document_id", "chunk_index", "content_hash", "word_count", "embedding_model")

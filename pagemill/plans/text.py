@@ -70,8 +70,35 @@ count(*) OVER (PARTITION BY doc_id) AS total_chunks FROM c WHERE content <> '')
 # The last blank among the 100 places up to the full length, or the place behind the last sentence end.
 _BLANK_END = "s + 901 + nullif(length(regexp_extract(substr(text, (s + 902)::BIGINT, 100), '(?s)^(.*)[ \\t\\n\\x0B\\f\\r]', 0)), 0) - 1"
 _SENTENCE_END = "s + 901 + nullif(length(regexp_extract(substr(text, (s + 902)::BIGINT, 100), '(?s)^(.*)[.!?\\n]', 0)), 0)"
-_chunker("T4_split_text", "paragraph")
-_chunker("T5_split_by_sentences", "sentence")
+def _packed_sql(pieces: str, first: str, glue: str, size: int) -> str:
+    """Pieces packed up to 1000 characters behind the list `first`, each new chunk with the last 200 of the one before."""
+    fold = (f"list_reduce(list_transform({pieces}, lambda x: [x]), lambda a, x: CASE WHEN length(a[-1]) + length(x[1]) + {size} <= 1000 THEN list_concat(a[:-2], [a[-1] || {glue} || x[1]]) "
+            f"WHEN length(a[-1]) > 200 THEN list_append(a, right(a[-1], 200) || {glue} || x[1]) ELSE list_concat(a, x) END, {first})")
+    return f"list_filter(list_transform({fold}, lambda c: {sp.strip('c')}), lambda c: c <> '')"
+
+
+def _sentences_sql(source: str, name: str) -> str:
+    """CTEs that give `name`(doc_id, l): the sentence chunks of the texts of `source`(doc_id, text). A text without a
+    sentence end, or a first sentence beyond a chunk, is cut by characters; the rest is packed by a fold."""
+    end = f"CASE WHEN s + 1000 >= n THEN s + 1000 ELSE coalesce({_BLANK_END}, s + 1000) END"
+    return f"""{name}_p AS (SELECT doc_id, text, list_transform(string_split_regex(text, '[.!?]+[ \\t\\n\\x0B\\f\\r]+'), lambda p: {sp.strip('p')}) AS p FROM {source}),
+{name}_q AS (SELECT doc_id, text, len(p) = 1 AS bare, list_concat(list_transform(list_filter(p[:-2], lambda x: x <> ''), lambda x: x || '. '), list_filter([p[-1]], lambda x: x <> '')) AS q FROM {name}_p),
+{name}_d AS (SELECT doc_id, CASE WHEN bare THEN text ELSE q[1] END AS text FROM {name}_q WHERE bare OR length(q[1]) > 1000),
+{name}_w AS (SELECT doc_id, text, length(text) AS n, 0 AS k, 0::BIGINT AS s, {end.replace('>= n', '>= length(text)').replace('s + 1000', '0 + 1000').replace('(s ', '(0 ')} AS e FROM {name}_d
+UNION ALL SELECT doc_id, text, n, k + 1, s, {end} FROM (SELECT doc_id, text, n, k, greatest(s + 1, e - 200) AS s FROM {name}_w WHERE e < n) WHERE s < n),
+{name}_l AS (SELECT doc_id, list(c ORDER BY k) AS l FROM (SELECT doc_id, k, {sp.strip('substr(text, s + 1, e - s)')} AS c FROM {name}_w) WHERE c <> '' GROUP BY doc_id),
+{name} AS (SELECT doc_id, CASE WHEN bare THEN l ELSE {_packed_sql("q[2:]", "coalesce(l, [q[1]])", "''", 0)} END AS l FROM {name}_q LEFT JOIN {name}_l USING (doc_id))"""
+
+
+_BY_SENTENCE = "WITH RECURSIVE src AS (SELECT doc_id, text FROM documents WHERE length(text) > 0), " + _sentences_sql("src", "c")
+_BY_PARAGRAPH = f"""WITH RECURSIVE g AS (SELECT doc_id, text, string_split_regex(text, '\\n[ \\t\\n\\x0B\\f\\r]*\\n') AS g FROM documents WHERE length(text) > 0),
+m AS (SELECT doc_id, text, len(g) = 1 AS one, list_filter(list_transform(g, lambda p: {sp.strip('p')}), lambda p: p <> '') AS m FROM g WHERE length(text) > 1000),
+src AS (SELECT doc_id, CASE WHEN one THEN text ELSE m[1] END AS text FROM m WHERE one OR length(m[1]) + 2 > 1000), {_sentences_sql("src", "s")},
+c AS (SELECT doc_id, [text] AS l FROM g WHERE length(text) <= 1000 UNION ALL
+SELECT doc_id, CASE WHEN one THEN l ELSE {_packed_sql("m[2:]", "coalesce(l, [m[1]])", "(chr(10) || chr(10))", 2)} END FROM m LEFT JOIN s USING (doc_id))"""
+_CHUNK_ROWS = " SELECT doc_id, generate_subscripts(l, 1) - 1 AS chunk_index, len(l) AS total_chunks, unnest(l) AS content FROM c"
+_chunker("T4_split_text", "paragraph", oracle=_BY_PARAGRAPH + _CHUNK_ROWS)
+_chunker("T5_split_by_sentences", "sentence", oracle=_BY_SENTENCE + _CHUNK_ROWS)
 _chunker("T6_split_by_characters", "char", oracle=_windows_sql(_BLANK_END, "0", "chunk_index, total_chunks, content"))
 
 
@@ -90,12 +117,12 @@ def _in_sql(spark, sf, statement):
     return spark.sql(statement, documents=docs(spark, sf))
 
 
-@query("T4_split_text_sql")
+@query("T4_split_text_sql", ORACLES["T4_split_text"])
 def split_text_sql(spark, sf):
     return _in_sql(spark, sf, "SELECT doc_id, c.* FROM {documents}, LATERAL chunk_text(text, 'paragraph', 1000, 200) AS c")
 
 
-@query("T5_split_by_sentences_sql")
+@query("T5_split_by_sentences_sql", ORACLES["T5_split_by_sentences"])
 def split_by_sentences_sql(spark, sf):
     return _in_sql(spark, sf, "SELECT doc_id, c.* FROM {documents}, LATERAL chunk_text(text, 'sentence', 1000, 200) AS c")
 
@@ -112,7 +139,15 @@ def chunk_char_sentence_sql(spark, sf):
         FROM {documents}, LATERAL chunk_text(text, 'char_sentence', 1000, 200) AS c""")
 
 
-@query("T10_chunk_offsets_sql")
+# A chunk stands at its first place from the end of the one before on, or at that end where the packing changed the text.
+_OFFSETS = _BY_PARAGRAPH + f""", x AS ({_CHUNK_ROWS.strip()}), o AS (SELECT doc_id, -1 AS chunk_index, 0::BIGINT AS total_chunks, '' AS content, 0::BIGINT AS start_index, 0::BIGINT AS end_index FROM g
+UNION ALL SELECT doc_id, chunk_index, total_chunks, content, b, b + length(content) FROM (SELECT x.*, o.end_index + greatest(instr(substr(g.text, o.end_index + 1), x.content) - 1, 0) AS b
+FROM o JOIN x ON x.doc_id = o.doc_id AND x.chunk_index = o.chunk_index + 1 JOIN g ON g.doc_id = x.doc_id))
+SELECT doc_id, chunk_index::BIGINT AS chunk_index, total_chunks, start_index, end_index"""
+CHUNK_DIGESTS = _BY_PARAGRAPH + f", x AS ({_CHUNK_ROWS.strip()}) SELECT doc_id AS document_id, chunk_index, sha256(content) AS content_hash, {sp.wc('content')} AS word_count, 'hashing-64' AS embedding_model FROM x"
+
+
+@query("T10_chunk_offsets_sql", _OFFSETS + " FROM o WHERE chunk_index >= 0")
 def chunk_offsets_sql(spark, sf):
     return _in_sql(spark, sf, "SELECT doc_id, chunk_index, total_chunks, start_index, end_index FROM {documents}, LATERAL chunk_text(text, 'paragraph', 1000, 200, true) AS c")
 
@@ -134,7 +169,7 @@ def chunk_stride(spark, sf):
     return rows.withColumn("content_hash", F.md5(F.encode("content", "UTF-8")))
 
 
-@query("T10_chunk_offsets")
+@query("T10_chunk_offsets", _OFFSETS + f", length(content) AS char_count, {sp.wc('content')} AS word_count, {sp.n_matches('content', tx.SENTENCE_BREAK)} + 1 AS sentence_count FROM o WHERE chunk_index >= 0")
 def chunk_offsets(spark, sf):
     rows = ch.with_chunk_metadata(ch.chunk_table(docs(spark, sf), "doc_id", "text"))
     return rows.select("doc_id", "chunk_index", "total_chunks", "start_index", "end_index", "char_count", "word_count", "sentence_count")

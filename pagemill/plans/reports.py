@@ -13,7 +13,7 @@ from pagemill.operators import reports as rp
 from pagemill.plans import sqlparts as sp
 from pagemill.plans.html import REC, _LINKS, records
 from pagemill.plans.merge import date, orders
-from pagemill.plans.registry import query, table
+from pagemill.plans.registry import ORACLES, query, table
 from pagemill.plans.sqlparts import q
 from pagemill.plans.trends import events
 from pagemill.plans.urls import CATEGORY_SQL, HOST, SCHEME, SECTION_CTE, section_urls
@@ -94,6 +94,16 @@ def analysis_report(spark, sf):
     return rp.report_json({"content_statistics": content_statistics(spark, sf), "heading_analysis": heading_analysis(spark, sf), "link_analysis": link_analysis(spark, sf)})
 
 
+_PARTS = {"content_statistics": "A1_content_statistics", "heading_analysis": "A2_heading_analysis", "link_analysis": "A4_link_analysis"}
+
+
+@query("A6_report_read_back", " UNION ALL ".join(f"SELECT '{name}' AS report, metric, round(value, 4) AS value FROM ({ORACLES[part]})" for name, part in _PARTS.items()))
+def report_read_back(spark, sf):
+    """The lines of the report, parsed again."""
+    line = F.from_json("json", "metric string, value double")
+    return analysis_report(spark, sf).select("report", line.alias("l")).select("report", "l.metric", F.round("l.value", 4).alias("value"))
+
+
 @query("A7_crawl_summary", REC + f""", p AS (SELECT url, {sp.wc('main_content')} AS w FROM rec) SELECT 'total' AS kind, NULL AS url, sum(w)::BIGINT AS words, count(*) AS pages, count(*) FILTER (w < 100) AS errors FROM p UNION ALL SELECT 'page', url, w, 1, (w < 100)::BIGINT FROM p""")
 def crawl_summary(spark, sf):
     return rp.crawl_summary(_pages(spark, sf).select("url", "word_count"), F.col("word_count") < 100)

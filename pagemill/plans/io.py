@@ -160,7 +160,7 @@ def expired_snapshots(spark, sf):
 
 @query("S12_streaming_file_source", "SELECT doc_id, lang FROM documents")
 def streaming_source(spark, sf):
-    stream = jobs.file_stream(spark, sf, table(spark, sf, "documents").schema, "documents.parquet")
+    stream = jobs.table_stream(spark, f"{sf}/documents.parquet", table(spark, sf, "documents").schema)
     return spark.read.parquet(jobs.drain(stream.select("doc_id", "lang"), "append"))
 
 

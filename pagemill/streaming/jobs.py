@@ -30,6 +30,15 @@ def file_stream(spark: SparkSession, folder: str, schema: StructType, glob: str
     return reader.format(kind).load(folder)
 
 
+def table_stream(spark: SparkSession, path: str, schema: StructType, max_files: int | None = None) -> DataFrame:
+    """A parquet table as a stream, be it one file or a folder of parts."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if place.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(place).isDirectory():
+        return file_stream(spark, path, schema, max_files=max_files)
+    folder, _, name = path.rpartition("/")
+    return file_stream(spark, folder, schema, name, max_files=max_files)
+
+
 def timed(events: DataFrame, ts: str, late: str = WATERMARK) -> DataFrame:
     """Plain timestamps become zoned ones, as watermarks require."""
     return events.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late)

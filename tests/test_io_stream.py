@@ -10,6 +10,7 @@ from pagemill.operators import knowledge as kn
 from pagemill.operators import reports as rp
 from pagemill.operators import workflows as wf
 from pagemill.sources import files, sinks
+from pagemill.plans import QUERIES
 from pagemill.streaming import jobs
 
 
@@ -130,3 +131,14 @@ def test_hooks_and_update_cycle(spark):
     r = row.first()
     assert (r["new_files"], r["modified_files"], r["deleted_files"], r["steps_failed"], r["success"]) == (1, 1, 1, 1, False) and done == {"a": True, "b": False}
     assert kn.is_stale({"file_count": 1, "checksum": "x"}, {"file_count": 1, "checksum": "x"}, 25) and not kn.is_stale({"file_count": 1, "checksum": "x"}, {"file_count": 1, "checksum": "x"}, 1)
+
+
+@pytest.mark.parametrize("parts", [0, 3])
+def test_table_stream_reads_one_file_and_a_folder_of_parts(spark, sf, tmp_path, parts):
+    d = spark.read.parquet(f"{sf}/documents.parquet")
+    if parts:
+        d.repartition(parts).write.parquet(str(tmp_path / "documents.parquet"))
+    folder = str(tmp_path) if parts else sf
+    for name in ("S12_streaming_file_source", "Z11_incremental_index"):
+        got = QUERIES[name](spark, folder)
+        assert got.select("doc_id").distinct().count() == d.filter("text <> ''" if name[0] == "Z" else "true").select("doc_id").distinct().count()

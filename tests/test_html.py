@@ -176,3 +176,16 @@ def test_noise_selectors_reach_the_cleaned_source(spark):
     got = {r["page_id"]: r["html"] for r in px.clean_pages(df).collect()}
     assert got[1] == '<body class="x"><p>keep</p>keep 2 tail&hellip;</body>'
     assert got[2] == "<body><p>keep</p></body>" and got[3] is None and got[4] == "<p>a"
+
+
+def test_references_without_semicolon_stay(spark):
+    body = '<h1 title="a&amp b&lt;">x &&amp</h1><p>1 &lt 2 &lt;&amp;&#65;&#66 &notit; &eacute; \ue000</p><script type="application/ld+json">{"a": "b &&amp; c"}</script>'
+    markup = f"<html><body><article>{body}{'word ' * 30}</article></body></html>"
+    root = hr.parse(markup)
+    assert [n.text() for n in root.tags("h1")] == ["x &&amp"] and root.tags("h1")[0].attrs["title"] == "a&amp b<"
+    assert root.tags("p")[0].text() == "1 &lt 2 <&A&#66 &notit; \u00e9 \ue000"
+    assert hr.meta_of(root)[1] == '{"a": "b &&amp; c"}'
+    plain = f"<html><body><article><h1>x &&amp</h1>{'a &lt;b&amp ' * 30}</article></body></html>"
+    df = spark.createDataFrame([(1, "https://a.example.com/", plain)], "page_id long, url string, html string")
+    full, basic, site = hr.extract_full(df).first(), px.extract_basic(df).first(), hr.extract_site(df).first()
+    assert full["main_content"] == basic["main_content"] and full["title"] == basic["title"] == "x &&amp" == site["headings"][0]["text"]

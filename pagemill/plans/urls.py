@@ -146,7 +146,7 @@ CASE WHEN url IN (SELECT url FROM done) THEN 'Already processed' WHEN d = 'spam-
 WHEN NOT {rule_sql('include')} OR {rule_sql('priority')} = 5 THEN 'Pattern excludes URL: ' || {rule_sql('pattern')} ELSE 'URL allowed for scraping' END AS reason FROM x""")
 def should_scrape(spark, sf):
     u = urls(spark, sf)
-    blocked = u.filter(F.col("url").contains("spam-farm")).select(ux.host(F.col("url")).alias("domain")).distinct()
+    blocked = u.select(ux.host(F.col("url")).alias("domain")).filter("domain = 'spam-farm.example.org'").distinct()
     return fr.should_fetch(u, u.filter(F.col("url").contains("?page=")), blocked, RULES)
 
 

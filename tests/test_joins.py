@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pagemill.operators import merge as mg
 from pagemill.operators import setjoin as sj
 from pagemill.operators import trends as tr
+from pagemill.plans import QUERIES
 from tests.conftest import rows
 
 
@@ -86,3 +87,10 @@ def test_trends_keep_null_days_and_metrics(spark):
     points = spark.createDataFrame([(m, i, 1.0 + i % 2) for m in ("x", None) for i in range(20)] + [(None, 99, 50.0), ("x", 99, 50.0)], "metric string, ts long, value double")
     found = tr.anomalies(points, "metric", "ts", "value").collect()
     assert sorted((str(r["metric"]), r["ts"]) for r in found) == [("None", 99), ("x", 99)] and all(r["description"] for r in found)
+
+
+def test_only_the_named_host_is_blocked(spark, tmp_path):
+    urls = ["http://spam-farm.example.org/en/1", "http://www.spam-farm.example.com/en/2", "http://a.example.org/en/spam-farm"]
+    spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").withColumn("html", F.lit("")).write.parquet(str(tmp_path / "pages.parquet"))
+    got = {r["page_id"]: r["reason"] for r in QUERIES["U12_should_scrape"](spark, str(tmp_path)).collect()}
+    assert got[0] == "Domain blocked: spam-farm.example.org" and got[1] == got[2] == "Pattern excludes URL: spam-farm|cheap-pills"

@@ -96,6 +96,33 @@ def membership(events: DataFrame, ts: str, doc: str, user: str, joined: str, lef
     return moves.groupBy(doc, user).agg(F.max_by(F.col(kind) == joined, "_ts").alias("present"), F.max("_ts").alias("changed_at"))
 
 
+def live_entries(events: DataFrame, ts: str, owner: str, ident: str, ttl_hours: int) -> DataFrame:
+    """(owner, id, expires_at) of every entry that arrives in time, as an updating aggregate.
+
+    The time of expiry is known on arrival and is what the watermark runs over, so the state
+    store itself drops an entry once it is dead; `unexpired` reads what is left.
+    """
+    rows = events.select(owner, ident, (F.col(ts).cast("timestamp") + F.make_dt_interval(hours=F.lit(ttl_hours))).alias("expires_at"))
+    return rows.withWatermark("expires_at", f"{ttl_hours} hours {WATERMARK}").groupBy("expires_at", owner, ident).agg(F.count("*").alias("n")).drop("n")
+
+
+def last_moves(events: DataFrame, ts: str, place: str, member: str, ident: str, joined: str, left: str, kind: str, idle_hours: int, width: str = "1 day") -> DataFrame:
+    """(place, member, us, id, joined, expires_at): the last move in each window of time, ties to the larger id.
+
+    The state holds the windows that late rows may still reach; `unexpired` of the last of a
+    member's rows tells whether the move still counts after idle_hours.
+    """
+    moves = timed(events.filter(F.col(kind).isin(joined, left)), ts)
+    last = moves.groupBy(F.window(ts, width), place, member).agg(F.max(F.struct(F.unix_micros(ts).alias("us"), F.col(ident).alias("id"), (F.col(kind) == joined).alias("joined"), F.col(ts).alias("at"))).alias("m"))
+    return last.select(place, member, "m.us", "m.id", "m.joined", (F.col("m.at") + F.make_dt_interval(hours=F.lit(idle_hours))).alias("expires_at"))
+
+
+def unexpired(rows: DataFrame, progress: list) -> DataFrame:
+    """Rows whose expires_at lies beyond the last watermark of the run that `progress` reports."""
+    marks = [p["eventTime"]["watermark"] for p in progress if "watermark" in p["eventTime"]]
+    return rows.filter(F.col("expires_at") > F.lit(max(marks)).cast("timestamp")) if marks else rows
+
+
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 

@@ -111,3 +111,27 @@ def test_changed_files_come_again(spark, tmp_path, kind):
     write("doc1", "new", now + 10)
     write("doc5", "f", now + 10)
     assert run() == [("doc1", "new"), ("doc2", "c"), ("doc3", "d"), ("doc3", "e"), ("doc5", "f")]
+
+
+def test_native_entries_leave_the_state_by_the_watermark(spark, tmp_path):
+    rows, progress = events(800, 5, seed=3), []
+    sink = jobs.drain(jobs.live_entries(batches(spark, str(tmp_path / "in"), rows, 4), "ts", "user", "id", 24), "update", state=jobs.ROCKS, progress=progress)
+    got = [r["id"] for r in jobs.unexpired(spark.read.parquet(sink), progress).collect()]
+    mark = max(r[4] for r in rows) - datetime.timedelta(minutes=10)
+    want = {r[0] for r in rows if r[4] + datetime.timedelta(hours=24) > mark}
+    assert sorted(got) == sorted(want) and 0 < len(want) < 100
+    assert state_rows(progress)[-1] == len(want) < max(state_rows(progress))
+    assert max(p["stateOperators"][0]["customMetrics"].get("numRegisteredTimers", 0) for p in progress) == 0  # no call into Python for each entry
+
+
+def test_native_moves_and_silence(spark, tmp_path):
+    rows, progress = [r for r in events(1500, 300, seed=2) if r[3] != "other"], []
+    rows.append((9999, 77, 1, "in", DAY + datetime.timedelta(hours=420)))
+    sink = jobs.drain(jobs.last_moves(batches(spark, str(tmp_path / "in"), rows, 5), "ts", "doc", "user", "id", "in", "out", "kind", 48), "update", state=jobs.ROCKS, progress=progress)
+    last = spark.read.parquet(sink).groupBy("doc", "user").agg(F.max(F.struct("us", "id", "joined", "expires_at")).alias("m")).select("doc", "user", "m.*")
+    got = {(r["doc"], r["user"]) for r in jobs.unexpired(last.filter("joined"), progress).collect()}
+    mark, want = max(r[4] for r in rows) - datetime.timedelta(minutes=10), {}
+    for r in rows:
+        want[(r[2], r[1])] = max(want.get((r[2], r[1]), (DAY, -1, "")), (r[4], r[0], r[3]))
+    assert got == {k for k, v in want.items() if v[0] + datetime.timedelta(hours=48) > mark and v[2] == "in"} and got
+    assert state_rows(progress)[-1] < max(state_rows(progress)) / 2

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,16 +51,28 @@ def write_text(df: DataFrame, column: str, path: str) -> None:
 def write_one_per_file(df: DataFrame, path: str, kind: str) -> None:
     """Each row of the one text column as a file of its own, with `kind` as the file ending.
 
-    The rows are the bound: this is for stores of single documents, not for bulk tables.
+    The tasks write the files themselves under names of their partition and place, so nothing
+    is renamed one by one on the driver and a repeated task writes the same files again. The
+    folder is local or in a store that pyarrow knows.
     """
-    files = df.sparkSession._jvm.org.apache.hadoop.fs
-    df.write.mode("overwrite").option("maxRecordsPerFile", 1).option("lineSep", "\n").text(path)
-    root = files.Path(path)
-    system = root.getFileSystem(df.sparkSession._jsc.hadoopConfiguration())
-    for status in system.listStatus(root):
-        name = status.getPath().getName()
-        if name.endswith(".txt"):
-            system.rename(status.getPath(), files.Path(root, f"{name.removesuffix('.txt')}.{kind}"))
+    spark, (column,) = df.sparkSession, df.columns
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    system.delete(place, True)
+    system.mkdirs(place)
+    root = place.makeQualified(system.getUri(), system.getWorkingDirectory()).toString()
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        target, folder = fs.FileSystem.from_uri(root if "://" in root else root.replace("file:/", "file:///", 1))
+        part, n = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            for value in batch.column(0):
+                with target.open_output_stream(f"{folder}/part-{part:05d}-{n:07d}.{kind}", compression=None) as out:
+                    out.write(((value.as_py() or "") + "\n").encode())
+                n += 1
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
+
+    df.select(F.col(column).cast("string")).mapInArrow(write, "n long").agg(F.sum("n")).collect()  # one count
 
 
 def write_by_category(df: DataFrame, path: str, category: str = "category") -> None:

@@ -142,3 +142,15 @@ def test_table_stream_reads_one_file_and_a_folder_of_parts(spark, sf, tmp_path,
     for name in ("S12_streaming_file_source", "Z11_incremental_index"):
         got = QUERIES[name](spark, folder)
         assert got.select("doc_id").distinct().count() == d.filter("text <> ''" if name[0] == "Z" else "true").select("doc_id").distinct().count()
+
+
+def test_one_file_for_each_row_is_written_by_the_tasks(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "out")
+    values = [f'{{"url": "u{i}",\n "content": "t\u00e9{i}"}}' for i in range(40)] + ["", None]
+    df = spark.createDataFrame([(v,) for v in values], "value string").repartition(5)
+    for _ in range(2):  # written anew, not added
+        sinks.write_one_per_file(df, path, "json")
+        names = sorted(os.listdir(path))
+        assert len(names) == 42 and all(n.endswith(".json") for n in names)  # no side files, which driver renames would leave
+        assert sorted(open(f"{path}/{n}", encoding="utf-8").read() for n in names) == sorted((v or "") + "\n" for v in values)
+    assert files.scan_pages_json(spark, path).filter("url IS NOT NULL").count() == 40

@@ -1,5 +1,7 @@
+import gc
 from urllib.parse import urljoin
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -189,3 +191,22 @@ def test_references_without_semicolon_stay(spark):
     df = spark.createDataFrame([(1, "https://a.example.com/", plain)], "page_id long, url string, html string")
     full, basic, site = hr.extract_full(df).first(), px.extract_basic(df).first(), hr.extract_site(df).first()
     assert full["main_content"] == basic["main_content"] and full["title"] == basic["title"] == "x &&amp" == site["headings"][0]["text"]
+
+
+def test_a_tree_is_freed_without_the_collector():
+    gc.collect()
+    gc.disable()
+    try:
+        hr.full_record(PAGE, "https://a.example.com/")
+        hr.flat_record(PAGE, "https://a.example.com/")
+        hr.site_record(PAGE, "https://a.example.com/")
+        assert not [o for o in gc.get_objects() if isinstance(o, hr.Node)]
+    finally:
+        gc.enable()
+
+
+def test_records_leave_the_task_in_small_frames():
+    pages = pd.DataFrame({"page_id": range(600), "url": "https://a.example.com/", "html": [PAGE] * 599 + [None]})
+    frames = list(hr.record_frames(iter([pages, pages.iloc[:0]]), hr.full_record, ["title"]))
+    assert [i for f in frames for i in f["page_id"]] == list(range(600)) and max(map(len, frames)) <= hr.OUT_ROWS
+    assert list(pd.concat(frames)["status"]) == ["completed"] * 599 + ["failed"]

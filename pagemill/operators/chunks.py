@@ -160,17 +160,30 @@ def placed_chunks(text: str | None, mode: str, size: int, overlap: int) -> Itera
         yield i, len(pieces), piece, begin, pos
 
 
+OUT_CHARS = 2_000_000  # characters of text whose chunks a task holds before it hands them on
+
+
+def chunk_frames(batches: Iterator[pd.DataFrame], key: str, text: str, mode: str, size: int, overlap: int) -> Iterator[pd.DataFrame]:
+    """The chunks of all texts, handed on after every OUT_CHARS characters of text."""
+    columns = [key, "chunk_index", "total_chunks", "content", "start_index", "end_index"]
+    for batch in batches:
+        rows, held = [], 0
+        for k, t in zip(batch[key], batch[text]):
+            rows += [(k, *row) for row in placed_chunks(t, mode, size, overlap)]
+            held += len(t or "")
+            if held >= OUT_CHARS:
+                yield pd.DataFrame(rows, columns=columns)
+                rows, held = [], 0
+        if rows:
+            yield pd.DataFrame(rows, columns=columns)
+
+
 def chunk_table(df: DataFrame, key: str, text: str, mode: str = "paragraph", size: int = 1000, overlap: int = 200) -> DataFrame:
     """Rows (key, chunk_index, total_chunks, content, start_index, end_index)."""
     key_type = df.schema[key].dataType.simpleString()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = [(k, *row) for k, t in zip(batch[key], batch[text]) for row in placed_chunks(t, mode, size, overlap)]
-            yield pd.DataFrame(rows, columns=[key, "chunk_index", "total_chunks", "content", "start_index", "end_index"])
-
     return df.select(key, text).mapInPandas(
-        run, f"{key} {key_type}, chunk_index long, total_chunks long, content string, start_index long, end_index long")
+        lambda batches: chunk_frames(batches, key, text, mode, size, overlap), f"{key} {key_type}, chunk_index long, total_chunks long, content string, start_index long, end_index long")
 
 
 def with_chunk_metadata(chunks: DataFrame) -> DataFrame:

@@ -161,3 +161,13 @@ def test_chunkers_in_sql(spark):
     for bad in ("'nothing', 50, 10", "'char', 10, 10", "'char', id, 0"):
         with pytest.raises(Exception, match="mode must be|overlap must be|must be a constant"):
             spark.sql(f"SELECT c.* FROM {{d}}, LATERAL chunk_text(text, {bad}) AS c", d=docs).collect()
+
+
+def test_chunks_leave_the_task_in_small_frames():
+    import pandas as pd
+
+    texts = pd.DataFrame({"k": range(9), "t": ["word. " * 100_000] * 7 + [None, ""]})
+    frames = list(ch.chunk_frames(iter([texts]), "k", "t", "sentence", 1000, 200))
+    whole = [(k, *row) for k, t in zip(texts["k"], texts["t"]) for row in ch.placed_chunks(t, "sentence", 1000, 200)]
+    assert [tuple(r) for f in frames for r in f.itertuples(index=False)] == whole and len(frames) == 2
+    assert max(f["content"].str.len().sum() for f in frames) < 2 * ch.OUT_CHARS

@@ -136,6 +136,21 @@ def best_of(scores: np.ndarray, order: np.ndarray, k: int) -> tuple[np.ndarray,
     return rows[place < k], columns[place < k]
 
 
+SCORES = 1 << 21  # scores that are held at once
+
+
+def best_by_slices(rows: int, columns: int, k: int, scores: Callable[[slice], np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row numbers, column numbers and scores of the k best of each row, ties to the smaller
+    column; scores() gives a slice of the rows, few enough to hold."""
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+    step = max(1, SCORES // max(1, columns))
+    for at in range(0, rows if columns else 0, step):
+        own = scores(slice(at, at + step))
+        r, c = best_of(own, np.arange(columns), k)
+        found.append((r + at, c, own[r, c]))
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
 def bulk_top_k(corpus: DataFrame, key: str, queries: DataFrame, query_key: str, k: int = 5, vector: str = "embedding", block: int = 2048, part: int = 8192) -> DataFrame:
     """Best k corpus rows for each query, by cosine: a join of blocks as matrix products.
 
@@ -153,13 +168,10 @@ def bulk_top_k(corpus: DataFrame, key: str, queries: DataFrame, query_key: str,
     held = corpus.select(F.col(key).alias("c"), F.col(vector).alias("cv"), dealt(key, parts).alias("cp"), every(blocks).alias("cb"))
 
     def product(left: pa.Table, right: pa.Table) -> pa.Table:
-        if len(left) == 0 or len(right) == 0:
-            rows, columns, scores = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, 0))
-        else:
-            right = right.sort_by("c")
-            scores = unit_rows(left["qv"]) @ unit_rows(right["cv"]).T
-            rows, columns = best_of(scores, np.arange(len(right)), k)
-        return pa.table({query_key: left["q"].take(pa.array(rows)), key: right["c"].take(pa.array(columns)), "score": pa.array(scores[rows, columns], pa.float64())})
+        right = right.sort_by("c")
+        a, b = (unit_rows(t[c]) if len(t) else np.zeros((0, 1)) for t, c in ((left, "qv"), (right, "cv")))
+        rows, columns, scores = best_by_slices(len(left), len(right), k, lambda s: a[s] @ b.T)
+        return pa.table({query_key: left["q"].take(pa.array(rows)), key: right["c"].take(pa.array(columns)), "score": pa.array(scores, pa.float64())})
 
     found = asked.groupBy("qb", "qp").cogroup(held.groupBy("cb", "cp")).applyInArrow(product, f"{query_key} {query_type}, {key} {key_type}, score double")
     return scale.top_n_per_key(found, [query_key], [F.col("score").desc(), F.col(key)], k)

@@ -251,3 +251,16 @@ def test_search_small(spark):
     index = se.build_index(docs, "id", "text")
     assert {r["id"]: r["score"] for r in se.search_index(index, "id", ["a", "b"], size, 1.5).collect()} == pytest.approx(scan) and set(scan) == {1}
     assert spark.createDataFrame([("The other thé the.",)], "c string").select(se.highlight(F.col("c"), "the").alias("h")).first()["h"] == "<em>The</em> other thé <em>the</em>."
+
+
+def test_best_of_many_rows_holds_few_scores(monkeypatch):
+    import numpy as np
+
+    from pagemill.operators import vectors as ve
+
+    monkeypatch.setattr(ve, "SCORES", 1000)
+    table, held = np.random.default_rng(5).integers(0, 9, (130, 90)).astype(float), []
+    rows, columns, scores = ve.best_by_slices(130, 90, 4, lambda s: held.append(table[s].size) or table[s])
+    assert [(r, c) for r, c in zip(rows, columns)] == [(r, c) for r in range(130) for c in np.argsort(-table[r], kind="stable")[:4]]
+    assert (scores == table[rows, columns]).all() and max(held) <= 1000
+    assert [len(x) for x in ve.best_by_slices(3, 0, 4, None)] == [0, 0, 0]

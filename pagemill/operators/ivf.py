@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagemill import scale
-from pagemill.operators.vectors import best_of, unit_rows
+from pagemill.operators.vectors import best_by_slices, unit_rows
 
 SAMPLE = 1 << 24  # numbers of the sample, whatever the dimension
 PART = 8_192  # rows of a list that stay in one group
@@ -125,16 +125,20 @@ def search(rows: DataFrame, quantiser: Quantiser, corpus: DataFrame, key: str, q
     held = rows.withColumn("part", F.pmod(F.xxhash64(key), parts[F.col("list")]).cast("int"))
 
     def looked_up(left: pa.Table, right: pa.Table) -> pa.Table:
-        take, columns, scores = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, 0))
+        take, columns, scores = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
         if len(left) and len(right):
             right, own = right.sort_by(key), shared.value
-            units = unit_rows(left["qv"])
+            units, centre = unit_rows(left["qv"]), own.centres[left["at"][0].as_py()]
             codes = np.frombuffer(b"".join(right["code"].to_pylist()), np.uint8).reshape(len(right), -1)
-            scores = np.repeat((units @ own.centres[left["at"][0].as_py()])[:, None], len(right), axis=1)
-            for p, piece in enumerate(np.split(units, len(own.books), axis=1)):
-                scores += (piece @ own.books[p].T)[:, codes[:, p]]
-            take, columns = best_of(scores, np.arange(len(right)), most)
-        return pa.table({"q": left["q"].take(pa.array(take)), "c": right[key].take(pa.array(columns)), "near": pa.array(scores[take, columns], pa.float64())})
+
+            def scored(s: slice) -> np.ndarray:
+                out = np.repeat((units[s] @ centre)[:, None], len(right), axis=1)
+                for p, piece in enumerate(np.split(units[s], len(own.books), axis=1)):
+                    out += (piece @ own.books[p].T)[:, codes[:, p]]
+                return out
+
+            take, columns, scores = best_by_slices(len(left), len(right), most, scored)
+        return pa.table({"q": left["q"].take(pa.array(take)), "c": right[key].take(pa.array(columns)), "near": pa.array(scores, pa.float64())})
 
     rough = probed.groupBy("at", "p").cogroup(held.groupBy("list", "part")).applyInArrow(looked_up, f"q {query_type}, c {key_type}, near double")
     some = scale.top_n_per_key(rough, ["q"], [F.col("near").desc(), F.col("c")], most).select("q", "c")

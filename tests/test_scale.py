@@ -211,6 +211,21 @@ def test_positional_postings(spark):
     index.unpersist()
 
 
+def test_postings_are_made_in_segments(spark, monkeypatch):
+    """One row for each different word of a text, sorted in each segment; only texts are dealt."""
+    monkeypatch.setattr(ft, "SEGMENT", 200)
+    said = {i: ["a b a", "b", "", "c é c c"][i % 4] for i in range(60)}
+    docs = spark.createDataFrame(list(said.items()) + [(99, None)], "id long, text string")
+    index = ft.positions(docs, "id", "text")
+    got = index.withColumn("part", F.spark_partition_id()).collect()
+    assert len(got) == 75 and {r["part"] for r in got} == set(range(2))
+    assert [(r["part"], r["term"], r["id"]) for r in got] == sorted((r["part"], r["term"], r["id"]) for r in got)
+    assert {(r["id"], r["term"]): r["positions"] for r in got} == {(i, w): [n for n, x in enumerate(t.split()) if x == w] for i, t in said.items() for w in t.split()}
+    assert all(r["size"] == len(said[r["id"]].split()) and r["tf"] == len(r["positions"]) for r in got)
+    plan = index._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning" not in plan and plan.count("Exchange") == 1
+
+
 def test_kept_tables_follow_their_source(spark, tmp_path):
     path, built = str(tmp_path / "t"), []
 

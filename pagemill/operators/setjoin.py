@@ -6,14 +6,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagemill import scale
+from pagemill.session import materialize
 
 
 def set_classes(df: DataFrame, key: str, tokens: str) -> tuple[DataFrame, DataFrame]:
     """One row (rep, members, tokens) for each different set, named by its smallest key, and
-    (key, rep) for every row with a set. Copies of a set are never paired with each other."""
-    rows = df.select(F.col(key).alias("key"), F.array_sort(F.array_distinct(F.array_compact(tokens))).alias("tokens")).filter("tokens IS NOT NULL")
-    classes = rows.groupBy("tokens").agg(F.min("key").alias("rep"), F.count("*").alias("members"))
-    return classes, rows.join(classes.select("tokens", "rep"), "tokens").select(F.col("key").alias(key), "rep")
+    (key, rep) for every row with a set. Copies of a set are never paired with each other.
+
+    Sets and classes are stored, since joins read them many times and sets may be costly to make.
+    """
+    rows = materialize(df.select(F.col(key).alias("key"), F.array_sort(F.array_distinct(F.array_compact(tokens))).alias("tokens"))).filter("tokens IS NOT NULL")
+    classes = materialize(rows.groupBy("tokens").agg(F.min("key").alias("rep"), F.count("*").alias("members")))
+    named = scale.maybe_broadcast(classes, stored=True).select("tokens", "rep")
+    return classes, rows.join(named, "tokens").select(F.col("key").alias(key), "rep")
 
 
 def similar_sets(classes: DataFrame, threshold: float) -> DataFrame:

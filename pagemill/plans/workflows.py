@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from pagemill import scale
 from pagemill.functions import labels as lb
 from pagemill.operators import setjoin as sj
 from pagemill.operators import workflows as wf
@@ -11,7 +12,7 @@ from pagemill.plans import sqlparts as sp
 from pagemill.plans.html import docs
 from pagemill.plans.registry import query, table
 from pagemill.plans.sqlparts import q
-from pagemill.session import kept
+from pagemill.session import kept, materialize
 
 # Type prefix of the nodes that the documents below carry.
 B = "base-nodes."
@@ -237,12 +238,12 @@ SELECT u.o_orderkey, c.rep, (c.members - 1 + coalesce(t.n, 0))::BIGINT AS simila
 def similar_counts(spark, sf):
     """For every workflow, how many others have an equal or a similar set."""
     classes, members = _classes(spark, sf)
-    pairs = sj.similar_sets(classes, 0.5)
+    pairs = materialize(sj.similar_sets(classes, 0.5))
     sizes = classes.select(F.col("rep").alias("other"), "members")
     both = pairs.select(F.col("a").alias("rep"), F.col("b").alias("other")).unionByName(pairs.select(F.col("b").alias("rep"), F.col("a").alias("other")))
     near = both.join(sizes, "other").groupBy("rep").agg(F.sum("members").alias("near"))
     totals = classes.join(near, "rep", "left").select("rep", (F.col("members") - 1 + F.coalesce("near", F.lit(0))).alias("similar"))
-    return members.join(totals, "rep").select("o_orderkey", "rep", "similar")
+    return members.join(scale.maybe_broadcast(totals), "rep").select("o_orderkey", "rep", "similar")
 
 
 @query("W22_workflow_stats", _SRC + """ SELECT unnest(['total', 'active', 'inactive', 'total_nodes', 'avg_nodes']) AS metric, unnest([count(*)::DOUBLE, count(*) FILTER (o_orderstatus = 'O')::DOUBLE, count(*) FILTER (o_orderstatus <> 'O')::DOUBLE, sum(node_count)::DOUBLE, round(avg(node_count), 4)]) AS value FROM w

@@ -31,6 +31,21 @@ def test_similar_sets_against_all_pairs(spark, threshold):
     assert {(r["a"], r["b"]): r["similarity"] for r in sj.similar_sets(classes, threshold).collect()} == pytest.approx(want)
 
 
+def test_sets_are_made_once(spark):
+    """However often classes and members are joined, no set is computed again."""
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("array<string>")
+    def tokens(i):
+        made.add(1)
+        return [f"t{i % 3}", f"t{i % 4}"]
+
+    classes, members = sj.set_classes(spark.range(48).repartition(3).select(F.col("id").alias("k"), tokens("id").alias("s")), "k", "s")
+    pairs = sj.similar_sets(classes, 0.3)
+    assert members.join(pairs, F.col("rep") == F.col("a")).count() > 0 and members.count() == 48 and pairs.count() == pairs.distinct().count()
+    assert made.value == 48
+
+
 def distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):

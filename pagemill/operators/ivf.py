@@ -4,7 +4,9 @@ A bounded sample gives the centres of the lists and, for each piece of the dimen
 small code book of residuals (vector minus its centre). Every row is indexed: its list and
 one byte a piece. A query reads the lists of its nearest centres, where a table lookup per
 byte gives approximate inner products; the best few are scored exactly from their vectors.
-Lists are split into parts by their counted size, so a crowded region is many groups.
+Rows are dealt by key into parts and queries into blocks of bounded size; each pair of a part
+and a block meets in one task group, which goes through the lists and lets the best few per
+query out. A query is sent once to a part, not to a list, and a crowded list is in every part.
 """
 
 from __future__ import annotations
@@ -18,10 +20,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagemill import scale
-from pagemill.operators.vectors import best_by_slices, unit_rows
+from pagemill.operators.vectors import SCORES, best_by_slices, unit_rows
 
 SAMPLE = 1 << 24  # numbers of the sample, whatever the dimension
-PART = 8_192  # rows of a list that stay in one group
+PART = 1 << 19  # rows whose codes meet a block of queries
+BLOCK = 1 << 12  # queries of a block
+GROUPS, FEW = 24, 64  # pairs of a part and a block to be had at least, unless blocks would hold fewer queries than FEW
 
 
 @dataclass(frozen=True)
@@ -96,6 +100,48 @@ def default_probes(quantiser: Quantiser) -> int:
     return -(-3 * len(quantiser.centres) // 5)
 
 
+def dealt_into(rows: int, queries: int) -> tuple[int, int]:
+    """Number of parts of the rows and of blocks of the queries; each query is sent to every part, each code to every block."""
+    parts = max(1, -(-rows // PART))
+    return parts, max(1, -(-queries // BLOCK), min(-(-GROUPS // parts), queries // FEW))
+
+
+def keep_best(asking: np.ndarray, columns: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k highest scores of each asking row, ties to the smaller column, sorted so."""
+    by = np.lexsort((columns, -scores, asking))
+    place = np.arange(len(by)) - np.searchsorted(asking[by], asking[by])
+    by = by[place < k]
+    return asking[by], columns[by], scores[by]
+
+
+def best_codes(own: Quantiser, units: np.ndarray, probes: int, lists: np.ndarray, codes: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Numbers of the query and the row, and approximate score, of the best rows in the lists of each query's nearest centres."""
+    asks = np.zeros((len(units), len(own.centres)), bool)
+    np.put_along_axis(asks, own.nearest(units, probes), True, 1)
+    tables = [piece @ book.T for piece, book in zip(np.split(units, len(own.books), axis=1), own.books)]
+    by_list = np.argsort(lists, kind="stable")
+    numbers, begin = np.unique(lists[by_list], return_index=True)
+    held, waiting, floor = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))], 0, np.full(len(units), -np.inf)
+    for number, members in zip(numbers, np.split(by_list, begin[1:])):
+        asking = np.flatnonzero(asks[:, number])
+
+        def scored(s: slice) -> np.ndarray:
+            out = np.repeat((units[asking[s]] @ own.centres[number])[:, None], len(members), axis=1)
+            for p, table in enumerate(tables):
+                out += table[asking[s]].take(codes[members, p], axis=1)
+            return out
+
+        r, c, x = best_by_slices(len(asking), len(members), most, scored)
+        good = x >= floor[asking[r]]
+        held.append((asking[r[good]], members[c[good]], x[good]))
+        waiting += good.sum()
+        if waiting > SCORES:  # from here on only what can still be among the best waits
+            held, waiting = [keep_best(*(np.concatenate(a) for a in zip(*held)), most)], 0
+            n = np.bincount(held[0][0], minlength=len(units))
+            floor[n == most] = held[0][2][n.cumsum()[n == most] - 1]
+    return keep_best(*(np.concatenate(a) for a in zip(*held)), most)
+
+
 def search(rows: DataFrame, quantiser: Quantiser, corpus: DataFrame, key: str, queries: DataFrame, query_key: str, k: int = 5, probes: int | None = None,
            refine: int = 20, vector: str = "embedding") -> DataFrame:
     """Best k corpus rows per query among the `probes` nearest lists; refine * k of them are scored exactly.
@@ -107,40 +153,26 @@ def search(rows: DataFrame, quantiser: Quantiser, corpus: DataFrame, key: str, q
     spark = rows.sparkSession
     shared = spark.sparkContext.broadcast(quantiser)
     key_type, query_type = rows.schema[key].dataType.simpleString(), queries.schema[query_key].dataType.simpleString()
-    counts = {r["list"]: r["n"] for r in rows.groupBy("list").agg(F.count("*").alias("n")).collect()}  # one row a list
-    parts = F.create_map(*[F.lit(x) for at, n in counts.items() for x in (at, -(-n // PART))])
     asked = queries.filter(F.col(vector).isNotNull()).select(F.col(query_key).alias("q"), F.col(vector).alias("qv"))
-    every = asked.schema["qv"].dataType.simpleString()
-
-    def aimed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            near = shared.value.nearest(unit_rows(pa.chunked_array([batch.column(1)])), probes)
-            at = pa.array(np.repeat(np.arange(len(near)), near.shape[1]))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(near.ravel(), pa.int32())], names=["q", "qv", "at"])
-
-    probed = asked.mapInArrow(aimed, f"q {query_type}, qv {every}, at int").filter(F.col("at").isin(list(counts)))
-    probed = probed.select("q", "qv", "at", F.explode(F.sequence(F.lit(0), parts[F.col("at")] - 1)).alias("p"))
-    held = rows.withColumn("part", F.pmod(F.xxhash64(key), parts[F.col("list")]).cast("int"))
+    parts, blocks = dealt_into(rows.count(), asked.count())
+    place = lambda column, n: F.pmod(F.xxhash64(column), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    aimed = asked.select("q", "qv", place("q", blocks).alias("qb"), every(parts).alias("qp"))
+    held = rows.select(key, "list", "code", place(key, parts).alias("cp"), every(blocks).alias("cb"))
 
     def looked_up(left: pa.Table, right: pa.Table) -> pa.Table:
-        take, columns, scores = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
         if len(left) and len(right):
             right, own = right.sort_by(key), shared.value
-            units, centre = unit_rows(left["qv"]), own.centres[left["at"][0].as_py()]
             codes = np.frombuffer(b"".join(right["code"].to_pylist()), np.uint8).reshape(len(right), -1)
-
-            def scored(s: slice) -> np.ndarray:
-                out = np.repeat((units[s] @ centre)[:, None], len(right), axis=1)
-                for p, piece in enumerate(np.split(units[s], len(own.books), axis=1)):
-                    out += (piece @ own.books[p].T)[:, codes[:, p]]
-                return out
-
-            take, columns, scores = best_by_slices(len(left), len(right), most, scored)
+            step = max(1, SCORES // len(own.centres))
+            for at in range(0, len(left), step):
+                asking, columns, scores = best_codes(own, unit_rows(left["qv"].slice(at, step)), probes, right["list"].to_numpy(), codes, most)
+                found.append((asking + at, columns, scores))
+        take, columns, scores = (np.concatenate(x) for x in zip(*found))
         return pa.table({"q": left["q"].take(pa.array(take)), "c": right[key].take(pa.array(columns)), "near": pa.array(scores, pa.float64())})
 
-    rough = probed.groupBy("at", "p").cogroup(held.groupBy("list", "part")).applyInArrow(looked_up, f"q {query_type}, c {key_type}, near double")
+    rough = aimed.groupBy("qb", "qp").cogroup(held.groupBy("cb", "cp")).applyInArrow(looked_up, f"q {query_type}, c {key_type}, near double")
     some = scale.top_n_per_key(rough, ["q"], [F.col("near").desc(), F.col("c")], most).select("q", "c")
     pairs = some.join(corpus.select(F.col(key).alias("c"), F.col(vector).alias("cv")), "c").join(asked, "q")
 

@@ -189,6 +189,44 @@ def test_inverted_lists(spark, monkeypatch, part):
     assert len(exact) == 300 and recall >= 0.9 and read < 0.75
 
 
+def test_queries_are_sent_to_parts_not_to_lists(spark, monkeypatch):
+    """What is sent grows with the rows, and any cut into parts and blocks finds the same."""
+    sent = lambda n, q: q * (at := ivf.dealt_into(n, q))[0] + n * at[1]
+    assert sent(102_564, 10_260) < 30 * 102_564 and sent(615_384, 61_560) < 6 * sent(102_564, 10_260)
+    rng = np.random.default_rng(9)
+    m = rng.standard_normal((700, 16)).astype(np.float32)
+    m = np.vstack([m, m[:1].repeat(200, axis=0)])
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(m)], "vec_id long, embedding array<float>").repartition(3)
+    q = df.filter("vec_id < 50").select(F.col("vec_id").alias("query_id"), "embedding")
+    quantiser = ivf.fit(df, "vec_id")
+    index = ivf.index(df, "vec_id", quantiser)
+    found = []
+    for part, block in ((1 << 19, 1 << 12), (100, 9)):
+        monkeypatch.setattr(ivf, "PART", part)
+        monkeypatch.setattr(ivf, "BLOCK", block)
+        found.append({(r["query_id"], r["rank"], r["vec_id"]) for r in ivf.search(index, quantiser, df, "vec_id", q, "query_id", 5).collect()})
+    assert found[0] == found[1] and len(found[0]) == 250
+
+
+def test_best_codes_against_all_scores(monkeypatch):
+    """The short list is cut while lists are gone through; equal codes go by their place."""
+    rng = np.random.default_rng(10)
+    points = rng.standard_normal((400, 8))
+    centres = ivf.lloyd(points, 12, 5, 1)
+    own = ivf.Quantiser(centres, rng.standard_normal((4, 6, 2)))
+    lists = own.nearest(points, 1)[:, 0]
+    codes = own.codes(points, lists)
+    points, lists, codes = np.vstack([points, points[:90]]), np.append(lists, lists[:90]), np.vstack([codes, codes[:90]])
+    units = points[:30]
+    monkeypatch.setattr(ivf, "SCORES", 200)
+    asking, columns, scores = ivf.best_codes(own, units, 7, lists, codes, 10)
+    for i, u in enumerate(units):
+        near = set(own.nearest(u[None], 7)[0])
+        all_scores = {c: u @ (own.centres[lists[c]] + np.concatenate([own.books[p][codes[c, p]] for p in range(4)])) for c in range(490) if lists[c] in near}
+        want = sorted(all_scores, key=lambda c: (-round(all_scores[c], 9), c))[:10]
+        assert list(columns[asking == i]) == want and np.allclose(scores[asking == i], [all_scores[c] for c in want])
+
+
 def test_positional_postings(spark):
     rng = np.random.default_rng(8)
     said = {i: [str(x) for x in rng.choice(["a", "ab", "abc", "b", "ba"], rng.integers(0, 30))] for i in range(80)}
